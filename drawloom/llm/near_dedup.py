@@ -16,7 +16,6 @@ block by block, skipping pairs already known to be connected.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +27,8 @@ BUCKET_BITS = 7
 MANTISSA_BITS = 10
 BAND_ROWS = 5
 EMPTY = 0xFFFF
-#: Members of one bucket compared in one task; larger buckets are split into pairs of blocks.
-BLOCK = 2048
+#: Shingles of one bucket compared in one task; larger buckets are split into pairs of blocks.
+BLOCK = 1 << 20
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 6.0
 
@@ -114,20 +113,24 @@ def _sketch(k: int, least: int):
 def _full(k: int):
     def run(batches):
         for batch in batches:
-            regs, sets = [], []
+            done, held, regs, bands, sets = 0, 0, [], [], []
             for _, x in _sets(batch, k):
-                regs.append(registers(x).tobytes())
+                reg = registers(x)
+                regs.append(reg.tobytes())
+                bands.append(band_keys(reg))
                 sets.append(x.view(np.int64))
-                if sum(map(len, sets)) > 1 << 21:
-                    yield _full_batch(batch, len(regs), regs, sets)
-                    batch, regs, sets = batch.slice(len(regs)), [], []
-            yield _full_batch(batch, len(regs), regs, sets)
+                held += len(x)
+                if held > 1 << 21:
+                    yield _full_batch(batch.column(0).slice(done, len(regs)), regs, bands, sets)
+                    done, held, regs, bands, sets = done + len(regs), 0, [], [], []
+            yield _full_batch(batch.column(0).slice(done), regs, bands, sets)
 
     return run
 
 
-def _full_batch(batch, n, regs, sets):
-    return pa.RecordBatch.from_arrays([batch.column(0).slice(0, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "regs", "shingles"])
+def _full_batch(ids, regs, bands, sets):
+    longs = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, longs), pa.array(sets, longs)], ["id", "n", "regs", "bands", "shingles"])
 
 
 def _rule_out(threshold: float):
@@ -144,22 +147,36 @@ def _rule_out(threshold: float):
     return run
 
 
-def _block_pairs(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        same = not len(right)
-        right = left if same else right
-        reg_l, reg_r = (np.frombuffer(b"".join(x.regs), np.uint16).reshape(len(x), -1) for x in (left, right))
-        comp_l, comp_r, id_l, id_r, n_l, n_r = (x.to_numpy() for x in (left.comp, right.comp, left.id, right.id, left.n, right.n))
-        a, b = [], []
-        for i in range(len(left)):
-            js = np.flatnonzero((comp_r != comp_l[i]) & (np.minimum(n_r, n_l[i]) >= threshold * np.maximum(n_r, n_l[i]) - 1e-9))
-            js = js[js > i] if same else js
-            js = js[may_reach(reg_l[i], reg_r[js], n_l[i], n_r[js], threshold)]
-            a += [np.full(len(js), id_l[i])]
-            b += [id_r[js]]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _block_links(up: int, down: int):
+    """Links between components within a band bucket, or between two blocks of it.
+
+    A pair is looked at in its first common band only, ruled out by its
+    registers where they can, and else confirmed on the full sets.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        side, comp, ids, n, band = (t.column(c).to_numpy() for c in ("side", "comp", "id", "n", "band"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        sets = t.column("shingles").combine_chunks()
+        values = sets.flatten().to_numpy().view(np.uint64)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        place = int(np.flatnonzero(bands[0] == band[0])[0])
+        one_block = not side.any()
+        pairs = []
+        for i in np.flatnonzero(side == 0):
+            js = np.flatnonzero((comp != comp[i]) & (side == (0 if one_block else 1)) & (np.minimum(n, n[i]) * down >= np.maximum(n, n[i]) * up))
+            js = js[js > i] if one_block else js
+            js = js[~(bands[js, :place] == bands[i, :place]).any(1)]
+            js = js[may_reach(regs[i], regs[js], n[i], n[js], up / down)]
+            if len(js):
+                own = values[begin[i] : begin[i + 1]]
+                other = np.concatenate([values[begin[j] : begin[j + 1]] for j in js])
+                hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n[js])[:-1]]))
+                js = js[common * down >= (n[i] + n[js] - common) * up]
+                pairs += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
@@ -187,13 +204,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     classes = stage(sketch.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")))
     firsts = sketch.where(F.size("bands") > 0).join(classes.withColumn("id", F.col("rep")), [*key, "id"], "left_semi")
     members = firsts.select("id", "n", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = members.groupBy("band").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles_in")).where("m > 1")
     members = stage(members.join(buckets, "band"))
 
     starred = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     starred = stage(starred)
     wanted = stage(members.select("id").distinct())
-    full = stage(src.join(wanted, "id", "left_semi").mapInArrow(_full(words), "id long, n long, regs binary, shingles array<long>"))
+    full = stage(src.join(wanted, "id", "left_semi").mapInArrow(_full(words), "id long, n long, regs binary, bands array<long>, shingles array<long>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda i, *more: full.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), *(F.col(c).alias(f"{c[0]}{i}") for c in more))
@@ -209,15 +226,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     # Buckets of three or more that still hold several components.
     placed = members.where("m > 2").join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    open_ = stage(placed.join(mixed, "band", "left_semi").where((F.col("id") != F.col("center"))))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    open_ = open_.join(full.select("id", "regs"), "id").withColumn("blocks", blocks).withColumn("mine", mine)
+    blocks = F.ceil(F.col("shingles_in") / BLOCK).cast("int")
+    open_ = placed.join(mixed, "band", "left_semi").where("id <> center").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "id", "n", "comp", "regs", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
+        "band", "id", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
     )
-    found = spread.groupBy("band", "i", "j").applyInPandas(_block_pairs(ratio), "a long, b long").distinct()
-    more = confirmed(stage(found))
+    more = stage(spread.join(full, "id").groupBy("band", "i", "j").applyInArrow(_block_links(up, down), "a long, b long"))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
