@@ -59,7 +59,7 @@ f AS (SELECT p.lang, p.source, a.measure, CASE WHEN o.total >= 200 THEN o.hi WHE
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
 FROM b LEFT JOIN f ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source
-GROUP BY ALL
+GROUP BY b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
 """
 
 
