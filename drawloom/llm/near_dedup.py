@@ -99,18 +99,33 @@ def _sets(batch: pa.RecordBatch, k: int):
 def _sketch(k: int, least: int):
     def run(batches):
         for batch in batches:
-            n, one, two, bands = [], [], [], []
+            n, one, two, regs = [], [], [], []
             for _, x in _sets(batch, k):
                 n.append(len(x))
                 one.append(int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0)
                 two.append(int(mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0)
-                bands.append(band_keys(registers(x)) if len(x) >= least else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "fp1", "fp2", "bands"])
+                regs.append(registers(x).tobytes() if len(x) >= least else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())], ["id", "n", "fp1", "fp2", "regs"])
 
     return run
 
 
+def _register_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _bands(batches):
+    """(id, n, band) for every band of the rows (id, n, regs)."""
+    for batch in batches:
+        if batch.num_rows:
+            keys = np.stack([band_keys(r) for r in _register_rows(batch.column(2))])
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys.ravel())], ["id", "n", "band"])
+
+
 def _full(k: int):
+    """(id, n, regs, bands, shingles) of the texts, in batches of bounded size."""
+
     def run(batches):
         for batch in batches:
             done, held, regs, bands, sets = 0, 0, [], [], []
@@ -140,13 +155,34 @@ def _rule_out(threshold: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("ra", "rb"))
+            ra, rb = (_register_rows(batch.column(c)) for c in ("ra", "rb"))
             ok = may_reach(ra, rb, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), threshold)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
+def _block_partners(up: int, down: int):
+    """Members of a band bucket (or of two blocks of it) that the registers allow a partner there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side, ids, n = (t.column(c).to_numpy() for c in ("side", "id", "n"))
+        regs = _register_rows(t.column("regs"))
+        other = 1 if side.any() else 0
+        found = np.zeros(len(ids), bool)
+        for i in np.flatnonzero(side == 0):
+            js = np.flatnonzero((side == other) & (np.minimum(n, n[i]) * down >= np.maximum(n, n[i]) * up))
+            js = js[js > i] if not other else js
+            if found[i]:
+                js = js[~found[js]]
+            js = js[may_reach(regs[i], regs[js], n[i], n[js], up / down)]
+            found[js] = True
+            found[i] |= len(js) > 0
+        return pa.table({"id": pa.array(ids[found], pa.int64())})
+
+    return run
+
+
 def _block_links(up: int, down: int):
     """Links between components within a band bucket, or between two blocks of it.
 
@@ -198,40 +234,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     ratio = up / down
     least = next(n for n in range(1, 10**6) if down * n >= up * (n + 1))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sketch = stage(src.mapInArrow(_sketch(words, least), "id long, n long, fp1 long, fp2 long, bands array<long>"))
+    sketch = stage(src.mapInArrow(_sketch(words, least), "id long, n long, fp1 long, fp2 long, regs binary"))
 
     key = ["fp1", "fp2", "n"]
     classes = stage(sketch.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")))
-    firsts = sketch.where(F.size("bands") > 0).join(classes.withColumn("id", F.col("rep")), [*key, "id"], "left_semi")
-    members = firsts.select("id", "n", F.explode("bands").alias("band"))
+    firsts = stage(sketch.where("regs is not null").join(classes.withColumn("id", F.col("rep")), [*key, "id"], "left_semi").select("id", "n", "regs"))
+    members = firsts.mapInArrow(_bands, "id long, n long, band long")
     buckets = members.groupBy("band").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles_in")).where("m > 1")
     members = stage(members.join(buckets, "band"))
 
-    starred = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    starred = stage(starred)
-    wanted = stage(members.select("id").distinct())
-    full = stage(src.join(wanted, "id", "left_semi").mapInArrow(_full(words), "id long, n long, regs binary, bands array<long>, shingles array<long>"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda i, *more: full.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), *(F.col(c).alias(f"{c[0]}{i}") for c in more))
-        sized = pairs.join(side("a", "regs"), "a").join(side("b", "regs"), "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
-        likely = stage(sized.mapInArrow(_rule_out(ratio), "a long, b long"))
-        both = likely.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return stage(both.where(common * down >= (F.col("na") + F.col("nb") - common) * up).select("a", "b"))
+    # Stars: the least member of a bucket with every other.
+    pairs = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    own = lambda i: firsts.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("regs").alias(f"r{i}"))
+    sized = pairs.join(own("a"), "a").join(own("b"), "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
+    likely = stage(sized.mapInArrow(_rule_out(ratio), "a long, b long"))
 
-    links = confirmed(starred)
+    # The others of a bucket among themselves: first only who may have a partner.
+    blocks = F.ceil(F.col("shingles_in") / BLOCK).cast("int")
+    others = members.where("m > 2 and id <> center").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    spread = others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
+    )
+    partners = stage(spread.join(firsts, "id").groupBy("band", "i", "j").applyInArrow(_block_partners(up, down), "id long").distinct())
+
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(partners).distinct()
+    full = stage(src.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_full(words), "id long, n long, regs binary, bands array<long>, shingles array<long>"))
+    side = lambda i: full.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("shingles").alias(f"s{i}"))
+    both = likely.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = stage(both.where(common * down >= (F.col("na") + F.col("nb") - common) * up).select("a", "b"))
     labels = connected_components(links)
 
-    # Buckets of three or more that still hold several components.
-    placed = members.where("m > 2").join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    # Buckets that still hold several components are compared block by block.
+    component = F.coalesce("component", "id")
+    placed = others.join(partners, "id", "left_semi").join(labels, "id", "left").withColumn("comp", component).select("band", "id", "comp")
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    blocks = F.ceil(F.col("shingles_in") / BLOCK).cast("int")
-    open_ = placed.join(mixed, "band", "left_semi").where("id <> center").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "id", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
-    )
-    more = stage(spread.join(full, "id").groupBy("band", "i", "j").applyInArrow(_block_links(up, down), "a long, b long"))
+    placed = placed.join(mixed, "band", "left_semi").withColumnRenamed("band", "pb").withColumnRenamed("id", "pid")
+    open_ = spread.join(placed, F.expr("band = pb and id = pid")).select("band", "i", "j", "side", "id", "comp")
+    more = stage(open_.join(full, "id").groupBy("band", "i", "j").applyInArrow(_block_links(up, down), "a long, b long"))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
