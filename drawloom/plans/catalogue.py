@@ -2,9 +2,153 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import draw_stats as st
+from ..operators import merge as mg
+from ..operators import regions as rg
+from ..operators import settle as se
+from ..streaming import jobs
+from . import bridge as br
+from .bridge import DRAWS, REGIONS, SOURCES, TICKETS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SIZE = 33
+
+
+def _add(name: str, sql: str, make: Callable[[SparkSession, str], DataFrame]) -> None:
+    QUERIES[name] = make
+    if sql:
+        ORACLES[name] = sql
+
+
+def _gappy(d: DataFrame) -> DataFrame:
+    return d.where("k % 17 <> 0")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge the sources, then the ten hottest numbers of every game with their omissions and the game's chi-square."""
+    merged = mg.merge_sources(br.sources(spark, sf_dir))
+    numbers = st.draw_numbers(merged)
+    freq = st.frequency(numbers, SIZE)
+    hot = st.hot_cold(freq, 10).where("kind = 'hot'").drop("kind")
+    return hot.join(st.omission(numbers, SIZE), ["lottery", "num"]).join(st.uniformity(freq, 6).select("lottery", "chi2"), "lottery")
+
+
+ORD = ", n AS (SELECT *, row_number() OVER (PARTITION BY lottery ORDER BY issue_year, issue_seq) AS ord FROM draws)"
+NUM = ORD + ", num AS (SELECT lottery, ord, unnest(front) AS num FROM n), dom AS (SELECT l.lottery, x.num FROM (SELECT DISTINCT lottery FROM draws) l, (SELECT unnest(range(1, 34)) AS num) x)"
+FREQ = NUM + ", f AS (SELECT d.lottery, d.num, count(n.num) AS times FROM dom d LEFT JOIN num n ON n.lottery = d.lottery AND n.num = d.num GROUP BY ALL)"
+CELLS = NUM + ", cells AS (SELECT n.lottery, n.ord, dom.num, CASE WHEN list_contains(n.front, dom.num) THEN 1 ELSE 0 END AS hit FROM n JOIN dom ON dom.lottery = n.lottery)"
+CHI = "SELECT lottery, sum(times) AS n, count(*) - 1 AS df, sum(times * times) * count(*) / sum(times) - sum(times) AS chi, max(times) AS hi, min(times) AS lo, count(*) AS k FROM f GROUP BY lottery"
+RULES = "rules(h, j, grade, amount) AS (VALUES " + ", ".join(f"({h}, {j}, {g}, {a})" for h, j, g, a in se.GRADES) + ")"
+SETTLED = (
+    f"WITH {DRAWS}, {TICKETS}, {RULES}, hit AS (SELECT t.*, d.lottery, d.k, d.draw_date, len(list_intersect(t.main, d.front)) AS h, len(list_intersect(t.bonus, d.back)) AS j FROM tickets t LEFT JOIN draws d ON d.k = t.draw_k), "
+    "settled AS (SELECT ticket_id, batch, lottery, draw_k, strategy, tier, score, CASE WHEN k IS NOT NULL THEN hit.h END AS h, CASE WHEN k IS NOT NULL THEN hit.j END AS j, r.grade, CASE WHEN k IS NOT NULL THEN coalesce(r.amount, 0) END AS amount, "
+    "CASE WHEN k IS NOT NULL THEN 'evaluated' WHEN date_diff('day', CAST(generated AS DATE), (SELECT max(draw_date) FROM draws)) > 14 THEN 'missed' ELSE 'pending' END AS status, draw_date "
+    "FROM hit LEFT JOIN rules r ON r.h = hit.h AND r.j = hit.j AND hit.k IS NOT NULL), ev AS (SELECT * FROM settled WHERE status = 'evaluated') "
+)
+PRI = "CASE source WHEN 'official' THEN 1 WHEN 'agg' THEN 2 ELSE 3 END"
+
+
+def _settled(s, d):
+    return se.settle(br.tickets(s, d), br.draws(s, d))
+
+
+# scalar functions
+_add(
+    "f1_issue_key",
+    f"WITH {SOURCES} SELECT source, k, CAST(issue_year AS INTEGER) AS year, CAST(issue_seq AS INTEGER) AS seq FROM sources WHERE source <> 'csv' AND issue_seq < 1000",
+    lambda s, d: br.sources(s, d).where("source <> 'csv' and issue_seq < 1000").withColumn("key", scalar.issue_key(F.col("issue"))).select("source", "k", "key.year", "key.seq"),
+)
+_add(
+    "f3_money",
+    "SELECT o_orderkey AS k, CAST(round(o_totalprice) AS BIGINT) AS money FROM orders",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), scalar.to_int_money(F.concat(F.lit(" "), F.format_number("o_totalprice", 2))).alias("money")),
+)
+_add(
+    "f10_shapes",
+    f"WITH {DRAWS} SELECT k, CAST(list_sum(front) AS BIGINT) AS total, front[6] - front[1] AS span, len(list_filter(front, lambda x: x % 2 = 1)) AS odd, len([1 for i in [1, 2, 3, 4, 5] if front[i + 1] - front[i] = 1]) AS pairs, "
+    "list_min([front[i + 1] - front[i] for i in [1, 2, 3, 4, 5]]) AS min_gap, list_max([front[i + 1] - front[i] for i in [1, 2, 3, 4, 5]]) AS max_gap, "
+    "len(list_distinct(flatten([[front[j] - front[i] for j in [1, 2, 3, 4, 5, 6] if j > i] for i in [1, 2, 3, 4, 5, 6]]))) - 5 AS complexity FROM draws",
+    lambda s, d: br.draws(s, d).select("k", *(c.alias(n) for n, c in scalar.shape_features(F.col("front")).items() if n not in ("tail_repeats", "longest_run"))),
+)
+_add("f16_tax", "SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_extendedprice > 10000 THEN l_extendedprice * 0.2 ELSE 0.0 END AS tax FROM lineitem", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), scalar.tax(F.col("l_extendedprice")).alias("tax")))
+
+# merging
+_add("m1_best_source", f"WITH {SOURCES} SELECT lottery, issue_year, issue_seq, source, sales FROM sources QUALIFY row_number() OVER (PARTITION BY lottery, issue_year, issue_seq ORDER BY {PRI}, issue) = 1", lambda s, d: mg.best_source(br.sources(s, d).where("k % 4 <> 1 or source <> 'official'")).select(*mg.KEY, "source", "sales"))
+ORACLES["m1_best_source"] = ORACLES["m1_best_source"].replace("FROM sources QUALIFY", "FROM sources WHERE k % 4 <> 1 OR source <> 'official' QUALIFY")
+_add(
+    "m2_merge",
+    f"WITH {SOURCES} SELECT lottery, issue_year, issue_seq, arg_min(front, {PRI}) AS front, arg_min(sales, {PRI}) FILTER (sales IS NOT NULL) AS sales, arg_min(source, {PRI}) AS source, count(DISTINCT source) AS n_src, string_agg(source, ',' ORDER BY source) AS srcs FROM sources GROUP BY ALL",
+    lambda s, d: mg.merge_sources(br.sources(s, d)),
+)
+_add("m3_upsert", f"WITH {SOURCES} SELECT k, sales FROM (SELECT k, sales, 1 AS pr, draw_date FROM sources WHERE source = 'csv' UNION ALL SELECT k, sales, 0, draw_date FROM sources WHERE source = 'agg') QUALIFY row_number() OVER (PARTITION BY k ORDER BY draw_date DESC, pr DESC) = 1", lambda s, d: mg.latest_upsert(br.sources(s, d).where("source = 'agg'").select("k", "sales", "draw_date"), br.sources(s, d).where("source = 'csv'").select("k", "sales", "draw_date"), ["k"], "draw_date").select("k", "sales"))
+_add(
+    "m4_append",
+    f"WITH {DRAWS}, loc AS (SELECT * FROM draws WHERE issue_year < 1997), last AS (SELECT lottery, max(issue_year * 100000 + issue_seq) AS m FROM loc GROUP BY 1) SELECT d.lottery, d.issue_year, d.issue_seq FROM draws d LEFT JOIN last USING (lottery) WHERE m IS NULL OR d.issue_year * 100000 + d.issue_seq > m",
+    lambda s, d: mg.append_new(br.draws(s, d).where("issue_year < 1997").select(*mg.KEY), br.draws(s, d).select(*mg.KEY)).select(*mg.KEY),
+)
+_add(
+    "m6_reconcile",
+    f"WITH {SOURCES}, a AS (SELECT * FROM sources WHERE source = 'official' AND k % 19 <> 0), b AS (SELECT * FROM sources WHERE source = 'csv'), j AS (SELECT coalesce(a.lottery, b.lottery) AS lottery, a.front AS af, b.front AS bf, a.sales AS s, b.sales AS t FROM a FULL JOIN b ON a.lottery = b.lottery AND a.issue_year = b.issue_year AND a.issue_seq = b.issue_seq) "
+    "SELECT lottery, count(*) FILTER (af IS NOT NULL AND bf IS NOT NULL) AS paired, count(*) FILTER (af = bf) AS numbers_agree, count(*) FILTER (af IS NOT NULL AND bf IS NOT NULL AND (s = 0) = (t = 0) AND abs(s - t) <= 1) AS sales_agree, count(*) FILTER (af IS NOT NULL AND bf IS NOT NULL AND (s = 0) = (t = 0) AND abs(s - t) > 1) AS sales_conflict, count(*) FILTER ((s = 0) <> (t = 0)) AS zero_side, count(*) FILTER (bf IS NULL) AS only_a, count(*) FILTER (af IS NULL) AS only_b FROM j GROUP BY lottery",
+    lambda s, d: mg.reconcile(br.sources(s, d).where("source <> 'official' or k % 19 <> 0"), "official", "csv"),
+)
+_add("m7_gaps", f"WITH {DRAWS} SELECT lottery, issue_year, prev_seq, issue_seq, issue_seq - prev_seq - 1 AS missing FROM (SELECT *, lag(issue_seq) OVER (PARTITION BY lottery, issue_year ORDER BY issue_seq) AS prev_seq FROM draws WHERE k % 17 <> 0) WHERE issue_seq - prev_seq > 1", lambda s, d: mg.draw_gaps(_gappy(br.draws(s, d))))
+_add("m8_missing", f"WITH {DRAWS}, g AS (SELECT * FROM draws WHERE k % 17 <> 0), e AS (SELECT lottery, issue_year, unnest(range(min(issue_seq), max(issue_seq) + 1)) AS issue_seq FROM g GROUP BY 1, 2) SELECT * FROM e ANTI JOIN g USING (lottery, issue_year, issue_seq)", lambda s, d: mg.missing_issues(_gappy(br.draws(s, d))))
+_add("m9_duplicates", f"WITH {DRAWS} SELECT lottery, array_to_string(front, '-') AS numbers, count(*) AS times FROM draws GROUP BY 1, 2 HAVING count(*) > 1", lambda s, d: mg.duplicate_draws(br.draws(s, d)))
+_add("m10_date_gaps", f"WITH {DRAWS} SELECT lottery, max(x) AS longest, count(*) FILTER (x > 7) AS over, count(*) FILTER (x = 0) AS same_day FROM (SELECT lottery, date_diff('day', lag(draw_date) OVER (PARTITION BY lottery ORDER BY draw_date, k), draw_date) AS x FROM draws) GROUP BY lottery", lambda s, d: mg.date_gaps(br.draws(s, d), 7))
+_add("m14_coverage", f"WITH {SOURCES} SELECT lottery, source, count(*) AS draws, min(draw_date) AS first_date, max(draw_date) AS last_date, count(sales) AS with_sales FROM sources GROUP BY ALL", lambda s, d: mg.source_coverage(br.sources(s, d)))
+_add("m15_search", f"WITH {DRAWS} SELECT lottery, issue_year, issue_seq, sales, place, total FROM (SELECT *, row_number() OVER (ORDER BY sales DESC NULLS LAST, lottery, issue_year, issue_seq) AS place, count(*) OVER () AS total FROM draws WHERE lottery IN ('g1', 'g3') AND sales BETWEEN 1000000 AND 30000000 AND list_contains(front, 7) AND list_contains(front, 12)) WHERE place BETWEEN 21 AND 40", lambda s, d: mg.draw_search(br.draws(s, d), ["g1", "g3"], [7, 12], 1_000_000, 30_000_000, 2, 20))
+
+# aggregates
+_add("a1_frequency", f"WITH {DRAWS}{FREQ} SELECT * FROM f", lambda s, d: st.frequency(st.draw_numbers(br.draws(s, d)), SIZE))
+_add("a2_hot_cold", f"WITH {DRAWS}{FREQ}, r AS (SELECT *, row_number() OVER (PARTITION BY lottery ORDER BY times DESC, num) AS hot, row_number() OVER (PARTITION BY lottery ORDER BY times, num) AS cold FROM f) SELECT lottery, CASE WHEN hot <= 5 THEN 'hot' ELSE 'cold' END AS kind, CASE WHEN hot <= 5 THEN hot ELSE cold END AS place, num, times FROM r WHERE hot <= 5 OR cold <= 5", lambda s, d: st.hot_cold(st.frequency(st.draw_numbers(br.draws(s, d)), SIZE), 5))
+_add("a3_omission", f"WITH {DRAWS}{NUM} SELECT dom.lottery, dom.num, (SELECT max(ord) FROM n WHERE n.lottery = dom.lottery) - coalesce(max(num.ord), 0) AS omitted FROM dom LEFT JOIN num ON num.lottery = dom.lottery AND num.num = dom.num GROUP BY 1, 2", lambda s, d: st.omission(st.draw_numbers(br.draws(s, d)), SIZE))
+_add("a8_region_board", f"WITH {REGIONS} SELECT lottery, region, sum(winners) AS winners, count(*) AS draws, row_number() OVER (PARTITION BY lottery ORDER BY sum(winners) DESC, region) AS place, round(sum(winners) / count(*), 6) AS per_draw FROM prize_regions GROUP BY lottery, region QUALIFY place <= 5", lambda s, d: rg.region_board(br.prize_regions(s, d), 5))
+_add("a9_region_shares", f"WITH {REGIONS} SELECT region, sum(sales) AS sales, sum(winners) AS winners, round(sum(sales) / sum(sum(sales)) OVER (), 9) AS sales_share, round(sum(winners) / sum(sum(winners)) OVER (), 9) AS winner_share FROM prize_regions GROUP BY region", lambda s, d: rg.region_shares(br.prize_regions(s, d)))
+_add("a10_region_trend", f"WITH {REGIONS} SELECT region, issue_year, " + ", ".join(f"coalesce(sum(winners) FILTER (lottery = 'g{i}'), 0) AS g{i}" for i in (1, 2, 3, 4)) + " FROM prize_regions GROUP BY 1, 2", lambda s, d: rg.region_year_trend(br.prize_regions(s, d)))
+_add("a15_pairs", f"WITH {DRAWS}{NUM} SELECT x.lottery, x.num AS a, y.num AS b, count(*) AS times FROM num x JOIN num y ON x.lottery = y.lottery AND x.ord = y.ord AND x.num < y.num GROUP BY 1, 2, 3", lambda s, d: st.co_occurrence(st.draw_numbers(br.draws(s, d))))
+_add("a16_rollup", f"WITH {DRAWS} SELECT lottery, issue_year, count(*) AS draws, sum(sales) AS sales FROM draws GROUP BY ROLLUP (lottery, issue_year)", lambda s, d: st.grouping_counts(br.draws(s, d)))
+
+# windows
+_add("w1_rolling_counts", f"WITH {DRAWS}{CELLS} SELECT lottery, ord, num, sum(hit) OVER (PARTITION BY lottery, num ORDER BY ord ROWS 29 PRECEDING) AS times FROM cells", lambda s, d: st.rolling_counts(st.grid(st.draw_numbers(br.draws(s, d)), SIZE), 30))
+_add("w2_omission_history", f"WITH {DRAWS}{CELLS} SELECT lottery, ord, num, ord - 1 - coalesce(max(CASE WHEN hit = 1 THEN ord END) OVER (PARTITION BY lottery, num ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS omitted FROM cells", lambda s, d: st.omission_history(st.grid(st.draw_numbers(br.draws(s, d)), SIZE)))
+_add(
+    "w5_lags",
+    f"WITH {DRAWS}{ORD} SELECT lottery, ord, lag(sales, 1) OVER w AS lag1, lag(sales, 2) OVER w AS lag2, CASE WHEN count(sales) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) >= 2 THEN round(avg(sales) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 4) END AS ma4, CASE WHEN count(sales) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) >= 4 THEN round(avg(sales) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 4) END AS ma8, ord - 1 - coalesce(max(CASE WHEN first_winners > 0 THEN ord END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dry FROM n WINDOW w AS (PARTITION BY lottery ORDER BY ord)",
+    lambda s, d: st.lag_frame(br.draws(s, d)),
+)
+
+# tests
+_add("t1_uniformity", f"WITH {DRAWS}{FREQ} SELECT lottery, n, df, round(chi, 6) AS chi2, round(sqrt(chi / (n * df)), 6) AS v, round(greatest(hi - n / k, n / k - lo) / (n / k), 6) AS deviation FROM ({CHI})", lambda s, d: st.uniformity(st.frequency(st.draw_numbers(br.draws(s, d)), SIZE), 6))
+_add("t2_runs", f"WITH {DRAWS}{ORD}, u AS (SELECT lottery, ord, CAST(sales > median(sales) OVER (PARTITION BY lottery) AS INTEGER) AS up FROM n), t AS (SELECT lottery, up, CASE WHEN up <> lag(up) OVER (PARTITION BY lottery ORDER BY ord) THEN 1 ELSE 0 END AS turn FROM u), g AS (SELECT lottery, sum(turn) + 1 AS runs, sum(up) AS n1, sum(1 - up) AS n2 FROM t GROUP BY lottery) SELECT lottery, runs, n1, n2, round((runs - (2.0 * n1 * n2 / (n1 + n2) + 1)) / sqrt(2.0 * n1 * n2 * (2.0 * n1 * n2 - n1 - n2) / ((n1 + n2) * (n1 + n2) * (n1 + n2 - 1))), 6) AS z FROM g", lambda s, d: st.runs_test(br.draws(s, d)))
+_add("t7_adjacent", f"WITH {DRAWS} SELECT lottery, count(*) AS n, count(*) FILTER (list_has_any(front, prev)) AS repeats FROM (SELECT lottery, front, lag(front) OVER (PARTITION BY lottery ORDER BY issue_year, issue_seq) AS prev FROM draws) WHERE prev IS NOT NULL GROUP BY lottery", lambda s, d: st.adjacent_repeat(br.draws(s, d)))
+_add("t11_serial", f"WITH {DRAWS}{ORD}, p AS (SELECT lottery, ord, i AS pos, front[i + 1] AS x FROM n, (SELECT unnest(range(0, 6)) AS i)), q AS (SELECT *, lag(x) OVER (PARTITION BY lottery, pos ORDER BY ord) AS y FROM p) SELECT lottery, pos, count(*) AS n, round(corr(x, y), 6) AS r FROM q WHERE y IS NOT NULL GROUP BY 1, 2", lambda s, d: st.serial_correlation(br.draws(s, d)))
+_add(
+    "t30_bh",
+    f"WITH {DRAWS}, p AS (SELECT lottery, issue_year, issue_seq, 0.05 * ((k * 7919) % 1000 + 1) / 1000 AS p FROM draws), r AS (SELECT *, p * count(*) OVER (PARTITION BY lottery, issue_year) / row_number() OVER (PARTITION BY lottery, issue_year ORDER BY p, issue_seq) AS raw FROM p) SELECT lottery, issue_year, issue_seq, p, round(least(1.0, min(raw) OVER (PARTITION BY lottery, issue_year ORDER BY p DESC, issue_seq DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_adjusted FROM r",
+    lambda s, d: st.bh_adjust(br.draws(s, d).select(*mg.KEY, (F.lit(0.05) * ((F.col("k") * 7919) % 1000 + 1) / 1000).alias("p")), "p", ["lottery", "issue_year"], ["issue_seq"]),
+)
+
+# settlement
+_add("b8_settle", SETTLED + "SELECT * FROM settled", _settled)
+_add("b10_replay", f"WITH {DRAWS}, {RULES}, s AS (SELECT * FROM draws WHERE k < 800), p AS (SELECT d.lottery, d.issue_year, d.issue_seq, len(list_intersect(t.front, d.front)) AS h, len(list_intersect(t.back, d.back)) AS j FROM draws d JOIN s t ON t.lottery = d.lottery) SELECT lottery, issue_year, issue_seq, max(p.h) AS best, count(grade) AS winners, coalesce(sum(amount), 0) AS money, coalesce(min(grade), 99) <= 4 AS reached FROM p LEFT JOIN rules r ON r.h = p.h AND r.j = p.j GROUP BY 1, 2, 3", lambda s, d: se.replay(br.draws(s, d).where("k < 800").select("lottery", F.col("front").alias("main"), F.col("back").alias("bonus")), br.draws(s, d), 4))
+_add("b11_ledger", SETTLED + ", day AS (SELECT lottery, draw_date, count(*) AS tickets, CAST(sum(amount) AS DOUBLE) AS gross, count(grade) AS wins, CAST(count(*) * 2 AS DOUBLE) AS cost FROM ev GROUP BY 1, 2), x AS (SELECT *, CASE WHEN gross > 10000 THEN gross * 0.2 ELSE 0.0 END AS tax FROM day), y AS (SELECT *, gross - tax - cost AS net FROM x), z AS (SELECT *, round(sum(net) OVER (PARTITION BY lottery ORDER BY draw_date ROWS UNBOUNDED PRECEDING), 4) AS running FROM y), p AS (SELECT *, greatest(0.0, max(running) OVER (PARTITION BY lottery ORDER BY draw_date ROWS UNBOUNDED PRECEDING)) AS peak FROM z), q AS (SELECT *, round(peak - running, 4) AS drawdown FROM p) SELECT *, max(drawdown) OVER (PARTITION BY lottery ORDER BY draw_date ROWS UNBOUNDED PRECEDING) AS worst FROM q", lambda s, d: se.ledger(_settled(s, d)))
+_add("l2_attribution", SETTLED + "SELECT strategy, tier, count(*) AS tickets, count(grade) AS wins, sum(amount) AS prizes, count(*) FILTER (grade <= 5) AS ten_or_more FROM ev GROUP BY CUBE (strategy, tier)", lambda s, d: se.attribution(_settled(s, d)))
+_add("l3_leaderboard", SETTLED + "SELECT strategy, count(*) AS tickets, round(avg(h), 6) AS mean_main, round(avg(j), 6) AS mean_bonus, count(grade) AS wins, round(count(grade) / count(*), 6) AS rate FROM ev GROUP BY strategy", lambda s, d: se.leaderboard(_settled(s, d)))
+_add("l6_search_hits", SETTLED + "SELECT ticket_id, h, j, grade, amount FROM settled WHERE h >= 2 AND amount >= 5 AND grade IS NOT NULL ORDER BY amount DESC, h DESC, ticket_id LIMIT 100", lambda s, d: se.search_hits(_settled(s, d), 2, 5, 100))
+_add("l13_overlap", f"WITH {TICKETS} SELECT a.batch, count(*) AS pairs, round(avg(len(list_intersect(a.main, b.main))), 6) AS mean_overlap, max(len(list_intersect(a.main, b.main))) AS max_overlap FROM tickets a JOIN tickets b ON a.batch = b.batch AND a.ticket_id < b.ticket_id GROUP BY a.batch", lambda s, d: se.overlap(br.tickets(s, d)))
+
+
+def _events(s, d):
+    return s.read.parquet(f"{d}/events.parquet")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_add("l1_batches", "WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600000000 THEN 0 ELSE 1 END AS st FROM events), y AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS batch FROM x) SELECT user_id AS key, batch, count(*) AS n, min(ts) AS first, max(ts) AS last FROM y GROUP BY 1, 2", lambda s, d: se.batches(_events(s, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 3600, "ts"))
+_add("x4_daily_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2", lambda s, d: jobs.daily_counts(_events(s, d)))
