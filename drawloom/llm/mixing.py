@@ -95,7 +95,9 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other, last in order.  Repeated rows are documents of their own.  The
     result depends on the rows only, so reruns agree.  No rows give no rows.
     """
-    df = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), *(F.col(c).alias(f"k_{c}") for c in keep)))
+    # Kept columns wait in the staged rows and are joined once, by the row's own key.
+    whole = stage(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), *(F.col(c).alias(f"k_{c}") for c in keep)))
+    df = whole.select("key", "id", "source", "size")
     histogram = stage(df.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goals = stage(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))))
     tilt = rates(histogram, goals)
@@ -118,7 +120,7 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = ranked.join(counts, F.expr("source <=> cs and size = cz and salt = ct")).drop("cs", "cz", "ct")
     upto = lambda k: F.floor(F.round(F.col("before") + F.col("rate") * (F.col("skip") + F.col("rank") - k), 6) + 0.5)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(LIMIT), F.greatest(F.lit(0), upto(0) - upto(1))))
-    placed = stage(placed.withColumn("row", F.struct(F.xxhash64("id"), F.col("rank"), F.col("salt"))).withColumn("copies", copies.cast("int")))
+    placed = stage(placed.withColumn("copies", copies.cast("int")))
 
     # Close the gap: of each source, a few documents per doubling of the size
     # that could take a copy more or less, largest first while they fit.
@@ -138,4 +140,7 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     moves = few.select(F.col("source").alias("ms"), "sign", F.explode(F.aggregate("xs", start, fits)["chosen"]).alias("c")).select("ms", "sign", F.col("c.size").alias("mz"), F.col("c.salt").alias("mt"), F.col("c.rank").alias("mr"))
     out = placed.join(moves, F.expr("source <=> ms and size = mz and salt = mt and rank = mr"), "left")
     copies = F.col("copies") + F.coalesce("sign", F.lit(0))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *(F.col(f"k_{c}").alias(c) for c in keep))
+    out = out.select("key", F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    if keep:
+        out = out.join(whole.select("key", *(F.col(f"k_{c}") for c in keep)), "key")
+    return out.select(*(c for c in out.columns if c != "key" and not c.startswith("k_")), *(F.col(f"k_{c}").alias(c) for c in keep))
