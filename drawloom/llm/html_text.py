@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 PATH_DIM, WORD_DIM, COUNT_DIM, HIDDEN = 512, 32, 7, 24
 SAMPLE_PAGES = 100
-TRAIN_PAGES = 1200
-EPOCHS = 8
+TRAIN_PAGES = 2000
+EPOCHS = 12
 SEED = 17
 
 #: Fixed values of HTML.
@@ -91,7 +91,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     break
                 if inline and stack[i][0] not in INLINE:
                     break
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+        elif tag not in VOID:
             if tag in BLOCKS_END_P:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":

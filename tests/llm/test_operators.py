@@ -199,10 +199,10 @@ def test_url_rules(spark):
 
 def test_html_labeller_on_unseen_layouts(spark):
     texts = [f"Some words about matter {i}, and more of it." for i in range(50)]
-    pages = [(html_text.leaf_blocks(p), y) for p, y in html_text.layouts(texts, 500)]
+    pages = [(html_text.leaf_blocks(p), y) for p, y in html_text.layouts(texts, html_text.TRAIN_PAGES)]
     pages = [(b, y) for b, y in pages if len(b) == len(y)]
     model = html_text.BlockLabeller()
-    model.train(*zip(*pages, strict=True), epochs=6)
+    model.train(*zip(*pages, strict=True))
     held = [(html_text.leaf_blocks(p), y) for p, y in html_text.layouts(texts, 100, seed=5)]
     held = [(b, y) for b, y in held if len(b) == len(y)]
     logits = model.logits([b for b, _ in held])
