@@ -73,14 +73,14 @@ SAMPLE = 2000
 
 
 def word_list(text: Column) -> Column:
-    """ASCII words in lower case, without punctuation."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """ASCII words in lower case, without punctuation, between marks for the ends of the paragraph."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct word bigrams; the ends of the paragraph count as words."""
-    w = F.concat(F.array(F.lit("^")), word_list(text), F.array(F.lit("$")))
-    return F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+def bigrams(words: str) -> Column:
+    """Distinct bigrams of a column of words, which must be a column of its own: it is read once per word."""
+    return F.array_distinct(F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(words, i + 1))))
 
 
 def _grams(text: str) -> list[str]:
@@ -113,7 +113,8 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, text_col:
         words = text.split()
         rows += [(UNKNOWN, " ".join(words[:2])), (UNKNOWN, " ".join(words[-1:]))]
     picked = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), F.col(id_col)).limit(sample).select(F.element_at(F.split(text_col, "\n"), 1).alias("t"))
-    marks = F.arrays_overlap(bigrams(F.col("t")), F.array(*map(F.lit, ("the mit", "the apache", "gnu general", "under cc"))))
+    picked = picked.withColumn("words", word_list(F.col("t")))
+    marks = F.arrays_overlap(bigrams("words"), F.array(*map(F.lit, ("the mit", "the apache", "gnu general", "under cc"))))
     rows += [(UNKNOWN, r.t) for r in picked.where(~marks).collect()]
     frame = spark.createDataFrame([(float(classes.index(f)), sorted(set(_grams(t)) & set(known))) for f, t in rows], "label double, grams array<string>").coalesce(1)
     vectors = CountVectorizerModel.from_vocabulary(known, inputCol="grams", outputCol="features")
@@ -147,8 +148,8 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     weights = spark.createDataFrame(list(zip(model["grams"], model["weights"], strict=True)), "gram string, w array<double>")  # bounded by the templates
-    lines = paragraphs(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    grams = lines.select("id", "paragraph", "row", F.explode(bigrams(F.col("line"))).alias("gram"))
+    lines = paragraphs(docs, id_col, text_col).select("id", "paragraph", F.monotonically_increasing_id().alias("row"), word_list(F.col("line")).alias("words"))
+    grams = lines.select("id", "paragraph", "row", F.explode(bigrams("words")).alias("gram"))
     k = len(model["classes"])
     hits = grams.join(F.broadcast(weights), "gram").groupBy("id", "paragraph", "row").agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)), F.collect_set("gram").alias("grams"))
     logits = F.array(*(F.col(f"z{i}") + F.lit(model["bias"][i]) for i in range(k)))
