@@ -14,11 +14,12 @@ from ..operators import regions as rg
 from ..operators import settle as se
 from ..streaming import jobs
 from . import bridge as br
+from . import more
 from .bridge import DRAWS, REGIONS, SOURCES, TICKETS
+from .sql_parts import CELLS, CHI, FREQ, NUM, ORD, PRI, RULES, SETTLED, SIZE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SIZE = 33
 
 
 def _add(name: str, sql: str, make: Callable[[SparkSession, str], DataFrame]) -> None:
@@ -40,21 +41,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot.join(st.omission(numbers, SIZE), ["lottery", "num"]).join(st.uniformity(freq, 6).select("lottery", "chi2"), "lottery")
 
 
-ORD = ", n AS (SELECT *, row_number() OVER (PARTITION BY lottery ORDER BY issue_year, issue_seq) AS ord FROM draws)"
-NUM = ORD + ", num AS (SELECT lottery, ord, unnest(front) AS num FROM n), dom AS (SELECT l.lottery, x.num FROM (SELECT DISTINCT lottery FROM draws) l, (SELECT unnest(range(1, 34)) AS num) x)"
-FREQ = NUM + ", f AS (SELECT d.lottery, d.num, count(n.num) AS times FROM dom d LEFT JOIN num n ON n.lottery = d.lottery AND n.num = d.num GROUP BY ALL)"
-CELLS = NUM + ", cells AS (SELECT n.lottery, n.ord, dom.num, CASE WHEN list_contains(n.front, dom.num) THEN 1 ELSE 0 END AS hit FROM n JOIN dom ON dom.lottery = n.lottery)"
-CHI = "SELECT lottery, sum(times) AS n, count(*) - 1 AS df, sum(times * times) * count(*) / sum(times) - sum(times) AS chi, max(times) AS hi, min(times) AS lo, count(*) AS k FROM f GROUP BY lottery"
-RULES = "rules(h, j, grade, amount) AS (VALUES " + ", ".join(f"({h}, {j}, {g}, {a})" for h, j, g, a in se.GRADES) + ")"
-SETTLED = (
-    f"WITH {DRAWS}, {TICKETS}, {RULES}, hit AS (SELECT t.*, d.lottery, d.k, d.draw_date, len(list_intersect(t.main, d.front)) AS h, len(list_intersect(t.bonus, d.back)) AS j FROM tickets t LEFT JOIN draws d ON d.k = t.draw_k), "
-    "settled AS (SELECT ticket_id, batch, lottery, draw_k, strategy, tier, score, CASE WHEN k IS NOT NULL THEN hit.h END AS h, CASE WHEN k IS NOT NULL THEN hit.j END AS j, r.grade, CASE WHEN k IS NOT NULL THEN coalesce(r.amount, 0) END AS amount, "
-    "CASE WHEN k IS NOT NULL THEN 'evaluated' WHEN date_diff('day', CAST(generated AS DATE), (SELECT max(draw_date) FROM draws)) > 14 THEN 'missed' ELSE 'pending' END AS status, draw_date "
-    "FROM hit LEFT JOIN rules r ON r.h = hit.h AND r.j = hit.j AND hit.k IS NOT NULL), ev AS (SELECT * FROM settled WHERE status = 'evaluated') "
-)
-PRI = "CASE source WHEN 'official' THEN 1 WHEN 'agg' THEN 2 ELSE 3 END"
-
-
 def _settled(s, d):
     return se.settle(br.tickets(s, d), br.draws(s, d))
 
@@ -152,3 +138,6 @@ def _events(s, d):
 
 _add("l1_batches", "WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600000000 THEN 0 ELSE 1 END AS st FROM events), y AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS batch FROM x) SELECT user_id AS key, batch, count(*) AS n, min(ts) AS first, max(ts) AS last FROM y GROUP BY 1, 2", lambda s, d: se.batches(_events(s, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 3600, "ts"))
 _add("x4_daily_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2", lambda s, d: jobs.daily_counts(_events(s, d)))
+
+QUERIES |= more.QUERIES
+ORACLES |= more.ORACLES
