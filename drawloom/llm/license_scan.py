@@ -21,7 +21,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import hash_sample, stage
 
 #: Notices by which texts state their licence.
 TEMPLATES = (
@@ -112,9 +112,9 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, text_col:
     for _, text in TEMPLATES:  # scraps of notices name no licence
         words = text.split()
         rows += [(UNKNOWN, " ".join(words[:2])), (UNKNOWN, " ".join(words[-1:]))]
-    picked = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), F.col(id_col)).limit(sample).select(F.element_at(F.split(text_col, "\n"), 1).alias("t"))
+    picked = hash_sample(docs, id_col, sample, F.substring_index(text_col, "\n", 1))
     marks = {"the mit", "the apache", "gnu general", "under cc"}
-    rows += [(UNKNOWN, r.t) for r in picked.collect() if not marks & set(_grams(r.t))]
+    rows += [(UNKNOWN, r.kept) for r in picked.collect() if not marks & set(_grams(r.kept))]
     frame = spark.createDataFrame([(float(classes.index(f)), sorted(set(_grams(t)) & set(known))) for f, t in rows], "label double, grams array<string>").coalesce(1)
     vectors = CountVectorizerModel.from_vocabulary(known, inputCol="grams", outputCol="features")
     vectors = vectors.setBinary(True)

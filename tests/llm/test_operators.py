@@ -218,3 +218,15 @@ def test_license_scan(spark):
     docs = _docs(spark, rows)
     got = {r.doc_id: r.families for r in license_scan.license_of(docs, license_scan.train(spark, docs)).collect()}
     assert got == {1: "MIT", 2: "GPL-3.0", 3: "unknown", 4: "unknown", 5: "unknown", 6: "Apache-2.0", 7: "CC-BY-NC"}
+
+
+def test_hash_sample_is_the_head_of_the_hash_order(spark):
+    from pyspark.sql import functions as F
+
+    from drawloom.llm.common import hash_sample
+
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"), F.lit(1).alias("hash"), F.lit(2).alias("id"), F.lit(3).alias("kept"))
+    want = [r.text for r in df.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()]
+    assert [r.kept for r in hash_sample(df, "doc_id", 50, F.col("text")).collect()] == want
+    assert hash_sample(df, "doc_id", 50000, F.col("text")).count() == df.where("text is not null").count()
+    assert hash_sample(df.limit(0), "doc_id", 50, F.col("text")).count() == 0
