@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 PATH_DIM, WORD_DIM, COUNT_DIM, HIDDEN = 512, 32, 7, 24
 SAMPLE_PAGES = 100
 TRAIN_PAGES = 2000
@@ -378,7 +380,7 @@ def layouts(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[
 
 def train_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, n: int = TRAIN_PAGES, html_col: str = "html", id_col: str = "page_id") -> BlockLabeller:
     """Fit on ``n`` layouts filled with texts of at most ``sample`` pages, taken in hash order of their ids."""
-    rows = pages.where(F.col(html_col).isNotNull()).orderBy(F.xxhash64(id_col), F.col(id_col)).limit(sample).select(html_col).collect()
+    rows = hash_sample(pages, id_col, sample, F.col(html_col)).collect()
     texts = [t for r in rows for _, t, _ in leaf_blocks(r[0])[:200]]
     xs, ys = [], []
     for page, labels in layouts(texts, n):
