@@ -4,7 +4,8 @@ DataFrame functions only.  Hosts of allowed pages seed trust, hosts of blocked
 pages seed distrust.  Edges are the hyperlinks between hosts and the steps
 between a host and its parent domain.  Personalised PageRank carries trust
 along the edges and distrust against them; a host whose distrust outweighs its
-trust is blocked.
+trust is blocked.  The rounds go on until what is still to come cannot turn the
+verdict of any host that has pages without a rule.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from .common import stage
 #: (host and its subdomains, path prefix, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 DAMPING = 0.85
-ITERATIONS = 6
+#: Rounds between two looks at what is still open, and the mass still to come that counts as none.
+ROUNDS = 10
+TOLERANCE = 1e-12
 #: A host is blocked if its distrust exceeds this many times its trust.
 THRESHOLD = 1.0
 
@@ -51,8 +54,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight) between different hosts: how often pages of src link to dst, and parent steps both ways."""
-    target = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^\s"'<>/?#]+)"""), F.lit(1)))
-    links = pages.select(F.col("host").alias("src"), target.alias("to")).select("src", host_of(F.col("to")).alias("dst")).where("src <> '' and dst <> ''")
+    target = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^\s"'<>/?#]+)"""), F.lit(1)))
+    links = pages.select(F.col("host").alias("src"), target.alias("to")).select("src", F.translate("to", _UPPER, _LOWER).alias("dst")).where("src <> '' and dst <> ''")
     links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     hosts = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).unionByName(pages.select("host")).where("host <> ''").distinct()
     labels = F.split("host", r"\.")
@@ -63,27 +66,40 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst").unionByName(steps).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def host_scores(pages: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+def host_scores(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, trust, distrust) for pages with host and verdict columns.
 
     Seeds weigh as the share of all allowed (or blocked) pages that the host has.
+    The scores are partial sums that only grow.  After n rounds at most
+    DAMPING ** (n + 1) of either mass is still to come, and none for a host
+    without any once no round reaches new hosts.  The rounds end when that leaves
+    no host with pages without a rule undecided, or when it falls under TOLERANCE
+    and no new host is reached: only scores that close count as they stand.
     """
-    seeds = pages.where("host <> ''").groupBy("host").agg(F.count(F.when(F.col("verdict") == "allow", 1)).alias("a"), F.count(F.when(F.col("verdict") == "block", 1)).alias("b"))
+    seeds = pages.where("host <> ''").groupBy("host").agg(F.count(F.when(F.col("verdict") == "allow", 1)).alias("a"), F.count(F.when(F.col("verdict") == "block", 1)).alias("b"), F.max(F.col("verdict").isNull()).alias("open"))
     total = seeds.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))  # one row
-    seeds = stage(seeds.withColumn("k", F.lit(0)).join(F.broadcast(total.withColumn("k", F.lit(0))), "k").select("host", F.coalesce(F.try_divide("a", "ta"), F.lit(0.0)).alias("st"), F.coalesce(F.try_divide("b", "tb"), F.lit(0.0)).alias("sd")))
+    seeds = stage(seeds.withColumn("k", F.lit(0)).join(F.broadcast(total.withColumn("k", F.lit(0))), "k").select("host", "open", F.coalesce(F.try_divide("a", "ta"), F.lit(0.0)).alias("st"), F.coalesce(F.try_divide("b", "tb"), F.lit(0.0)).alias("sd")))
     edges = stage(host_edges(pages))
     out_of = edges.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("total"))
     into = edges.groupBy(F.col("dst").alias("s")).agg(F.sum("weight").alias("total"))
     forward = edges.join(out_of, F.expr("src = s")).select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("weight") / F.col("total")).alias("wt"), F.lit(0.0).alias("wd"))
     reverse = edges.join(into, F.expr("dst = s")).select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), (F.col("weight") / F.col("total")).alias("wd"))
     moves = stage(forward.unionByName(reverse).groupBy("from", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd")))
-    start = seeds.select("host", F.col("st").alias("t"), F.col("sd").alias("d"))
-    rank = start
-    for _ in range(iterations):
-        sent = moves.join(rank, F.expr("`from` = host")).select(F.col("to").alias("host"), (F.col("t") * F.col("wt") * DAMPING).alias("t"), (F.col("d") * F.col("wd") * DAMPING).alias("d"))
-        back = start.select("host", (F.col("t") * (1 - DAMPING)).alias("t"), (F.col("d") * (1 - DAMPING)).alias("d"))
-        rank = sent.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-    return rank.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+    start = stage(seeds.select("host", (F.col("st") * (1 - DAMPING)).alias("t"), (F.col("sd") * (1 - DAMPING)).alias("d"), "open"))
+    rank, done, reached = start, 0, None
+    while True:
+        for _ in range(ROUNDS):
+            sent = moves.join(rank, F.expr("`from` = host")).select(F.col("to").alias("host"), (F.col("t") * F.col("wt") * DAMPING).alias("t"), (F.col("d") * F.col("wd") * DAMPING).alias("d"), F.lit(False).alias("open"))
+            rank = sent.unionByName(start).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"), F.max("open").alias("open"))
+        rank, done = stage(rank), done + ROUNDS
+        rest, before = DAMPING ** (done + 1), reached
+        reached = rank.agg(F.count(F.when(F.col("t") > 0, 1)), F.count(F.when(F.col("d") > 0, 1))).first()
+        if reached != before:
+            continue
+        most = lambda c: F.when(F.col(c) > 0, F.col(c) + rest).otherwise(0.0)
+        decided = (F.col("d") > threshold * most("t")) | (most("d") <= threshold * F.col("t"))
+        if rest < TOLERANCE or rank.where(F.col("open") & ~decided).isEmpty():
+            return rank.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -97,6 +113,6 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_
     url = F.col(url_col)
     df = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_col).alias("html"))
     df = df.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", F.col("found.verdict"))
-    scores = host_scores(df).select(F.col("host").alias("h"), F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow").alias("by_graph"))
+    scores = host_scores(df, threshold).select(F.col("host").alias("h"), F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow").alias("by_graph"))
     out = df.drop("html").join(scores, F.expr("host = h"), "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("verdict", "by_graph", F.lit("allow")).alias("verdict"))

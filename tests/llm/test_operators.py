@@ -197,6 +197,26 @@ def test_url_rules(spark):
     assert got[6][2] is None and got[7][3] == "block"
 
 
+def test_url_scores_are_carried_to_the_end(spark):
+    rng = random.Random(8)
+    links = {i: [i + 1] for i in range(30)} | {i: rng.sample(range(40, 100), 3) for i in range(40, 100)}
+    rows = [(i, f"http://h{i}.t{i}/", " ".join(f'<a href="{"" if j % 2 else "http:"}//H{j}.t{j}/x">' for j in to)) for i, to in links.items()]
+    allowed, blocked = {f"h{i}.t{i}" for i in range(40, 48)}, {"h30.t30"} | {f"h{i}.t{i}" for i in range(48, 55)}
+    rows += [(200 + i, f"http://{h}/in", None) for i, h in enumerate(sorted(allowed))] + [(300 + i, f"http://{h}/out", "") for i, h in enumerate(sorted(blocked))]
+    rules = [(h, "/in", "allow") for h in allowed] + [(h, "/out", "block") for h in blocked]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    hosts = [f"h{i}.t{i}" for i in [*range(31), *range(40, 100)]]
+    at = {h: n for n, h in enumerate(hosts)}
+    w = np.zeros((len(at), len(at)))
+    for i, to in links.items():
+        for j in to:
+            w[at[f"h{i}.t{i}"], at[f"h{j}.t{j}"]] += i != j
+    score = lambda m, seeds: np.linalg.solve(np.eye(len(at)) - 0.85 * (m / np.maximum(m.sum(1, keepdims=True), 1)).T, 0.15 * np.array([(h in seeds) / len(seeds) for h in at]))
+    trust, distrust = score(w, allowed), score(w.T, blocked)
+    assert {i: got[i] for i in links} == {i: "block" if distrust[at[f"h{i}.t{i}"]] > trust[at[f"h{i}.t{i}"]] else "allow" for i in links}
+    assert got[0] == "block"
+
+
 def test_html_labeller_on_unseen_layouts(spark):
     texts = [f"Some words about matter {i}, and more of it." for i in range(50)]
     pages = [(html_text.leaf_blocks(p), y) for p, y in html_text.layouts(texts, html_text.TRAIN_PAGES)]
