@@ -1,15 +1,17 @@
 """Licence notices in documents: a trained paragraph classifier, in DataFrame functions and Spark ML.
 
-Paragraphs are lines.  A multinomial logistic regression over the word bigrams
+Paragraphs are runs of lines with words; what is classified are their lines and
+windows of adjacent lines, as notices are often wrapped.  A multinomial logistic regression over the word bigrams
 of licence notices, trained with Spark ML on the templates below (whole and
 with words missing) against ordinary paragraphs of a bounded sample of the
-corpus, gives each paragraph a family or "unknown".  Its confidence is
+corpus, gives each window a family or "unknown".  Its confidence is
 calibrated by a temperature found on held-out variants.  A prediction counts only
 if it is confident and a template of that family confirms it: enough of the
-template's bigrams occur in the paragraph.
+template's bigrams occur in the window.
 
-Paragraphs without any bigram of the vocabulary can only be unknown, so
-scoring is a join with the (bounded) weight table.
+No window covers more of a template than its paragraph, so only paragraphs that
+cover some template enough are cut into windows; scoring those is a join with
+the (bounded) weight table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hash_sample, stage
@@ -133,40 +135,94 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, text_col:
     return {"classes": classes, "grams": known, "weights": (matrix.T / temperature).tolist(), "bias": (bias / temperature).tolist(), "temperature": temperature}
 
 
+def _inner(text: str) -> list[str]:
+    """Distinct bigrams without the marks for the ends."""
+    return sorted(g for g in set(_grams(text)) if "^" not in g and "$" not in g)
+
+
+#: A notice has a word in each of its lines, so it spans no more lines than its template has words.
+MAX_LINES = max(len(_grams(t)) - 1 for _, t in TEMPLATES)
+
+
+def _literals(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _coverage(grams: str, family: Column | None = None) -> Column:
+    """Largest share of a template's inner bigrams among ``grams``, over the templates of ``family`` or all."""
+    out = F.lit(0.0)
+    for name, text in TEMPLATES:
+        share = F.size(F.array_intersect(grams, _literals(_inner(text)))) / len(_inner(text))
+        out = F.greatest(out, share if family is None else F.when(family == name, share).otherwise(0.0))
+    return out
+
+
+def _alone(column: Column, name: str) -> Column:
+    """``column`` by way of a generator, so that later expressions read it instead of repeating it."""
+    return F.explode(F.array(column)).alias(name)
+
+
+def _known(text: Column, known: list[str], df: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` and the known bigrams (``grams``) of ``text``."""
+    df = df.select(*kept, _alone(word_list(text), "words"))
+    return df.select(*kept, _alone(F.array_intersect(bigrams("words"), _literals(known)), "grams"))
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, paragraph, text): every line with a word, numbered from 0 by line."""
-    df = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("paragraph", "line"))
-    return df.where(F.col("line").rlike("[a-zA-Z0-9]"))
+    """(id, paragraph, text): runs of lines with a word, without comment words, numbered from 0.
+
+    Lines without a word (blank or only marks such as ``*`` or ``#``) end a
+    paragraph; other comment marks are no words.
+    """
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?m)^[ \t]*(?:REM|rem|dnl)(?=[ \t\r]|$)", "")
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, r"\n[^a-zA-Z0-9]*\n")).alias("paragraph", "text"))
+
+
+def windows(found: DataFrame) -> DataFrame:
+    """(id, row, paragraph, first, last, text): a paragraph's lines and runs of up to MAX_LINES of its lines."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[a-zA-Z0-9]"))
+    df = found.select("id", "row", "paragraph", _alone(lines, "lines"))
+    df = df.select("id", "row", "paragraph", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("first")).where(F.size("lines") > 0)
+    last = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + MAX_LINES, F.size("lines")) - 1)).alias("last")
+    df = df.select("id", "row", "paragraph", "first", "lines", last)
+    return df.select("id", "row", "paragraph", "first", "last", F.array_join(F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n").alias("text"))
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, family, confidence, coverage) of every paragraph that states a licence.
+    """(id, paragraph, first, last, family, confidence, coverage) of every notice, with its lines in the paragraph.
 
-    Null, empty and blank texts state none.  Documents with the same id are
-    told apart by nothing, so their paragraphs are counted once per row.
+    A line may be a notice by itself.  Windows of several lines count where they
+    hold no such line; of overlapping windows of one family those count that end
+    first and are shortest.  Null, empty and blank texts state no licence.
+    Documents with the same id are told apart by nothing, so their notices are
+    counted once per row.
     """
     spark = docs.sparkSession
     weights = spark.createDataFrame(list(zip(model["grams"], model["weights"], strict=True)), "gram string, w array<double>")  # bounded by the templates
-    lines = paragraphs(docs, id_col, text_col).select("id", "paragraph", F.monotonically_increasing_id().alias("row"), word_list(F.col("line")).alias("words"))
-    grams = lines.select("id", "paragraph", "row", F.explode(bigrams("words")).alias("gram"))
+    runs = _known(F.col("text"), model["grams"], paragraphs(docs, id_col, text_col), "id", "paragraph", "text").where(_coverage("grams") >= CONFIRM)
+    runs = stage(runs.select("id", "paragraph", "text", F.monotonically_increasing_id().alias("row")))
+    key = ["id", "row", "paragraph", "first", "last"]
+    likely = _known(F.col("text"), model["grams"], windows(runs), *key).where(_coverage("grams") >= CONFIRM)
     k = len(model["classes"])
-    hits = grams.join(F.broadcast(weights), "gram").groupBy("id", "paragraph", "row").agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)), F.collect_set("gram").alias("grams"))
+    hits = likely.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)), F.collect_set("gram").alias("grams"))
     logits = F.array(*(F.col(f"z{i}") + F.lit(model["bias"][i]) for i in range(k)))
-    df = hits.select("id", "paragraph", "grams", logits.alias("z")).withColumn("top", F.array_max("z"))
+    df = hits.select(*key, "grams", logits.alias("z")).withColumn("top", F.array_max("z"))
     df = df.withColumn("confidence", 1 / F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))).withColumn("class", F.array_position("z", F.col("top")) - 1)
-    names = F.array(*map(F.lit, model["classes"]))
-    df = df.withColumn("family", F.get(names, F.col("class").cast("int"))).where((F.col("family") != UNKNOWN) & (F.col("confidence") >= CONFIDENCE))
-    coverage = F.lit(0.0)
-    for family, text in TEMPLATES:
-        own = sorted(g for g in set(_grams(text)) if "^" not in g and "$" not in g)
-        share = F.size(F.array_intersect("grams", F.array(*map(F.lit, own)))) / len(own)
-        coverage = F.greatest(coverage, F.when(F.col("family") == family, share).otherwise(0.0))
-    return df.withColumn("coverage", coverage).where(F.col("coverage") >= CONFIRM).select(F.col("id").alias(id_col), "paragraph", "family", "confidence", "coverage")
+    df = df.withColumn("family", F.get(_literals(model["classes"]), F.col("class").cast("int"))).where((F.col("family") != UNKNOWN) & (F.col("confidence") >= CONFIDENCE))
+    df = df.withColumn("coverage", _coverage("grams", F.col("family"))).where(F.col("coverage") >= CONFIRM)
+    one = F.struct("last", (-F.col("first")).alias("back"), "first", "confidence", "coverage")
+    alone = F.collect_set(F.when(F.col("first") == F.col("last"), F.col("first"))).over(Window.partitionBy("row"))
+    df = df.withColumn("alone", alone).where((F.col("first") == F.col("last")) | ~F.exists("alone", lambda x: (x >= F.col("first")) & (x <= F.col("last"))))
+    fits = df.groupBy("id", "row", "paragraph", "family").agg(F.array_sort(F.collect_list(one)).alias("fits"))
+    none = F.filter("fits", lambda x: F.lit(False))
+    taken = F.aggregate("fits", none, lambda a, x: F.when((F.size(a) == 0) | (F.element_at(a, -1)["last"] < x["first"]), F.concat(a, F.array(x))).otherwise(a))
+    df = fits.select("id", "paragraph", "family", F.explode(taken).alias("x"))
+    return df.select(F.col("id").alias(id_col), "paragraph", "x.first", "x.last", "family", "x.confidence", "x.coverage")
 
 
 def license_of(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document id: families (comma-separated, in order; "unknown" if none) and n_notices."""
     found = scan(docs, model, id_col, text_col).groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count(F.lit(1)).alias("n_notices"))
     found = stage(found).withColumnRenamed(id_col, "found_id")
-    out = docs.select(F.col(id_col)).join(found, F.col(id_col) == F.col("found_id"), "left")
+    out = docs.select(F.col(id_col)).join(found, F.col(id_col).eqNullSafe(F.col("found_id")), "left")
     return out.select(id_col, F.coalesce("families", F.lit(UNKNOWN)).alias("families"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

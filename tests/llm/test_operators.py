@@ -240,6 +240,25 @@ def test_license_scan(spark):
     assert got == {1: "MIT", 2: "GPL-3.0", 3: "unknown", 4: "unknown", 5: "unknown", 6: "Apache-2.0", 7: "CC-BY-NC"}
 
 
+def test_license_scan_wrapped(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+    one = "Released under the MIT License."
+    rows = [(1, f"Copyright 2020\n\n{mit}\ncopies of the Software", "s"), (2, f"Some text\n{gpl}\n", "s"), (3, f"/*\n{bsd}\n *\n{gpl}\n */", "s"), (4, f"x\n{mit}\n{bsd}\ny", "s"), (5, f"{one}\n{one}\nmore\n\n{mit}", "s"), (None, one, "s"), (6, mit.split("\n")[0] + "\n\n" + mit.split("\n")[2], "s")]
+    docs = _docs(spark, rows)
+    got = {r.doc_id: (r.families, r.n_notices) for r in license_scan.license_of(docs, license_scan.train(spark, docs)).collect()}
+    assert got == {1: ("MIT", 1), 2: ("GPL-3.0", 1), 3: ("BSD,GPL-3.0", 2), 4: ("BSD,MIT", 2), 5: ("MIT", 3), None: ("MIT", 1), 6: ("unknown", 0)}
+
+
 def test_hash_sample_is_the_head_of_the_hash_order(spark):
     from pyspark.sql import functions as F
 
