@@ -48,18 +48,21 @@ class ImpactIndex:
         size = np.abs(queries).astype(float)
         own = ids[:, None] == query_ids[None, :]
         checks = {s[0] for s in self.segments if s[0] and s[0] & (s[0] - 1) == 0}
-        want = min(k + 1, len(ids))
+
+        def least(error):
+            """Lower bound on each query's k-th best among the other ids; none where they are fewer."""
+            want = min(k, len(ids))
+            return np.partition(np.where(own, -np.inf, acc), len(ids) - want, axis=0)[len(ids) - want] - error
+
         for v, postings, bound in self.segments:
             for d, rows, part in postings:
                 acc[rows] += part[:, None] * queries[None, :, d]
             if v in checks:
                 error = size @ bound
-                least = np.partition(acc, len(ids) - want, axis=0)[len(ids) - want] - error
-                if ((acc + error >= least).sum(0) <= 4 * k).all():
+                if (((acc + error >= least(error)) & ~own).sum(0) <= 4 * k).all():
                     break
         error = size @ bound + 1e-6
-        least = np.partition(acc, len(ids) - want, axis=0)[len(ids) - want] - error
-        member = (acc + error >= least) & ~own
+        member = (acc + error >= least(error)) & ~own
         out = []
         for j in range(len(queries)):
             rows = np.flatnonzero(member[:, j])

@@ -130,6 +130,19 @@ def test_exact_topk(spark):
     assert got == sorted(want)
 
 
+def test_exact_topk_of_a_repeated_query(spark):
+    v = np.random.default_rng(2).normal(0, 0.1, (700, 16))
+    ids = [*range(700), *[100] * 11, *[200] * 2]
+    got = sorted(map(tuple, topk.exact_topk(spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in ids], "vec_id long, embedding array<double>")).collect()))
+    q, n = np.floor(v[ids] * 1024).astype(int), np.array(ids)
+    want = []
+    for i in range(0, 700, 100):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((n, -s)) if n[j] != i][:10]
+        want += [(i, r + 1, int(n[j]), int(s[j])) for r, j in enumerate(order)]
+    assert got == sorted(want)
+
+
 def test_quality_measures(spark):
     rows = [(1, "a b c a b c\n a b\n a b\n###", "s"), (2, None, "s"), (3, "", None), (4, " ".join(f"word{i}" for i in range(80)), "s")]
     got = {r.doc_id: tuple(r)[10:] for r in quality.judged(_docs(spark, rows)).collect()}
