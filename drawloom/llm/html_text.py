@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,21 @@ from .common import hash_sample
 
 PATH_DIM, WORD_DIM, COUNT_DIM, HIDDEN = 512, 32, 7, 24
 SAMPLE_PAGES = 100
+SAMPLE_BLOCKS = 200
 TRAIN_PAGES = 2000
 EPOCHS = 12
 SEED = 17
 
-#: Fixed values of HTML.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "xmp", "noframes")
+#: Path elements nearest to a block that describe it; parts of a page's sequence that are worked on at once.
+PATH_ELEMENTS = 48
+SEQUENCE_PART = 2048
+
+#: Fixed values of HTML: contents that are no markup and are not shown; that are no markup but text; that are not shown.
+RAW = ("script", "style", "noscript", "iframe", "xmp", "noframes")
 PLAIN_TEXT = ("textarea", "title")
+UNSEEN = frozenset(("template", "datalist"))
+FOREIGN = frozenset(("svg", "math"))
+FOREIGN_NOTES = frozenset(("title", "desc", "metadata", "annotation", "annotation-xml"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -40,19 +49,29 @@ BLOCKS_END_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 
+#: One pass: a tag, comment or declaration that does not end reaches to the end of the page.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:%s)\b[^>]*?(?:/>|>.*?(?:</(?:%s)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)" % ("|".join(RAW), "|".join(RAW)),
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)|</{t}\Z", re.I) for t in (*RAW, *PLAIN_TEXT)}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, characters inside links) of every block with text, in page order."""
+    """(tag path, text, characters inside links) of every block with text, in page order.
+
+    The path holds the PATH_ELEMENTS innermost open elements.  A raw element
+    ends at its own end tag only, or with the page.  Drawings and formulas are
+    part of the line they stand in; their notes (title, desc, annotation) are
+    not shown.  A tag that the page breaks off is markup.
+    """
     stack: list[tuple[str, tuple[str, ...]]] = []
+    depth: Counter = Counter()
     blocks, parts, linked, path = [], [], 0, ()
+    hidden = foreign = 0
 
     def flush():
         nonlocal linked
@@ -64,56 +83,93 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         linked = 0
 
     def names() -> tuple[str, ...]:
-        return tuple(x for tag, own in stack if tag not in INLINE for x in own)
-
-    links = 0
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            if "&" in text:
-                text = html_lib.unescape(text)
-            if not parts:
-                path = names()
-            parts.append(text)
-            if links:
-                linked += len(text)
+        return tuple(x for tag, own in stack[-PATH_ELEMENTS:] if tag not in INLINE for x in own)
+
+    def add(text: str):
+        nonlocal path, linked
+        if hidden:
+            return
+        if "&" in text:
+            text = html_lib.unescape(text)
+        if not parts:
+            path = names()
+        parts.append(text)
+        if depth["a"]:
+            linked += len(text)
+
+    def close(i: int):
+        nonlocal hidden, foreign
+        for tag, _ in stack[i:]:
+            depth[tag] -= 1
+            hidden -= tag in UNSEEN or tag.startswith("note ")
+            foreign -= tag in FOREIGN
+        del stack[i:]
+
+    at, size = 0, len(page)
+    while at < size:
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        if m["text"] is not None:
+            add(m["text"])
             continue
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
-        inline = tag in INLINE
+        if foreign and tag in FOREIGN_NOTES:
+            tag = "note " + tag
+        inline = tag in INLINE or tag in FOREIGN or "-" in tag or foreign > 0
+        if tag in _END and not foreign and not m["close"]:
+            end = _END[tag].search(page, at)
+            if tag in RAW:
+                at = end.end() if end else size
+                continue
+            if end:  # text without markup: a block of its own
+                flush()
+                stack.append((tag, (tag,)))
+                add(page[at : end.start()])
+                flush()
+                stack.pop()
+                at = end.end()
+                continue
         if not inline:
             flush()
         elif tag == "br":
-            parts.append(" ")
+            add(" ")
         if m["close"]:
+            if not depth[tag]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
-                if inline and stack[i][0] not in INLINE:
+                if inline and not foreign and stack[i][0] not in INLINE:
                     break
-        elif tag not in VOID:
-            if tag in BLOCKS_END_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            for other in CLOSES.get(tag, ()):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == other:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("ul", "ol", "table", "dl", "select"):
-                        break
+        elif tag not in VOID and not (foreign and m["attrs"].endswith("/")):
+            if not foreign:
+                if tag in BLOCKS_END_P and depth["p"]:
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == "p":
+                            close(i)
+                            break
+                        if stack[i][0] not in INLINE:
+                            break
+                for other in CLOSES.get(tag, ()):
+                    for i in range(len(stack) - 1, -1, -1) if depth[other] else ():
+                        if stack[i][0] == other:
+                            close(i)
+                            break
+                        if stack[i][0] in ("ul", "ol", "table", "dl", "select"):
+                            break
             own = [tag]
             if m["attrs"]:
                 for a in _ATTR.finditer(m["attrs"]):
                     own += ["." + x for x in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
-            stack.append((tag, tuple(own)))
-        links = sum(1 for t, _ in stack if t == "a") if tag == "a" or not inline else links
+            if tag in FOREIGN and m["attrs"].endswith("/"):
+                continue
+            stack.append((tag, tuple(own[:PATH_ELEMENTS])))
+            depth[tag] += 1
+            hidden += tag in UNSEEN or tag.startswith("note ")
+            foreign += tag in FOREIGN
     flush()
     return blocks
 
@@ -150,9 +206,10 @@ class BlockLabeller:
         self.paths: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
-    def _run(z: np.ndarray, wh: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def _run(z: np.ndarray, wh: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """The hidden states; ``state`` (h, c) is started from and left behind."""
         steps, batch, _ = z.shape
-        h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+        h, c = state or (np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32))
         out = np.empty((steps, batch, HIDDEN), np.float32)
         for t in range(steps):
             a = z[t] + h @ wh
@@ -166,6 +223,8 @@ class BlockLabeller:
             if keep is not None:
                 keep[-1] += (c,)
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     @staticmethod
@@ -174,32 +233,55 @@ class BlockLabeller:
         t = np.arange(steps)[:, None]
         return np.where(t < lengths, lengths - 1 - t, t)
 
+    def _inputs(self, blocks, lo: int, hi: int, n: int, d: str) -> np.ndarray:
+        """What the blocks lo..hi of a page of n feed into the gates of direction ``d``."""
+        z = np.empty((hi - lo, 4 * HIDDEN), np.float32)
+        rest = np.empty((hi - lo, WORD_DIM + COUNT_DIM), np.float32)
+        for t, (path, text, linked) in enumerate(blocks[lo:hi]):
+            if path not in self.paths:
+                if len(self.paths) > 20_000:
+                    self.paths.clear()
+                v = _path_vector(path)
+                self.paths[path] = {e: v @ self.w[f"x{e}"][:PATH_DIM] for e in "fb"}
+            z[t] = self.paths[path][d]
+            rest[t] = _other_vector(text, linked, (lo + t) / n)
+        return z + rest @ self.w[f"x{d}"][PATH_DIM:] + self.w[f"z{d}"]
+
+    def _long(self, blocks) -> np.ndarray:
+        """Logits of one page, a part of its sequence at a time in each direction."""
+        n = len(blocks)
+        half = self.w["o"][:HIDDEN, 0], self.w["o"][HIDDEN:, 0]
+        out = np.full(n, self.w["ob"][0], np.float32)
+        cuts = [(lo, min(lo + SEQUENCE_PART, n)) for lo in range(0, n, SEQUENCE_PART)]
+        for d, parts, o in (("f", cuts, half[0]), ("b", cuts[::-1], half[1])):
+            state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            for lo, hi in parts:
+                z = self._inputs(blocks, lo, hi, n, d)[:, None]
+                h = self._run(z if d == "f" else z[::-1], self.w[f"h{d}"], state=state)[:, 0] @ o
+                out[lo:hi] += h if d == "f" else h[::-1]
+        return out
+
     def logits(self, pages: list[list[tuple[tuple[str, ...], str, int]]]) -> list[np.ndarray]:
         """One array of logits per page of leaf blocks."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
         while order:
             longest = len(pages[order[0]])
+            if longest > SEQUENCE_PART:
+                for i in order:
+                    out[i] = self._long(pages[i])
+                break
             n = 1
-            while n < min(64, len(order)) and len(pages[order[n]]) <= longest * 1.3 + 4:
+            while n < min(64, len(order)) and len(pages[order[n]]) <= min(longest * 1.3 + 4, SEQUENCE_PART):
                 n += 1
             group, order = order[:n], order[n:]
             lengths = np.array([len(pages[i]) for i in group])
             z = {d: np.zeros((lengths.max(), n, 4 * HIDDEN), np.float32) for d in "fb"}
-            rest = np.zeros((lengths.max(), n, WORD_DIM + COUNT_DIM), np.float32)
             for j, i in enumerate(group):
-                for t, (path, text, linked) in enumerate(pages[i]):
-                    if path not in self.paths:
-                        if len(self.paths) > 20_000:
-                            self.paths.clear()
-                        v = _path_vector(path)
-                        self.paths[path] = v @ self.w["xf"][:PATH_DIM], v @ self.w["xb"][:PATH_DIM]
-                    z["f"][t, j], z["b"][t, j] = self.paths[path]
-                    rest[t, j] = _other_vector(text, linked, t / len(pages[i]))
+                for d in "fb":
+                    z[d][: lengths[j], j] = self._inputs(pages[i], 0, lengths[j], lengths[j], d)
             flip, col = self._flip(lengths, lengths.max()), np.arange(n)
-            zf = z["f"] + rest @ self.w["xf"][PATH_DIM:] + self.w["zf"]
-            zb = (z["b"] + rest @ self.w["xb"][PATH_DIM:] + self.w["zb"])[flip, col]
-            h = np.concatenate([self._run(zf, self.w["hf"]), self._run(zb, self.w["hb"])[flip, col]], axis=2)
+            h = np.concatenate([self._run(z["f"], self.w["hf"]), self._run(z["b"][flip, col], self.w["hb"])[flip, col]], axis=2)
             y = (h @ self.w["o"])[:, :, 0] + self.w["ob"]
             for j, i in enumerate(group):
                 out[i] = y[: lengths[j], j]
@@ -279,7 +361,7 @@ AROUND = {
     "header": ("header", "div.header", "div#header", "div.masthead", "div.top-bar", "div.site-title", "header.site-header"),
     "footer": ("footer", "div.footer", "div#footer", "div.copyright", "footer.site-footer", "div.legal"),
     "aside": ("aside", "div.sidebar", "div#sidebar", "div.related", "div.widget", "aside.sidebar", "div.recommended", "div.popular", "div.trending", "div.author-box"),
-    "ad": ("div.ad", "div.ads", "div.advert", "div.advertisement", "div.banner", "div.sponsored", "div.promo", "ins.ad", "div.ad-slot", "section.promotion"),
+    "ad": ("div.ad", "div.ads", "div.advert", "div.advertisement", "div.banner", "div.sponsored", "div.promo", "div.ad-box", "div.ad-slot", "section.promotion"),
     "notice": ("div.notice", "div.cookie-notice", "div.cookie-banner", "div.consent", "div.gdpr", "div.alert", "div.newsletter", "div.subscribe", "div.popup", "div.modal", "div.paywall", "div.disclaimer"),
     "form": ("form", "form.search", "form.login", "form.signup", "div.search"),
     "comments": ("div.comments", "section.comments", "div#comments", "ul.comment-list", "div.comment", "div.reader-comments", "div.discussion", "div.replies", "section#disqus", "ol.commentlist"),
@@ -295,7 +377,7 @@ def _open(spec: str) -> tuple[str, str]:
 def layouts(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[int]]]:
     """n pages of markup around ``texts``, each with the labels of its leaf blocks."""
     rng = np.random.default_rng(seed)
-    words = [w for t in texts for w in t.split()][:200_000] or ["text"]
+    words = [w for t in texts for w in t.split()] or ["text"]
     texts = [t for t in texts if t.strip()] or ["text"]
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
 
@@ -378,18 +460,31 @@ def layouts(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[
     return pages
 
 
-def train_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, n: int = TRAIN_PAGES, html_col: str = "html", id_col: str = "page_id") -> BlockLabeller:
-    """Fit on ``n`` layouts filled with texts of at most ``sample`` pages, taken in hash order of their ids."""
+def labelled_layouts(texts: list[str], n: int, seed: int = SEED) -> tuple[list, list]:
+    """Leaf blocks and labels of n layouts.
+
+    A text that is blank once decoded, or that itself looks like markup, makes a
+    layout whose blocks are not those it was labelled by; such texts are left
+    out first, so every layout counts.
+    """
+    fit = [t for t in texts if len(leaf_blocks(f"<p>{html_lib.escape(t)}</p>")) == 1]
+    made = [(leaf_blocks(page), labels) for page, labels in layouts(fit, n, seed)]
+    if any(len(b) != len(y) for b, y in made):
+        raise ValueError("a layout's blocks do not match its labels")
+    return [b for b, _ in made], [y for _, y in made]
+
+
+def train_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, n: int = TRAIN_PAGES, blocks: int = SAMPLE_BLOCKS, html_col: str = "html", id_col: str = "page_id") -> BlockLabeller:
+    """Fit on ``n`` layouts filled with texts of at most ``sample`` pages, taken in hash order of their ids.
+
+    ``blocks`` bounds how many blocks of a page lend their texts, and so what the
+    driver holds.  Null and empty pages lend none; without any text (no rows),
+    the layouts repeat a single word.
+    """
     rows = hash_sample(pages, id_col, sample, F.col(html_col)).collect()
-    texts = [t for r in rows for _, t, _ in leaf_blocks(r[0])[:200]]
-    xs, ys = [], []
-    for page, labels in layouts(texts, n):
-        blocks = leaf_blocks(page)
-        if len(blocks) == len(labels):
-            xs.append(blocks)
-            ys.append(labels)
+    texts = [t for r in rows for _, t, _ in leaf_blocks(r[0])[:blocks]]
     model = BlockLabeller()
-    model.train(xs, ys)
+    model.train(*labelled_layouts(texts, n))
     return model
 
 
