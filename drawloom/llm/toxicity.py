@@ -1,20 +1,27 @@
 """Toxicity scores from a counterfactual-regularised linear classifier.
 
-The features of a text are the distinct bare words it holds anywhere.  Logistic
-regression with an L1 penalty is fitted on a bounded sample of labelled texts;
-for every labelled text that names an identity term, the term is swapped with
-each other of its group and the squared change of the score is penalised, so
-that a mention as such tells nothing.
+The features of a text are its distinct bare words and how many of them begin
+with the same four to six characters (once, twice, three times or more), so
+that inflected forms count together.  Logistic regression with an L1 penalty is
+fitted on a bounded sample of labelled texts, for a falling row of penalties of
+which held-back rows choose the best.  Two terms of the loss make it fair: for
+every labelled text that names an identity term, the term is swapped with each
+other of its group and the squared change of the score is penalised; and so is
+the squared score of each term by itself, so that a mention as such tells
+nothing even where no labelled text has it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, hash_spans, text_chunks, word_bounds
+from .common import LOWER, NOT_ALNUM, distinct_spans, stage, text_chunks, word_bounds
 
 #: Identity terms in groups within which one may stand for another.
 IDENTITY_TERMS = (
@@ -31,8 +38,14 @@ IDENTITY_TERMS = (
     ("deaf", "blind", "disabled"),
 )
 MAX_LABELLED = 6000
-#: Words are kept whose penalised weight reaches this share of the largest.
-RELAX = 0.3
+#: Lengths of the word beginnings that are features, and how often they are told apart.
+STEMS = (4, 5, 6)
+LEVELS = 3
+#: Features are fitted whose shares in toxic and clean texts differ by this many standard errors; at most MAX_FEATURES, the most different.
+SCREEN = 4.0
+MAX_FEATURES = 2000
+#: L1 penalties, from strong to weak.
+PATH = (3e-3, 1e-3, 3e-4, 1e-4, 3e-5)
 
 
 def held_out(doc_id):
@@ -40,137 +53,187 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def word_sets(column: pa.Array):
-    """(row, sorted distinct hashes of its bare words) for each text."""
+def word_features(word: bytes) -> list[bytes]:
+    """The word, and its beginnings of fewer characters than it has, marked by a star."""
+    text = word.decode("utf-8", "replace")
+    return [word, *(text[:k].encode() + b"*" for k in STEMS if len(text) > k)]
+
+
+def text_features(words) -> list[bytes]:
+    """Distinct features of a text's distinct words; a beginning that n words share is there as ``*1`` to ``*n``, up to LEVELS."""
+    n = Counter(chain.from_iterable(map(word_features, words)))
+    return [f for f, c in n.items() if not f.endswith(b"*")] + [f + b"%d" % k for f, c in n.items() if f.endswith(b"*") for k in range(1, min(c, LEVELS) + 1)]
+
+
+def _texts(column: pa.Array):
+    """(first row, distinct words, place of each word, first word of each row) for runs of whole texts."""
     for first, data, offsets in text_chunks(column):
         low = LOWER[data]
         starts, ends, rows = word_bounds(low, offsets, NOT_ALNUM)
-        h = hash_spans(low, starts, ends)
-        for i in range(len(rows) - 1):
-            yield first + i, np.unique(h[rows[i] : rows[i + 1]])
+        yield first, *distinct_spans(low, starts, ends), rows
 
 
-def term_hash(words) -> np.ndarray:
-    out = []
-    for w in words:
-        data = np.frombuffer(w.encode(), np.uint8)
-        out.append(hash_spans(data, np.array([0]), np.array([len(data)]))[0])
-    return np.array(out, np.uint64)
+def word_sets(column: pa.Array):
+    """(row, features) of each text."""
+    for first, words, place, rows in _texts(column):
+        for i in range(len(rows) - 1):
+            yield first + i, text_features(words[w] for w in np.unique(place[rows[i] : rows[i + 1]]))
 
 
 class ToxicityModel:
-    """Sorted word hashes with their weights, and the intercept."""
-
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, intercept: float):
-        order = np.argsort(keys)
-        self.keys, self.weights, self.intercept = keys[order], weights[order], intercept
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    """Features with their weights, and the intercept."""
+
+    def __init__(self, features: list[bytes], weights, intercept: float):
+        self.features, self.weights, self.intercept = features, np.asarray(weights, float), intercept
+        self.at = {f: i for i, f in enumerate(features)}
+        # a beginning's three levels share a slot, which counts the words that have it
+        self.stems = sorted({f[:-1] for f in features if f[-2:-1] == b"*"})
+        stem = {f: i for i, f in enumerate(self.stems)}
+        self.slot = {f: i for f, i in self.at.items() if f[-2:-1] != b"*"} | {f: len(features) + i for f, i in stem.items()}
+        self.level = np.zeros((len(self.stems), LEVELS + 1))
+        for f, w in zip(features, self.weights, strict=True):
+            if f[-2:-1] == b"*":
+                self.level[stem[f[:-1]], int(f[-1:]) :] += w
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.intercept)
-        for first, data, offsets in text_chunks(column):
-            low = LOWER[data]
-            starts, ends, rows = word_bounds(low, offsets, NOT_ALNUM)
-            h = hash_spans(low, starts, ends)
-            at = np.flatnonzero(self.table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            if len(at) and len(self.keys):
-                slot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-                real = self.keys[slot] == h[at]
-                row = np.searchsorted(rows, at[real], "right") - 1
-                once = np.unique(row * np.int64(len(self.keys)) + slot[real])
-                np.add.at(out, first + once // len(self.keys), self.weights[once % len(self.keys)])
+        slots, width = self.slot, len(self.features) + len(self.stems)
+        for first, words, place, rows in _texts(column):
+            found = [[slots[f] for f in word_features(w) if f in slots] for w in words]
+            size = np.array([len(x) for x in found], np.int64)
+            at = np.flatnonzero(size[place] > 0) if len(words) else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            row = np.searchsorted(rows, at, "right") - 1
+            once = np.unique(row * len(words) + place[at])
+            row, word = once // len(words), once % len(words)
+            slot = np.concatenate([found[w] for w in word]).astype(np.int64)
+            cell, n = np.unique(np.repeat(row, size[word]) * width + slot, return_counts=True)
+            row, slot = cell // width, cell % width
+            plain = slot < len(self.features)
+            np.add.at(out, first + row[plain], self.weights[slot[plain]])
+            np.add.at(out, first + row[~plain], self.level[slot[~plain] - len(self.features), np.minimum(n[~plain], LEVELS)])
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, prior: float | None = None, min_df: int = 5, l1: float = 3e-4, fairness: float = 10.0, groups=IDENTITY_TERMS, rounds: int = 400) -> ToxicityModel:
-    """Accelerated proximal gradient over word presence.
+def screened(sets: list[list[bytes]], labels: np.ndarray, screen: float, most: int) -> list[bytes]:
+    """The features whose shares in the two classes differ by ``screen`` standard errors, ``most`` at most."""
+    ones, all_ = Counter(chain.from_iterable(s for s, y in zip(sets, labels, strict=True) if y)), Counter(chain.from_iterable(sets))
+    names = [f for f, n in all_.items() if n >= 3]
+    n, n1 = len(labels), labels.sum()
+    a, c = np.array([ones[f] for f in names], float), np.array([all_[f] for f in names], float)
+    p = c / n
+    z = (a / n1 - (c - a) / (n - n1)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
+    order = sorted(np.flatnonzero(np.abs(z) >= screen), key=lambda i: (-abs(z[i]), names[i]))[:most]
+    return sorted(names[i] for i in order)
+
+
+def _pulls(features: list[bytes], sets, groups) -> tuple[np.ndarray, np.ndarray]:
+    """Square roots of the fairness penalty: rows of score changes under swaps (per labelled text), and of single terms."""
+    at = {f: i for i, f in enumerate(features)}
+
+    def vector(words) -> np.ndarray:
+        out = np.zeros(len(features))
+        out[[at[f] for f in text_features(words) if f in at]] = 1
+        return out
+
+    alone = {t: vector([t.encode()]) for g in groups for t in g}
+    swaps = []
+    for g in groups:
+        for s in sets:
+            here = set(s)
+            own = [t for t in g if t.encode() in here]
+            for a in own:
+                swaps += [alone[b] - alone[a] for b in g if b not in own]
+    return np.array(swaps).reshape(-1, len(features)), np.array(list(alone.values())).reshape(-1, len(features))
+
+
+class _Rows:
+    """A 0/1 matrix by its cells."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, shape: tuple[int, int]):
+        self.row, self.col, self.shape = row, col, shape
+
+    def take(self, keep: np.ndarray) -> _Rows:
+        place, cells = np.cumsum(keep) - 1, keep[self.row]
+        return _Rows(place[self.row[cells]], self.col[cells], (int(keep.sum()), self.shape[1]))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.shape[0])
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, y[self.row], self.shape[1])
+
+
+def _descend(x: _Rows, y: np.ndarray, pull: np.ndarray, l1: float, w: np.ndarray, b: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient from (w, b) for the logistic loss, the quadratic ``pull`` and the L1 penalty."""
+    n, m = x.shape
+    active = np.flatnonzero(np.abs(pull).sum(0))
+    small = pull[np.ix_(active, active)]
+    top = np.linalg.norm(small, 2) if len(active) else 0.0
+    v, size = np.ones(m) / np.sqrt(max(m, 1)), 0.0
+    for _ in range(30):  # largest curvature of the loss
+        v = x.back(x.dot(v))
+        size = np.linalg.norm(v)
+        v = v / max(size, 1e-12)
+    step = 1 / (0.25 * (size / n + 1) + top + 1e-9)
+    u, ub, t = w.copy(), b, 1.0
+    for _ in range(rounds):
+        err = (1 / (1 + np.exp(-np.clip(x.dot(u) + ub, -30, 30))) - y) / n
+        grad = x.back(err)
+        grad[active] += small @ u[active]
+        new = u - step * grad
+        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+        nb = ub - step * err.sum()
+        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        u, ub = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
+        if np.abs(new - w).max(initial=0) < 1e-5 and abs(nb - b) < 1e-5:
+            return new, nb
+        w, b, t = new, nb, nt
+    return w, b
+
+
+def fit(sets: list[list[bytes]], labels: np.ndarray, prior: float | None = None, fairness: float = 10.0, groups=IDENTITY_TERMS, path=PATH, screen: float = SCREEN, most: int = MAX_FEATURES, rounds: int = 800) -> ToxicityModel:
+    """The model from features (of distinct texts) and labels.
 
     ``fairness`` weighs the mean squared score change under swaps of identity
-    terms.  ``prior`` is the share of label 1 where the sample was balanced.
-    Without labels, or with one label only, every score is that share.
+    terms and the mean squared score of the terms alone; terms of labelled texts
+    have weights whatever the screen says.  ``prior`` is the share of label 1
+    where the sample was balanced.  Every fifth row is held back to choose the
+    penalty; the last fit is on all rows.  Without labels, or with one label
+    only, every score is that share.
     """
     n = len(sets)
     share = float(labels.mean()) if n else 0.0
     prior = share if prior is None else prior
     base = float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))
     if n == 0 or share in (0.0, 1.0):
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), base)
-    all_words = np.concatenate(sets)
-    keys, df = np.unique(all_words, return_counts=True)
-    terms = [term_hash(g) for g in groups]
-    keep = (df >= min_df) | np.isin(keys, np.concatenate(terms) if terms else [])
-    keys = keys[keep]
-    for g in terms:  # swapped-in terms need a weight too
-        if np.isin(g, keys).any():
-            keys = np.union1d(keys, g)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    col = np.minimum(np.searchsorted(keys, all_words), len(keys) - 1)
-    real = keys[col] == all_words
-    row, col = row[real], col[real]
-    swaps = []
-    for g in terms:
-        own = np.searchsorted(keys, g[np.isin(g, keys)])
-        for a in own:
-            for r in row[col == a]:
-                here = col[row == r]
-                swaps += [(a, b) for b in own if b not in here]
-    swaps = np.array(swaps, np.int64).reshape(-1, 2)
-
-    w, b = np.zeros(len(keys)), float(np.log(share / (1 - share)))
-    v, vb, t = w.copy(), b, 1.0
-    size = np.bincount(row, minlength=n).mean() + 1
-    step = 4.0 / min(size, 60.0)
-    if len(swaps):
-        step = min(step, 0.5 / (fairness * np.bincount(swaps.ravel(), minlength=len(keys)).max() / n * 2 + 1e-9))
-    for _ in range(rounds):
-        z = vb + np.bincount(row, v[col], n)
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        grad = np.bincount(col, err[row], len(keys))
-        if len(swaps):
-            gap = 2 * fairness * (v[swaps[:, 0]] - v[swaps[:, 1]]) / n
-            grad += np.bincount(swaps[:, 0], gap, len(keys)) - np.bincount(swaps[:, 1], gap, len(keys))
-        new = v - step * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        nb = vb - step * err.sum()
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, vb = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
-        w, b, t = new, nb, nt
-    # The penalty has chosen the words; their weights are fitted again without it.
-    used = np.flatnonzero(np.abs(w) >= RELAX * np.abs(w).max()) if np.abs(w).max() > 0 else np.zeros(0, np.int64)
-    w, b = _refit(used, w, b, row, col, labels, swaps, fairness)
-    shift = base - float(np.log(share / (1 - share)))
-    return ToxicityModel(keys[used], w, b + shift)
-
-
-def _refit(used, w, b, row, col, labels, swaps, fairness):
-    """Newton steps on the chosen words with a slight ridge and the swap penalty."""
-    n, m = len(labels), len(used)
-    if not m:
-        return np.zeros(0), b
-    place = np.full(len(w), -1)
-    place[used] = np.arange(m)
-    x = np.zeros((n, m + 1))
-    x[:, m] = 1
-    at = place[col]
-    x[row[at >= 0], at[at >= 0]] = 1
-    pull = np.eye(m + 1) * 2e-5
-    pull[m, m] = 0
-    for a, c in swaps:
-        d = np.zeros(m + 1)
-        for j, s in ((place[a], 1), (place[c], -1)):
-            if j >= 0:
-                d[j] = s
-        pull += 2 * fairness / n * np.outer(d, d)
-    beta = np.concatenate([w[used], [b]])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (p - labels) / n + pull @ beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / n + pull + 1e-9 * np.eye(m + 1), grad)
-        beta -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta[:m], float(beta[m])
+        return ToxicityModel([], [], base)
+    terms = {t.encode() for g in groups for t in g}
+    seen = terms & set(chain.from_iterable(sets))
+    groups_seen = [g for g in groups if any(t.encode() in seen for t in g)]
+    features = sorted({*screened(sets, labels, screen, most), *(t.encode() for g in groups_seen for t in g)})
+    at = {f: i for i, f in enumerate(features)}
+    cells = [[at[f] for f in s if f in at] for s in sets]
+    x = _Rows(np.repeat(np.arange(n), [len(c) for c in cells]), np.array([*chain.from_iterable(cells)], np.int64), (n, len(features)))
+    swaps, alone = _pulls(features, sets, groups)
+    pull = 2 * fairness * (swaps.T @ swaps / n + alone.T @ alone / max(len(alone), 1))
+    start = float(np.log(share / (1 - share)))
+    held = np.arange(n) % 5 == 4
+    y = labels.astype(np.float64)
+    w, b, best = np.zeros(len(features)), start, (np.inf, path[0])
+    if held.any() and 0 < y[~held].mean() < 1:
+        for l1 in path:
+            w, b = _descend(x.take(~held), y[~held], pull, l1, w, b, rounds)
+            z = np.clip(x.take(held).dot(w) + b, -30, 30)
+            loss = float(np.mean(np.log1p(np.exp(z)) - y[held] * z))
+            if loss < best[0]:
+                best = loss, l1
+    w, b = np.zeros(len(features)), start
+    for l1 in path[: path.index(best[1]) + 1]:
+        w, b = _descend(x, y, pull, l1, w, b, rounds)
+    used = np.flatnonzero(w)
+    return ToxicityModel([features[i] for i in used], w[used], b + base - start)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **options) -> ToxicityModel:
@@ -178,7 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     Only rows whose ``crc32(doc_id as text) mod 5`` is not 0 are learnt from.
     Rows with null ids or labels are left out; a document labelled twice counts
-    as toxic if most of its labels are.
+    as toxic if most of its labels are.  Texts with equal features and label
+    count once.  Nothing labelled, or one label only, gives a constant score.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(F.col("toxic").cast("double")) >= 0.5).cast("int").alias("label"))
@@ -190,18 +254,22 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     def features(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for _, s in word_sets(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "label", "words"])
-
-    got = rows.mapInArrow(features, "doc_id long, label int, words array<long>").toArrow().sort_by("doc_id")
-    sets = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64) for x in got.column("words")]
+            sets = [s for _, s in word_sets(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.binary()))], ["doc_id", "label", "features"])
+
+    rows = stage(rows.mapInArrow(features, "doc_id long, label int, features array<binary>"))
+    # what hardly a text of the sample has is left on the executors
+    common = rows.select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3)
+    each = rows.select("doc_id", "label", F.explode("features").alias("f")).join(common, "f").groupBy("doc_id", "label").agg(F.sort_array(F.collect_set("f")).alias("fs"))
+    got = sorted((r.doc_id, r.label, tuple(map(bytes, r.fs))) for r in rows.select("doc_id", "label").distinct().join(each, ["doc_id", "label"], "left").select("doc_id", "label", F.coalesce("fs", F.array().cast("array<binary>")).alias("fs")).collect())
+    distinct = list({(label, fs): None for _, label, fs in got})
     prior = totals.ones / totals.n if totals.n else 0.0
-    return fit(sets, np.array(got.column("label").to_pylist(), float), prior, **options)
+    return fit([list(fs) for _, fs in distinct], np.array([label for label, _ in distinct], float), prior, **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted for whole texts; null and empty texts get the model's base score, repeated rows come back each."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.intercept))
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
 
     def run(batches):
         local = ToxicityModel(*shared.value)
@@ -213,8 +281,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.intercept))
+    """The rows of ``docs``, all columns as they are, whose text scores below 0.5.
+
+    Null and empty texts get the base score, repeated rows come back each, no
+    rows give no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
     at = docs.columns.index(text_col)
 
     def run(batches):
