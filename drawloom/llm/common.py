@@ -9,10 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: Words are runs of anything but these white-space bytes.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+#: Seed of the word hash.
+SEED = 0x5DEECE66D
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop), a temporary folder is set.
+    Where a local session names none (tests, a laptop), a temporary folder is
+    set; a cluster's session must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="drawloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -39,9 +48,41 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/drawloom-stage/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> int:
+    """Delete what this session has staged, and say how many folders that were.
+
+    For when the results have been written: DataFrames returned before still
+    read the staged folders.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_STAGED)
+    while _STAGED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
+#: Keys that may count as hot: what is broadcast for them has at most this many rows.
+MAX_HOT = 20_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total: int, least: int = 500) -> DataFrame:
+    """Inner join of ``big`` with ``small`` (one row per key, ``rows`` saying how often ``big`` has it).
+
+    Keys with more than ``total / MAX_HOT`` of the ``total`` rows, and at least
+    ``least``, are fewer than MAX_HOT: they are broadcast, so no task gets all
+    rows of one.  The rest is joined by a shuffle.  ``big`` is read twice.
+    """
+    bound = max(least, total // MAX_HOT)
+    hot, cold = small.where(F.col(rows) > bound), small.where(F.col(rows) <= bound)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
+    return big.join(F.broadcast(hot), keys).select(*rest.columns).unionByName(rest)
+
+
 def hash_sample(df: DataFrame, id_col: str, n: int, keep: Column) -> DataFrame:
     """``keep`` (as column ``kept``) where it is not null, of the ``n`` rows that come first in hash order of their ids.
 
@@ -63,26 +104,13 @@ def words_of(text: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Word hashing over whole Arrow batches.  A word's hash is a polynomial over
-# its bytes, read off prefix sums (mod 2**64), so no Python object per word.
+# Word hashing over whole Arrow batches: a batch's distinct words are found by
+# Arrow on their bytes, and each is hashed once.
 # ---------------------------------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _CHUNK = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n + 1:
-        size = max(n + 1, _CHUNK + 1)
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))
@@ -147,12 +175,24 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings among data[start:end], and the place of each span among them.
+
+    Spans are in order and do not overlap; none is empty.
+    """
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    body = data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each span."""
-    power, inverse = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit XXH3 of data[start:end] for each span."""
+    words, place = distinct_spans(data, starts, ends)
+    return np.array([xxh3_64_intdigest(w, SEED) for w in words], np.uint64)[place]
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

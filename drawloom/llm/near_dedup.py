@@ -5,12 +5,13 @@ buckets; a bucket's register holds the leading-zero count and ten mantissa bits
 of its least hash (two bytes).  Bands of five registers propose candidates.
 The registers then estimate the Jaccard similarity, corrected for accidental
 register collisions, and only pairs that the estimate cannot rule out are
-confirmed on their full shingle sets.
+confirmed on their full shingle sets (of 64-bit hashes of the shingles).
 
 Copies with equal sets are one vertex, so a group of copies costs one row per
 document and no pairs.  Within a band bucket the least member is compared with
-every other (a star); buckets that still hold several components are compared
-block by block, skipping pairs already known to be connected.
+every other (a star), which links most groups.  Only buckets that then still
+hold several components are compared block by block, and only pairs of
+different components.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hash_spans, mix, shingle_hashes, stage, text_chunks, word_bounds
+from .common import LOWER, hash_spans, join_hot, mix, shingle_hashes, stage, text_chunks, word_bounds
 from .components import connected_components
 
 BUCKET_BITS = 7
 MANTISSA_BITS = 10
 BAND_ROWS = 5
 EMPTY = 0xFFFF
-#: Shingles of one bucket compared in one task; larger buckets are split into pairs of blocks.
+#: Shingles and members of one bucket compared in one task; larger buckets are split into pairs of blocks.
 BLOCK = 1 << 20
+MEMBERS = 4096
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 6.0
 
@@ -46,16 +48,18 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(reg: np.ndarray) -> np.ndarray:
-    """Keys of the bands; an empty bucket borrows the next filled one."""
-    full = np.flatnonzero(reg != EMPTY)
-    at = np.searchsorted(full, np.arange(len(reg)))
-    dense = reg[full[at % len(full)]].astype(np.uint64)
-    bands = len(reg) // BAND_ROWS
-    rows = dense[: bands * BAND_ROWS].reshape(bands, BAND_ROWS)
-    key = np.arange(bands, dtype=np.uint64)
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Keys of the bands of register rows; an empty bucket borrows the next filled one."""
+    n, width = regs.shape
+    at = np.where(regs != EMPTY, np.arange(width), width)
+    following = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
+    following = np.where(following == width, following[:, :1], following)
+    dense = np.take_along_axis(regs, following, 1).astype(np.uint64)
+    bands = width // BAND_ROWS
+    rows = dense[:, : bands * BAND_ROWS].reshape(n, bands, BAND_ROWS)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands))
     for j in range(BAND_ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j] + np.uint64(1))
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, j] + np.uint64(1))
     return key.view(np.int64)
 
 
@@ -118,34 +122,47 @@ def _bands(batches):
     """(id, n, band) for every band of the rows (id, n, regs)."""
     for batch in batches:
         if batch.num_rows:
-            keys = np.stack([band_keys(r) for r in _register_rows(batch.column(2))])
+            keys = band_keys(_register_rows(batch.column(2)))
             rows = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys.ravel())], ["id", "n", "band"])
 
 
 def _full(k: int):
-    """(id, n, regs, bands, shingles) of the texts, in batches of bounded size."""
+    """(id, n, regs, bands, shingles) of the texts, in batches of bounded size.
+
+    Of rows with the same id that follow each other (as they do after a merge
+    join) those with the same set count once.
+    """
 
     def run(batches):
+        last, seen = None, set()
         for batch in batches:
-            done, held, regs, bands, sets = 0, 0, [], [], []
-            for _, x in _sets(batch, k):
+            ids = batch.column(0).to_pylist()
+            held, at, regs, bands, sets = 0, [], [], [], []
+            for row, x in _sets(batch, k):
+                if ids[row] != last:
+                    last, seen = ids[row], set()
+                mark = len(x), int(mix(x).sum(dtype=np.uint64))
+                if mark in seen:
+                    continue
+                seen.add(mark)
                 reg = registers(x)
+                at.append(ids[row])
                 regs.append(reg.tobytes())
-                bands.append(band_keys(reg))
+                bands.append(band_keys(reg[None])[0])
                 sets.append(x.view(np.int64))
                 held += len(x)
                 if held > 1 << 21:
-                    yield _full_batch(batch.column(0).slice(done, len(regs)), regs, bands, sets)
-                    done, held, regs, bands, sets = done + len(regs), 0, [], [], []
-            yield _full_batch(batch.column(0).slice(done), regs, bands, sets)
+                    yield _full_batch(at, regs, bands, sets)
+                    held, at, regs, bands, sets = 0, [], [], [], []
+            yield _full_batch(at, regs, bands, sets)
 
     return run
 
 
 def _full_batch(ids, regs, bands, sets):
     longs = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, longs), pa.array(sets, longs)], ["id", "n", "regs", "bands", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, longs), pa.array(sets, longs)], ["id", "n", "regs", "bands", "shingles"])
 
 
 def _rule_out(threshold: float):
@@ -163,16 +180,18 @@ def _rule_out(threshold: float):
 
 
 def _block_partners(up: int, down: int):
-    """Members of a band bucket (or of two blocks of it) that the registers allow a partner there."""
+    """Members of a band bucket (or of two blocks of it) that the registers allow a partner of another component there."""
 
     def run(t: pa.Table) -> pa.Table:
-        side, ids, n = (t.column(c).to_numpy() for c in ("side", "id", "n"))
+        side, comp, ids, n = (t.column(c).to_numpy() for c in ("side", "comp", "id", "n"))
         regs = _register_rows(t.column("regs"))
-        other = 1 if side.any() else 0
+        right = np.flatnonzero(side == (1 if side.any() else 0))
+        right = right[np.argsort(n[right], kind="stable")]
+        sizes = n[right]
         found = np.zeros(len(ids), bool)
         for i in np.flatnonzero(side == 0):
-            js = np.flatnonzero((side == other) & (np.minimum(n, n[i]) * down >= np.maximum(n, n[i]) * up))
-            js = js[js > i] if not other else js
+            js = right[np.searchsorted(sizes * down, n[i] * up) : np.searchsorted(sizes * up, n[i] * down, "right")]
+            js = js[comp[js] != comp[i]]
             if found[i]:
                 js = js[~found[js]]
             js = js[may_reach(regs[i], regs[js], n[i], n[js], up / down)]
@@ -226,8 +245,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     least id reachable over links, ``kept`` marks the document that has it.
 
     Null, empty and blank texts have empty sets (n_shingles 0), link to nothing
-    and are kept.  Rows with the same id count as one document for links and
-    come back once each.  Rows with a null id are left out.  No rows give no
+    and are kept.  Rows with the same id count as one document, so what either
+    links to is one component; they come back once each.  Rows with a null id are left out.  No rows give no
     rows.  Other columns are ignored.
     """
     up, down = threshold
@@ -237,44 +256,52 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     sketch = stage(src.mapInArrow(_sketch(words, least), "id long, n long, fp1 long, fp2 long, regs binary"))
 
     key = ["fp1", "fp2", "n"]
-    classes = stage(sketch.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")))
-    firsts = stage(sketch.where("regs is not null").join(classes.withColumn("id", F.col("rep")), [*key, "id"], "left_semi").select("id", "n", "regs"))
+    classes = stage(sketch.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    firsts = stage(sketch.where("regs is not null").join(classes.withColumn("id", F.col("rep")), [*key, "id"], "left_semi").select("id", "n", "regs").distinct())
     members = firsts.mapInArrow(_bands, "id long, n long, band long")
-    buckets = members.groupBy("band").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles_in")).where("m > 1")
-    members = stage(members.join(buckets, "band"))
+    buckets = stage(members.groupBy("band").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    in_buckets = (1 << BUCKET_BITS) // BAND_ROWS * firsts.count()
+    members = stage(join_hot(members, buckets, ["band"], "m", in_buckets))
 
     # Stars: the least member of a bucket with every other.
     pairs = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     own = lambda i: firsts.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("regs").alias(f"r{i}"))
     sized = pairs.join(own("a"), "a").join(own("b"), "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
     likely = stage(sized.mapInArrow(_rule_out(ratio), "a long, b long"))
-
-    # The others of a bucket among themselves: first only who may have a partner.
-    blocks = F.ceil(F.col("shingles_in") / BLOCK).cast("int")
-    others = members.where("m > 2 and id <> center").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    spread = others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
-    )
-    partners = stage(spread.join(firsts, "id").groupBy("band", "i", "j").applyInArrow(_block_partners(up, down), "id long").distinct())
-
-    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(partners).distinct()
-    full = stage(src.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_full(words), "id long, n long, regs binary, bands array<long>, shingles array<long>"))
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    sets = lambda ids: stage(src.join(ids, "id", "left_semi").mapInArrow(_full(words), "id long, n long, regs binary, bands array<long>, shingles array<long>"))
+    full = sets(wanted.hint("merge"))
     side = lambda i: full.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("shingles").alias(f"s{i}"))
     both = likely.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     links = stage(both.where(common * down >= (F.col("na") + F.col("nb") - common) * up).select("a", "b"))
     labels = connected_components(links)
 
-    # Buckets that still hold several components are compared block by block.
-    component = F.coalesce("component", "id")
-    placed = others.join(partners, "id", "left_semi").join(labels, "id", "left").withColumn("comp", component).select("band", "id", "comp")
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    placed = placed.join(mixed, "band", "left_semi").withColumnRenamed("band", "pb").withColumnRenamed("id", "pid")
-    open_ = spread.join(placed, F.expr("band = pb and id = pid")).select("band", "i", "j", "side", "id", "comp")
-    more = stage(open_.join(full, "id").groupBy("band", "i", "j").applyInArrow(_block_links(up, down), "a long, b long"))
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
-
-    roots = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = sketch.join(roots, key, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    # Buckets that still hold several components: who may have a partner of another one there?
+    placed = stage(members.where("m > 2 and id <> center").join(labels, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("comp")))
+    apart = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles_in")).where("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("shingles_in") / BLOCK, F.col("m") / MEMBERS)).cast("int")
+    apart = stage(apart.select("band", "m", blocks.alias("blocks")))
+    mixed = join_hot(placed, apart, ["band"], "m", in_buckets).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", "id", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
+    )
+    spread = stage(spread)
+    partners = stage(spread.join(firsts, "id").groupBy("band", "i", "j").applyInArrow(_block_partners(up, down), "id long").distinct())
+    if not partners.isEmpty():
+        full = full.join(partners, "id", "left_semi").unionByName(sets(partners.join(wanted, "id", "left_anti")))
+        open_ = spread.join(full, "id")
+        more = stage(open_.groupBy("band", "i", "j").applyInArrow(_block_links(up, down), "a long, b long"))
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
+
+    roots = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component", "rep").alias("component"))
+    found = stage(join_hot(sketch.select("id", *key).where("n > 0"), stage(roots), key, "copies", sketch.count()).select("id", "n", "component"))
+    # Rows with the same id are one document: their components are one.
+    several = found.groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    ties = stage(found.join(several, "id").select(F.col("component").alias("a"), F.col("lo").alias("b")).where("a <> b"))
+    if not ties.isEmpty():
+        joined = connected_components(ties).select(F.col("id").alias("component"), F.col("component").alias("least"))
+        found = found.join(joined, "component", "left").select("id", "n", F.coalesce("least", "component").alias("component"))
+    out = found.unionByName(sketch.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -10,15 +10,17 @@ nothing is shuffled.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, mix, text_chunks, word_bounds
+from .common import distinct_spans, mix, text_chunks, word_bounds
 
 SPACE = "▁"
-#: Pre-tokens of more characters than this are worked out one by one.
+#: Characters of a pre-token that the trie's matrix covers.
 LONG = 40
 CACHE = 1_000_000
 
@@ -46,39 +48,44 @@ class UnigramVocabulary:
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token, by the plain recurrence."""
-        best, n = [0.0], [0]
-        for end in range(1, len(word) + 1):
+        return self._extend(word, 0, [0.0], [0])
+
+    def _extend(self, word: str, begin: int, best, n) -> int:
+        """Tokens of ``word``, from the scores and counts of its prefixes of up to ``begin`` characters (the last ones do)."""
+        best, n = deque(best, self.longest), deque(n, self.longest)
+        for end in range(begin + 1, len(word) + 1):
             top = None
             for k in range(1, min(end, self.longest) + 1):
                 s = self.scores.get(word[end - k : end])
-                if s is not None and (top is None or best[end - k] + s > top[0]):
-                    top = best[end - k] + s, n[end - k] + 1
+                if s is not None and (top is None or best[-k] + s > top[0]):
+                    top = best[-k] + s, n[-k] + 1
             if top is None or word[end - 1] not in self.scores:
                 size = len(word[end - 1].encode("utf-8", "replace"))
-                other = best[end - 1] + size * self.byte, n[end - 1] + size
+                other = best[-1] + size * self.byte, n[-1] + size
                 top = other if top is None or other[0] > top[0] else top
             best.append(top[0])
             n.append(top[1])
         return n[-1]
 
     def counts(self, words: list[str]) -> np.ndarray:
-        """Tokens of each of many distinct pre-tokens, over their common trie."""
+        """Tokens of each of many distinct pre-tokens, over their common trie.
+
+        Below LONG characters the trie is a matrix of nodes; what a longer word
+        has beyond them is a branch of its own, worked out from its node there.
+        """
         out = np.zeros(len(words), np.int64)
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self.count(w)
-        order = sorted((w, i) for i, w in enumerate(words) if 0 < len(w) <= LONG and "\0" not in w)
-        for w, i in ((w, i) for i, w in enumerate(words) if "\0" in w and len(w) <= LONG):
-            out[i] = self.count(w)
+        order = [i for i in sorted(range(len(words)), key=words.__getitem__) if words[i]]
         if not order:
             return out
-        size = np.array([len(w) for w, _ in order])
+        heads = [words[i][:LONG] for i in order]
+        size = np.array([len(h) for h in heads])
         width = int(size.max())
-        codes = np.array([w for w, _ in order], f"U{width}").view(np.uint32).reshape(len(order), width)
+        codes = np.zeros((len(order), width), np.uint32)  # 0 is no character
+        codes[np.arange(width) < size[:, None]] = np.frombuffer("".join(heads).encode("utf-32-le", "surrogatepass"), np.uint32) + 1
         same = np.zeros(codes.shape, bool)
         same[1:] = np.logical_and.accumulate(codes[1:] == codes[:-1], axis=1)
         prefix = np.zeros((len(order), width + 1), np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _POWER[:width], axis=1, out=prefix[:, 1:])
+        np.cumsum(codes.astype(np.uint64) * _POWER[:width], axis=1, out=prefix[:, 1:])
         best, n = np.zeros((width + 1, len(order))), np.zeros((width + 1, len(order)), np.int64)
         owner = np.zeros((width + 1, len(order)), np.int64)
         rows = np.arange(len(order))
@@ -103,7 +110,7 @@ class UnigramVocabulary:
                 top = np.where(better, score, top)
                 count = np.where(better, n[start, from_] + 1, count)
             if not known.all():
-                code = codes[new, end - 1]
+                code = codes[new, end - 1] - 1
                 size_ = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
                 from_ = owner[end - 1, new]
                 score = np.where(known, -np.inf, best[end - 1, from_] + size_ * self.byte)
@@ -111,7 +118,11 @@ class UnigramVocabulary:
                 top = np.where(better, score, top)
                 count = np.where(better, n[end - 1, from_] + size_, count)
             best[end, new], n[end, new] = top, count
-        out[[i for _, i in order]] = n[size, owner[size, rows]]
+        out[order] = n[size, owner[size, rows]]
+        for r, i in enumerate(order):
+            if len(words[i]) > LONG:
+                at = np.arange(max(0, LONG + 1 - self.longest), LONG + 1)
+                out[i] = self._extend(words[i], LONG, best[at, owner[at, r]].tolist(), n[at, owner[at, r]].tolist())
         return out
 
 
@@ -129,7 +140,7 @@ def _hash(piece: str) -> int:
     return int(_finish(np.array([x], np.uint64), len(piece))[0])
 
 
-_LOADED: dict[str, tuple[UnigramVocabulary, dict[int, int]]] = {}
+_LOADED: dict[str, tuple[UnigramVocabulary, dict[bytes, int]]] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,18 +160,15 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             words, tokens = [], []
             for _, data, offsets in text_chunks(batch.column(1)):
                 starts, ends, first = word_bounds(data, offsets)
-                hashes, at, back = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-                keys = hashes.tolist()
-                missing = [i for i, k in enumerate(keys) if k not in cache]
-                raw = data.tobytes()
-                found = vocab.counts([SPACE + raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in missing])
+                keys, place = distinct_spans(data, starts, ends)
+                missing = [w for w in keys if w not in cache]
+                found = vocab.counts([SPACE + w.decode("utf-8", "replace") for w in missing])
                 if len(cache) + len(missing) > CACHE:
-                    have = {k: cache[k] for k in keys if k in cache}
+                    have = {w: cache[w] for w in keys if w in cache}
                     cache.clear()
                     cache.update(have)
-                cache.update(zip([keys[i] for i in missing], found.tolist(), strict=True))
-                each = np.array([cache[k] for k in keys], np.int64)
-                total = np.concatenate([[0], np.cumsum(each[back])]) if len(keys) else np.zeros(1, np.int64)
+                cache.update(zip(missing, found.tolist(), strict=True))
+                total = np.concatenate([[0], np.cumsum(np.array([cache[w] for w in keys], np.int64)[place])]) if keys else np.zeros(1, np.int64)
                 words.append(np.diff(first))
                 tokens.append(np.diff(total[first]))
             if words:

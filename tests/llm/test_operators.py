@@ -78,7 +78,7 @@ def test_registers_estimate():
 def test_token_counts(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     vocab = token_counts.UnigramVocabulary(path)
-    rows = [*_corpus(), (9100, "ünï 漢字 " + "a" * 90, "s")]
+    rows = [*_corpus(), (9100, "ünï 漢字 " + "a" * 90 + " nul\0 nul\0\0x " + "in" * 60 + " " + "in" * 61, "s")]
     want = sorted((i, len(WORDS.findall(t or "")), sum(vocab.count("▁" + w) for w in WORDS.findall(t or ""))) for i, t, _ in rows)
     assert sorted(map(tuple, token_counts.token_counts(_docs(spark, rows), path).collect())) == want
 
@@ -232,12 +232,9 @@ def test_url_scores_are_carried_to_the_end(spark):
 
 def test_html_labeller_on_unseen_layouts(spark):
     texts = [f"Some words about matter {i}, and more of it." for i in range(50)]
-    pages = [(html_text.leaf_blocks(p), y) for p, y in html_text.layouts(texts, html_text.TRAIN_PAGES)]
-    pages = [(b, y) for b, y in pages if len(b) == len(y)]
     model = html_text.BlockLabeller()
-    model.train(*zip(*pages, strict=True))
-    held = [(html_text.leaf_blocks(p), y) for p, y in html_text.layouts(texts, 100, seed=5)]
-    held = [(b, y) for b, y in held if len(b) == len(y)]
+    model.train(*html_text.labelled_layouts(texts, html_text.TRAIN_PAGES))
+    held = list(zip(*html_text.labelled_layouts(texts, 100, seed=5), strict=True))
     logits = model.logits([b for b, _ in held])
     assert np.mean(np.concatenate([(z > 0) == np.array(y) for z, (_, y) in zip(logits, held, strict=True)])) > 0.97
     page = "<nav><ul><li><a href=/>Home</a></ul></nav><script>x<p>no</script><article><h1>A &amp;  B</h1><p>One\n two<p>Three</article><footer>&copy; x</footer>"
