@@ -56,6 +56,22 @@ TEMPLATES = (
     ("ISC", "Released under the ISC License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Names by which a grant calls a licence, and their identifiers.
+NAMES = (
+    ("MIT", "the MIT License", "MIT"),
+    ("Apache-2.0", "the Apache License, Version 2.0", "Apache-2.0"),
+    ("GPL-3.0", "the GNU General Public License, version 3", "GPL-3.0"),
+    ("GPL-2.0", "the GNU General Public License, version 2", "GPL-2.0"),
+    ("LGPL", "the GNU Lesser General Public License", "LGPL-3.0"),
+    ("AGPL", "the GNU Affero General Public License", "AGPL-3.0"),
+    ("BSD", "the BSD 3-Clause License", "BSD-3-Clause"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0", "MPL-2.0"),
+    ("ISC", "the ISC License", "ISC"),
+)
+#: How grants put it; the first few words of each vary, so only what follows ``under`` must be there.
+GRANTS = ("under {}.", "The license is {}.", "The licence is {}.")
+LEADS = ("Distributed", "Available", "Published", "Released", "Licensed", "This file is made available", "The code is distributed")
+TEMPLATES += tuple((family, g.format(name)) for family, name, _ in NAMES for g in GRANTS) + tuple((family, f"SPDX-License-Identifier: {spdx}") for family, _, spdx in NAMES)
 #: Paragraphs that speak of licences without granting one.
 OTHERS = (
     "All rights reserved.",
@@ -108,6 +124,9 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, text_col:
             (held if i % 3 == 2 else rows).append((family, " ".join(words[:i] + words[i + 1 :])))
         rows.append((family, "Lorem ipsum. " + text))
         rows.append((family, text + " Lorem ipsum."))
+    for i, lead in enumerate(LEADS):
+        for family, name, _ in NAMES:
+            (held if i % 3 == 2 else rows).append((family, f"{lead} under {name}."))
     for i, text in enumerate(OTHERS):
         rows += [(UNKNOWN, text)] * 6
         held.append((UNKNOWN, text)) if i % 2 else None
@@ -115,8 +134,10 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, text_col:
         words = text.split()
         rows += [(UNKNOWN, " ".join(words[:2])), (UNKNOWN, " ".join(words[-1:]))]
     picked = hash_sample(docs, id_col, sample, F.substring_index(text_col, "\n", 1))
-    marks = {"the mit", "the apache", "gnu general", "under cc"}
-    rows += [(UNKNOWN, r.kept) for r in picked.collect() if not marks & set(_grams(r.kept))]
+    # a sampled paragraph that covers a template may be a notice itself
+    inner = [set(_inner(t)) for _, t in TEMPLATES]
+    plain = lambda grams: all(len(grams & x) < CONFIRM * len(x) for x in inner)
+    rows += [(UNKNOWN, r.kept) for r in picked.collect() if plain(set(_grams(r.kept)))]
     frame = spark.createDataFrame([(float(classes.index(f)), sorted(set(_grams(t)) & set(known))) for f, t in rows], "label double, grams array<string>").coalesce(1)
     vectors = CountVectorizerModel.from_vocabulary(known, inputCol="grams", outputCol="features")
     vectors = vectors.setBinary(True)
@@ -144,6 +165,10 @@ def _inner(text: str) -> list[str]:
 MAX_LINES = max(len(_grams(t)) - 1 for _, t in TEMPLATES)
 
 
+#: Bigrams that the shortest template asks for.
+LEAST = min(math.ceil(CONFIRM * len(_inner(t))) for _, t in TEMPLATES)
+
+
 def _literals(values) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -169,40 +194,41 @@ def _known(text: Column, known: list[str], df: DataFrame, *kept: str) -> DataFra
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, paragraph, text): runs of lines with a word, without comment words, numbered from 0.
+    """(id, document, paragraph, text): runs of lines with a word, without comment words, numbered from 0.
 
     Lines without a word (blank or only marks such as ``*`` or ``#``) end a
     paragraph; other comment marks are no words.
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?m)^[ \t]*(?:REM|rem|dnl)(?=[ \t\r]|$)", "")
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, r"\n[^a-zA-Z0-9]*\n")).alias("paragraph", "text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("document"), text.alias("text"))
+    return rows.select("id", "document", F.posexplode(F.split("text", r"\n[^a-zA-Z0-9]*\n")).alias("paragraph", "text"))
 
 
 def windows(found: DataFrame) -> DataFrame:
-    """(id, row, paragraph, first, last, text): a paragraph's lines and runs of up to MAX_LINES of its lines."""
+    """(id, document, row, paragraph, first, last, text): a paragraph's lines and runs of up to MAX_LINES of its lines."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[a-zA-Z0-9]"))
-    df = found.select("id", "row", "paragraph", _alone(lines, "lines"))
-    df = df.select("id", "row", "paragraph", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("first")).where(F.size("lines") > 0)
+    df = found.select("id", "document", "row", "paragraph", _alone(lines, "lines"))
+    df = df.select("id", "document", "row", "paragraph", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("first")).where(F.size("lines") > 0)
     last = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + MAX_LINES, F.size("lines")) - 1)).alias("last")
-    df = df.select("id", "row", "paragraph", "first", "lines", last)
-    return df.select("id", "row", "paragraph", "first", "last", F.array_join(F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n").alias("text"))
+    df = df.select("id", "document", "row", "paragraph", "first", "lines", last)
+    return df.select("id", "document", "row", "paragraph", "first", "last", F.array_join(F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n").alias("text"))
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, first, last, family, confidence, coverage) of every notice, with its lines in the paragraph.
+    """(id, document, paragraph, first, last, family, confidence, coverage) of every notice, with its lines in the paragraph.
 
     A line may be a notice by itself.  Windows of several lines count where they
     hold no such line; of overlapping windows of one family those count that end
     first and are shortest.  Null, empty and blank texts state no licence.
-    Documents with the same id are told apart by nothing, so their notices are
-    counted once per row.
+    ``document`` numbers the rows of ``docs``, so rows with the same id are told
+    apart.
     """
     spark = docs.sparkSession
     weights = spark.createDataFrame(list(zip(model["grams"], model["weights"], strict=True)), "gram string, w array<double>")  # bounded by the templates
-    runs = _known(F.col("text"), model["grams"], paragraphs(docs, id_col, text_col), "id", "paragraph", "text").where(_coverage("grams") >= CONFIRM)
-    runs = stage(runs.select("id", "paragraph", "text", F.monotonically_increasing_id().alias("row")))
-    key = ["id", "row", "paragraph", "first", "last"]
-    likely = _known(F.col("text"), model["grams"], windows(runs), *key).where(_coverage("grams") >= CONFIRM)
+    runs = _known(F.col("text"), model["grams"], paragraphs(docs, id_col, text_col), "id", "document", "paragraph", "text").where(F.size("grams") >= LEAST).where(_coverage("grams") >= CONFIRM)
+    runs = stage(runs.select("id", "document", "paragraph", "text", F.monotonically_increasing_id().alias("row")))
+    key = ["id", "document", "row", "paragraph", "first", "last"]
+    likely = _known(F.col("text"), model["grams"], windows(runs), *key).where(F.size("grams") >= LEAST).where(_coverage("grams") >= CONFIRM)
     k = len(model["classes"])
     hits = likely.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)), F.collect_set("gram").alias("grams"))
     logits = F.array(*(F.col(f"z{i}") + F.lit(model["bias"][i]) for i in range(k)))
@@ -213,16 +239,23 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     one = F.struct("last", (-F.col("first")).alias("back"), "first", "confidence", "coverage")
     alone = F.collect_set(F.when(F.col("first") == F.col("last"), F.col("first"))).over(Window.partitionBy("row"))
     df = df.withColumn("alone", alone).where((F.col("first") == F.col("last")) | ~F.exists("alone", lambda x: (x >= F.col("first")) & (x <= F.col("last"))))
-    fits = df.groupBy("id", "row", "paragraph", "family").agg(F.array_sort(F.collect_list(one)).alias("fits"))
+    fits = df.groupBy("id", "document", "row", "paragraph", "family").agg(F.array_sort(F.collect_list(one)).alias("fits"))
     none = F.filter("fits", lambda x: F.lit(False))
     taken = F.aggregate("fits", none, lambda a, x: F.when((F.size(a) == 0) | (F.element_at(a, -1)["last"] < x["first"]), F.concat(a, F.array(x))).otherwise(a))
-    df = fits.select("id", "paragraph", "family", F.explode(taken).alias("x"))
-    return df.select(F.col("id").alias(id_col), "paragraph", "x.first", "x.last", "family", "x.confidence", "x.coverage")
+    df = fits.select("id", "document", "row", "paragraph", "family", F.explode(taken).alias("x"))
+    return df.select(F.col("id").alias(id_col), "document", "paragraph", "x.first", "x.last", "family", "x.confidence", "x.coverage")
 
 
 def license_of(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document id: families (comma-separated, in order; "unknown" if none) and n_notices."""
-    found = scan(docs, model, id_col, text_col).groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count(F.lit(1)).alias("n_notices"))
-    found = stage(found).withColumnRenamed(id_col, "found_id")
-    out = docs.select(F.col(id_col)).join(found, F.col(id_col).eqNullSafe(F.col("found_id")), "left")
-    return out.select(id_col, F.coalesce("families", F.lit(UNKNOWN)).alias("families"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+    """One row per row of ``docs``: id, families (comma-separated, in order; "unknown" if none) and n_notices.
+
+    Rows are told apart by id and text (its length and two hashes), so rows that
+    share an id each get what their own text states, and repeated rows the same.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), F.struct(F.xxhash64(text).alias("a"), F.crc32(text.cast("binary")).alias("b"), F.length(text).alias("n")).alias("text_key"), F.col(text_col).alias("text"))
+    keyed = keyed.select(F.col("id"), F.struct("id", "text_key").alias("key"), "text")
+    found = scan(keyed, model, "key", "text").groupBy("key", "document").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count(F.lit(1)).alias("n_notices"))
+    found = stage(found.groupBy("key").agg(F.max("families").alias("families"), F.max("n_notices").alias("n_notices"))).withColumnRenamed("key", "found_key")
+    out = keyed.select("id", "key").join(found, F.col("key").eqNullSafe(F.col("found_key")), "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("families", F.lit(UNKNOWN)).alias("families"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

@@ -158,7 +158,7 @@ def test_quality_measures(spark):
 
 def test_mixing(spark):
     rows = _corpus(n=300)
-    got = mixing.entropy_mix(_docs(spark, rows), keep=("n_chars",)).collect()
+    got = mixing.entropy_mix(_docs(spark, rows)).collect()
     again = mixing.entropy_mix(_docs(spark, rows[::-1])).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
     taken, goal = {}, {}
@@ -250,6 +250,15 @@ def test_license_scan(spark):
     assert got == {1: "MIT", 2: "GPL-3.0", 3: "unknown", 4: "unknown", 5: "unknown", 6: "Apache-2.0", 7: "CC-BY-NC"}
 
 
+def test_license_held_out_notices(spark):
+    """Leads and identifiers of which the model has seen others only, and rows that share an id."""
+    rows = [(1, "Provided to you under the terms of the MIT License", "s"), (2, "/* SPDX-License-Identifier: GPL-3.0-or-later */", "s"), (3, "The licence is the MIT license.", "s"), (4, "Shared with all under the Mozilla Public License, version 2.0", "s")]
+    rows += [(5, "nothing here", "s"), (5, "Released under the ISC License.", "s"), (5, "Released under the ISC License.", "s"), (6, "He holds a license under the law of the state.", "s"), (7, "word " * 200_000 + "\nReleased under the MIT License.", "s")]
+    docs = _docs(spark, rows)
+    got = sorted((r.doc_id, r.families, r.n_notices) for r in license_scan.license_of(docs, license_scan.train(spark, docs)).collect())
+    assert got == [(1, "MIT", 1), (2, "GPL-3.0", 1), (3, "MIT", 1), (4, "MPL-2.0", 1), (5, "ISC", 1), (5, "ISC", 1), (5, "unknown", 0), (6, "unknown", 0), (7, "MIT", 1)]
+
+
 def test_license_scan_wrapped(spark):
     mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
