@@ -22,8 +22,11 @@ WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all words (percent), and no source or document more than LIMIT times its own.
 TOTAL_PERCENT = 150
 LIMIT = 2
-SALTS = 64
-ITERATIONS = 24
+#: Rows of one (source, size) that are ranked in one task, about.
+RANKED = 1 << 18
+#: A source's expected words may miss its target by this share; rounds after which the search gives up with an error.
+TOLERANCE = 1e-7
+ITERATIONS = 120
 
 
 def text_size(text):
@@ -66,6 +69,8 @@ def rates(histogram: DataFrame, goals: DataFrame, iterations: int = ITERATIONS)
         )
     )
     for _ in range(iterations):
+        if state.where("not done").isEmpty():
+            return state.select("source", "mean", F.when(F.col("full"), F.lit(1e9)).otherwise(F.col("lam")).alias("lam"))
         h = histogram.withColumnRenamed("source", "hs").where("size > 0")
         x = F.col("size") / F.col("mean")
         q = F.least(F.lit(float(LIMIT)), F.exp(F.least(F.col("lam") * x, F.lit(1.0))))
@@ -79,15 +84,13 @@ def rates(histogram: DataFrame, goals: DataFrame, iterations: int = ITERATIONS)
         # outside the bracket, or without a slope: halve the bracket, or stride towards an open end
         middle = F.when(F.col("lo2") <= -700, F.col("hi2") - 2 * (1 + F.abs("hi2"))).when(F.col("hi2") >= 700, F.col("lo2") + 2 * (1 + F.abs("lo2"))).otherwise((F.col("lo2") + F.col("hi2")) / 2)
         step = F.when(F.col("done") | F.col("full"), F.col("lam")).when((newton > F.col("lo2")) & (newton < F.col("hi2")), newton).otherwise(middle)
-        done = F.col("full") | (F.abs(gap) <= F.col("target") * 1e-7)
+        done = F.col("full") | (F.abs(gap) <= F.col("target") * TOLERANCE)
         state = stage(df.select("source", "target", "source_size", "mean", F.when(done, F.col("lam")).otherwise(step).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "full", done.alias("done")))
-        if state.where("not done").isEmpty():
-            break
-    return state.select("source", "mean", F.when(F.col("full"), F.lit(1e9)).otherwise(F.col("lam")).alias("lam"))
+    raise RuntimeError(f"no rates within {TOLERANCE} of the targets after {iterations} rounds")
 
 
-def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken (and the columns in ``keep``).
+def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies, taken.
 
     copies is 0, 1 or 2 and taken = copies * size.  A source's taken words come
     within about one short document of its target.  Null texts have size 0 and,
@@ -95,9 +98,22 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other, last in order.  Repeated rows are documents of their own.  The
     result depends on the rows only, so reruns agree.  No rows give no rows.
     """
-    # Kept columns wait in the staged rows and are joined once, by the row's own key.
-    whole = stage(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), *(F.col(c).alias(f"k_{c}") for c in keep)))
-    df = whole.select("key", "id", "source", "size")
+    df = stage(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size")))
+    return _copies(df).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", "taken")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, as often as the mix takes them (see ``entropy_mix``)."""
+    whole = stage(docs.select(F.monotonically_increasing_id().alias("_mix_key"), text_size(F.col(text_col)).alias("_mix_size"), *docs.columns))
+    narrow = whole.select(F.col("_mix_key").alias("key"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("_mix_size").alias("size"))
+    times = _copies(narrow).where("copies > 0").select(F.col("key").alias("_mix_key"), F.col("copies").alias("_mix_copies"))
+    rows = whole.join(times, "_mix_key").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    return rows.select(*docs.columns)
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    """(key, id, source, size, source_size, target, copies, taken) of staged rows (key, id, source, size)."""
+    salts = max(64, df.count() // RANKED)
     histogram = stage(df.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goals = stage(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))))
     tilt = rates(histogram, goals)
@@ -111,7 +127,7 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     falling = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cells = stage(cells.withColumn("before", F.coalesce(F.sum(F.col("rate") * F.col("n")).over(falling), F.lit(0.0))).select(F.col("source").alias("cs"), F.col("size").alias("cz"), "source_size", "target", "rate", "before"))
 
-    salted = df.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salted = df.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     within = Window.partitionBy("source", "size", "salt")
     counts = salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
     counts = counts.withColumn("skip", F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -140,7 +156,4 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     moves = few.select(F.col("source").alias("ms"), "sign", F.explode(F.aggregate("xs", start, fits)["chosen"]).alias("c")).select("ms", "sign", F.col("c.size").alias("mz"), F.col("c.salt").alias("mt"), F.col("c.rank").alias("mr"))
     out = placed.join(moves, F.expr("source <=> ms and size = mz and salt = mt and rank = mr"), "left")
     copies = F.col("copies") + F.coalesce("sign", F.lit(0))
-    out = out.select("key", F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-    if keep:
-        out = out.join(whole.select("key", *(F.col(f"k_{c}") for c in keep)), "key")
-    return out.select(*(c for c in out.columns if c != "key" and not c.startswith("k_")), *(F.col(f"k_{c}").alias(c) for c in keep))
+    return out.select("key", "id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
