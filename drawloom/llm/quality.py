@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, stage, words_of
+from .common import SPACE_CLASS, WORD_CLASS, join_hot, stage, words_of
 
-#: Documents a group needs for fences of its own.
+#: Documents with words that a group needs for fences of its own; smaller groups are held to those of their language, small languages to those of all.
 MIN_GROUP = 200
 #: A fence stands this many quartile distances beyond the quartile.
 SPREADS = 4
@@ -78,7 +78,7 @@ def sketches(measured_docs: DataFrame) -> DataFrame:
     return df.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
+def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, fences): for every group the struct of limits it is held to."""
     levels = {"of_group": ["lang", "source"], "of_lang": ["lang"], "of_all": []}
     groups = sketch.select("lang", "source").distinct()
@@ -95,7 +95,7 @@ def fences(sketch: DataFrame) -> DataFrame:
         made = quart.select(*keys, "measure", "total", (value("q3") + spread * SPREADS).alias("hi"), F.when(both, value("q1") - spread * SPREADS).otherwise(F.lit(-1)).alias("lo"))
         pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).cast("long").alias(f"{m}_{c}")
         made = made.groupBy(*keys).agg(F.max("total").alias("total"), *(pick(m, c) for m in MEASURES for c in ("hi", "lo")))
-        made = made.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.when(F.lit(not keys) | (F.col("total") >= MIN_GROUP), F.struct(*(f"{m}_{c}" for m in MEASURES for c in ("hi", "lo")))).alias(level))
+        made = made.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.when(F.lit(not keys) | (F.col("total") >= min_group), F.struct(*(f"{m}_{c}" for m in MEASURES for c in ("hi", "lo")))).alias(level))
         if keys:
             on = [groups[k].eqNullSafe(made[f"k_{k}"]) for k in keys]
             groups = groups.join(made, on[0] if len(on) == 1 else on[0] & on[1], "left").drop(*(f"k_{k}" for k in keys))
@@ -104,23 +104,31 @@ def fences(sketch: DataFrame) -> DataFrame:
     return groups.select("lang", "source", F.coalesce("of_group", "of_lang", "of_all").alias("fences"))
 
 
-def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, text_col: str = "text", min_group: int = MIN_GROUP) -> DataFrame:
     """``docs`` with ``_q_`` columns: the base measures, ``_q_base_failed`` and ``_q_kept``.
 
     A null, empty or blank text has no words and fails the base rule.  Null
     languages and sources are groups of their own.  Repeated rows come back
     each; no rows give no rows.
     """
-    df = stage(measured(docs, text_col))
-    limits = fences(stage(sketches(df))).select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), F.col("fences").alias("_q_fences"))
-    df = df.join(limits, df["lang"].eqNullSafe(limits["_q_lang"]) & df["source"].eqNullSafe(limits["_q_source"]), "left")
+    group = F.to_json(F.struct("lang", "source"))
+    df = stage(measured(docs, text_col).withColumn("_q_group", group))
+    sketch = stage(sketches(df))
+    limits = fences(sketch, min_group).select(group.alias("_q_group"), F.col("fences").alias("_q_fences"))
+    rows = df.groupBy("_q_group").agg(F.count(F.lit(1)).alias("_q_rows"))
+    limits = stage(rows.join(limits, "_q_group", "left"))
+    df = join_hot(df, limits, ["_q_group"], "_q_rows", df.count(), 0)
     inside = F.lit(True)
     for m, v in _rates().items():
         inside = inside & (v <= F.col(f"_q_fences.{m}_hi")) & (v >= F.col(f"_q_fences.{m}_lo"))
     df = df.withColumn("_q_base_failed", _base_failed())
-    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce(inside, F.lit(False))).drop("_q_lang", "_q_source", "_q_fences")
+    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce(inside, F.lit(False))).drop("_q_group", "_q_rows", "_q_fences")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they are."""
-    return judged(docs, text_col).where("_q_kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text_col: str = "text", min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of ``docs`` that pass, with their columns as they are.
+
+    Null, empty and blank texts do not pass; repeated rows pass or fail each; no
+    rows give no rows.
+    """
+    return judged(docs, text_col, min_group).where("_q_kept").select(*docs.columns)
