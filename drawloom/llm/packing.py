@@ -29,7 +29,8 @@ CAPACITY = 2048
 GROUPS = 256
 #: Lengths above this share of the capacity are large.
 LARGE = 8
-SALTS = 64
+#: Pieces of one length that are ranked in one task, about.
+RANKED = 1 << 18
 #: Cached chunks and parts, each, in a Python worker.
 CACHE = 200_000
 
@@ -258,18 +259,20 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Data
     lengths, at most ``capacity`` rows, goes to the driver.
     """
     spark = cut.sparkSession
-    cut = stage(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    cut = stage(cut)
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = np.array(sorted(plan(histogram, capacity, groups)), np.int64).reshape(-1, 5)
     keys = spark.sparkContext.broadcast((rows[:, 0] << 44 | rows[:, 1], rows))
 
-    # at most capacity x SALTS rows
+    # one row a length; and at most 8 a length and 8 for every RANKED pieces
+    salts = spark.createDataFrame([(length, 8 * (1 + n // RANKED)) for length, n in histogram.items()], "length long, salts int")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts").cast("int"))
+    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")).cast("long") - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")).cast("long") - 1)
     ranked = ranked.join(F.broadcast(before), ["length", "salt"])
-    columns = [c for c in cut.columns if c != "salt"]
+    columns = cut.columns
     ranked = ranked.select(*columns, (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches):
