@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_hot, stage
 
 #: (host and its subdomains, path prefix, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -56,7 +56,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight) between different hosts: how often pages of src link to dst, and parent steps both ways."""
     target = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^\s"'<>/?#]+)"""), F.lit(1)))
     links = pages.select(F.col("host").alias("src"), target.alias("to")).select("src", F.translate("to", _UPPER, _LOWER).alias("dst")).where("src <> '' and dst <> ''")
-    links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    links = stage(links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
     hosts = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).unionByName(pages.select("host")).where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -113,6 +113,8 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_
     url = F.col(url_col)
     df = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_col).alias("html"))
     df = df.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", F.col("found.verdict"))
-    scores = host_scores(df, threshold).select(F.col("host").alias("h"), F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow").alias("by_graph"))
-    out = df.drop("html").join(scores, F.expr("host = h"), "left")
+    scores = host_scores(df, threshold).select("host", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow").alias("by_graph"))
+    df = df.drop("html")
+    rows = df.groupBy("host").agg(F.count(F.lit(1)).alias("rows"))
+    out = join_hot(df, stage(rows.join(scores, "host", "left")), ["host"], "rows", df.count())
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("verdict", "by_graph", F.lit("allow")).alias("verdict"))
