@@ -43,7 +43,7 @@ STEMS = (4, 5, 6)
 LEVELS = 3
 #: Features are fitted whose shares in toxic and clean texts differ by this many standard errors; at most MAX_FEATURES, the most different.
 SCREEN = 4.0
-MAX_FEATURES = 2000
+MAX_FEATURES = 600
 #: L1 penalties, from strong to weak.
 PATH = (3e-3, 1e-3, 3e-4, 1e-4, 3e-5)
 
@@ -193,7 +193,7 @@ def _descend(x: _Rows, y: np.ndarray, pull: np.ndarray, l1: float, w: np.ndarray
     return w, b
 
 
-def fit(sets: list[list[bytes]], labels: np.ndarray, prior: float | None = None, fairness: float = 10.0, groups=IDENTITY_TERMS, path=PATH, screen: float = SCREEN, most: int = MAX_FEATURES, rounds: int = 800) -> ToxicityModel:
+def fit(sets: list[list[bytes]], labels: np.ndarray, prior: float | None = None, fairness: float = 10.0, groups=IDENTITY_TERMS, path=PATH, screen: float = SCREEN, most: int = MAX_FEATURES, rounds: int = 400) -> ToxicityModel:
     """The model from features (of distinct texts) and labels.
 
     ``fairness`` weighs the mean squared score change under swaps of identity
@@ -257,14 +257,26 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             sets = [s for _, s in word_sets(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.binary()))], ["doc_id", "label", "features"])
 
-    rows = stage(rows.mapInArrow(features, "doc_id long, label int, features array<binary>"))
-    # what hardly a text of the sample has is left on the executors
-    common = rows.select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3)
-    each = rows.select("doc_id", "label", F.explode("features").alias("f")).join(common, "f").groupBy("doc_id", "label").agg(F.sort_array(F.collect_set("f")).alias("fs"))
-    got = sorted((r.doc_id, r.label, tuple(map(bytes, r.fs))) for r in rows.select("doc_id", "label").distinct().join(each, ["doc_id", "label"], "left").select("doc_id", "label", F.coalesce("fs", F.array().cast("array<binary>")).alias("fs")).collect())
-    distinct = list({(label, fs): None for _, label, fs in got})
+    rows = rows.mapInArrow(features, "doc_id long, label int, features array<binary>").withColumn("features", F.array_sort("features"))
+    # texts with equal features and label count once
+    rows = rows.withColumn("mark", F.xxhash64("features"))
+    first = rows.groupBy("label", "mark").agg(F.min("doc_id").alias("doc_id"))
+    rows = stage(rows.join(first, ["label", "mark", "doc_id"], "left_semi").dropDuplicates(["label", "mark"]).select("doc_id", "label", "features"))
+    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = totals.ones / totals.n if totals.n else 0.0
-    return fit([list(fs) for _, fs in distinct], np.array([label for label, _ in distinct], float), prior, **options)
+    if len(n) < 2:
+        return fit([[]] * n.get(0, 0) + [[]] * n.get(1, 0), np.repeat([0.0, 1.0], [n.get(0, 0), n.get(1, 0)]), prior, **options)
+    # only features that the screen lets through, and identity terms, go to the driver
+    groups, screen, most = (options.get(k, v) for k, v in (("groups", IDENTITY_TERMS), ("screen", SCREEN), ("most", MAX_FEATURES)))
+    counts = rows.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum("label").alias("a")).where("c >= 3")
+    share = F.col("c") / (n[0] + n[1])
+    z = (F.col("a") / n[1] - (F.col("c") - F.col("a")) / n[0]) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n[1] + 1 / n[0]))
+    telling = counts.select("f", F.abs(z).alias("z")).where(F.col("z") >= screen).orderBy(F.col("z").desc(), "f").limit(most).select("f")
+    names = docs.sparkSession.createDataFrame([(t.encode(),) for g in groups for t in g], "f binary")
+    wanted = telling.unionByName(names).distinct()  # at most ``most`` and the terms
+    each = rows.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(wanted), "f").groupBy("doc_id").agg(F.sort_array(F.collect_list("f")).alias("fs"))
+    got = sorted((r.doc_id, r.label, tuple(map(bytes, r.fs or ()))) for r in rows.select("doc_id", "label").join(each, "doc_id", "left").collect())
+    return fit([list(fs) for _, _, fs in got], np.array([label for _, label, _ in got], float), prior, **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
