@@ -204,46 +204,71 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "document", F.posexplode(F.split("text", r"\n[^a-zA-Z0-9]*\n")).alias("paragraph", "text"))
 
 
-def windows(found: DataFrame) -> DataFrame:
-    """(id, document, row, paragraph, first, last, text): a paragraph's lines and runs of up to MAX_LINES of its lines."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[a-zA-Z0-9]"))
-    df = found.select("id", "document", "row", "paragraph", _alone(lines, "lines"))
-    df = df.select("id", "document", "row", "paragraph", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("first")).where(F.size("lines") > 0)
-    last = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + MAX_LINES, F.size("lines")) - 1)).alias("last")
-    df = df.select("id", "document", "row", "paragraph", "first", "lines", last)
-    return df.select("id", "document", "row", "paragraph", "first", "last", F.array_join(F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n").alias("text"))
+def _lines(df: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` and the ``lines`` with a word of a paragraph's text."""
+    return df.select(*kept, _alone(F.filter(F.split("text", "\n"), lambda x: x.rlike("[a-zA-Z0-9]")), "lines")).where(F.size("lines") > 0)
+
+
+KEY = ["id", "document", "row", "paragraph", "first", "last"]
+
+
+def _join(first: Column, last: Column) -> Column:
+    return F.array_join(F.slice("lines", first + 1, last - first + 1), "\n").alias("text")
+
+
+def _likely(found: DataFrame, known: list[str]) -> DataFrame:
+    """Rows (KEY, text) as (KEY, grams), where they cover a template."""
+    return _known(F.col("text"), known, found, *KEY).where(F.size("grams") >= LEAST).where(_coverage("grams") >= CONFIRM)
+
+
+def _judged(likely: DataFrame, model: dict) -> DataFrame:
+    """(KEY, family, confidence, coverage) of the rows (KEY, grams) that are notices."""
+    weights = likely.sparkSession.createDataFrame(list(zip(model["grams"], model["weights"], strict=True)), "gram string, w array<double>")  # bounded by the templates
+    k = len(model["classes"])
+    hits = likely.select(*KEY, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy(*KEY).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)), F.collect_set("gram").alias("grams"))
+    logits = F.array(*(F.col(f"z{i}") + F.lit(model["bias"][i]) for i in range(k)))
+    df = hits.select(*KEY, "grams", logits.alias("z")).withColumn("top", F.array_max("z"))
+    df = df.withColumn("confidence", 1 / F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))).withColumn("class", F.array_position("z", F.col("top")) - 1)
+    df = df.withColumn("family", F.get(_literals(model["classes"]), F.col("class").cast("int"))).where((F.col("family") != UNKNOWN) & (F.col("confidence") >= CONFIDENCE))
+    df = df.withColumn("coverage", _coverage("grams", F.col("family"))).where(F.col("coverage") >= CONFIRM)
+    return df.select(*KEY, "family", "confidence", "coverage")
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, document, paragraph, first, last, family, confidence, coverage) of every notice, with its lines in the paragraph.
 
-    A line may be a notice by itself.  Windows of several lines count where they
-    hold no such line; of overlapping windows of one family those count that end
-    first and are shortest.  Null, empty and blank texts state no licence.
+    A line may be a notice by itself.  Windows of several lines count in the runs
+    of lines between such lines; of overlapping windows of one family those count
+    that end first and are shortest.  Only runs that cover a template enough are
+    cut into windows.  Null, empty and blank texts state no licence.
     ``document`` numbers the rows of ``docs``, so rows with the same id are told
     apart.
     """
-    spark = docs.sparkSession
-    weights = spark.createDataFrame(list(zip(model["grams"], model["weights"], strict=True)), "gram string, w array<double>")  # bounded by the templates
-    runs = _known(F.col("text"), model["grams"], paragraphs(docs, id_col, text_col), "id", "document", "paragraph", "text").where(F.size("grams") >= LEAST).where(_coverage("grams") >= CONFIRM)
+    known = model["grams"]
+    runs = _known(F.col("text"), known, paragraphs(docs, id_col, text_col), "id", "document", "paragraph", "text").where(F.size("grams") >= LEAST).where(_coverage("grams") >= CONFIRM)
     runs = stage(runs.select("id", "document", "paragraph", "text", F.monotonically_increasing_id().alias("row")))
-    key = ["id", "document", "row", "paragraph", "first", "last"]
-    likely = _known(F.col("text"), model["grams"], windows(runs), *key).where(F.size("grams") >= LEAST).where(_coverage("grams") >= CONFIRM)
-    k = len(model["classes"])
-    hits = likely.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)), F.collect_set("gram").alias("grams"))
-    logits = F.array(*(F.col(f"z{i}") + F.lit(model["bias"][i]) for i in range(k)))
-    df = hits.select(*key, "grams", logits.alias("z")).withColumn("top", F.array_max("z"))
-    df = df.withColumn("confidence", 1 / F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))).withColumn("class", F.array_position("z", F.col("top")) - 1)
-    df = df.withColumn("family", F.get(_literals(model["classes"]), F.col("class").cast("int"))).where((F.col("family") != UNKNOWN) & (F.col("confidence") >= CONFIDENCE))
-    df = df.withColumn("coverage", _coverage("grams", F.col("family"))).where(F.col("coverage") >= CONFIRM)
+    own = ["id", "document", "row", "paragraph"]
+    lines = _lines(runs, *own)
+    single = lines.select(*own, F.posexplode("lines").alias("first", "text")).withColumn("last", F.col("first"))
+    alone = stage(_judged(_likely(single, known), model))
+
+    taken = alone.groupBy("row").agg(F.array_sort(F.collect_list("first")).alias("cuts"))  # a paragraph's lines
+    cuts = F.concat(F.array(F.lit(-1)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.size("lines")))
+    between = F.filter(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda i: F.struct((F.get(cuts, i) + 1).alias("first"), (F.get(cuts, i + 1) - 1).alias("last"))), lambda x: x["last"] > x["first"])
+    parts = lines.join(taken, "row", "left").select(*own, "lines", F.explode(between).alias("x")).select(*own, "x.first", "x.last", _join(F.col("x.first"), F.col("x.last")))
+    parts = _known(F.col("text"), known, parts, *KEY, "text").where(F.size("grams") >= LEAST).where(_coverage("grams") >= CONFIRM)
+    parts = parts.select(*own, F.col("first").alias("from"), F.split("text", "\n").alias("lines"))
+    starts = parts.select(*own, "from", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 2)).alias("first"))
+    windows = starts.select(*own, "from", "lines", "first", F.explode(F.sequence(F.col("first") + 1, F.least(F.col("first") + MAX_LINES, F.size("lines")) - 1)).alias("last"))
+    windows = windows.select(*own, (F.col("from") + F.col("first")).alias("first"), (F.col("from") + F.col("last")).alias("last"), _join(F.col("first"), F.col("last")))
+    df = _judged(_likely(windows, known), model)
+
     one = F.struct("last", (-F.col("first")).alias("back"), "first", "confidence", "coverage")
-    alone = F.collect_set(F.when(F.col("first") == F.col("last"), F.col("first"))).over(Window.partitionBy("row"))
-    df = df.withColumn("alone", alone).where((F.col("first") == F.col("last")) | ~F.exists("alone", lambda x: (x >= F.col("first")) & (x <= F.col("last"))))
     fits = df.groupBy("id", "document", "row", "paragraph", "family").agg(F.array_sort(F.collect_list(one)).alias("fits"))
     none = F.filter("fits", lambda x: F.lit(False))
-    taken = F.aggregate("fits", none, lambda a, x: F.when((F.size(a) == 0) | (F.element_at(a, -1)["last"] < x["first"]), F.concat(a, F.array(x))).otherwise(a))
-    df = fits.select("id", "document", "row", "paragraph", "family", F.explode(taken).alias("x"))
-    return df.select(F.col("id").alias(id_col), "document", "paragraph", "x.first", "x.last", "family", "x.confidence", "x.coverage")
+    chosen = F.aggregate("fits", none, lambda a, x: F.when((F.size(a) == 0) | (F.element_at(a, -1)["last"] < x["first"]), F.concat(a, F.array(x))).otherwise(a))
+    several = fits.select("id", "document", "paragraph", "family", F.explode(chosen).alias("x")).select("id", "document", "paragraph", "x.first", "x.last", "family", "x.confidence", "x.coverage")
+    return alone.select("id", "document", "paragraph", "first", "last", "family", "confidence", "coverage").unionByName(several).withColumnRenamed("id", id_col)
 
 
 def license_of(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
