@@ -1,18 +1,20 @@
-"""Aggregates, windows and tests over draws in long form (lottery, ord, zone, num)."""
+"""Aggregates, windows and tests over draws and over their numbers (lottery, num[, ord])."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def with_order(draws: DataFrame) -> DataFrame:
-    """Number the draws of a game from 1 in issue order."""
-    return draws.withColumn("ord", F.row_number().over(Window.partitionBy("lottery").orderBy("issue_year", "issue_seq")))
+from .order import by, carried, medians, stretched, with_order
 
 
 def draw_numbers(draws: DataFrame) -> DataFrame:
-    """One row per drawn number."""
+    """One row per drawn number, in no order."""
+    return draws.select("lottery", F.explode(F.col("front").cast("array<int>")).alias("num"))
+
+
+def numbered(draws: DataFrame) -> DataFrame:
+    """One row per drawn number with the place ``ord`` of its draw."""
     return with_order(draws).select("lottery", "ord", F.explode(F.col("front").cast("array<int>")).alias("num"))
 
 
@@ -51,62 +53,97 @@ def uniformity(freq: DataFrame, per_draw: int) -> DataFrame:
     return g.select("lottery", "n", (F.col("k") - 1).alias("df"), F.round(chi, 6).alias("chi2"), F.round(F.sqrt(chi / (F.col("n") * (F.col("k") - 1))), 6).alias("v"), F.round(deviation, 6).alias("deviation"))
 
 
-def co_occurrence(numbers: DataFrame) -> DataFrame:
+def co_occurrence(draws: DataFrame) -> DataFrame:
     """Pairs of numbers drawn together, a < b."""
-    a, b = numbers.withColumnRenamed("num", "a"), numbers.withColumnRenamed("num", "b")
-    return a.join(b, ["lottery", "ord"]).where("a < b").groupBy("lottery", "a", "b").agg(F.count(F.lit(1)).alias("times"))
+    n = F.array_sort(F.col("front").cast("array<int>"))
+    pairs = F.flatten(F.transform(n, lambda x, i: F.transform(F.slice(n, i + 2, F.size(n)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return draws.select("lottery", F.explode(pairs).alias("p")).groupBy("lottery", "p.a", "p.b").agg(F.count(F.lit(1)).alias("times"))
 
 
-def grid(numbers: DataFrame, size: int) -> DataFrame:
-    """Every draw with every number and whether it was drawn."""
-    every = numbers.select("lottery", "ord").distinct().select("lottery", "ord", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("num"))
-    hit = numbers.select("lottery", "ord", "num", F.lit(1).alias("hit"))
-    return every.join(hit, ["lottery", "ord", "num"], "left").fillna(0, ["hit"])
+def hits(size: int, numbers: str = "front") -> list[Column]:
+    """Whether each of the numbers 1..size was drawn, as 0 and 1."""
+    return [F.array_contains(numbers, F.lit(i).cast("bigint")).cast("int") for i in range(1, size + 1)]
 
 
-def rolling_counts(cells: DataFrame, width: int) -> DataFrame:
-    """Times drawn in the last ``width`` draws, the draw itself included."""
-    w = Window.partitionBy("lottery", "num").orderBy("ord").rowsBetween(-width + 1, 0)
-    return cells.select("lottery", "ord", "num", F.sum("hit").over(w).alias("times"))
+def past_counts(draws: DataFrame, size: int, width: int) -> DataFrame:
+    """(lottery, ord, front, counts): times each number came in the ``width`` draws before, by running sums within stretches."""
+    d = stretched(with_order(draws).select("lottery", "ord", "front"), width)
+    upto = by().rowsBetween(Window.unboundedPreceding, -1)
+    runs = d.select("lottery", "stretch", "ord", "front", "lead", *(F.coalesce(F.sum(h).over(upto), F.lit(0)).alias(f"_r{i}") for i, h in enumerate(hits(size))))
+    back = [(F.col(f"_r{i}") - F.coalesce(F.lag(f"_r{i}", width).over(by()), F.lit(0))).cast("bigint") for i in range(size)]
+    return runs.select("lottery", "ord", "front", "lead", F.array(*back).alias("counts")).where(~F.col("lead")).drop("lead")
 
 
-def omission_history(cells: DataFrame) -> DataFrame:
-    """Draws since a number was seen, before each draw; never seen counts all earlier draws."""
-    w = Window.partitionBy("lottery", "num").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("hit") == 1, F.col("ord")), ignorenulls=True).over(w)
-    return cells.select("lottery", "ord", "num", (F.col("ord") - 1 - F.coalesce(last, F.lit(0))).cast("bigint").alias("omitted"))
+def omissions(draws: DataFrame, size: int) -> DataFrame:
+    """(lottery, ord, front, omitted): draws since each number came, before each draw; never seen counts all earlier draws."""
+    seen = [F.when(h == 1, F.col("ord")) for h in hits(size)]
+    d = with_order(draws).select("lottery", "ord", "front", *(c.alias(f"_s{i}") for i, c in enumerate(seen)))
+    names = [f"_s{i}" for i in range(size)]
+    far = carried(d, names).select("lottery", "stretch", F.array(*names).alias("far"))
+    upto = by().rowsBetween(Window.unboundedPreceding, -1)
+    near = stretched(d).select("lottery", "stretch", "ord", "front", F.array(*(F.max(c).over(upto) for c in names)).alias("near")).join(far, ["lottery", "stretch"])
+    last = F.zip_with("near", "far", lambda a, b: F.coalesce(a, b, F.lit(0)))
+    return near.select("lottery", "ord", "front", F.transform(last, lambda x: (F.col("ord") - 1 - x).cast("bigint")).alias("omitted"))
 
 
-def lag_frame(draws: DataFrame) -> DataFrame:
-    """Sales of the draws before: lags, means of the last 4 and 8, and the current streak without a first prize."""
-    by = Window.partitionBy("lottery").orderBy("ord")
-    back = lambda n: by.rowsBetween(-n, -1)
-    d = with_order(draws)
-    mean = lambda n, least: F.when(F.count("sales").over(back(n)) >= least, F.round(F.avg("sales").over(back(n)), 4))
-    won = F.last(F.when(F.col("first_winners") > 0, F.col("ord")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return d.select("lottery", "ord", F.lag("sales", 1).over(by).alias("lag1"), F.lag("sales", 2).over(by).alias("lag2"), mean(4, 2).alias("ma4"), mean(8, 4).alias("ma8"), (F.col("ord") - 1 - F.coalesce(won, F.lit(0))).cast("bigint").alias("dry"))
+def _by_number(d: DataFrame, values: str, name: str) -> DataFrame:
+    return d.select("lottery", "ord", F.posexplode(values).alias("_i", name)).select("lottery", "ord", (F.col("_i") + 1).alias("num"), name)
+
+
+def rolling_counts(draws: DataFrame, size: int, width: int) -> DataFrame:
+    """Times drawn in the last ``width`` draws, the draw itself included, of every draw and number."""
+    d = past_counts(draws, size, width - 1)
+    now = F.transform("counts", lambda c, i: c + F.array_contains("front", i.cast("bigint") + 1).cast("bigint"))
+    return _by_number(d.select("lottery", "ord", now.alias("now")), "now", "times")
 
 
-def adjacent_repeat(draws: DataFrame) -> DataFrame:
-    """Share of draws with a number of the draw before."""
-    w = Window.partitionBy("lottery").orderBy("issue_year", "issue_seq")
-    d = draws.withColumn("prev", F.lag("front").over(w)).where("prev is not null")
-    return d.groupBy("lottery").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.arrays_overlap("front", "prev"), 1)).alias("repeats"))
+def omission_history(draws: DataFrame, size: int) -> DataFrame:
+    """Omission of every number before every draw."""
+    return _by_number(omissions(draws, size), "omitted", "omitted")
+
+
+def lag_frame(draws: DataFrame) -> DataFrame:
+    """Sales and first winners of the draws before: lags, means of the last 4 and 8, momentum, wins in the last 8, the streak without a first prize, and the calendar."""
+    d = with_order(draws).withColumn("_won", F.when(F.col("first_winners") > 0, F.col("ord")))
+    back = lambda n: by().rowsBetween(-n, -1)
+    mean = lambda n, least: F.when(F.count("sales").over(back(n)) >= least, F.round(F.avg("sales").over(back(n)), 4))
+    lag = lambda c, n=1: F.lag(c, n).over(by())
+    far = carried(d, ["_won"]).withColumnRenamed("_won", "_far")
+    near = F.max("_won").over(by().rowsBetween(Window.unboundedPreceding, -1))
+    out = stretched(d, 8).select(
+        "lottery", "stretch", "ord", "lead", lag("sales").alias("lag1"), lag("sales", 2).alias("lag2"), mean(4, 2).alias("ma4"), mean(8, 4).alias("ma8"), lag("first_winners").alias("winners1"),
+        F.sum((F.col("first_winners") > 0).cast("int")).over(back(8)).cast("bigint").alias("wins8"), near.alias("_near"), F.datediff("draw_date", lag("draw_date")).cast("bigint").alias("days"),
+        F.dayofweek("draw_date").cast("bigint").alias("weekday"), F.month("draw_date").cast("bigint").alias("month"), F.round(F.log1p("sales"), 6).alias("log_sales"),
+    )
+    out = out.where(~F.col("lead")).join(far, ["lottery", "stretch"])
+    dry = (F.col("ord") - 1 - F.coalesce(F.greatest("_near", "_far"), F.lit(0))).cast("bigint")
+    return out.select("lottery", "ord", "lag1", "lag2", "ma4", "ma8", F.round(F.try_divide(F.col("lag1"), F.col("lag2")) - 1, 6).alias("momentum"), "winners1", "wins8", dry.alias("dry"), "days", "weekday", "month", "log_sales")
+
+
+def adjacent_repeat(draws: DataFrame, size: int, choose: int) -> DataFrame:
+    """Share of draws with a number of the draw before, against C(size - choose, choose) / C(size, choose) for none, as z."""
+    d = stretched(with_order(draws).select("lottery", "ord", "front"), 1).withColumn("prev", F.lag("front").over(by())).where("prev is not null and not lead")
+    g = d.groupBy("lottery").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.arrays_overlap("front", "prev"), 1)).alias("repeats"))
+    p = 1.0
+    for i in range(choose):
+        p *= (size - choose - i) / (size - i)
+    p = 1 - p
+    share = F.col("repeats") / F.col("n")
+    return g.select("lottery", "n", "repeats", F.round((share - p) / F.sqrt(F.lit(p * (1 - p)) / F.col("n")), 6).alias("z"), F.round((share - p) / p, 6).alias("effect"))
 
 
 def serial_correlation(draws: DataFrame) -> DataFrame:
-    """Lag-1 correlation of each position of the sorted numbers."""
-    d = with_order(draws).select("lottery", "ord", F.posexplode("front").alias("pos", "x"))
-    w = Window.partitionBy("lottery", "pos").orderBy("ord")
-    return d.withColumn("y", F.lag("x").over(w)).where("y is not null").groupBy("lottery", "pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x", "y"), 6).alias("r"))
+    """Lag-1 correlation of each position of the sorted numbers, with its t and whether it is of practical size."""
+    d = stretched(with_order(draws).select("lottery", "ord", "front"), 1).withColumn("prev", F.lag("front").over(by())).where("prev is not null and not lead")
+    d = d.select("lottery", F.posexplode(F.arrays_zip(F.col("front").alias("x"), F.col("prev").alias("y"))).alias("pos", "z"))
+    g = d.groupBy("lottery", "pos").agg(F.count(F.lit(1)).alias("n"), F.corr("z.x", "z.y").alias("_r"))
+    return g.select("lottery", "pos", "n", F.round("_r", 6).alias("r"), F.round(F.col("_r") * F.sqrt((F.col("n") - 2) / (1 - F.col("_r") * F.col("_r"))), 5).alias("t"), (F.abs("_r") > 0.10).alias("practical"))
 
 
 def runs_test(draws: DataFrame) -> DataFrame:
     """Wald-Wolfowitz runs of sales above and not above the median."""
-    middle = draws.groupBy("lottery").agg(F.percentile("sales", 0.5).alias("middle"))
-    d = with_order(draws).join(F.broadcast(middle), "lottery").withColumn("up", (F.col("sales") > F.col("middle")).cast("int"))
-    w = Window.partitionBy("lottery").orderBy("ord")
-    d = d.withColumn("turn", (F.col("up") != F.lag("up").over(w)).cast("int"))
+    d = with_order(draws).join(F.broadcast(medians(draws, ["lottery"], "sales")), "lottery").withColumn("up", (F.col("sales") > F.col("middle")).cast("int"))  # one row a game
+    d = stretched(d.select("lottery", "ord", "up"), 1).withColumn("turn", (F.col("up") != F.lag("up").over(by())).cast("int")).where("not lead")
     g = d.groupBy("lottery").agg((F.sum("turn") + 1).alias("runs"), F.sum("up").alias("n1"), F.sum(1 - F.col("up")).alias("n2"))
     n1, n2 = F.col("n1"), F.col("n2")
     mean = 2.0 * n1 * n2 / (n1 + n2) + 1
@@ -123,6 +160,20 @@ def bh_adjust(df: DataFrame, p: str, family: list[str], key: list[str]) -> DataF
     return raw.withColumn("p_adjusted", F.round(F.least(F.lit(1.0), F.min("_raw").over(down)), 9)).drop("_raw")
 
 
-def grouping_counts(draws: DataFrame) -> DataFrame:
-    """Draw counts by game and year, by game and over all, in one pass."""
-    return draws.rollup("lottery", "issue_year").agg(F.count(F.lit(1)).alias("draws"), F.sum("sales").alias("sales"))
+def grouping_counts(sources: DataFrame) -> DataFrame:
+    """Draw counts by game, year and source, by game and year, by game and over all, in one pass."""
+    return sources.rollup("lottery", "issue_year", "source").agg(F.count(F.lit(1)).alias("draws"), F.sum("sales").alias("sales"))
+
+
+def companion(draws: DataFrame, size: int, window: int, top: int = 5) -> DataFrame:
+    """Per game and number: mean share of its last ``window`` draws in which the number came with each of the ``top`` hottest of them (itself left out)."""
+    w = Window.partitionBy("lottery").orderBy(F.col("issue_year").desc(), F.col("issue_seq").desc())
+    last = draws.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= window).select("lottery", "front")  # a top-n of each task first
+    hot = hot_cold(frequency(draw_numbers(last), size), top).where("kind = 'hot'").groupBy("lottery").agg(F.collect_list("num").alias("hot"))
+    n = last.groupBy("lottery").agg(F.count(F.lit(1)).alias("n"))
+    d = last.join(F.broadcast(hot), "lottery").select("lottery", "hot", "front", F.explode("front").alias("num"))  # one row a game
+    with_ = F.size(F.filter("hot", lambda t: (t != F.col("num")) & F.array_contains("front", t.cast("bigint"))))
+    seen = d.select("lottery", F.col("num").cast("int").alias("num"), with_.alias("c")).groupBy("lottery", "num").agg(F.sum("c").alias("c"))
+    every = _domain(last, size).join(seen, ["lottery", "num"], "left").join(F.broadcast(n), "lottery").join(F.broadcast(hot), "lottery")
+    others = top - F.array_contains("hot", F.col("num")).cast("int")
+    return every.select("lottery", "num", F.round(F.coalesce("c", F.lit(0)) / others / F.col("n"), 6).alias("rate"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tax
+from .order import rank_by_parts
 from .settle import PRICE
 
 
@@ -34,12 +35,13 @@ def strategy_weights(settled: DataFrame, floor: float = 0.05, least: int = 10) -
 
 
 def hit_trend(settled: DataFrame, n: int = 10, band: float = 0.15) -> DataFrame:
-    """Mean main hits of each strategy's last ``n`` tickets against the ``n`` before: up, down, flat, or none under ``2 * n``."""
+    """Mean total hits of each strategy's last ``n`` tickets against the up to ``n`` before: up, down or flat; none under ``n`` or without older ones."""
     w = Window.partitionBy("strategy").orderBy(F.col("draw_date").desc(), F.col("ticket_id").desc())
-    last = _evaluated(settled).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= 2 * n)
-    g = last.groupBy("strategy").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.when(F.col("_rank") <= n, F.col("h"))).alias("_new"), F.avg(F.when(F.col("_rank") > n, F.col("h"))).alias("_old"))
+    last = _evaluated(settled).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= 2 * n)  # a top-n of each task before the shuffle
+    hits = F.col("h") + F.col("j")
+    g = last.groupBy("strategy").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.when(F.col("_rank") <= n, hits)).alias("_new"), F.avg(F.when(F.col("_rank") > n, hits)).alias("_old"))
     change = F.round(F.col("_new") - F.col("_old"), 6)
-    return g.select("strategy", F.when(F.col("_n") < 2 * n, "none").when(change > band, "up").when(change < -band, "down").otherwise("flat").alias("trend"), change.alias("change"))
+    return g.select("strategy", F.when((F.col("_n") < n) | F.col("_old").isNull(), "none").when(change > band, "up").when(change < -band, "down").otherwise("flat").alias("trend"), change.alias("change"))
 
 
 def batch_ledger(settled: DataFrame) -> DataFrame:
@@ -64,14 +66,25 @@ def ledger_summary(filled: DataFrame) -> DataFrame:
 
 
 def lift(settled: DataFrame, bins: int = 5) -> DataFrame:
-    """Win rates by bins of the distinct scores, against the overall rate."""
-    rows = _evaluated(settled).groupBy("score").agg(F.count(F.lit(1)).alias("tickets"), F.count("grade").alias("wins")).where("score is not null")
-    binned = rows.withColumn("bin", F.ntile(bins).over(Window.orderBy("score")).cast("bigint"))  # one row a distinct score
-    g = binned.groupBy("bin").agg(F.sum("tickets").alias("tickets"), F.sum("wins").alias("wins"))
-    everything = Window.partitionBy()
+    """Win rates by bins of the distinct scores, against the overall rate, with their standard errors and whether they rise throughout.
+
+    Distinct scores are ranked by parts of the score range (``value`` widths), so
+    no task orders all of them; bins are those of ntile.
+    """
+    rows = _evaluated(settled).groupBy("score").agg(F.count(F.lit(1)).alias("tickets"), F.count("grade").alias("wins")).where("score is not null").withColumn("one", F.lit(1))
+    ends = rows.groupBy("one").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n"))
+    rows = rows.join(F.broadcast(ends), "one")  # one row
+    part = F.floor((F.col("score") - F.col("lo")) * 256 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)))
+    ranked = rank_by_parts(rows, ["one"], part, ["score"], "place")
+    big, size = F.col("n") % bins, F.floor(F.col("n") / bins)
+    place = F.col("place") - 1
+    bin_ = F.when(place < big * (size + 1), F.floor(place / (size + 1))).otherwise(big + F.floor((place - big * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    g = ranked.groupBy(bin_.cast("bigint").alias("bin")).agg(F.sum("tickets").alias("tickets"), F.sum("wins").alias("wins"))
+    everything = Window.partitionBy()  # one row a bin
     overall = F.sum("wins").over(everything) / F.sum("tickets").over(everything)
     rate = F.col("wins") / F.col("tickets")
-    return g.select("bin", "tickets", "wins", F.round(rate, 6).alias("rate"), F.round(rate / overall, 6).alias("lift"))
+    g = g.withColumn("_rise", rate >= F.lag(rate).over(Window.orderBy("bin")))
+    return g.select("bin", "tickets", "wins", F.round(rate, 6).alias("rate"), F.round(rate / overall, 6).alias("lift"), F.round(F.sqrt(rate * (1 - rate) / F.col("tickets")), 6).alias("se"), F.coalesce(F.min("_rise").over(everything), F.lit(True)).alias("rising"))
 
 
 def budget_groups(settled: DataFrame) -> DataFrame:

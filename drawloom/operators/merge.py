@@ -24,7 +24,7 @@ def merge_sources(draws: DataFrame) -> DataFrame:
     """One row per draw: numbers of the best source, missing sales taken from the next best, sources listed."""
     best = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), _priority())).alias(c)
     return draws.groupBy(*KEY).agg(
-        best("front"), best("sales"), F.min_by("source", _priority()).alias("source"), F.countDistinct("source").alias("n_src"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("srcs")
+        best("front"), best("back"), best("sales"), best("first_winners"), F.min("draw_date").alias("draw_date"), F.min_by("source", _priority()).alias("source"), F.countDistinct("source").alias("n_src"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("srcs")
     )
 
 
@@ -76,22 +76,63 @@ def duplicate_draws(draws: DataFrame) -> DataFrame:
     return draws.groupBy("lottery", F.array_join(F.array_sort("front"), "-").alias("numbers")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
-def date_gaps(draws: DataFrame, days: int) -> DataFrame:
-    """Per game: longest distance between draws, how many exceed ``days``, draws on a day already used."""
-    w = Window.partitionBy("lottery").orderBy("draw_date", "k")
-    d = draws.withColumn("apart", F.datediff("draw_date", F.lag("draw_date").over(w)))
-    return d.groupBy("lottery").agg(F.max("apart").cast("bigint").alias("longest"), F.count(F.when(F.col("apart") > days, 1)).alias("over"), F.count(F.when(F.col("apart") == 0, 1)).alias("same_day"))
+def duplicate_excess(draws: DataFrame, universe: int) -> DataFrame:
+    """Per game: draws that repeat an earlier combination, against the birthday baseline n (n - 1) / (2 universe), as z."""
+    g = draws.groupBy("lottery", F.array_sort("front").alias("f")).agg(F.count(F.lit(1)).alias("c")).groupBy("lottery").agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("repeats"))
+    expected = F.col("n") * (F.col("n") - 1) / (2.0 * universe)
+    return g.select("lottery", "n", "repeats", F.round(expected, 6).alias("expected"), F.round((F.col("repeats") - expected) / F.sqrt(expected), 6).alias("z"))
 
 
-def source_coverage(draws: DataFrame) -> DataFrame:
-    return draws.groupBy("lottery", "source").agg(F.count(F.lit(1)).alias("draws"), F.min("draw_date").alias("first_date"), F.max("draw_date").alias("last_date"), F.count("sales").alias("with_sales"))
+def duplicate_issues(draws: DataFrame) -> DataFrame:
+    """Issue numbers that a source has more than once."""
+    return draws.groupBy("lottery", "source", "issue").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
-def draw_search(draws: DataFrame, lotteries: list[str], numbers: list[int], low: int, high: int, page: int, size: int) -> DataFrame:
-    """Draws of games with all ``numbers`` and sales in a range, best sales first with nulls last; one page with the total."""
-    found = draws.where(F.col("lottery").isin(*lotteries) & F.col("sales").between(low, high))
-    for x in numbers:
-        found = found.where(F.array_contains("front", x))
-    w = Window.orderBy(F.col("sales").desc_nulls_last(), *KEY)
-    paged = found.select(*KEY, "sales", F.row_number().over(w).alias("place"), F.count(F.lit(1)).over(Window.partitionBy()).alias("total"))
-    return paged.where(F.col("place").between((page - 1) * size + 1, page * size))
+def date_gaps(draws: DataFrame, days: int) -> DataFrame:
+    """Per game: longest distance between draws, how many exceed ``days``, draws on a day already used.
+
+    Only the days that have draws are put in order, not the draws.
+    """
+    per = draws.groupBy("lottery", "draw_date").agg((F.count(F.lit(1)) - 1).alias("again"))
+    w = Window.partitionBy("lottery").orderBy("draw_date")  # one row a day
+    d = per.withColumn("apart", F.datediff("draw_date", F.lag("draw_date").over(w)))
+    longest = F.greatest(F.max("apart"), F.when(F.sum("again") > 0, F.lit(0))).cast("bigint")
+    return d.groupBy("lottery").agg(longest.alias("longest"), F.count(F.when(F.col("apart") > days, 1)).alias("over"), F.sum("again").alias("same_day"))
+
+
+def source_coverage(draws: DataFrame) -> DataFrame:
+    """Per game and source: draws, first and last day, how many have sales and how many a draw order other than the sorted one."""
+    ordered = F.col("front") != F.array_sort("front")
+    return draws.groupBy("lottery", "source").agg(F.count(F.lit(1)).alias("draws"), F.min("draw_date").alias("first_date"), F.max("draw_date").alias("last_date"), F.count("sales").alias("with_sales"), F.count(F.when(ordered, 1)).alias("with_order"))
+
+
+def draw_search(draws: DataFrame, size: int, page: int = 1, lotteries=None, sources=None, dates=None, sales=None, winners=None, numbers=(), bonus=(), text: str = "", by: str = "sales") -> DataFrame:
+    """One page of the draws that meet all filters, best ``by`` first with nulls last, with their places and the total.
+
+    Filters: games, any of the sources (in ``srcs``), a range of days, of sales
+    in units of 10,000 and of first winners, numbers that must all be drawn, and
+    a text within issue number or day.  The page is a distributed top-n.
+    """
+    found = draws
+    if lotteries:
+        found = found.where(F.col("lottery").isin(*lotteries))
+    if sources:
+        found = found.where(F.arrays_overlap(F.split("srcs", ","), F.array(*map(F.lit, sources))))
+    if dates:
+        found = found.where(F.col("draw_date").between(*map(F.lit, dates)))
+    if sales:
+        found = found.where(F.col("sales").between(*(x * 10_000 for x in sales)))
+    if winners:
+        found = found.where(F.col("first_winners").between(*winners))
+    for column, wanted in (("front", numbers), ("back", bonus)):
+        for x in wanted:
+            found = found.where(F.array_contains(column, x))
+    if text:
+        issue = F.concat(F.col("issue_year").cast("string"), F.lpad(F.col("issue_seq").cast("string"), 5, "0"))
+        found = found.where(issue.contains(text) | F.col("draw_date").cast("string").contains(text))
+    order = [F.col(by).desc_nulls_last(), *KEY]
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    top = found.orderBy(*order).limit(page * size)
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")  # page * size rows
+    paged = top.select(*KEY, "sales", place.alias("place")).where(F.col("place") > (page - 1) * size)
+    return paged.crossJoin(F.broadcast(total))  # one row

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draw_stats import with_order
+from .draw_stats import omissions, past_counts
+from .order import PART, by, medians, rank_by_parts, stretched, with_order
 
 
-def summary_stats(freq: DataFrame, omitted: DataFrame) -> DataFrame:
-    """Per game: numbers, mean and population deviation of their frequencies, largest omission."""
-    g = freq.groupBy("lottery").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("times"), 6).alias("mean"), F.round(F.stddev_pop("times"), 6).alias("deviation"))
+def _totals(d: DataFrame) -> DataFrame:
+    """``d`` with the number ``n`` of its game's draws."""
+    return d.join(F.broadcast(d.groupBy("lottery").agg(F.count(F.lit(1)).alias("n"))), "lottery")  # one row a game
+
+
+def summary_stats(freq: DataFrame, omitted: DataFrame, per_draw: int) -> DataFrame:
+    """Per game: numbers, the rate each should have, mean and population deviation of their frequencies, the five hottest and coldest, largest omission."""
+    place = lambda order: F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("t"), F.col("num").alias("num")))), 1, 5), lambda x: x["num"])
+    g = freq.groupBy("lottery").agg(
+        F.count(F.lit(1)).alias("size"), F.round(F.lit(per_draw) / F.count(F.lit(1)), 6).alias("rate"), F.round(F.avg("times"), 6).alias("mean"), F.round(F.stddev_pop("times"), 6).alias("deviation"),
+        F.array_join(place(-F.col("times")), "-").alias("hot"), F.array_join(place(F.col("times")), "-").alias("cold"),
+    )
     return g.join(omitted.groupBy("lottery").agg(F.max("omitted").alias("max_omission")), "lottery")
 
 
@@ -22,44 +32,69 @@ def volatility(freq: DataFrame, per_draw: int) -> DataFrame:
     return g.select("lottery", F.round("seen", 6).alias("seen"), F.round(expected, 6).alias("expected"), F.round((F.col("seen") / expected - 1) * 100, 4).alias("excess"))
 
 
+def _spells(d: DataFrame, value: Column) -> DataFrame:
+    """(lottery, value, first, length) of the longest stretches of draws with one value, in (lottery, ord, ...).
+
+    A draw whose value differs from the one before starts a spell; a spell ends
+    where the next one starts, so only the starts are ordered.
+    """
+    d = stretched(d.select("lottery", "ord", value.alias("value")), 1)
+    starts = d.withColumn("_before", F.lag("value").over(by())).where(~F.col("lead") & ~F.col("value").eqNullSafe(F.col("_before")) | (F.col("ord") == 1))
+    starts = starts.where("not lead").select("lottery", F.col("ord").alias("first"), "value")
+    ranked = with_rank(starts)
+    following = ranked.select("lottery", (F.col("place") - 1).alias("place"), F.col("first").alias("next"))
+    ends = d.where("not lead").groupBy("lottery").agg(F.max("ord").alias("n"))
+    return ranked.join(following, ["lottery", "place"], "left").join(F.broadcast(ends), "lottery").select("lottery", "value", "first", (F.coalesce("next", F.col("n") + 1) - F.col("first")).alias("length"))  # one row a game
+
+
+def with_rank(starts: DataFrame) -> DataFrame:
+    return rank_by_parts(starts, ["lottery"], F.expr(f"first div {PART}"), ["first"], "place")
+
+
 def dry_runs(draws: DataFrame) -> DataFrame:
     """Per game: spells of draws without a first prize, their number and the longest."""
-    dry = F.col("first_winners") == 0
-    d = with_order(draws).withColumn("place", F.row_number().over(Window.partitionBy("lottery", dry).orderBy("ord")))
-    spells = d.where(dry).groupBy("lottery", (F.col("ord") - F.col("place")).alias("spell")).agg(F.count(F.lit(1)).alias("n"))
-    return spells.groupBy("lottery").agg(F.count(F.lit(1)).alias("spells"), F.max("n").alias("longest"))
+    spells = _spells(with_order(draws), F.col("first_winners") == 0).where("value")
+    return spells.groupBy("lottery").agg(F.count(F.lit(1)).alias("spells"), F.max("length").alias("longest"))
+
+
+def same_value_runs(draws: DataFrame) -> DataFrame:
+    """Per game: the longest run of draws with the same bonus number, which number and from which draw on; of equals the first."""
+    spells = _spells(with_order(draws), F.element_at("back", 1))
+    best = F.min(F.struct((-F.col("length")).alias("l"), "first", "value"))
+    return spells.groupBy("lottery").agg(best.alias("b")).select("lottery", (-F.col("b.l")).alias("longest"), "b.first", F.col("b.value").alias("number"))
 
 
 def segments(draws: DataFrame, k: int) -> DataFrame:
-    """Median sales of ``k`` equal stretches of a game's draws."""
-    d = with_order(draws).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lottery")))
-    d = d.withColumn("segment", F.expr(f"(ord - 1) * {k} div n"))
-    return d.groupBy("lottery", "segment").agg(F.count(F.lit(1)).alias("draws"), F.round(F.percentile("sales", 0.5), 4).alias("middle"))
+    """Median sales of ``k`` equal stretches of a game's draws, and whether the last is over 20 % off the first."""
+    d = _totals(with_order(draws)).withColumn("segment", F.expr(f"(ord - 1) * {k} div n"))
+    g = d.groupBy("lottery", "segment").agg(F.count(F.lit(1)).alias("draws")).join(medians(d, ["lottery", "segment"], "sales"), ["lottery", "segment"])
+    ends = g.groupBy("lottery").agg(F.min_by("middle", "segment").alias("_a"), F.max_by("middle", "segment").alias("_b"))
+    return g.join(F.broadcast(ends), "lottery").select("lottery", "segment", "draws", F.round("middle", 4).alias("middle"), (F.abs(F.col("_b") / F.col("_a") - 1) > 0.2).alias("shifted"))  # one row a game
 
 
 def walk_forward_folds(draws: DataFrame, splits: int, min_train: int) -> DataFrame:
     """Validation blocks after the first ``min_train`` draws; a block trains on all strictly older draws."""
-    d = with_order(draws).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lottery"))).where(F.col("ord") > min_train)
+    d = _totals(with_order(draws)).where(F.col("ord") > min_train)
     d = d.withColumn("fold", F.expr(f"(ord - 1 - {min_train}) * {splits} div (n - {min_train})"))
     return d.groupBy("lottery", "fold").agg(F.count(F.lit(1)).alias("validate"), (F.min("ord") - 1).cast("bigint").alias("train"))
 
 
 def serial_pairs(draws: DataFrame, size: int) -> DataFrame:
     """Chi-square of the ordered pairs of successive bonus numbers against equal shares."""
-    x = F.element_at("back", 1)
-    w = Window.partitionBy("lottery").orderBy("issue_year", "issue_seq")
-    pairs = draws.select("lottery", x.alias("x"), F.lag(x).over(w).alias("y")).where("y is not null").groupBy("lottery", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    d = stretched(with_order(draws).select("lottery", "ord", F.element_at("back", 1).alias("x")), 1)
+    pairs = d.withColumn("y", F.lag("x").over(by())).where("y is not null and not lead").groupBy("lottery", "x", "y").agg(F.count(F.lit(1)).alias("c"))
     g = pairs.groupBy("lottery").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
     return g.select("lottery", "n", F.round(F.col("sq") * (size * size) / F.col("n") - F.col("n"), 6).alias("chi2"), F.lit(size * size - 1).cast("bigint").alias("df"))
 
 
 def block_frequency(draws: DataFrame, size: int, block: int) -> DataFrame:
-    """Chi-squares of the bonus numbers of full blocks of draws, added up."""
+    """Chi-squares of the bonus numbers of full blocks of draws, added up; in excess if over 1.5 times what to expect."""
     d = with_order(draws).select("lottery", F.expr(f"(ord - 1) div {block}").alias("block"), F.element_at("back", 1).alias("x"))
     cells = d.groupBy("lottery", "block", "x").agg(F.count(F.lit(1)).alias("c"))
     blocks = cells.groupBy("lottery", "block").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")).where(F.col("n") == block)
     g = blocks.groupBy("lottery").agg(F.count(F.lit(1)).alias("blocks"), F.sum("sq").alias("sq"))
-    return g.select("lottery", "blocks", F.round(F.col("sq") * size / block - F.col("blocks") * block, 6).alias("chi2"), (F.col("blocks") * (size - 1)).alias("df"))
+    chi, df = F.col("sq") * size / block - F.col("blocks") * block, F.col("blocks") * (size - 1)
+    return g.select("lottery", "blocks", F.round(chi, 6).alias("chi2"), df.alias("df"), (chi / df > 1.5).alias("excess"))
 
 
 def benford(draws: DataFrame, value: str) -> DataFrame:
@@ -81,30 +116,28 @@ def recent_shift(numbers: DataFrame, recent: int) -> DataFrame:
 
 def previous_overlap(draws: DataFrame) -> DataFrame:
     """Numbers that each draw shares with the draw before; null for a game's first."""
-    w = Window.partitionBy("lottery").orderBy("issue_year", "issue_seq")
-    return draws.select("k", F.size(F.array_intersect("front", F.lag("front").over(w))).cast("bigint").alias("shared"), F.lag("k").over(w).alias("prev")).select("k", F.when(F.col("prev").isNotNull(), F.col("shared")).alias("shared"))
+    d = stretched(with_order(draws).select("lottery", "ord", "k", "front"), 1).withColumn("prev", F.lag("front").over(by())).where("not lead")
+    return d.select("k", F.when(F.col("prev").isNotNull(), F.size(F.array_intersect("front", "prev")).cast("bigint")).alias("shared"))
 
 
 # Strategies: tickets for every draw from the draws strictly before it.
 
 
-def _top(scored: DataFrame, score: Column, choose: int) -> DataFrame:
-    w = Window.partitionBy("lottery", "ord").orderBy(score.desc(), "num")
-    picked = scored.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= choose)
-    return picked.groupBy("lottery", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list("num")), lambda x: x.cast("string")), "-").alias("numbers"), F.sum("hit").cast("bigint").alias("hits"))
+def _top(scored: DataFrame, scores: Column, choose: int) -> DataFrame:
+    """The ``choose`` numbers with the highest of a draw's scores, picked within the row."""
+    order = F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), (i.cast("bigint") + 1).alias("num"))))
+    d = scored.withColumn("_picks", F.array_sort(F.transform(F.slice(order, 1, choose), lambda x: x["num"])))
+    return d.select("lottery", "ord", F.array_join("_picks", "-").alias("numbers"), F.size(F.array_intersect("_picks", "front")).cast("bigint").alias("hits"))
 
 
-def strategy_hot(cells: DataFrame, width: int, choose: int) -> DataFrame:
+def strategy_hot(draws: DataFrame, size: int, width: int, choose: int) -> DataFrame:
     """The ``choose`` numbers most drawn in the ``width`` draws before, and how many came."""
-    w = Window.partitionBy("lottery", "num").orderBy("ord").rowsBetween(-width, -1)
-    return _top(cells.withColumn("_score", F.coalesce(F.sum("hit").over(w), F.lit(0))), F.col("_score"), choose)
+    return _top(past_counts(draws, size, width), F.col("counts"), choose)
 
 
-def strategy_overdue(cells: DataFrame, choose: int) -> DataFrame:
+def strategy_overdue(draws: DataFrame, size: int, choose: int) -> DataFrame:
     """The ``choose`` numbers unseen for longest before the draw, and how many came."""
-    w = Window.partitionBy("lottery", "num").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.coalesce(F.max(F.when(F.col("hit") == 1, F.col("ord"))).over(w), F.lit(0))
-    return _top(cells.withColumn("_score", F.col("ord") - last), F.col("_score"), choose)
+    return _top(omissions(draws, size), F.col("omitted"), choose)
 
 
 def strategy_score(picks: DataFrame, size: int, choose: int, min_train: int) -> DataFrame:

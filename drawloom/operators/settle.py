@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import number_mask, tax, zone_hits
+from .order import by, carried, rank_by_parts, stretched, summed
 
 #: Grades of the 6-of-33 and 1-of-16 game by (main hits, bonus hits), with the prize per bet.
 GRADES = ((6, 1, 1, 5_000_000), (6, 0, 2, 200_000), (5, 1, 3, 3_000), (5, 0, 4, 200), (4, 1, 4, 200), (4, 0, 5, 10), (3, 1, 5, 10), (2, 1, 6, 5), (1, 1, 6, 5), (0, 1, 6, 5))
@@ -34,13 +37,24 @@ def settle(tickets: DataFrame, draws: DataFrame, late_days: int = 14) -> DataFra
 
 
 def ledger(settled: DataFrame) -> DataFrame:
-    """Per game and draw day: tickets, cost, gross, tax, net, running total, peak and drawdown."""
-    day = settled.where("status = 'evaluated'").groupBy("lottery", "draw_date").agg(F.count(F.lit(1)).alias("tickets"), F.sum("amount").cast("double").alias("gross"), F.count("grade").alias("wins"))
-    day = day.withColumn("cost", (F.col("tickets") * PRICE).cast("double")).withColumn("tax", tax(F.col("gross"))).withColumn("net", F.col("gross") - F.col("tax") - F.col("cost"))
-    upto = Window.partitionBy("lottery").orderBy("draw_date").rowsBetween(Window.unboundedPreceding, 0)
-    day = day.withColumn("running", F.round(F.sum("net").over(upto), 4))
-    day = day.withColumn("peak", F.greatest(F.lit(0.0), F.max("running").over(upto))).withColumn("drawdown", F.round(F.col("peak") - F.col("running"), 4))
-    return day.withColumn("worst", F.max("drawdown").over(upto))
+    """Per draw taken part in: tickets, cost, gross, tax (of the issue's sum), net, running total, peak, drawdown, worst drawdown so far, draws since the peak and the most of them so far."""
+    per = settled.where("status = 'evaluated'").groupBy("lottery", "draw_date", "draw_k").agg(F.count(F.lit(1)).alias("tickets"), F.sum("amount").cast("double").alias("gross"), F.count("grade").alias("wins"))
+    per = per.withColumn("cost", (F.col("tickets") * PRICE).cast("double")).withColumn("tax", tax(F.col("gross"))).withColumn("net", F.col("gross") - F.col("tax") - F.col("cost"))
+    return drawdown(rank_by_parts(per, ["lottery"], F.col("draw_date"), ["draw_date", "draw_k"], "ord"))
+
+
+def drawdown(series: DataFrame) -> DataFrame:
+    """Running total of ``net`` by ``ord`` within a game, with peak (0 at least), drawdown, its worst, the draws ``under`` the last peak and the most of them."""
+    upto = by().rowsBetween(Window.unboundedPreceding, 0)
+    far = lambda d, *values: carried(d, [*values]).select("lottery", "stretch", *(F.col(v).alias(f"_{v}") for v in values))
+    d = stretched(series).drop("lead").join(summed(series, ["net"]).withColumnRenamed("net", "_net"), ["lottery", "stretch"])
+    d = d.withColumn("running", F.round(F.col("_net") + F.sum("net").over(upto), 4)).drop("_net")
+    d = d.join(far(d, "running"), ["lottery", "stretch"]).withColumn("peak", F.greatest(F.lit(0.0), F.col("_running"), F.max("running").over(upto))).drop("_running")
+    d = d.withColumn("drawdown", F.round(F.col("peak") - F.col("running"), 4)).withColumn("at_peak", F.when(F.col("drawdown") == 0, F.col("ord")))
+    d = d.join(far(d, "drawdown", "at_peak"), ["lottery", "stretch"]).withColumn("worst", F.greatest(F.max("drawdown").over(upto), "_drawdown"))
+    d = d.withColumn("under", F.col("ord") - F.coalesce(F.greatest(F.max("at_peak").over(upto), "_at_peak"), F.lit(0))).drop("_drawdown", "_at_peak", "at_peak")
+    d = d.join(far(d, "under"), ["lottery", "stretch"]).withColumn("longest_under", F.greatest(F.max("under").over(upto), "_under"))
+    return d.drop("_under", "stretch", "ord")
 
 
 def leaderboard(settled: DataFrame) -> DataFrame:
@@ -60,16 +74,35 @@ def search_hits(settled: DataFrame, least_h: int, least_amount: int, top: int) -
     return found.select("ticket_id", "h", "j", "grade", "amount").orderBy(F.col("amount").desc(), F.col("h").desc(), "ticket_id").limit(top)
 
 
-def replay(tickets: DataFrame, draws: DataFrame, least_grade: int) -> DataFrame:
-    """A fixed set of tickets against every draw of a game: per draw best main hits, winners and money.
+def _subsets(numbers: Column) -> Column:
+    """Masks of all subsets of an array of up to 16 numbers."""
+    bit = lambda x, on: F.when(on, F.call_function("shiftleft", F.lit(1).cast("bigint"), x.cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    one = lambda s: F.aggregate(F.transform(numbers, lambda x, i: bit(x, F.call_function("getbit", s.cast("bigint"), i.cast("int")) == 1)), F.lit(0).cast("bigint"), lambda a, m: a + m)
+    return F.transform(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(numbers)) - 1), one)
+
 
-    ``tickets`` is the small side, a set of a stated number of tickets.
+def replay(tickets: DataFrame, draws: DataFrame, least_grade: int, choose: int = 6) -> DataFrame:
+    """All tickets against every draw: per draw best main hits, winners, money, and whether a grade of ``least_grade`` or better came.
+
+    No ticket meets a draw as a pair.  Tickets are counted by the subsets of
+    their numbers; from the counts of a draw's own subsets of s numbers, summed,
+    follow by inclusion and exclusion the tickets with exactly h hits.
     """
-    spark = tickets.sparkSession
-    t = tickets.select("lottery", number_mask(F.col("main")).alias("tm"), number_mask(F.col("bonus")).alias("tb"))
-    d = draws.select("lottery", "issue_year", "issue_seq", number_mask(F.col("front")).alias("dm"), number_mask(F.col("back")).alias("db"))
-    pairs = d.join(F.broadcast(t), "lottery").withColumn("h", zone_hits(F.col("tm"), F.col("dm"))).withColumn("j", zone_hits(F.col("tb"), F.col("db"))).join(F.broadcast(rules(spark)), ["h", "j"], "left")
-    return pairs.groupBy("lottery", "issue_year", "issue_seq").agg(F.max("h").cast("bigint").alias("best"), F.count("grade").alias("winners"), F.coalesce(F.sum("amount"), F.lit(0)).alias("money"), (F.coalesce(F.min("grade"), F.lit(99)) <= least_grade).alias("reached"))
+    t = tickets.groupBy(F.array_sort("main").alias("main"), F.element_at("bonus", 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = t.withColumn("m", F.explode(_subsets(F.col("main")))).groupBy("m", "b").agg(F.sum("n").alias("n"))
+    kinds = draws.select(F.array_sort("front").alias("front"), F.element_at("back", 1).alias("back")).distinct()
+    own = kinds.withColumn("m", F.explode(_subsets(F.col("front"))))
+    found = own.join(counts, "m").withColumn("s", F.bit_count("m"))
+    sums = [F.sum(F.when((F.col("s") == s) & (F.col("b") == F.col("back") if j else F.lit(True)), F.col("n")).otherwise(0)).alias(f"e{s}_{j}") for s in range(choose + 1) for j in (0, 1)]
+    g = found.groupBy("front", "back").agg(*sums)
+    exactly = lambda h, j: sum((F.col(f"e{s}_{j}") * ((-1) ** (s - h) * math.comb(s, h)) for s in range(h, choose + 1)), F.lit(0))
+    g = g.select("front", "back", *(exactly(h, j).alias(f"n{h}_{j}") for h in range(choose + 1) for j in (0, 1)))
+    with_bonus = {(h, j): F.col(f"n{h}_1") if j else F.col(f"n{h}_0") - F.col(f"n{h}_1") for h in range(choose + 1) for j in (0, 1)}
+    best = F.greatest(*(F.when(F.col(f"n{h}_0") > 0, h).otherwise(0) for h in range(choose + 1)))
+    total = lambda value: sum((with_bonus[h, j] * value(grade, amount) for h, j, grade, amount in GRADES), F.lit(0))
+    g = g.select("front", "back", best.cast("bigint").alias("best"), total(lambda g_, a: 1).alias("winners"), total(lambda g_, a: a).alias("money"), (total(lambda g_, a: int(g_ <= least_grade)) > 0).alias("reached"))
+    d = draws.select("lottery", "issue_year", "issue_seq", F.array_sort("front").alias("front"), F.element_at("back", 1).alias("back"))
+    return d.join(g, ["front", "back"], "left").select("lottery", "issue_year", "issue_seq", F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("winners", F.lit(0)).cast("bigint").alias("winners"), F.coalesce("money", F.lit(0)).cast("bigint").alias("money"), F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
 def batches(settled: DataFrame, gap_seconds: int, time: str) -> DataFrame:

@@ -7,9 +7,12 @@ engines agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import REGIONS, parse_region_text
+from ..operators.order import rank_by_parts
+
 _STRIDES = "1, 2, 4, 5, 7, 8, 10, 13, 14, 16"
 
 
@@ -26,8 +29,7 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"array_sort(transform(sequence(0, 5), i -> 1 + ((o_orderkey * 13 + o_custkey * 5) % 33 + i * element_at(array({_STRIDES}), cast(1 + o_custkey % 10 as int))) % 33))").alias("front"),
         F.expr("array(1 + (o_orderkey * 7 + o_custkey) % 16)").alias("back"),
     )
-    w = Window.partitionBy("lottery", "issue_year").orderBy("o_orderdate", "k")
-    return d.withColumn("issue_seq", F.row_number().over(w).cast("bigint")).drop("o_orderdate")
+    return rank_by_parts(d, ["lottery", "issue_year"], F.col("draw_date"), ["o_orderdate", "k"], "issue_seq").drop("o_orderdate")
 
 
 DRAWS = f"""d0 AS (SELECT *, 'g' || CAST(o_orderkey % 4 + 1 AS VARCHAR) AS lottery, CAST(year(o_orderdate) AS BIGINT) AS issue_year, (o_orderkey * 13 + o_custkey * 5) % 33 AS k0, [{_STRIDES}][1 + o_custkey % 10] AS st FROM orders),
@@ -41,8 +43,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.lpad(F.col("issue_seq").cast("string"), 5, "0")
     official = d.select("*", F.lit("official").alias("source"), F.concat(F.col("issue_year").cast("string"), seq).alias("issue"))
     agg = d.where("k % 3 <> 0").select("*", F.lit("agg").alias("source"), F.concat(F.col("issue_year").cast("string"), seq).alias("issue"))
+    # two-digit year and three digits where they do
+    short = F.when(F.col("issue_seq") < 1000, F.concat(F.substring(F.col("issue_year").cast("string"), 3, 2), F.lpad(F.col("issue_seq").cast("string"), 3, "0"))).otherwise(F.concat(F.col("issue_year").cast("string"), seq))
     bad = F.when(F.col("k") % 13 == 0, None).when(F.col("k") % 11 == 0, F.lit(0)).when(F.col("k") % 7 == 0, F.col("sales") + 100).otherwise(F.col("sales"))
-    csv = d.where("k % 5 <> 0").withColumn("sales", bad).select("*", F.lit("csv").alias("source"), F.concat(F.substring(F.col("issue_year").cast("string"), 3, 2), seq).alias("issue"))
+    csv = d.where("k % 5 <> 0").withColumn("sales", bad).select("*", F.lit("csv").alias("source"), short.alias("issue"))
     return official.unionByName(agg).unionByName(csv)
 
 
@@ -51,7 +55,7 @@ SOURCES = (
     + """,
 sources AS (SELECT *, 'official' AS source, CAST(issue_year AS VARCHAR) || lpad(CAST(issue_seq AS VARCHAR), 5, '0') AS issue FROM draws
   UNION ALL SELECT *, 'agg', CAST(issue_year AS VARCHAR) || lpad(CAST(issue_seq AS VARCHAR), 5, '0') FROM draws WHERE k % 3 <> 0
-  UNION ALL SELECT * REPLACE (CASE WHEN k % 13 = 0 THEN NULL WHEN k % 11 = 0 THEN 0 WHEN k % 7 = 0 THEN sales + 100 ELSE sales END AS sales), 'csv', substr(CAST(issue_year AS VARCHAR), 3, 2) || lpad(CAST(issue_seq AS VARCHAR), 5, '0') FROM draws WHERE k % 5 <> 0)"""
+  UNION ALL SELECT * REPLACE (CASE WHEN k % 13 = 0 THEN NULL WHEN k % 11 = 0 THEN 0 WHEN k % 7 = 0 THEN sales + 100 ELSE sales END AS sales), 'csv', CASE WHEN issue_seq < 1000 THEN substr(CAST(issue_year AS VARCHAR), 3, 2) || lpad(CAST(issue_seq AS VARCHAR), 3, '0') ELSE CAST(issue_year AS VARCHAR) || lpad(CAST(issue_seq AS VARCHAR), 5, '0') END FROM draws WHERE k % 5 <> 0)"""
 )
 
 
@@ -76,5 +80,81 @@ def prize_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws(spark, sf_dir).select("k", "lottery", "issue_year", "issue_seq", "sales").join(who.select("k", "region", F.expr("1 + o_custkey % 3").alias("winners")), "k").drop("k")
 
 
-REGIONS = DRAWS + """,
+WINNERS = DRAWS + """,
 prize_regions AS (SELECT d.lottery, d.issue_year, d.issue_seq, d.sales, n.n_name AS region, 1 + o.o_custkey % 3 AS winners FROM draws d JOIN orders o ON o.o_orderkey = d.k JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey)"""
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws as five digits each, with first and second winners and whether an award ran."""
+    o = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.expr("transform(sequence(0, 4), i -> ((o_orderkey * 7919 + o_custkey * 104729) % 100000) div element_at(array(1, 10, 100, 1000, 10000), i + 1) % 10)").alias("digits"),
+        F.expr("o_custkey % 12").alias("winners1"), F.expr("50 + o_custkey % 97").alias("winners2"), F.expr("o_orderkey % 9 = 0").alias("award"),
+        F.expr(f"transform(sequence(0, 5), i -> 1 + ((o_orderkey * 13 + o_custkey * 5) % 33 + i * element_at(array({_STRIDES}), cast(1 + o_custkey % 10 as int))) % 33)").alias("seq"),
+        F.expr("5000000 + o_orderkey % 1000 * 1000").alias("prize1"), F.expr("100000 + o_custkey % 1000 * 100").alias("prize2"), F.expr("cast(floor(o_totalprice) as bigint) * 5000").alias("pool"),
+    )
+    return draws(spark, sf_dir).join(o, "k")
+
+
+SERIES = (
+    DRAWS
+    + """,
+series AS (SELECT d.*, [((o_orderkey * 7919 + o_custkey * 104729) % 100000) // p % 10 FOR p IN [1, 10, 100, 1000, 10000]] AS digits, o_custkey % 12 AS winners1, 50 + o_custkey % 97 AS winners2, o_orderkey % 9 = 0 AS award, [1 + ((o_orderkey * 13 + o_custkey * 5) % 33 + i * [1, 2, 4, 5, 7, 8, 10, 13, 14, 16][1 + o_custkey % 10]) % 33 FOR i IN [0, 1, 2, 3, 4, 5]] AS seq, 5000000 + o_orderkey % 1000 * 1000 AS prize1, 100000 + o_custkey % 1000 * 100 AS prize2, floor(o_totalprice)::BIGINT * 5000 AS pool FROM draws d JOIN orders ON o_orderkey = k)"""
+)
+
+
+_NAMES = ", ".join(f"'{r}'" for r in REGIONS)
+
+
+def region_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lottery, k, issue_year, issue_seq, region_text: winners of two regions as sources write them, in brackets, with a breakdown, empty or missing."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr("o_custkey").alias("c"))
+    t = F.expr(
+        f"""case when k % 13 = 0 then null when k % 11 = 0 then ''
+            when k % 5 = 0 then concat(element_at(array({_NAMES}), cast(1 + c % 25 as int)), '(基本', 1 + c % 3, '注 追加1注)、', element_at(array({_NAMES}), cast(1 + (c + k) % 32 as int)), '（基本', k % 4, ' 注）。')
+            else concat(element_at(array({_NAMES}), cast(1 + c % 25 as int)), 1 + c % 3, '注，', element_at(array({_NAMES}), cast(1 + (c + k) % 32 as int)), k % 4, '注，', if(k % 6 = 0, '积分换彩1注，', ''), '共', 1 + c % 3 + k % 4 + if(k % 6 = 0, 1, 0), '注。', if(k % 7 = 0, concat('其中', element_at(array({_NAMES}), cast(1 + c % 25 as int)), '9注'), '')) end"""
+    )
+    return draws(spark, sf_dir).select("lottery", "k", "issue_year", "issue_seq").join(o.select("k", t.alias("region_text")), "k")
+
+
+TEXTS = (
+    DRAWS
+    + f""",
+rn AS (SELECT [{_NAMES}] AS names),
+rt AS (SELECT d.lottery, d.k, d.issue_year, d.issue_seq, o_custkey AS c, names[1 + o_custkey % 25] AS r1, 1 + o_custkey % 3 AS w1, names[1 + (o_custkey + k) % 32] AS r2, k % 4 AS w2, k % 13 <> 0 AND k % 11 <> 0 AS said FROM draws d JOIN orders ON o_orderkey = k, rn),
+parsed AS (SELECT lottery, k, region, sum(w)::BIGINT AS winners FROM (SELECT lottery, k, r1 AS region, w1 AS w FROM rt WHERE said UNION ALL SELECT lottery, k, r2, w2 FROM rt WHERE said AND w2 > 0) GROUP BY ALL)"""
+)
+
+
+def stored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lottery, k, source, region, winners as stored: of most draws from one source, of some from two, some changed."""
+    t = region_texts(spark, sf_dir).select("lottery", "k", F.explode(parse_region_text(F.col("region_text"))).alias("r")).select("lottery", "k", "r.region", F.col("r.winners").cast("bigint").alias("winners"))
+    kept = t.where("k % 3 <> 0").withColumn("winners", F.when(F.expr("k % 37 = 0"), F.col("winners") + 2).otherwise(F.col("winners")))
+    return kept.withColumn("source", F.lit("zh")).unionByName(kept.where("k % 23 = 0").withColumn("source", F.lit("cw")))
+
+
+STORED = (
+    TEXTS
+    + """,
+st0 AS (SELECT lottery, k, region, winners + CASE WHEN k % 37 = 0 THEN 2 ELSE 0 END AS winners FROM parsed WHERE k % 3 <> 0),
+stored AS (SELECT *, 'zh' AS source FROM st0 UNION ALL SELECT *, 'cw' FROM st0 WHERE k % 23 = 0),
+prizes AS (SELECT lottery, k, source, 1 AS level, winners FROM (SELECT lottery, k, 'official' AS source, w1 + w2 + CASE WHEN k % 6 = 0 AND k % 5 <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 10 = 1 THEN 1 WHEN k % 17 = 0 THEN -1 ELSE 0 END AS winners FROM rt WHERE k % 19 <> 0 UNION ALL SELECT lottery, k, 'agg', w1 - 1 FROM rt WHERE k % 19 <> 0) UNION ALL SELECT lottery, k, 'csv', 2, 99 FROM rt UNION ALL SELECT lottery, k, 'csv', 1, 0 FROM rt WHERE k % 19 = 0 AND k % 2 = 0)"""
+)
+
+
+def first_prizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lottery, k, source, level, winners: first-prize winners as sources state them, some too low or too high, some missing."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr("o_custkey").alias("c"))
+    d = draws(spark, sf_dir).select("lottery", "k").join(o, "k")
+    row = lambda where, source, level, winners: d.where(where).select("lottery", "k", F.lit(source).alias("source"), F.lit(level).alias("level"), F.expr(winners).cast("bigint").alias("winners"))
+    official = "1 + c % 3 + k % 4 + if(k % 6 = 0 and k % 5 <> 0, 1, 0) + case when k % 10 = 1 then 1 when k % 17 = 0 then -1 else 0 end"
+    return row("k % 19 <> 0", "official", 1, official).unionByName(row("k % 19 <> 0", "agg", 1, "c % 3")).unionByName(row("true", "csv", 2, "99")).unionByName(row("k % 19 = 0 and k % 2 = 0", "csv", 1, "0"))
+
+
+def region_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ym, region (the customer's nation), agency (the order's status), sales."""
+    o, c, n = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    who = o.select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate").join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")), "o_custkey").join(F.broadcast(n.select("n_nationkey", F.col("n_name").alias("region"))), "n_nationkey")
+    return who.groupBy(F.date_format("o_orderdate", "yyyyMM").alias("ym"), "region", F.col("o_orderstatus").alias("agency")).agg(F.sum(F.floor("o_totalprice")).cast("bigint").alias("sales"))
+
+
+SALES = """region_sales AS (SELECT strftime(o_orderdate, '%Y%m') AS ym, n_name AS region, o_orderstatus AS agency, sum(floor(o_totalprice))::BIGINT AS sales FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)"""

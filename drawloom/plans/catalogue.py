@@ -15,7 +15,7 @@ from ..operators import settle as se
 from ..streaming import jobs
 from . import bridge as br
 from . import more
-from .bridge import DRAWS, REGIONS, SOURCES, TICKETS
+from .bridge import DRAWS, SOURCES, TICKETS, WINNERS
 from .sql_parts import CELLS, CHI, FREQ, NUM, ORD, PRI, RULES, SETTLED, SIZE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,10 +35,9 @@ def _gappy(d: DataFrame) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge the sources, then the ten hottest numbers of every game with their omissions and the game's chi-square."""
     merged = mg.merge_sources(br.sources(spark, sf_dir))
-    numbers = st.draw_numbers(merged)
-    freq = st.frequency(numbers, SIZE)
+    freq = st.frequency(st.draw_numbers(merged), SIZE)
     hot = st.hot_cold(freq, 10).where("kind = 'hot'").drop("kind")
-    return hot.join(st.omission(numbers, SIZE), ["lottery", "num"]).join(st.uniformity(freq, 6).select("lottery", "chi2"), "lottery")
+    return hot.join(st.omission(st.numbered(merged), SIZE), ["lottery", "num"]).join(st.uniformity(freq, 6).select("lottery", "chi2"), "lottery")
 
 
 def _settled(s, d):
@@ -48,8 +47,8 @@ def _settled(s, d):
 # scalar functions
 _add(
     "f1_issue_key",
-    f"WITH {SOURCES} SELECT source, k, CAST(issue_year AS INTEGER) AS year, CAST(issue_seq AS INTEGER) AS seq FROM sources WHERE source <> 'csv' AND issue_seq < 1000",
-    lambda s, d: br.sources(s, d).where("source <> 'csv' and issue_seq < 1000").withColumn("key", scalar.issue_key(F.col("issue"))).select("source", "k", "key.year", "key.seq"),
+    f"WITH {SOURCES} SELECT source, k, CAST(issue_year AS INTEGER) AS year, CAST(issue_seq AS INTEGER) AS seq FROM sources",
+    lambda s, d: br.sources(s, d).withColumn("key", scalar.issue_key(F.col("issue"))).select("source", "k", "key.year", "key.seq"),
 )
 _add(
     "f3_money",
@@ -61,7 +60,7 @@ _add(
     f"WITH {DRAWS} SELECT k, CAST(list_sum(front) AS BIGINT) AS total, front[6] - front[1] AS span, len(list_filter(front, lambda x: x % 2 = 1)) AS odd, len([1 for i in [1, 2, 3, 4, 5] if front[i + 1] - front[i] = 1]) AS pairs, "
     "list_min([front[i + 1] - front[i] for i in [1, 2, 3, 4, 5]]) AS min_gap, list_max([front[i + 1] - front[i] for i in [1, 2, 3, 4, 5]]) AS max_gap, "
     "len(list_distinct(flatten([[front[j] - front[i] for j in [1, 2, 3, 4, 5, 6] if j > i] for i in [1, 2, 3, 4, 5, 6]]))) - 5 AS complexity FROM draws",
-    lambda s, d: br.draws(s, d).select("k", *(c.alias(n) for n, c in scalar.shape_features(F.col("front")).items() if n not in ("tail_repeats", "longest_run"))),
+    lambda s, d: br.draws(s, d).select("k", *(c.alias(n) for n, c in scalar.shape_features(F.col("front")).items() if n in ("total", "span", "odd", "pairs", "min_gap", "max_gap", "complexity"))),
 )
 _add("f16_tax", "SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_extendedprice > 10000 THEN l_extendedprice * 0.2 ELSE 0.0 END AS tax FROM lineitem", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), scalar.tax(F.col("l_extendedprice")).alias("tax")))
 
@@ -70,7 +69,7 @@ _add("m1_best_source", f"WITH {SOURCES} SELECT lottery, issue_year, issue_seq, s
 ORACLES["m1_best_source"] = ORACLES["m1_best_source"].replace("FROM sources QUALIFY", "FROM sources WHERE k % 4 <> 1 OR source <> 'official' QUALIFY")
 _add(
     "m2_merge",
-    f"WITH {SOURCES} SELECT lottery, issue_year, issue_seq, arg_min(front, {PRI}) AS front, arg_min(sales, {PRI}) FILTER (sales IS NOT NULL) AS sales, arg_min(source, {PRI}) AS source, count(DISTINCT source) AS n_src, string_agg(source, ',' ORDER BY source) AS srcs FROM sources GROUP BY ALL",
+    f"WITH {SOURCES} SELECT lottery, issue_year, issue_seq, arg_min(front, {PRI}) AS front, arg_min(sales, {PRI}) FILTER (sales IS NOT NULL) AS sales, arg_min(source, {PRI}) AS source, count(DISTINCT source) AS n_src, string_agg(source, ',' ORDER BY source) AS srcs, arg_min(back, {PRI}) AS back, min(draw_date) AS draw_date, arg_min(first_winners, {PRI}) AS first_winners FROM sources GROUP BY ALL",
     lambda s, d: mg.merge_sources(br.sources(s, d)),
 )
 _add("m3_upsert", f"WITH {SOURCES} SELECT k, sales FROM (SELECT k, sales, 1 AS pr, draw_date FROM sources WHERE source = 'csv' UNION ALL SELECT k, sales, 0, draw_date FROM sources WHERE source = 'agg') QUALIFY row_number() OVER (PARTITION BY k ORDER BY draw_date DESC, pr DESC) = 1", lambda s, d: mg.latest_upsert(br.sources(s, d).where("source = 'agg'").select("k", "sales", "draw_date"), br.sources(s, d).where("source = 'csv'").select("k", "sales", "draw_date"), ["k"], "draw_date").select("k", "sales"))
@@ -89,33 +88,42 @@ _add("m7_gaps", f"WITH {DRAWS} SELECT lottery, issue_year, prev_seq, issue_seq,
 _add("m8_missing", f"WITH {DRAWS}, g AS (SELECT * FROM draws WHERE k % 17 <> 0), e AS (SELECT lottery, issue_year, unnest(range(min(issue_seq), max(issue_seq) + 1)) AS issue_seq FROM g GROUP BY 1, 2) SELECT * FROM e ANTI JOIN g USING (lottery, issue_year, issue_seq)", lambda s, d: mg.missing_issues(_gappy(br.draws(s, d))))
 _add("m9_duplicates", f"WITH {DRAWS} SELECT lottery, array_to_string(front, '-') AS numbers, count(*) AS times FROM draws GROUP BY 1, 2 HAVING count(*) > 1", lambda s, d: mg.duplicate_draws(br.draws(s, d)))
 _add("m10_date_gaps", f"WITH {DRAWS} SELECT lottery, max(x) AS longest, count(*) FILTER (x > 7) AS over, count(*) FILTER (x = 0) AS same_day FROM (SELECT lottery, date_diff('day', lag(draw_date) OVER (PARTITION BY lottery ORDER BY draw_date, k), draw_date) AS x FROM draws) GROUP BY lottery", lambda s, d: mg.date_gaps(br.draws(s, d), 7))
-_add("m14_coverage", f"WITH {SOURCES} SELECT lottery, source, count(*) AS draws, min(draw_date) AS first_date, max(draw_date) AS last_date, count(sales) AS with_sales FROM sources GROUP BY ALL", lambda s, d: mg.source_coverage(br.sources(s, d)))
-_add("m15_search", f"WITH {DRAWS} SELECT lottery, issue_year, issue_seq, sales, place, total FROM (SELECT *, row_number() OVER (ORDER BY sales DESC NULLS LAST, lottery, issue_year, issue_seq) AS place, count(*) OVER () AS total FROM draws WHERE lottery IN ('g1', 'g3') AND sales BETWEEN 1000000 AND 30000000 AND list_contains(front, 7) AND list_contains(front, 12)) WHERE place BETWEEN 21 AND 40", lambda s, d: mg.draw_search(br.draws(s, d), ["g1", "g3"], [7, 12], 1_000_000, 30_000_000, 2, 20))
+_add("m14_coverage", f"WITH {SOURCES} SELECT lottery, source, count(*) AS draws, min(draw_date) AS first_date, max(draw_date) AS last_date, count(sales) AS with_sales, count(*) FILTER (front <> list_sort(front)) AS with_order FROM sources GROUP BY ALL", lambda s, d: mg.source_coverage(br.sources(s, d)))
+_add("m9_excess", f"WITH {DRAWS}, c AS (SELECT lottery, front, count(*) AS c FROM draws GROUP BY 1, 2), g AS (SELECT lottery, sum(c)::BIGINT AS n, sum(c - 1)::BIGINT AS repeats FROM c GROUP BY 1) SELECT lottery, n, repeats, round(n * (n - 1) / (2.0 * 1107568), 6) AS expected, round((repeats - n * (n - 1) / (2.0 * 1107568)) / sqrt(n * (n - 1) / (2.0 * 1107568)), 6) AS z FROM g", lambda s, d: mg.duplicate_excess(br.draws(s, d), 1_107_568))
+_add("m9_duplicate_issues", f"WITH {SOURCES}, two AS (SELECT lottery, source, issue FROM sources UNION ALL SELECT lottery, source, issue FROM sources WHERE k % 31 = 0) SELECT lottery, source, issue, count(*) AS times FROM two GROUP BY ALL HAVING count(*) > 1", lambda s, d: mg.duplicate_issues(br.sources(s, d).select("lottery", "source", "issue").unionByName(br.sources(s, d).where("k % 31 = 0").select("lottery", "source", "issue"))))
+_add(
+    "m15_search",
+    f"WITH {SOURCES}, m AS (SELECT lottery, issue_year, issue_seq, arg_min(front, {PRI}) AS front, arg_min(back, {PRI}) AS back, arg_min(sales, {PRI}) FILTER (sales IS NOT NULL) AS sales, min(draw_date) AS draw_date, min(first_winners) AS first_winners, string_agg(source, ',' ORDER BY source) AS srcs FROM sources GROUP BY ALL), "
+    "f AS (SELECT * FROM m WHERE lottery IN ('g1', 'g3') AND list_has_any(string_split(srcs, ','), ['agg', 'csv']) AND draw_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' AND sales BETWEEN 100 * 10000 AND 3000 * 10000 AND first_winners BETWEEN 1 AND 9 AND list_contains(front, 7) AND list_contains(back, 12) AND (issue_year || lpad(issue_seq::VARCHAR, 5, '0') LIKE '%1%' OR CAST(draw_date AS VARCHAR) LIKE '%1%')) "
+    "SELECT lottery, issue_year, issue_seq, sales, place, total FROM (SELECT *, row_number() OVER (ORDER BY sales DESC NULLS LAST, lottery, issue_year, issue_seq) AS place, count(*) OVER () AS total FROM f) WHERE place BETWEEN 3 AND 4",
+    lambda s, d: mg.draw_search(mg.merge_sources(br.sources(s, d)), 2, 2, ["g1", "g3"], ["agg", "csv"], ("1993-01-01", "1997-12-31"), (100, 3000), (1, 9), [7], [12], "1"),
+)
 
 # aggregates
 _add("a1_frequency", f"WITH {DRAWS}{FREQ} SELECT * FROM f", lambda s, d: st.frequency(st.draw_numbers(br.draws(s, d)), SIZE))
 _add("a2_hot_cold", f"WITH {DRAWS}{FREQ}, r AS (SELECT *, row_number() OVER (PARTITION BY lottery ORDER BY times DESC, num) AS hot, row_number() OVER (PARTITION BY lottery ORDER BY times, num) AS cold FROM f) SELECT lottery, CASE WHEN hot <= 5 THEN 'hot' ELSE 'cold' END AS kind, CASE WHEN hot <= 5 THEN hot ELSE cold END AS place, num, times FROM r WHERE hot <= 5 OR cold <= 5", lambda s, d: st.hot_cold(st.frequency(st.draw_numbers(br.draws(s, d)), SIZE), 5))
-_add("a3_omission", f"WITH {DRAWS}{NUM} SELECT dom.lottery, dom.num, (SELECT max(ord) FROM n WHERE n.lottery = dom.lottery) - coalesce(max(num.ord), 0) AS omitted FROM dom LEFT JOIN num ON num.lottery = dom.lottery AND num.num = dom.num GROUP BY 1, 2", lambda s, d: st.omission(st.draw_numbers(br.draws(s, d)), SIZE))
-_add("a8_region_board", f"WITH {REGIONS} SELECT lottery, region, sum(winners) AS winners, count(*) AS draws, row_number() OVER (PARTITION BY lottery ORDER BY sum(winners) DESC, region) AS place, round(sum(winners) / count(*), 6) AS per_draw FROM prize_regions GROUP BY lottery, region QUALIFY place <= 5", lambda s, d: rg.region_board(br.prize_regions(s, d), 5))
-_add("a9_region_shares", f"WITH {REGIONS} SELECT region, sum(sales) AS sales, sum(winners) AS winners, round(sum(sales) / sum(sum(sales)) OVER (), 9) AS sales_share, round(sum(winners) / sum(sum(winners)) OVER (), 9) AS winner_share FROM prize_regions GROUP BY region", lambda s, d: rg.region_shares(br.prize_regions(s, d)))
-_add("a10_region_trend", f"WITH {REGIONS} SELECT region, issue_year, " + ", ".join(f"coalesce(sum(winners) FILTER (lottery = 'g{i}'), 0) AS g{i}" for i in (1, 2, 3, 4)) + " FROM prize_regions GROUP BY 1, 2", lambda s, d: rg.region_year_trend(br.prize_regions(s, d)))
-_add("a15_pairs", f"WITH {DRAWS}{NUM} SELECT x.lottery, x.num AS a, y.num AS b, count(*) AS times FROM num x JOIN num y ON x.lottery = y.lottery AND x.ord = y.ord AND x.num < y.num GROUP BY 1, 2, 3", lambda s, d: st.co_occurrence(st.draw_numbers(br.draws(s, d))))
-_add("a16_rollup", f"WITH {DRAWS} SELECT lottery, issue_year, count(*) AS draws, sum(sales) AS sales FROM draws GROUP BY ROLLUP (lottery, issue_year)", lambda s, d: st.grouping_counts(br.draws(s, d)))
+_add("a3_omission", f"WITH {DRAWS}{NUM} SELECT dom.lottery, dom.num, (SELECT max(ord) FROM n WHERE n.lottery = dom.lottery) - coalesce(max(num.ord), 0) AS omitted FROM dom LEFT JOIN num ON num.lottery = dom.lottery AND num.num = dom.num GROUP BY 1, 2", lambda s, d: st.omission(st.numbered(br.draws(s, d)), SIZE))
+_add("a8_region_board", f"WITH {WINNERS} SELECT lottery, region, sum(winners) AS winners, count(*) AS draws, row_number() OVER (PARTITION BY lottery ORDER BY sum(winners) DESC, region) AS place, round(sum(winners) / count(*), 6) AS per_draw FROM prize_regions GROUP BY lottery, region QUALIFY place <= 5", lambda s, d: rg.region_board(br.prize_regions(s, d), 5))
+_add("a9_region_shares", f"WITH {WINNERS} SELECT region, sum(sales) AS sales, sum(winners) AS winners, round(sum(sales) / sum(sum(sales)) OVER (), 9) AS sales_share, round(sum(winners) / sum(sum(winners)) OVER (), 9) AS winner_share FROM prize_regions GROUP BY region", lambda s, d: rg.region_shares(br.prize_regions(s, d)))
+_add("a10_region_trend", f"WITH {WINNERS} SELECT region, issue_year, lottery, sum(winners)::BIGINT AS winners, count(*) AS draws FROM prize_regions GROUP BY 1, 2, 3", lambda s, d: rg.region_year_trend(br.prize_regions(s, d)))
+_add("a10_pivot", f"WITH {WINNERS} SELECT region, issue_year, " + ", ".join(f"coalesce(sum(winners) FILTER (lottery = 'g{i}'), 0)::BIGINT AS g{i}" for i in (1, 2, 3, 4)) + " FROM prize_regions GROUP BY 1, 2", lambda s, d: rg.pivot_games(rg.region_year_trend(br.prize_regions(s, d))))
+_add("a15_pairs", f"WITH {DRAWS}{NUM} SELECT x.lottery, x.num AS a, y.num AS b, count(*) AS times FROM num x JOIN num y ON x.lottery = y.lottery AND x.ord = y.ord AND x.num < y.num GROUP BY 1, 2, 3", lambda s, d: st.co_occurrence(br.draws(s, d)))
+_add("a16_rollup", f"WITH {SOURCES} SELECT lottery, issue_year, source, count(*) AS draws, sum(sales)::BIGINT AS sales FROM sources GROUP BY ROLLUP (lottery, issue_year, source)", lambda s, d: st.grouping_counts(br.sources(s, d)))
 
 # windows
-_add("w1_rolling_counts", f"WITH {DRAWS}{CELLS} SELECT lottery, ord, num, sum(hit) OVER (PARTITION BY lottery, num ORDER BY ord ROWS 29 PRECEDING) AS times FROM cells", lambda s, d: st.rolling_counts(st.grid(st.draw_numbers(br.draws(s, d)), SIZE), 30))
-_add("w2_omission_history", f"WITH {DRAWS}{CELLS} SELECT lottery, ord, num, ord - 1 - coalesce(max(CASE WHEN hit = 1 THEN ord END) OVER (PARTITION BY lottery, num ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS omitted FROM cells", lambda s, d: st.omission_history(st.grid(st.draw_numbers(br.draws(s, d)), SIZE)))
+_add("w1_rolling_counts", f"WITH {DRAWS}{CELLS} SELECT lottery, ord, num, sum(hit) OVER (PARTITION BY lottery, num ORDER BY ord ROWS 29 PRECEDING) AS times FROM cells", lambda s, d: st.rolling_counts(br.draws(s, d), SIZE, 30))
+_add("w2_omission_history", f"WITH {DRAWS}{CELLS} SELECT lottery, ord, num, ord - 1 - coalesce(max(CASE WHEN hit = 1 THEN ord END) OVER (PARTITION BY lottery, num ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS omitted FROM cells", lambda s, d: st.omission_history(br.draws(s, d), SIZE))
 _add(
     "w5_lags",
-    f"WITH {DRAWS}{ORD} SELECT lottery, ord, lag(sales, 1) OVER w AS lag1, lag(sales, 2) OVER w AS lag2, CASE WHEN count(sales) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) >= 2 THEN round(avg(sales) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 4) END AS ma4, CASE WHEN count(sales) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) >= 4 THEN round(avg(sales) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 4) END AS ma8, ord - 1 - coalesce(max(CASE WHEN first_winners > 0 THEN ord END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dry FROM n WINDOW w AS (PARTITION BY lottery ORDER BY ord)",
+    f"WITH {DRAWS}{ORD} SELECT lottery, ord, lag(sales, 1) OVER w AS lag1, lag(sales, 2) OVER w AS lag2, CASE WHEN count(sales) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) >= 2 THEN round(avg(sales) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 4) END AS ma4, CASE WHEN count(sales) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) >= 4 THEN round(avg(sales) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 4) END AS ma8, round(lag(sales, 1) OVER w / nullif(lag(sales, 2) OVER w, 0) - 1, 6) AS momentum, lag(first_winners) OVER w AS winners1, CAST(sum(CASE WHEN first_winners > 0 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS BIGINT) AS wins8, date_diff('day', lag(draw_date) OVER w, draw_date) AS days, CAST(dayofweek(draw_date) + 1 AS BIGINT) AS weekday, CAST(month(draw_date) AS BIGINT) AS month, round(ln(1 + sales), 6) AS log_sales, ord - 1 - coalesce(max(CASE WHEN first_winners > 0 THEN ord END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dry FROM n WINDOW w AS (PARTITION BY lottery ORDER BY ord)",
     lambda s, d: st.lag_frame(br.draws(s, d)),
 )
 
 # tests
 _add("t1_uniformity", f"WITH {DRAWS}{FREQ} SELECT lottery, n, df, round(chi, 6) AS chi2, round(sqrt(chi / (n * df)), 6) AS v, round(greatest(hi - n / k, n / k - lo) / (n / k), 6) AS deviation FROM ({CHI})", lambda s, d: st.uniformity(st.frequency(st.draw_numbers(br.draws(s, d)), SIZE), 6))
 _add("t2_runs", f"WITH {DRAWS}{ORD}, u AS (SELECT lottery, ord, CAST(sales > median(sales) OVER (PARTITION BY lottery) AS INTEGER) AS up FROM n), t AS (SELECT lottery, up, CASE WHEN up <> lag(up) OVER (PARTITION BY lottery ORDER BY ord) THEN 1 ELSE 0 END AS turn FROM u), g AS (SELECT lottery, sum(turn) + 1 AS runs, sum(up) AS n1, sum(1 - up) AS n2 FROM t GROUP BY lottery) SELECT lottery, runs, n1, n2, round((runs - (2.0 * n1 * n2 / (n1 + n2) + 1)) / sqrt(2.0 * n1 * n2 * (2.0 * n1 * n2 - n1 - n2) / ((n1 + n2) * (n1 + n2) * (n1 + n2 - 1))), 6) AS z FROM g", lambda s, d: st.runs_test(br.draws(s, d)))
-_add("t7_adjacent", f"WITH {DRAWS} SELECT lottery, count(*) AS n, count(*) FILTER (list_has_any(front, prev)) AS repeats FROM (SELECT lottery, front, lag(front) OVER (PARTITION BY lottery ORDER BY issue_year, issue_seq) AS prev FROM draws) WHERE prev IS NOT NULL GROUP BY lottery", lambda s, d: st.adjacent_repeat(br.draws(s, d)))
-_add("t11_serial", f"WITH {DRAWS}{ORD}, p AS (SELECT lottery, ord, i AS pos, front[i + 1] AS x FROM n, (SELECT unnest(range(0, 6)) AS i)), q AS (SELECT *, lag(x) OVER (PARTITION BY lottery, pos ORDER BY ord) AS y FROM p) SELECT lottery, pos, count(*) AS n, round(corr(x, y), 6) AS r FROM q WHERE y IS NOT NULL GROUP BY 1, 2", lambda s, d: st.serial_correlation(br.draws(s, d)))
+_add("t7_adjacent", f"WITH {DRAWS}, g AS (SELECT lottery, count(*) AS n, count(*) FILTER (list_has_any(front, prev)) AS repeats FROM (SELECT lottery, front, lag(front) OVER (PARTITION BY lottery ORDER BY issue_year, issue_seq) AS prev FROM draws) WHERE prev IS NOT NULL GROUP BY lottery), p AS (SELECT *, 1 - 296010.0 / 1107568 AS p FROM g) SELECT lottery, n, repeats, round((repeats / n - p) / sqrt(p * (1 - p) / n), 6) AS z, round((repeats / n - p) / p, 6) AS effect FROM p", lambda s, d: st.adjacent_repeat(br.draws(s, d), SIZE, 6))
+_add("t11_serial", f"WITH {DRAWS}{ORD}, p AS (SELECT lottery, ord, i AS pos, front[i + 1] AS x FROM n, (SELECT unnest(range(0, 6)) AS i)), q AS (SELECT *, lag(x) OVER (PARTITION BY lottery, pos ORDER BY ord) AS y FROM p), c AS (SELECT lottery, pos, count(*) AS n, corr(x, y) AS r FROM q WHERE y IS NOT NULL GROUP BY 1, 2) SELECT lottery, pos, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t, abs(r) > 0.10 AS practical FROM c", lambda s, d: st.serial_correlation(br.draws(s, d)))
 _add(
     "t30_bh",
     f"WITH {DRAWS}, p AS (SELECT lottery, issue_year, issue_seq, 0.05 * ((k * 7919) % 1000 + 1) / 1000 AS p FROM draws), r AS (SELECT *, p * count(*) OVER (PARTITION BY lottery, issue_year) / row_number() OVER (PARTITION BY lottery, issue_year ORDER BY p, issue_seq) AS raw FROM p) SELECT lottery, issue_year, issue_seq, p, round(least(1.0, min(raw) OVER (PARTITION BY lottery, issue_year ORDER BY p DESC, issue_seq DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_adjusted FROM r",
@@ -124,8 +132,19 @@ _add(
 
 # settlement
 _add("b8_settle", SETTLED + "SELECT * FROM settled", _settled)
-_add("b10_replay", f"WITH {DRAWS}, {RULES}, s AS (SELECT * FROM draws WHERE k < 800), p AS (SELECT d.lottery, d.issue_year, d.issue_seq, len(list_intersect(t.front, d.front)) AS h, len(list_intersect(t.back, d.back)) AS j FROM draws d JOIN s t ON t.lottery = d.lottery) SELECT lottery, issue_year, issue_seq, max(p.h) AS best, count(grade) AS winners, coalesce(sum(amount), 0) AS money, coalesce(min(grade), 99) <= 4 AS reached FROM p LEFT JOIN rules r ON r.h = p.h AND r.j = p.j GROUP BY 1, 2, 3", lambda s, d: se.replay(br.draws(s, d).where("k < 800").select("lottery", F.col("front").alias("main"), F.col("back").alias("bonus")), br.draws(s, d), 4))
-_add("b11_ledger", SETTLED + ", day AS (SELECT lottery, draw_date, count(*) AS tickets, CAST(sum(amount) AS DOUBLE) AS gross, count(grade) AS wins, CAST(count(*) * 2 AS DOUBLE) AS cost FROM ev GROUP BY 1, 2), x AS (SELECT *, CASE WHEN gross > 10000 THEN gross * 0.2 ELSE 0.0 END AS tax FROM day), y AS (SELECT *, gross - tax - cost AS net FROM x), z AS (SELECT *, round(sum(net) OVER (PARTITION BY lottery ORDER BY draw_date ROWS UNBOUNDED PRECEDING), 4) AS running FROM y), p AS (SELECT *, greatest(0.0, max(running) OVER (PARTITION BY lottery ORDER BY draw_date ROWS UNBOUNDED PRECEDING)) AS peak FROM z), q AS (SELECT *, round(peak - running, 4) AS drawdown FROM p) SELECT *, max(drawdown) OVER (PARTITION BY lottery ORDER BY draw_date ROWS UNBOUNDED PRECEDING) AS worst FROM q", lambda s, d: se.ledger(_settled(s, d)))
+_add(
+    "b10_replay",
+    f"WITH {DRAWS}, {TICKETS}, {RULES}, tm AS (SELECT DISTINCT main FROM tickets), tc AS (SELECT main, bonus[1] AS b, count(*) AS c FROM tickets GROUP BY 1, 2), fr AS (SELECT DISTINCT front FROM draws), hh AS (SELECT front, main, len(list_intersect(main, front)) AS h FROM fr, tm), hc AS (SELECT front, h, b, sum(c) AS c FROM hh JOIN tc USING (main) GROUP BY 1, 2, 3), "
+    "k AS (SELECT DISTINCT front, back FROM draws), p AS (SELECT k.front, k.back, hc.h, CASE WHEN hc.b = k.back[1] THEN 1 ELSE 0 END AS j, hc.c FROM k JOIN hc USING (front)), "
+    "g AS (SELECT front, back, max(p.h) AS best, coalesce(sum(c) FILTER (grade IS NOT NULL), 0)::BIGINT AS winners, coalesce(sum(c * amount), 0)::BIGINT AS money, coalesce(min(grade), 99) <= 4 AS reached FROM p LEFT JOIN rules r ON r.h = p.h AND r.j = p.j GROUP BY 1, 2) SELECT lottery, issue_year, issue_seq, best, winners, money, reached FROM draws JOIN g USING (front, back)",
+    lambda s, d: se.replay(br.tickets(s, d), br.draws(s, d), 4),
+)
+_add(
+    "b11_ledger",
+    SETTLED + ", day AS (SELECT lottery, draw_date, draw_k, count(*) AS tickets, CAST(sum(amount) AS DOUBLE) AS gross, count(grade) AS wins, CAST(count(*) * 2 AS DOUBLE) AS cost FROM ev GROUP BY 1, 2, 3), x AS (SELECT *, CASE WHEN gross > 10000 THEN gross * 0.2 ELSE 0.0 END AS tax, row_number() OVER (PARTITION BY lottery ORDER BY draw_date, draw_k) AS ord FROM day), y AS (SELECT *, gross - tax - cost AS net FROM x), z AS (SELECT *, round(sum(net) OVER w, 4) AS running FROM y WINDOW w AS (PARTITION BY lottery ORDER BY ord ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, greatest(0.0, max(running) OVER (PARTITION BY lottery ORDER BY ord ROWS UNBOUNDED PRECEDING)) AS peak FROM z), q AS (SELECT *, round(peak - running, 4) AS drawdown FROM p), "
+    "u AS (SELECT *, max(drawdown) OVER w AS worst, ord - coalesce(max(CASE WHEN drawdown = 0 THEN ord END) OVER w, 0) AS under FROM q WINDOW w AS (PARTITION BY lottery ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT * EXCLUDE (ord), max(under) OVER (PARTITION BY lottery ORDER BY ord ROWS UNBOUNDED PRECEDING) AS longest_under FROM u",
+    lambda s, d: se.ledger(_settled(s, d)),
+)
 _add("l2_attribution", SETTLED + "SELECT strategy, tier, count(*) AS tickets, count(grade) AS wins, sum(amount) AS prizes, count(*) FILTER (grade <= 5) AS ten_or_more FROM ev GROUP BY CUBE (strategy, tier)", lambda s, d: se.attribution(_settled(s, d)))
 _add("l3_leaderboard", SETTLED + "SELECT strategy, count(*) AS tickets, round(avg(h), 6) AS mean_main, round(avg(j), 6) AS mean_bonus, count(grade) AS wins, round(count(grade) / count(*), 6) AS rate FROM ev GROUP BY strategy", lambda s, d: se.leaderboard(_settled(s, d)))
 _add("l6_search_hits", SETTLED + "SELECT ticket_id, h, j, grade, amount FROM settled WHERE h >= 2 AND amount >= 5 AND grade IS NOT NULL ORDER BY amount DESC, h DESC, ticket_id LIMIT 100", lambda s, d: se.search_hits(_settled(s, d), 2, 5, 100))
@@ -141,3 +160,8 @@ _add("x4_daily_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(
 
 QUERIES |= more.QUERIES
 ORACLES |= more.ORACLES
+
+from . import tested, wider  # noqa: E402
+
+QUERIES |= tested.QUERIES | wider.QUERIES
+ORACLES |= tested.ORACLES | wider.ORACLES

@@ -32,10 +32,6 @@ def _numbers(s, d):
     return st.draw_numbers(br.draws(s, d))
 
 
-def _cells(s, d):
-    return st.grid(_numbers(s, d), SIZE)
-
-
 def _remote(draws):
     """The draws with some missing and some with other numbers."""
     other = F.when(F.expr("k % 29 = 0"), F.array(*(F.lit(i).cast("bigint") for i in range(1, 7)))).otherwise(F.col("front"))
@@ -78,34 +74,35 @@ _add(
 
 # series
 OMIT = "om AS (SELECT dom.lottery, dom.num, (SELECT max(ord) FROM n WHERE n.lottery = dom.lottery) - coalesce(max(num.ord), 0) AS omitted FROM dom LEFT JOIN num ON num.lottery = dom.lottery AND num.num = dom.num GROUP BY 1, 2)"
-_add("a4_summary", f"WITH {DRAWS}{FREQ}, {OMIT} SELECT f.lottery, count(*) AS size, round(avg(times), 6) AS mean, round(stddev_pop(times), 6) AS deviation, max(omitted) AS max_omission FROM f JOIN om USING (lottery, num) GROUP BY f.lottery", lambda s, d: se.summary_stats(st.frequency(_numbers(s, d), SIZE), st.omission(_numbers(s, d), SIZE)))
+_add("a4_summary", f"WITH {DRAWS}{FREQ}, {OMIT} SELECT f.lottery, count(*) AS size, round(6 / count(*), 6) AS rate, round(avg(times), 6) AS mean, round(stddev_pop(times), 6) AS deviation, array_to_string(list_slice(list(num ORDER BY times DESC, num), 1, 5), '-') AS hot, array_to_string(list_slice(list(num ORDER BY times, num), 1, 5), '-') AS cold, max(omitted) AS max_omission FROM f JOIN om USING (lottery, num) GROUP BY f.lottery", lambda s, d: se.summary_stats(st.frequency(_numbers(s, d), SIZE), st.omission(st.numbered(br.draws(s, d)), SIZE), 6))
 _add("a5_volatility", f"WITH {DRAWS}{FREQ}, g AS (SELECT lottery, stddev_pop(times) AS seen, sqrt(sum(times) / 6 * (6.0 / count(*)) * (1 - 6.0 / count(*))) AS expected FROM f GROUP BY lottery) SELECT lottery, round(seen, 6) AS seen, round(expected, 6) AS expected, round((seen / expected - 1) * 100, 4) AS excess FROM g", lambda s, d: se.volatility(st.frequency(_numbers(s, d), SIZE), 6))
 _add("w8_dry_runs", f"WITH {DRAWS}{ORD}, x AS (SELECT lottery, ord - row_number() OVER (PARTITION BY lottery ORDER BY ord) AS spell FROM n WHERE first_winners = 0), y AS (SELECT lottery, spell, count(*) AS c FROM x GROUP BY 1, 2) SELECT lottery, count(*) AS spells, max(c) AS longest FROM y GROUP BY 1", lambda s, d: se.dry_runs(br.draws(s, d)))
-_add("w11_segments", f"WITH {DRAWS}{ORD}, x AS (SELECT lottery, sales, (ord - 1) * 4 // count(*) OVER (PARTITION BY lottery) AS segment FROM n) SELECT lottery, segment, count(*) AS draws, round(median(sales), 4) AS middle FROM x GROUP BY 1, 2", lambda s, d: se.segments(br.draws(s, d), 4))
+_add("w8_same_value", f"WITH {DRAWS}{ORD}, x AS (SELECT lottery, ord, back[1] AS v, ord - row_number() OVER (PARTITION BY lottery, back[1] ORDER BY ord) AS spell FROM n), y AS (SELECT lottery, v, spell, count(*) AS c, min(ord) AS first FROM x GROUP BY 1, 2, 3) SELECT lottery, c AS longest, first, v AS number FROM y QUALIFY row_number() OVER (PARTITION BY lottery ORDER BY c DESC, first) = 1", lambda s, d: se.same_value_runs(br.draws(s, d)))
+_add("w11_segments", f"WITH {DRAWS}{ORD}, x AS (SELECT lottery, sales, (ord - 1) * 4 // count(*) OVER (PARTITION BY lottery) AS segment FROM n), g AS (SELECT lottery, segment, count(*) AS draws, median(sales) AS m FROM x GROUP BY 1, 2) SELECT lottery, segment, draws, round(m, 4) AS middle, abs(last_value(m) OVER w / first_value(m) OVER w - 1) > 0.2 AS shifted FROM g WINDOW w AS (PARTITION BY lottery ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", lambda s, d: se.segments(br.draws(s, d), 4))
 _add("w12_folds", f"WITH {DRAWS}{ORD}, x AS (SELECT lottery, ord, count(*) OVER (PARTITION BY lottery) AS c FROM n), y AS (SELECT lottery, ord, (ord - 101) * 5 // (c - 100) AS fold FROM x WHERE ord > 100) SELECT lottery, fold, count(*) AS validate, min(ord) - 1 AS train FROM y GROUP BY 1, 2", lambda s, d: se.walk_forward_folds(br.draws(s, d), 5, 100))
 _add("t4_serial_pairs", f"WITH {DRAWS}{ORD}, p AS (SELECT lottery, back[1] AS x, lag(back[1]) OVER (PARTITION BY lottery ORDER BY ord) AS y FROM n), c AS (SELECT lottery, x, y, count(*) AS c FROM p WHERE y IS NOT NULL GROUP BY ALL) SELECT lottery, CAST(sum(c) AS BIGINT) AS n, round(sum(c * c) * 256 / sum(c) - sum(c), 6) AS chi2, CAST(255 AS BIGINT) AS df FROM c GROUP BY lottery", lambda s, d: se.serial_pairs(br.draws(s, d), 16))
-_add("t6_blocks", f"WITH {DRAWS}{ORD}, c AS (SELECT lottery, (ord - 1) // 100 AS block, back[1] AS x, count(*) AS c FROM n GROUP BY ALL), b AS (SELECT lottery, block, sum(c) AS m, sum(c * c) AS sq FROM c GROUP BY ALL HAVING sum(c) = 100) SELECT lottery, count(*) AS blocks, round(sum(sq) * 16 / 100 - count(*) * 100, 6) AS chi2, count(*) * 15 AS df FROM b GROUP BY lottery", lambda s, d: se.block_frequency(br.draws(s, d), 16, 100))
+_add("t6_blocks", f"WITH {DRAWS}{ORD}, c AS (SELECT lottery, (ord - 1) // 100 AS block, back[1] AS x, count(*) AS c FROM n GROUP BY ALL), b AS (SELECT lottery, block, sum(c) AS m, sum(c * c) AS sq FROM c GROUP BY ALL HAVING sum(c) = 100) SELECT lottery, count(*) AS blocks, round(sum(sq) * 16 / 100 - count(*) * 100, 6) AS chi2, count(*) * 15 AS df, (sum(sq) * 16 / 100 - count(*) * 100) / (count(*) * 15) > 1.5 AS excess FROM b GROUP BY lottery", lambda s, d: se.block_frequency(br.draws(s, d), 16, 100))
 _add("t13_benford", f"WITH {DRAWS}, g AS (SELECT lottery, CAST(left(CAST(sales AS VARCHAR), 1) AS INTEGER) AS d, count(*) AS c FROM draws WHERE sales > 0 GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY lottery) AS m FROM g) SELECT lottery, CAST(max(m) AS BIGINT) AS n, round(sum(c * c / (m * log10(1 + 1 / d))) - max(m), 6) AS chi2 FROM t GROUP BY lottery", lambda s, d: se.benford(br.draws(s, d), "sales"))
-_add("t15_recent", f"WITH {DRAWS}{NUM}, t AS (SELECT lottery, max(ord) AS c FROM num GROUP BY 1), g AS (SELECT num.lottery, num, max(c) AS c, count(*) AS times, count(*) FILTER (ord > c - 30) AS lately FROM num JOIN t ON t.lottery = num.lottery GROUP BY 1, 2) SELECT lottery, num, times, lately, round((lately / 30 - times / c) / sqrt(times / c * (1 - times / c) / 30), 6) AS z FROM g WHERE times < c", lambda s, d: se.recent_shift(_numbers(s, d), 30))
+_add("t15_recent", f"WITH {DRAWS}{NUM}, t AS (SELECT lottery, max(ord) AS c FROM num GROUP BY 1), g AS (SELECT num.lottery, num, max(c) AS c, count(*) AS times, count(*) FILTER (ord > c - 30) AS lately FROM num JOIN t ON t.lottery = num.lottery GROUP BY 1, 2) SELECT lottery, num, times, lately, round((lately / 30 - times / c) / sqrt(times / c * (1 - times / c) / 30), 6) AS z FROM g WHERE times < c", lambda s, d: se.recent_shift(st.numbered(br.draws(s, d)), 30))
 _add("e2_overlap", f"WITH {DRAWS} SELECT k, CASE WHEN prev IS NOT NULL THEN len(list_intersect(front, prev)) END AS shared FROM (SELECT k, front, lag(front) OVER (PARTITION BY lottery ORDER BY issue_year, issue_seq) AS prev FROM draws)", lambda s, d: se.previous_overlap(br.draws(s, d)))
 PICK = ", r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lottery, ord ORDER BY score DESC, num) <= 6), picks AS (SELECT lottery, ord, string_agg(num, '-' ORDER BY num) AS numbers, CAST(sum(hit) AS BIGINT) AS hits FROM r GROUP BY 1, 2) "
 HOT = f"WITH {DRAWS}{CELLS}, s AS (SELECT *, coalesce(sum(hit) OVER (PARTITION BY lottery, num ORDER BY ord ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0) AS score FROM cells)" + PICK
 OVERDUE = f"WITH {DRAWS}{CELLS}, s AS (SELECT *, ord - coalesce(max(CASE WHEN hit = 1 THEN ord END) OVER (PARTITION BY lottery, num ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS score FROM cells)" + PICK
 SCORE = "SELECT lottery, count(*) AS n, CAST(sum(hits) AS BIGINT) AS hits, round((sum(hits) / count(*) - 36 / 33) / sqrt(36 / 33 * 27 / 33 * 27 / 32 / count(*)), 6) AS z FROM picks WHERE ord > 100 GROUP BY lottery"
-_add("b1_hot", HOT + "SELECT * FROM picks", lambda s, d: se.strategy_hot(_cells(s, d), 30, 6))
-_add("b2_overdue", OVERDUE + "SELECT * FROM picks", lambda s, d: se.strategy_overdue(_cells(s, d), 6))
-_add("b17_backtest", OVERDUE + SCORE, lambda s, d: se.strategy_score(se.strategy_overdue(_cells(s, d), 6), SIZE, 6, 100))
+_add("b1_hot", HOT + "SELECT * FROM picks", lambda s, d: se.strategy_hot(br.draws(s, d), SIZE, 30, 6))
+_add("b2_overdue", OVERDUE + "SELECT * FROM picks", lambda s, d: se.strategy_overdue(br.draws(s, d), SIZE, 6))
+_add("b17_backtest", OVERDUE + SCORE, lambda s, d: se.strategy_score(se.strategy_overdue(br.draws(s, d), SIZE, 6), SIZE, 6, 100))
 
 # feedback
 _add("l4_tiers", SETTLED + "SELECT tier, count(*) AS tickets, count(DISTINCT draw_k) AS draws, count(grade) AS wins, round(avg(h * CAST(0.1 AS DOUBLE) + j * CAST(0.4 AS DOUBLE)), 6) AS score, round(count(grade) / count(*), 6) AS rate FROM ev GROUP BY tier", lambda s, d: fb.tier_comparison(_settled(s, d)))
 _add("l5_weights", SETTLED + ", g AS (SELECT strategy, count(*) AS tickets, avg(h * CAST(0.1 AS DOUBLE) + j * CAST(0.4 AS DOUBLE)) AS score FROM ev GROUP BY 1), w AS (SELECT *, CASE WHEN tickets < 10 THEN 1 / count(*) OVER () ELSE score END AS raw FROM g), x AS (SELECT *, greatest(0.05, raw / sum(raw) OVER ()) AS share FROM w) SELECT strategy, tickets, round(share / sum(share) OVER (), 6) AS weight FROM x", lambda s, d: fb.strategy_weights(_settled(s, d)))
-_add("w9_trend", SETTLED + ", r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY draw_date DESC, ticket_id DESC) AS place FROM ev), g AS (SELECT strategy, count(*) AS c, round(avg(h) FILTER (place <= 10) - avg(h) FILTER (place > 10), 6) AS change FROM r WHERE place <= 20 GROUP BY 1) SELECT strategy, CASE WHEN c < 20 THEN 'none' WHEN change > 0.15 THEN 'up' WHEN change < -0.15 THEN 'down' ELSE 'flat' END AS trend, change FROM g", lambda s, d: fb.hit_trend(_settled(s, d)))
+_add("w9_trend", SETTLED + ", r AS (SELECT *, h + j AS t, row_number() OVER (PARTITION BY strategy ORDER BY draw_date DESC, ticket_id DESC) AS place FROM ev), g AS (SELECT strategy, count(*) AS c, round(avg(t) FILTER (place <= 10) - avg(t) FILTER (place > 10), 6) AS change FROM r WHERE place <= 20 GROUP BY 1) SELECT strategy, CASE WHEN c < 10 OR change IS NULL THEN 'none' WHEN change > 0.15 THEN 'up' WHEN change < -0.15 THEN 'down' ELSE 'flat' END AS trend, change FROM g", lambda s, d: fb.hit_trend(_settled(s, d)))
 LEDGER = ", led AS (SELECT draw_k AS k, count(*) AS tickets, CAST(sum(amount) AS BIGINT) AS gross, count(grade) AS wins, count(*) FILTER (amount >= 10) AS ten_or_more, count(*) * 2 AS cost FROM ev GROUP BY 1) "
 FILLED = ", fil AS (SELECT d.lottery, d.k, led.k IS NOT NULL AS took_part, coalesce(tickets, 0) AS tickets, coalesce(gross, 0) AS gross, coalesce(wins, 0) AS wins, coalesce(ten_or_more, 0) AS ten_or_more, coalesce(cost, 0) AS cost FROM draws d LEFT JOIN led ON led.k = d.k) "
 _add("l7_ledger", SETTLED + LEDGER + "SELECT * FROM led", lambda s, d: fb.batch_ledger(_settled(s, d)))
 _add("l8_filled", SETTLED + LEDGER + FILLED + "SELECT * FROM fil", lambda s, d: fb.filled_ledger(fb.batch_ledger(_settled(s, d)), br.draws(s, d)))
 _add("l10_summary", SETTLED + LEDGER + FILLED + ", g AS (SELECT lottery, count(*) AS draws, count(*) FILTER (took_part) AS taken, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(gross) AS BIGINT) AS gross, round(sum(CASE WHEN gross > 10000 THEN gross * CAST(0.2 AS DOUBLE) ELSE 0.0 END), 4) AS tax, count(*) FILTER (wins > 0) AS won FROM fil GROUP BY 1) SELECT *, round(gross - tax - cost, 4) AS net, round(won / nullif(taken, 0), 6) AS hit_share FROM g", lambda s, d: fb.ledger_summary(fb.filled_ledger(fb.batch_ledger(_settled(s, d)), br.draws(s, d))))
-_add("l11_lift", SETTLED + ", r AS (SELECT score, count(*) AS t, count(grade) AS w FROM ev GROUP BY 1), b AS (SELECT *, ntile(5) OVER (ORDER BY score) AS bin FROM r), g AS (SELECT bin, CAST(sum(t) AS BIGINT) AS tickets, CAST(sum(w) AS BIGINT) AS wins FROM b GROUP BY 1) SELECT bin, tickets, wins, round(wins / tickets, 6) AS rate, round(wins / tickets / (sum(wins) OVER () / sum(tickets) OVER ()), 6) AS lift FROM g", lambda s, d: fb.lift(_settled(s, d)))
+_add("l11_lift", SETTLED + ", r AS (SELECT score, count(*) AS t, count(grade) AS w FROM ev GROUP BY 1), b AS (SELECT *, ntile(5) OVER (ORDER BY score) AS bin FROM r), g AS (SELECT bin, CAST(sum(t) AS BIGINT) AS tickets, CAST(sum(w) AS BIGINT) AS wins FROM b GROUP BY 1) SELECT bin, tickets, wins, round(wins / tickets, 6) AS rate, round(wins / tickets / (sum(wins) OVER () / sum(tickets) OVER ()), 6) AS lift, round(sqrt(wins / tickets * (1 - wins / tickets) / tickets), 6) AS se, coalesce((SELECT bool_and(up) FROM (SELECT wins / tickets >= lag(wins / tickets) OVER (ORDER BY bin) AS up FROM g)), true) AS rising FROM g", lambda s, d: fb.lift(_settled(s, d)))
 _add("l12_budget", SETTLED + "SELECT CAST(date_trunc('month', draw_date) AS DATE) AS month, lottery, count(*) * 2 AS spent, count(DISTINCT batch) AS batches FROM ev GROUP BY GROUPING SETS ((1), (2), (1, 2))", lambda s, d: fb.budget_groups(_settled(s, d)))
 _add(
     "b16_arm_overlap",
