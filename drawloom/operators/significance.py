@@ -57,7 +57,7 @@ def same_rate(draws: DataFrame, digits: str = "digits") -> DataFrame:
     margin = lambda v, c: pairs.select(*key, F.col(v).alias("v"), F.col(c).alias(c), "n").distinct()
     expected = margin("x", "cx").join(margin("y", "cy").drop("n"), [*key, "v"]).groupBy(*key).agg((F.sum(F.col("cx") * F.col("cy") / F.col("n") / F.col("n"))).alias("e"))
     g = pairs.groupBy(*key).agg(F.max("n").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("c")).otherwise(0)).alias("same")).join(expected, key)
-    z = (F.col("same") / F.col("n") - F.col("e")) / F.sqrt(F.col("e") * (1 - F.col("e")) / F.col("n"))
+    z = F.try_divide(F.col("same") / F.col("n") - F.col("e"), F.sqrt(F.col("e") * (1 - F.col("e")) / F.col("n")))
     out = g.select(*key, "n", "same", F.round("e", 6).alias("expected"), F.round(z, 5).alias("z"), (F.abs(z) >= 3).alias("practical"))
     return with_p(out, special.norm_two_sided("z"))
 
@@ -117,7 +117,7 @@ def zone_deviation(draws: DataFrame, size: int = 33, width: int = 50, z: float =
 
 
 def _moments(d: DataFrame, value: str) -> DataFrame:
-    return F.broadcast(d.groupBy("lottery").agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev"), F.count(F.lit(1)).alias("_n")))  # one row a game
+    return F.broadcast(d.groupBy("lottery").agg(F.avg(value).alias("_mean"), F.nullif(F.stddev_pop(value), F.lit(0.0)).alias("_dev"), F.count(F.lit(1)).alias("_n")))  # one row a game
 
 
 def extreme_runs(draws: DataFrame, run: Column, rare: int, top: int) -> DataFrame:
@@ -153,7 +153,7 @@ def periodicity(draws: DataFrame, value: Column, lags: int = 30) -> DataFrame:
     d = d.join(_moments(d, "x"), "lottery").withColumn("x", F.col("x") - F.col("_mean")).drop("_mean", "_dev")
     s = stretched(d, lags).select("lottery", "lead", "_n", "x", *(F.lag("x", i).over(by()).alias(f"l{i}") for i in range(1, lags + 1))).where("not lead")
     g = s.groupBy("lottery").agg(F.max("_n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("ss"), *(F.sum(F.col("x") * F.col(f"l{i}")).alias(f"c{i}") for i in range(1, lags + 1)))
-    out = g.select("lottery", F.explode(F.array(*(F.struct(F.lit(i).alias("lag"), (F.col(f"c{i}") / (F.col("n") - i) / F.col("ss")).alias("r")) for i in range(1, lags + 1)))).alias("x"))
+    out = g.select("lottery", F.explode(F.array(*(F.struct(F.lit(i).alias("lag"), F.try_divide(F.col(f"c{i}"), (F.col("n") - i) * F.col("ss")).alias("r")) for i in range(1, lags + 1)))).alias("x"))
     return out.select("lottery", "x.lag", F.round("x.r", 9).alias("r"))
 
 
@@ -325,8 +325,8 @@ def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("r") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    out = g.select("lottery", "n1", "n2", F.round(u, 1).alias("u"), F.round((u - n1 * n2 / 2 - 0.5) / sd, 5).alias("z"), F.round("a", 6).alias("mean1"), F.round("b", 6).alias("mean2"))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
+    out = g.select("lottery", "n1", "n2", F.round(u, 1).alias("u"), F.round(F.try_divide(u - n1 * n2 / 2 - 0.5, sd), 5).alias("z"), F.round("a", 6).alias("mean1"), F.round("b", 6).alias("mean2"))
     return with_p(out, special.norm_sf("z"))
 
 
@@ -335,7 +335,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("lottery", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     d = average_ranks(average_ranks(d, GAMES, "x", "rx"), GAMES, "y", "ry")
     g = d.groupBy("lottery").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("r"))
-    out = g.select("lottery", "n", F.round("r", 6).alias("rho"), F.round(F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))), 4).alias("t"))
+    out = g.select("lottery", "n", F.round("r", 6).alias("rho"), F.round(F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))), 4).alias("t"))
     return with_p(out, special.t_sf(F.col("t"), (F.col("n") - 2).cast("double")))
 
 
@@ -475,5 +475,5 @@ def paired_compare(a: DataFrame, b: DataFrame, value: str, target: float = 0.8)
     known = lambda c: F.when(F.col("comparable"), c)
     se = F.col("s") / F.sqrt("n")
     need = special._NORMAL.inv_cdf(0.975) + special._NORMAL.inv_cdf(target)
-    out = g.select("lottery", "comparable", "n", known(F.round("d", 6)).alias("difference"), known(F.round("s", 6)).alias("deviation"), known(F.round(F.col("d") / se, 5)).alias("z"), known(F.round(F.col("d") - 1.959963984540054 * se, 6)).alias("lo"), known(F.round(F.col("d") + 1.959963984540054 * se, 6)).alias("hi"), known(F.round("r", 6)).alias("rho"), known(F.ceil(F.round(need * need * F.col("s") * F.col("s") / (F.col("d") * F.col("d")), 6))).alias("needed"))
+    out = g.select("lottery", "comparable", "n", known(F.round("d", 6)).alias("difference"), known(F.round("s", 6)).alias("deviation"), known(F.round(F.coalesce(F.try_divide(F.col("d"), se), F.when(F.col("d") == 0, 0.0)), 5)).alias("z"), known(F.round(F.col("d") - 1.959963984540054 * se, 6)).alias("lo"), known(F.round(F.col("d") + 1.959963984540054 * se, 6)).alias("hi"), known(F.round("r", 6)).alias("rho"), known(F.ceil(F.round(F.try_divide(need * need * F.col("s") * F.col("s"), F.col("d") * F.col("d")), 6))).alias("needed"))
     return with_p(out, special.norm_two_sided("z"))

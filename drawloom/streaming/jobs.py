@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +32,85 @@ def sessions(events: DataFrame, gap: str = "5 seconds 1 microsecond", horizon: s
     """Batches of a user's events that follow each other within the gap."""
     g = events.withWatermark("ts", horizon).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+def settle_stream(predictions: DataFrame, results: DataFrame, wait: str = "14 days", horizon: str = "1 day") -> DataFrame:
+    """Each prediction (prediction_id, key, made) with its key's results (key, drawn, outcome) of the ``wait`` after it; missed if none came.
+
+    A missed prediction is put out once the watermark has passed its wait.
+    """
+    p = predictions.withWatermark("made", horizon)
+    r = results.select(F.col("key").alias("_key"), "drawn", "outcome").withWatermark("drawn", horizon)
+    within = (F.col("key") == F.col("_key")) & (F.col("drawn") >= F.col("made")) & (F.col("drawn") <= F.col("made") + F.expr(f"interval {wait}"))
+    both = p.join(r, within, "left_outer")
+    return both.select("prediction_id", "key", "made", "drawn", "outcome", F.when(F.col("_key").isNull(), "missed").otherwise("evaluated").alias("status"))
+
+
+def upsert_best(batch: DataFrame, path: str, key: list[str], rank: str) -> None:
+    """For ``foreachBatch``: the Parquet table at ``path`` with the batch's rows, of each key the one with the least ``rank``, the older of equals.
+
+    The new table is written beside the old one and takes its place at the end.
+    """
+    spark = batch.sparkSession
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, fresh = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, path + "_new"))
+    fs = target.getFileSystem(hadoop)
+    new = batch.withColumn("_new", F.lit(1))
+    both = spark.read.parquet(path).withColumn("_new", F.lit(0)).unionByName(new) if fs.exists(target) else new
+    best = both.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), F.struct(rank, "_new")).alias("r")).select("r.*")
+    best.write.mode("overwrite").parquet(path + "_new")
+    fs.delete(target, True)
+    fs.rename(fresh, target)
+
+
+def first_wins(batch: DataFrame, path: str, late_path: str, key: list[str], order: str) -> None:
+    """For ``foreachBatch``: append the rows of new keys (of several the first by ``order``); rows of keys already there, or later ones, go to ``late_path``."""
+    spark = batch.sparkSession
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    marked = batch.withColumn("_first", rank == 1)
+    if target.getFileSystem(hadoop).exists(target):
+        known = spark.read.parquet(path).select(*key).distinct().withColumn("_known", F.lit(True))
+        marked = marked.join(known, key, "left").withColumn("_first", F.col("_first") & F.col("_known").isNull()).drop("_known")
+    # the late rows are written before the table grows
+    marked.where(~F.col("_first")).drop("_first").write.mode("append").parquet(late_path)
+    marked.where("_first").drop("_first").write.mode("append").parquet(path)
+
+
+MONITOR = "key string, n long, log_wealth double, crossed long"
+STATE = "counts array<long>, n long, logs array<double>, crossed long"
+
+
+def bet(counts: np.ndarray, n: int, logs: np.ndarray, value: int, warm: int, c: float = 0.3, eps: float = 1e-3) -> np.ndarray:
+    """The logs of each value's wealth after one more observation, its bet following from the ``n`` before."""
+    p0 = 1 / len(counts)
+    if n < warm:
+        return logs
+    lam = np.clip(c * (counts / n - p0) / (p0 * (1 - p0)), -(1 - eps) / (1 - p0), (1 - eps) / p0)
+    return logs + np.log1p(lam * ((np.arange(len(counts)) == value) - p0))
+
+
+def monitor(rows: DataFrame, values: int, warm: int = 50, alpha: float = 0.05) -> DataFrame:
+    """A running e-process per key over (key, ts, value in 0..values-1): observations, log of the mean wealth, and at which one it first reached 1 / alpha.
+
+    Put out after every micro-batch that has rows of the key, in order of ``ts``
+    within the batch; the state of a key is its counts and logs.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            counts, n, logs, crossed = state.get
+            counts, logs = np.array(counts, float), np.array(logs, float)
+        else:
+            counts, n, logs, crossed = np.zeros(values), 0, np.zeros(values), None
+        for value in pd.concat(list(batches)).sort_values("ts", kind="stable")["value"].to_numpy():
+            logs = bet(counts, n, logs, int(value), warm)
+            counts[int(value)] += 1
+            n += 1
+            if crossed is None and np.log(np.mean(np.exp(logs))) >= math.log(1 / alpha):
+                crossed = n
+        state.update(([int(x) for x in counts], n, [float(x) for x in logs], crossed))
+        yield pd.DataFrame({"key": [key[0]], "n": [n], "log_wealth": [float(np.log(np.mean(np.exp(logs))))], "crossed": pd.array([crossed], dtype="Int64")})
+
+    return rows.groupBy("key").applyInPandasWithState(run, MONITOR, STATE, "update", "NoTimeout")
