@@ -52,18 +52,24 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_stages(spark: SparkSession) -> int:
-    """Delete what this session has staged, and say how many folders that were.
+def staged_so_far() -> int:
+    """How many folders this process has staged and not cleared."""
+    return len(_STAGED)
+
+
+def clear_stages(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the folders staged after the first ``since``, but for the last ``keep``, and say how many.
 
     For when the results have been written: DataFrames returned before still
     read the staged folders.
     """
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_STAGED)
-    while _STAGED:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    gone = _STAGED[since : len(_STAGED) - keep]
+    del _STAGED[since : len(_STAGED) - keep]
+    for p in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(hadoop).delete(path, True)
-    return n
+    return len(gone)
 
 
 #: Keys that may count as hot: what is broadcast for them has at most this many rows.
