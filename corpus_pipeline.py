@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawloom.llm import mixing, near_dedup, packing, quality, toxicity
-from drawloom.llm.common import stage, table
+from drawloom.llm.common import clear_stages, stage, staged_so_far, table
 from drawloom.llm.queries import WORD_TOKENIZER
 
 
@@ -59,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage staged for itself goes once its output is written."""
+    docs, begun = table(spark, sf_dir, "documents"), staged_so_far()
     for _, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir))
+        clear_stages(spark, begun, 1)
     return STAGES[-1][1](spark, docs, sf_dir)
