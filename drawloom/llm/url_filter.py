@@ -46,7 +46,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest fitting rule (host plus path; of equals the first) as a struct (rule, verdict), else null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for domain, prefix, verdict in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
+    for domain, prefix, verdict in sorted(reversed(rules), key=lambda r: len(r[0]) + len(r[1])):  # the last one put around decides
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith(prefix)
         out = F.when(fits, F.struct(F.lit(domain + prefix).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
