@@ -7,7 +7,7 @@ and Newton's method on the convex dual finds the lambdas: every iteration adds
 up gradient and curvature over a (source, size) histogram in Spark and steps
 all sources at once, within brackets.  Rates are then rounded into whole
 copies so that the running total within a source follows its expectation, and
-a last step changes a few documents' copies to close the gap.
+a last step changes some documents' copies to close the gap.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, stage
+from .common import MAX_HOT, SPACE_CLASS, stage
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -93,7 +93,7 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, source, size, source_size, target, copies, taken.
 
     copies is 0, 1 or 2 and taken = copies * size.  A source's taken words come
-    within about one short document of its target.  Null texts have size 0 and,
+    within one document of its target, the shortest that could still change.  Null texts have size 0 and,
     like all texts without words, one copy; a null source is a source like any
     other, last in order.  Repeated rows are documents of their own.  The
     result depends on the rows only, so reruns agree.  No rows give no rows.
@@ -138,22 +138,23 @@ def _copies(df: DataFrame) -> DataFrame:
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(LIMIT), F.greatest(F.lit(0), upto(0) - upto(1))))
     placed = stage(placed.withColumn("copies", copies.cast("int")))
 
-    # Close the gap: of each source, a few documents per doubling of the size
-    # that could take a copy more or less, largest first while they fit.
+    # Close the gap: of each source's documents that could take a copy more (or
+    # less), as many of each size, largest first, as still fit.
     gaps = placed.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("got")).select(F.col("source").alias("gs"), (F.col("target") - F.col("got")).alias("gap"))
-    able = placed.where("size > 0").withColumn("octave", F.floor(F.log2("size")).cast("int"))
-    kinds = []
-    for sign, ok in ((1, F.col("copies") < LIMIT), (-1, F.col("copies") > 0)):
-        for pick in (F.min, F.max):
-            kinds.append(able.where(ok).groupBy("source", "octave").agg(pick(F.struct("size", "salt", "rank")).alias("x")).select("source", F.lit(sign).alias("sign"), "x"))
-    few = kinds[0]
-    for k in kinds[1:]:
-        few = few.unionByName(k)
-    few = few.distinct().groupBy("source", "sign").agg(F.sort_array(F.collect_list("x"), asc=False).alias("xs"))  # at most two per octave
-    few = few.join(gaps, F.expr("source <=> gs") & (F.signum("gap") == F.col("sign")))
-    start = F.struct(F.abs("gap").alias("left"), F.array().cast("array<struct<size:bigint,salt:int,rank:int>>").alias("chosen"))
-    fits = lambda acc, c: F.when(c["size"] <= acc["left"] + 0.5, F.struct((acc["left"] - c["size"]).alias("left"), F.array_append(acc["chosen"], c).alias("chosen"))).otherwise(acc)
-    moves = few.select(F.col("source").alias("ms"), "sign", F.explode(F.aggregate("xs", start, fits)["chosen"]).alias("c")).select("ms", "sign", F.col("c.size").alias("mz"), F.col("c.salt").alias("mt"), F.col("c.rank").alias("mr"))
-    out = placed.join(moves, F.expr("source <=> ms and size = mz and salt = mt and rank = mr"), "left")
+    able = placed.where("size > 0").join(F.broadcast(gaps) if gaps.count() <= MAX_HOT else gaps, F.expr("source <=> gs")).withColumn("sign", F.signum("gap").cast("int"))
+    able = able.where((F.abs("gap") + 0.5 >= F.col("size")) & (((F.col("sign") > 0) & (F.col("copies") < LIMIT)) | ((F.col("sign") < 0) & (F.col("copies") > 0))))
+    able = able.select("key", "source", "size", "salt", "rank", "gap", "sign")
+    sizes = able.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.first("gap").alias("gap"), F.first("sign").alias("sign"))
+    each = sizes.groupBy("source").agg(F.first("gap").alias("gap"), F.first("sign").alias("sign"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("xs"))  # one entry a size
+    start = F.struct((F.abs("gap") + 0.5).alias("left"), F.array().cast("array<struct<size:bigint,k:bigint>>").alias("chosen"))
+    k = lambda left, c: F.least(c["n"], F.floor(left / c["size"]).cast("bigint"))
+    fit = lambda acc, c: F.when(k(acc["left"], c) > 0, F.struct((acc["left"] - k(acc["left"], c) * c["size"]).alias("left"), F.array_append(acc["chosen"], F.struct(c["size"].alias("size"), k(acc["left"], c).alias("k"))).alias("chosen"))).otherwise(acc)
+    moves = stage(each.select(F.col("source").alias("ms"), F.explode(F.aggregate("xs", start, fit)["chosen"]).alias("c")).select("ms", F.col("c.size").alias("mz"), "c.k"))
+    near = able.join(moves, F.expr("source <=> ms and size = mz"))
+    upto = near.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
+    upto = upto.select(F.col("source").alias("us"), F.col("size").alias("uz"), F.col("salt").alias("ut"), F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("rank"))
+    near = near.withColumn("place", place).join(upto, F.expr("source <=> us and size = uz and salt = ut")).where(F.col("place") + F.col("before") <= F.col("k"))
+    out = placed.join(near.select("key", "sign"), "key", "left")
     copies = F.col("copies") + F.coalesce("sign", F.lit(0))
     return out.select("key", "id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
