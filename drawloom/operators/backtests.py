@@ -73,10 +73,13 @@ def anchor_backtest(picks: DataFrame, baseline: DataFrame, trials: int, seed: in
     return g.select("lottery", "trials", F.round("d", 6).alias("difference"), F.round(F.col("d") / (F.col("s") / F.sqrt("trials")), 5).alias("z"))
 
 
-def gate_series(tickets: DataFrame, settled_cells: DataFrame, p: dict[str, float], k: Column) -> DataFrame:
-    """Gate per version from draws with their ``reached`` tickets: share of draws reached, its error, K p, the random baseline 1 - (1 - p)^K and efficiency."""
+def gate_series(draws: DataFrame, p: dict[str, float]) -> DataFrame:
+    """Gate per rule version from draws (version, K tickets, ``reached`` of them): share of draws reached, its error, K p, the random baseline 1 - (1 - p)^K and efficiency.
+
+    ``p`` is the chance of a ticket to reach the gate by version.
+    """
     table = F.create_map(*(F.lit(x) for kv in p.items() for x in kv))
-    d = settled_cells.withColumn("p", table[F.col("version")]).withColumn("K", k)
+    d = draws.withColumn("p", table[F.col("version")])
     g = d.groupBy("version").agg(F.count(F.lit(1)).alias("draws"), F.count(F.when(F.col("reached") > 0, 1)).alias("hit"), F.avg(F.col("K") * F.col("p")).alias("kp"), F.avg(1 - F.pow(1 - F.col("p"), F.col("K"))).alias("base"))
     share = F.col("hit") / F.col("draws")
     return g.select("version", "draws", "hit", F.round(share, 6).alias("share"), F.round(F.sqrt(share * (1 - share) / F.col("draws")), 6).alias("se"), F.round("kp", 6).alias("kp"), F.round("base", 6).alias("baseline"), F.round(share / F.least(F.lit(1.0), F.col("kp")), 6).alias("efficiency"))
@@ -326,3 +329,26 @@ def midrank_quantile(universe: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(table, "score")
 
 
+
+
+def trial_report(settled: DataFrame, a: str, b: str, margin: float = 0.1, c: float = 0.5) -> DataFrame:
+    """Two strategies on the draws that both took part in, by money per ticket: draws, wins and losses of the first, mean difference, the log wealth of betting on its sign, and whether the means are within ``margin`` of each other."""
+    import math
+
+    per = settled.where((F.col("status") == "evaluated") & F.col("strategy").isin(a, b)).groupBy("lottery", "draw_k").agg(F.avg(F.when(F.col("strategy") == a, F.col("amount"))).alias("x"), F.avg(F.when(F.col("strategy") == b, F.col("amount"))).alias("y"))
+    g = per.where("x is not null and y is not null").groupBy("lottery").agg(F.count(F.lit(1)).alias("draws"), F.count(F.when(F.col("x") > F.col("y"), 1)).alias("wins"), F.count(F.when(F.col("x") < F.col("y"), 1)).alias("losses"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    log = F.col("wins") * math.log1p(c) + F.col("losses") * math.log1p(-c)
+    out = g.select("lottery", "draws", "wins", "losses", F.round(F.col("mx") - F.col("my"), 6).alias("difference"), F.round(log, 6).alias("log_wealth"), (F.abs(F.col("mx") - F.col("my")) <= margin * F.greatest("mx", "my")).alias("equivalent"))
+    return out.withColumn("p", special.binom_test(F.col("wins").cast("double"), (F.col("wins") + F.col("losses")).cast("double"), F.lit(0.5)))
+
+
+def ev_edge(series: DataFrame, cold: float, hot: float, p1: float, share: float, price: float = 2.0) -> DataFrame:
+    """Per game the gain of a combination with ``cold`` times the mean sharers over one with ``hot`` times: mean, Cohen's d, share of draws with a gain, and the largest draw's part of all.
+
+    Without a cap the shared prize is pool (1 - exp(-mu)) / mu.
+    """
+    lam = F.col("sales") / price * p1
+    part = lambda f: (1 - F.exp(-lam * f)) / (lam * f)
+    d = series.where("sales > 0").select("lottery", (F.col("pool") * share * p1 * (part(cold) - part(hot))).alias("x"))
+    g = d.groupBy("lottery").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev("x").alias("s"), F.avg((F.col("x") > 0).cast("int")).alias("positive"), F.max("x").alias("top"), F.sum("x").alias("all"))
+    return g.select("lottery", "n", F.round("m", 6).alias("mean"), F.round(F.try_divide("m", "s"), 6).alias("d"), F.round("positive", 6).alias("positive"), F.round(F.try_divide("top", "all"), 6).alias("largest"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..operators import backtests as bt
 from ..operators import features as ft
 from ..operators import models as md
 from ..operators import prizes as pz
+from ..operators.settle import settle
 from ..streaming import jobs
 from . import bridge as br
 from .bridge import DRAWS, SERIES
-from .sql_parts import CELLS, SIZE
+from .sql_parts import CELLS, SETTLED, SIZE
 
 QUERIES, ORACLES = {}, {}
 W = 100
@@ -72,6 +74,23 @@ def _chances() -> str:
 
 _add("e11_nominal", f"WITH {DRAWS}, v(version, a, b, p, amount) AS (VALUES {_chances()}), e AS (SELECT version, a, b, round(sum(p), 9) AS \"any\", round(sum(p * amount) - 2.0, 6) AS ev FROM v GROUP BY 1, 2, 3) SELECT version, count(*) AS draws, \"any\", ev FROM draws JOIN e ON (issue_year + 15 + k % 20) * 100000 + issue_seq % 150 >= a AND (issue_year + 15 + k % 20) * 100000 + issue_seq % 150 < b GROUP BY ALL", _nominal)
 
+TEN = 0.0078
+_add(
+    "b13_gate",
+    SETTLED + f", g AS (SELECT e.draw_k, CASE WHEN issue_year < 1998 THEN 'early' ELSE 'late' END AS version, count(*) AS K, count(*) FILTER (amount >= 10) AS reached FROM ev e JOIN draws d ON d.k = e.draw_k GROUP BY 1, 2), p AS (SELECT *, CASE version WHEN 'early' THEN {TEN!r} ELSE {TEN * 1.1!r} END AS p FROM g), s AS (SELECT version, count(*) AS draws, count(*) FILTER (reached > 0) AS hit, avg(K * p) AS kp, avg(1 - pow(1 - p, K)) AS base FROM p GROUP BY 1) SELECT version, draws, hit, round(hit / draws, 6) AS share, round(sqrt(hit / draws * (1 - hit / draws) / draws), 6) AS se, round(kp, 6) AS kp, round(base, 6) AS baseline, round(hit / draws / least(1, kp), 6) AS efficiency FROM s",
+    lambda s, d: bt.gate_series(settle(br.tickets(s, d), br.draws(s, d)).where("status = 'evaluated'").groupBy("draw_k").agg(F.count(F.lit(1)).alias("K"), F.count(F.when(F.col("amount") >= 10, 1)).alias("reached")).join(br.draws(s, d).select(F.col("k").alias("draw_k"), F.expr("if(issue_year < 1998, 'early', 'late')").alias("version")), "draw_k"), {"early": TEN, "late": TEN * 1.1}),
+)
+_add(
+    "b24_trials",
+    SETTLED + ", g AS (SELECT lottery, draw_k, avg(amount) FILTER (strategy = 'A') AS x, avg(amount) FILTER (strategy = 'N') AS y FROM ev GROUP BY 1, 2), t AS (SELECT lottery, count(*) AS draws, count(*) FILTER (x > y) AS wins, count(*) FILTER (x < y) AS losses, avg(x) AS mx, avg(y) AS my FROM g WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1) SELECT lottery, draws, wins, losses, round(mx - my, 6) AS difference, round(wins * ln(1.5) + losses * ln(0.5), 6) AS log_wealth, abs(mx - my) <= 0.1 * greatest(mx, my) AS equivalent FROM t",
+    lambda s, d: bt.trial_report(settle(br.tickets(s, d), br.draws(s, d)), "A", "N").drop("p"),
+)
+_add(
+    "b30_edge",
+    f"WITH {SERIES}, l AS (SELECT lottery, pool, sales / 2.0 * {P1!r} AS l FROM series WHERE sales > 0), x AS (SELECT lottery, pool * 0.7 * {P1!r} * ((1 - exp(-l * 0.7)) / (l * 0.7) - (1 - exp(-l * 1.4)) / (l * 1.4)) AS x FROM l) SELECT lottery, count(*) AS n, round(avg(x), 6) AS mean, round(avg(x) / stddev(x), 6) AS d, round(avg((x > 0)::INT), 6) AS positive, round(max(x) / sum(x), 6) AS largest FROM x GROUP BY 1",
+    lambda s, d: bt.ev_edge(br.series(s, d), 0.7, 1.4, P1, 0.7),
+)
+
 # models: no SQL
 _add("e3_popularity", "", lambda s, d: md.fit_popularity(md.popularity_frame(br.draws(s, d)).where("lottery = 'g1'")))
 _add("e6_heat", "", lambda s, d: md.position_heat(br.series(s, d)))
