@@ -208,32 +208,38 @@ def prune_overlap(tickets: DataFrame, cap: int, target: Column, keep_per_strateg
     order, so a group is small.
     """
     t = tickets.select("batch", "ticket_id", "strategy", "score", number_mask(F.col("main")).alias("mask"), target.cast("int").alias("target"))
+    parts = 8 + tickets.count() // 20_000  # whole batches, many in a part
+    t = t.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(parts)))
 
-    def choose(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["score", "ticket_id"], ascending=[False, True], kind="stable")
-        masks = batch["mask"].to_numpy(np.int64)
-        strategies = batch["strategy"].to_numpy()
+    def pick(masks: list[int], strategies: list, target: int) -> list[str]:
         taken: list[int] = []
-        reason = np.full(len(batch), "overlap", object)
-        fits = lambda i: all(int(masks[i] & masks[j]).bit_count() <= cap for j in taken)
+        reason = ["overlap"] * len(masks)
+        fits = lambda i: all((masks[i] & masks[j]).bit_count() <= cap for j in taken)
         for _ in range(keep_per_strategy):
             for s in dict.fromkeys(strategies):
-                own = [i for i in range(len(batch)) if strategies[i] == s and i not in taken]
+                own = [i for i in range(len(masks)) if strategies[i] == s and i not in taken]
                 best = next((i for i in own if fits(i)), own[0] if own else None)
                 if best is not None:
                     taken.append(best)
                     reason[best] = "floor"
-        for i in range(len(batch)):
+        for i in range(len(masks)):
             if i in taken:
                 continue
-            if len(taken) >= batch["target"].iloc[0]:
+            if len(taken) >= target:
                 reason[i] = "target"
             elif fits(i):
                 taken.append(i)
                 reason[i] = "fits"
-        return pd.DataFrame({"batch": batch["batch"], "ticket_id": batch["ticket_id"], "kept": np.isin(np.arange(len(batch)), taken), "reason": reason})
+        return reason
 
-    return t.groupBy("batch").applyInPandas(choose, "batch long, ticket_id long, kept boolean, reason string")
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["batch", "score", "ticket_id"], ascending=[True, False, True], kind="stable")
+        cuts = np.flatnonzero(np.diff(part["batch"].to_numpy(), prepend=part["batch"].iloc[0] - 1)).tolist() + [len(part)]
+        masks, strategies, targets = part["mask"].tolist(), part["strategy"].tolist(), part["target"].tolist()
+        reason = [r for lo, hi in zip(cuts, cuts[1:], strict=False) for r in pick(masks[lo:hi], strategies[lo:hi], targets[lo])]
+        return pd.DataFrame({"batch": part["batch"], "ticket_id": part["ticket_id"], "kept": [r in ("floor", "fits") for r in reason], "reason": reason})
+
+    return t.groupBy("part").applyInPandas(choose, "batch long, ticket_id long, kept boolean, reason string")
 
 
 def compare_latest(settled: DataFrame) -> DataFrame:
