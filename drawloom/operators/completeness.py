@@ -52,6 +52,20 @@ def calendar_missing(draws: DataFrame, weekdays: list[int]) -> DataFrame:
     return days.join(draws.select("lottery", F.col("draw_date").alias("day")).distinct(), ["lottery", "day"], "left_anti")
 
 
+def calendar_open(draws: DataFrame, weekdays: list[int], closures: DataFrame) -> DataFrame:
+    """``calendar_missing`` without the days in closures (first, last), a small table of spans."""
+    days = F.broadcast(closures.select(F.explode(F.sequence("first", "last")).alias("day")).distinct())
+    return calendar_missing(draws, weekdays).join(days, "day", "left_anti").select("lottery", "day")
+
+
+def calendar_lag(draws: DataFrame, weekdays: list[int]) -> DataFrame:
+    """(lottery, latest, expected, lag): each game's latest draw day, the last expected day up to the latest of all games, and the days between."""
+    latest = draws.groupBy("lottery").agg(F.max("draw_date").alias("latest"))
+    end = latest.agg(F.max("latest").alias("end"))  # one row
+    days = end.select(F.explode(F.sequence(F.date_sub("end", 6), "end")).alias("day")).where(F.weekday("day").isin(*weekdays)).agg(F.max("day").alias("expected"))
+    return latest.crossJoin(F.broadcast(days)).select("lottery", "latest", "expected", F.greatest(F.lit(0), F.datediff("expected", "latest")).cast("bigint").alias("lag"))
+
+
 def number_errors(numbers: Column, size: int, low: int, high: int, repeatable: bool = False) -> Column:
     """What is wrong with the numbers of a zone: count, range and repeat, as an array."""
     found = [

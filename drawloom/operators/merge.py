@@ -57,6 +57,28 @@ def reconcile(draws: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def reconcile_fields(draws: DataFrame, a: str, b: str, arrays: tuple[str, ...] = ("front", "back"), money: tuple[str, ...] = ("sales",)) -> DataFrame:
+    """(lottery, field, checked, agree, conflict, zero_side, skipped) of two sources, a row a field.
+
+    A field that one side lacks is skipped; money agrees within 1, and a single
+    zero is a placeholder, not a conflict.
+    """
+    fields = [*arrays, *money]
+    side = lambda s, p: draws.where(F.col("source") == s).select(*KEY, *((F.array_sort(f) if f in arrays else F.col(f)).alias(f"{p}{f}") for f in fields))
+    both = side(a, "a").join(side(b, "b"), KEY)
+
+    def state(f: str):
+        x, y = F.col(f"a{f}"), F.col(f"b{f}")
+        missing = x.isNull() | y.isNull()
+        if f in arrays:
+            return F.when(missing, "skipped").when(x == y, "agree").otherwise("conflict")
+        return F.when(missing, "skipped").when((x == 0) != (y == 0), "zero_side").when(F.abs(x - y) <= 1, "agree").otherwise("conflict")
+
+    rows = both.select("lottery", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), state(f).alias("state")) for f in fields))).alias("x"))
+    n = lambda s: F.count(F.when(F.col("x.state") == s, 1)).alias(s)
+    return rows.groupBy("lottery", "x.field").agg(F.count(F.when(F.col("x.state") != "skipped", 1)).alias("checked"), n("agree"), n("conflict"), n("zero_side"), n("skipped"))
+
+
 def draw_gaps(draws: DataFrame) -> DataFrame:
     """Jumps of more than one in the numbering within a year."""
     w = Window.partitionBy("lottery", "issue_year").orderBy("issue_seq")

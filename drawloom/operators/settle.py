@@ -13,6 +13,7 @@ from .order import by, carried, rank_by_parts, stretched, summed
 #: Grades of the 6-of-33 and 1-of-16 game by (main hits, bonus hits), with the prize per bet.
 GRADES = ((6, 1, 1, 5_000_000), (6, 0, 2, 200_000), (5, 1, 3, 3_000), (5, 0, 4, 200), (4, 1, 4, 200), (4, 0, 5, 10), (3, 1, 5, 10), (2, 1, 6, 5), (1, 1, 6, 5), (0, 1, 6, 5))
 PRICE = 2
+F_DESC, F_ASC = "desc", "asc"
 
 
 def rules(spark) -> DataFrame:
@@ -68,10 +69,46 @@ def attribution(settled: DataFrame) -> DataFrame:
     return settled.where("status = 'evaluated'").cube("strategy", "tier").agg(F.count(F.lit(1)).alias("tickets"), F.count("grade").alias("wins"), F.sum("amount").alias("prizes"), F.count(F.when(F.col("grade") <= 5, 1)).alias("ten_or_more"))
 
 
-def search_hits(settled: DataFrame, least_h: int, least_amount: int, top: int) -> DataFrame:
-    """The best winning tickets: by amount, hits and id."""
-    found = settled.where((F.col("h") >= least_h) & (F.col("amount") >= least_amount) & F.col("grade").isNotNull())
-    return found.select("ticket_id", "h", "j", "grade", "amount").orderBy(F.col("amount").desc(), F.col("h").desc(), "ticket_id").limit(top)
+#: Columns of the zones whose hits can be asked for.
+ZONES = {"main": "h", "bonus": "j"}
+#: Sort keys of the search.
+SORTS = {"amount": F_DESC, "hits": F_DESC, "date": F_DESC, "grade": F_ASC, "score": F_DESC, "ticket": F_ASC}
+
+
+def hit_filter(least: dict[str, int] | None = None, lotteries=None, strategies=None, dates=None, best_grade: int | None = None, least_amount: int | None = None) -> Column:
+    """Winners that meet all conditions; hits are asked for by zone, and a zone that is none is an error."""
+    unknown = set(least or ()) - set(ZONES)
+    if unknown:
+        raise ValueError(f"no such zone: {sorted(unknown)}")
+    ok = F.col("grade").isNotNull()
+    for zone, n in (least or {}).items():
+        ok = ok & (F.col(ZONES[zone]) >= n)
+    if lotteries:
+        ok = ok & F.col("lottery").isin(*lotteries)
+    if strategies:
+        ok = ok & F.col("strategy").isin(*strategies)
+    if dates:
+        ok = ok & F.col("draw_date").between(*map(F.lit, dates))
+    if best_grade:
+        ok = ok & (F.col("grade") <= best_grade)
+    if least_amount:
+        ok = ok & (F.col("amount") >= least_amount)
+    return ok
+
+
+def search_hits(settled: DataFrame, ok: Column, top: int, by: str = "amount") -> DataFrame:
+    """The ``top`` winning tickets that ``ok`` (``hit_filter``) lets through, by a key of SORTS, then amount, hits and id."""
+    columns = {"amount": "amount", "hits": "h", "date": "draw_date", "grade": "grade", "score": "score", "ticket": "ticket_id"}
+    first = F.col(columns[by]).desc() if SORTS[by] == F_DESC else F.col(columns[by]).asc()
+    found = settled.where(ok).orderBy(first, F.col("amount").desc(), F.col("h").desc(), "ticket_id").limit(top)
+    return found.select("ticket_id", "h", "j", "grade", "amount")
+
+
+def search_totals(settled: DataFrame, ok: Column) -> DataFrame:
+    """Evaluated tickets, winners, and those that match, with their money and how many amounts are unknown."""
+    d = settled.where("status = 'evaluated'")
+    match = F.coalesce(ok, F.lit(False))
+    return d.agg(F.count(F.lit(1)).alias("tickets"), F.count("grade").alias("winners"), F.count(F.when(match, 1)).alias("matched"), F.coalesce(F.sum(F.when(match, F.col("amount"))), F.lit(0)).alias("money"), F.count(F.when(F.col("grade").isNotNull() & F.col("amount").isNull(), 1)).alias("unknown"))
 
 
 def _subsets(numbers: Column) -> Column:
@@ -113,9 +150,11 @@ def batches(settled: DataFrame, gap_seconds: int, time: str) -> DataFrame:
     return d.groupBy("key", "batch").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
 
 
-def overlap(tickets: DataFrame) -> DataFrame:
-    """Mean and largest common numbers of the pairs within a batch (batches are small)."""
+def overlap(tickets: DataFrame, size: int = 33, choose: int = 6, cap: int = 2) -> DataFrame:
+    """Common numbers of the pairs within a batch (batches are small): mean, most, the mean of random tickets, share of pairs over ``cap``, and how many independent tickets the batch is worth (n / (1 + (n - 1) mean / choose))."""
     t = tickets.select("batch", "ticket_id", number_mask(F.col("main")).alias("m"))
     u = t.select("batch", F.col("ticket_id").alias("other"), F.col("m").alias("om"))
-    pairs = t.join(u, "batch").where("ticket_id < other")
-    return pairs.groupBy("batch").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(zone_hits(F.col("m"), F.col("om"))), 6).alias("mean_overlap"), F.max(zone_hits(F.col("m"), F.col("om"))).cast("bigint").alias("max_overlap"))
+    pairs = t.join(u, "batch").where("ticket_id < other").withColumn("x", zone_hits(F.col("m"), F.col("om")))
+    g = pairs.groupBy("batch").agg(F.count(F.lit(1)).alias("pairs"), F.avg("x").alias("_m"), F.max("x").cast("bigint").alias("max_overlap"), F.round(F.avg((F.col("x") > cap).cast("int")), 6).alias("clashing"))
+    n = (1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2
+    return g.select("batch", "pairs", F.round("_m", 6).alias("mean_overlap"), "max_overlap", F.lit(round(choose * choose / size, 6)).alias("random_overlap"), "clashing", F.round(n / (1 + (n - 1) * F.col("_m") / choose), 6).alias("effective"))

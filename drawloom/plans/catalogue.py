@@ -147,8 +147,17 @@ _add(
 )
 _add("l2_attribution", SETTLED + "SELECT strategy, tier, count(*) AS tickets, count(grade) AS wins, sum(amount) AS prizes, count(*) FILTER (grade <= 5) AS ten_or_more FROM ev GROUP BY CUBE (strategy, tier)", lambda s, d: se.attribution(_settled(s, d)))
 _add("l3_leaderboard", SETTLED + "SELECT strategy, count(*) AS tickets, round(avg(h), 6) AS mean_main, round(avg(j), 6) AS mean_bonus, count(grade) AS wins, round(count(grade) / count(*), 6) AS rate FROM ev GROUP BY strategy", lambda s, d: se.leaderboard(_settled(s, d)))
-_add("l6_search_hits", SETTLED + "SELECT ticket_id, h, j, grade, amount FROM settled WHERE h >= 2 AND amount >= 5 AND grade IS NOT NULL ORDER BY amount DESC, h DESC, ticket_id LIMIT 100", lambda s, d: se.search_hits(_settled(s, d), 2, 5, 100))
-_add("l13_overlap", f"WITH {TICKETS} SELECT a.batch, count(*) AS pairs, round(avg(len(list_intersect(a.main, b.main))), 6) AS mean_overlap, max(len(list_intersect(a.main, b.main))) AS max_overlap FROM tickets a JOIN tickets b ON a.batch = b.batch AND a.ticket_id < b.ticket_id GROUP BY a.batch", lambda s, d: se.overlap(br.tickets(s, d)))
+_add("l6_search_hits", SETTLED + "SELECT ticket_id, h, j, grade, amount FROM settled WHERE h >= 2 AND amount >= 5 AND grade IS NOT NULL ORDER BY amount DESC, h DESC, ticket_id LIMIT 100", lambda s, d: se.search_hits(_settled(s, d), se.hit_filter({"main": 2}, least_amount=5), 100))
+FOUND = "grade IS NOT NULL AND j >= 1 AND h >= 1 AND lottery IN ('g1', 'g2', 'g4') AND strategy IN ('A', 'R') AND draw_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND grade <= 6 AND amount >= 5"
+_filter = lambda: se.hit_filter({"main": 1, "bonus": 1}, ["g1", "g2", "g4"], ["A", "R"], ("1996-01-01", "2000-12-31"), 6, 5)
+_add("l6_by_date", SETTLED + f"SELECT ticket_id, h, j, grade, amount FROM settled WHERE {FOUND} ORDER BY draw_date DESC, amount DESC, h DESC, ticket_id LIMIT 50", lambda s, d: se.search_hits(_settled(s, d), _filter(), 50, "date"))
+_add("l6_totals", SETTLED + f"SELECT count(*) AS tickets, count(grade) AS winners, count(*) FILTER ({FOUND}) AS matched, coalesce(sum(amount) FILTER ({FOUND}), 0)::BIGINT AS money, count(*) FILTER (grade IS NOT NULL AND amount IS NULL) AS unknown FROM ev", lambda s, d: se.search_totals(_settled(s, d), _filter()))
+_add("l13_overlap", f"WITH {TICKETS}, x AS (SELECT a.batch, len(list_intersect(a.main, b.main)) AS x FROM tickets a JOIN tickets b ON a.batch = b.batch AND a.ticket_id < b.ticket_id), g AS (SELECT batch, count(*) AS pairs, avg(x) AS m, max(x) AS mx, avg((x > 2)::INT) AS c FROM x GROUP BY 1) SELECT batch, pairs, round(m, 6) AS mean_overlap, mx AS max_overlap, 1.090909::DOUBLE AS random_overlap, round(c, 6) AS clashing, round((1 + sqrt(1 + 8 * pairs)) / 2 / (1 + ((1 + sqrt(1 + 8 * pairs)) / 2 - 1) * m / 6), 6) AS effective FROM g", lambda s, d: se.overlap(br.tickets(s, d)))
+_add(
+    "m6_fields",
+    f"WITH {SOURCES}, a AS (SELECT * FROM sources WHERE source = 'official' AND k % 19 <> 0), b AS (SELECT * FROM sources WHERE source = 'csv'), j AS (SELECT a.lottery, a.front AS af, b.front AS bf, a.back AS ab, b.back AS bb, a.sales AS s, b.sales AS t FROM a JOIN b USING (lottery, issue_year, issue_seq)), f AS (SELECT lottery, unnest([{{'field': 'front', 'st': CASE WHEN af = bf THEN 'agree' ELSE 'conflict' END}}, {{'field': 'back', 'st': CASE WHEN ab = bb THEN 'agree' ELSE 'conflict' END}}, {{'field': 'sales', 'st': CASE WHEN s IS NULL OR t IS NULL THEN 'skipped' WHEN (s = 0) <> (t = 0) THEN 'zero_side' WHEN abs(s - t) <= 1 THEN 'agree' ELSE 'conflict' END}}]) AS x FROM j) SELECT lottery, x.field AS field, count(*) FILTER (x.st <> 'skipped') AS checked, count(*) FILTER (x.st = 'agree') AS agree, count(*) FILTER (x.st = 'conflict') AS conflict, count(*) FILTER (x.st = 'zero_side') AS zero_side, count(*) FILTER (x.st = 'skipped') AS skipped FROM f GROUP BY 1, 2",
+    lambda s, d: mg.reconcile_fields(br.sources(s, d).where("source <> 'official' or k % 19 <> 0"), "official", "csv"),
+)
 
 
 def _events(s, d):

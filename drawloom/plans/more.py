@@ -49,6 +49,9 @@ _add(
     lambda s, d: cp.backfill_sales(br.sources(s, d).where("source = 'csv'"), _remote(br.draws(s, d))),
 )
 _add("m11_calendar", f"WITH {DRAWS}, e AS (SELECT lottery, CAST(unnest(generate_series(min(draw_date), max(draw_date), INTERVAL 1 DAY)) AS DATE) AS day FROM draws GROUP BY lottery) SELECT * FROM e WHERE isodow(day) IN (2, 4, 7) AND NOT EXISTS (SELECT 1 FROM draws WHERE draws.lottery = e.lottery AND draw_date = day)", lambda s, d: cp.calendar_missing(br.draws(s, d), [1, 3, 6]))
+CLOSED = [("1996-02-10", "1996-02-25"), ("1997-10-01", "1997-10-07")]
+_add("m11_open", f"WITH {DRAWS}, e AS (SELECT lottery, CAST(unnest(generate_series(min(draw_date), max(draw_date), INTERVAL 1 DAY)) AS DATE) AS day FROM draws GROUP BY lottery) SELECT * FROM e WHERE isodow(day) IN (2, 4, 7) AND NOT EXISTS (SELECT 1 FROM draws WHERE draws.lottery = e.lottery AND draw_date = day) AND NOT (" + " OR ".join(f"day BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in CLOSED) + ")", lambda s, d: cp.calendar_open(br.draws(s, d), [1, 3, 6], s.createDataFrame(CLOSED, "a string, b string").select(F.to_date("a").alias("first"), F.to_date("b").alias("last"))))
+_add("m11_lag", f"WITH {DRAWS}, l AS (SELECT lottery, max(draw_date) AS latest FROM draws WHERE lottery <> 'g2' OR issue_year < 2000 GROUP BY 1), x AS (SELECT max(day) AS expected FROM (SELECT CAST(unnest(generate_series((SELECT max(latest) FROM l) - INTERVAL 6 DAY, (SELECT max(latest) FROM l), INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) IN (2, 4, 7)) SELECT lottery, latest, expected, greatest(0, date_diff('day', latest, expected)) AS lag FROM l, x", lambda s, d: cp.calendar_lag(br.draws(s, d).where("lottery <> 'g2' or issue_year < 2000"), [1, 3, 6]))
 _add("m12_one_sided", f"WITH {DRAWS}, a AS (SELECT {KEYS} FROM draws WHERE k % 17 <> 0), b AS (SELECT {KEYS} FROM draws WHERE k % 19 <> 0) SELECT *, 'history' AS only_in FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'sales' FROM (FROM b EXCEPT FROM a)", lambda s, d: cp.one_sided_issues(br.draws(s, d).where("k % 17 <> 0"), br.draws(s, d).where("k % 19 <> 0")))
 _add(
     "m13_verify",
