@@ -358,3 +358,31 @@ def ev_edge(series: DataFrame, cold: float, hot: float, p1: float, share: float,
     d = series.where("sales > 0").select("lottery", (F.col("pool") * share * p1 * (part(cold) - part(hot))).alias("x"))
     g = d.groupBy("lottery").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev("x").alias("s"), F.avg((F.col("x") > 0).cast("int")).alias("positive"), F.max("x").alias("top"), F.sum("x").alias("all"))
     return g.select("lottery", "n", F.round("m", 6).alias("mean"), F.round(F.try_divide("m", "s"), 6).alias("d"), F.round("positive", 6).alias("positive"), F.round(F.try_divide("top", "all"), 6).alias("largest"))
+
+
+#: Smoothing of the transitions and the weights of the three parts of a position's ranking.
+SMOOTHING, PARTS = 0.5, (0.60, 0.25, 0.15)
+
+
+def rank_positions(series: DataFrame, values: int = 10) -> DataFrame:
+    """(lottery, pos, digit, score, place): the digits of each position by what follows its last digit, how overdue each is, and its neighbours' share.
+
+    Counts, first and last places of a digit give its mean gap and omission, so
+    the draws are put in order only for the transitions.
+    """
+    ordered = with_order(series).select("lottery", "ord", "digits")
+    d = stretched(ordered, 1).withColumn("_prev", F.lag("digits").over(by())).where("not lead")
+    cells = d.select("lottery", "ord", F.posexplode(F.arrays_zip(F.col("digits").alias("x"), F.coalesce("_prev", F.transform("digits", lambda _: F.lit(None).cast("bigint"))).alias("p"))).alias("pos", "z"))
+    seen = cells.groupBy("lottery", "pos", F.col("z.x").alias("digit")).agg(F.count(F.lit(1)).alias("freq"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+    ends = ordered.groupBy("lottery").agg(F.max(F.struct("ord", "digits")).alias("e")).select("lottery", F.col("e.ord").alias("n"), F.posexplode("e.digits").alias("pos", "now"))
+    moves = cells.where("z.p is not null").groupBy("lottery", "pos", F.col("z.p").alias("now"), F.col("z.x").alias("digit")).agg(F.count(F.lit(1)).alias("moves"))
+    every = ends.withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(values - 1)))).withColumn("digit", F.col("digit").cast("bigint"))
+    t = every.join(seen, ["lottery", "pos", "digit"], "left").join(moves, ["lottery", "pos", "now", "digit"], "left").fillna(0, ["freq", "moves"])
+    place = Window.partitionBy("lottery", "pos")  # one row a digit
+    total, out_of = F.sum("freq").over(place), F.sum("moves").over(place)
+    markov = F.when(out_of > 0, (F.col("moves") + SMOOTHING) / (out_of + SMOOTHING * values)).otherwise(1 / values)
+    gap = F.try_divide(F.col("last") - F.col("first"), F.col("freq") - 1)
+    late = F.when(gap > 0, F.least(F.lit(1.0), (F.col("n") - F.coalesce("last", F.lit(0))) / gap)).otherwise(0.5)
+    around = F.sum("freq").over(place.orderBy("digit").rangeBetween(-1, 1)) / total
+    t = t.withColumn("score", F.round(PARTS[0] * markov + PARTS[1] * late + PARTS[2] * around, 6))
+    return t.select("lottery", "pos", "digit", "score", F.row_number().over(place.orderBy(F.col("score").desc(), "digit")).cast("bigint").alias("place"))

@@ -15,8 +15,8 @@ def _evaluated(settled: DataFrame) -> DataFrame:
 
 
 def _score():
-    """0.6 of the share of main hits and 0.4 of the bonus hit."""
-    return F.col("h") * 0.1 + F.col("j") * 0.4
+    """0.6 a main hit and 0.4 a bonus hit."""
+    return F.col("h") * 0.6 + F.col("j") * 0.4
 
 
 def tier_comparison(settled: DataFrame) -> DataFrame:
@@ -25,13 +25,28 @@ def tier_comparison(settled: DataFrame) -> DataFrame:
     return g.withColumn("rate", F.round(F.col("wins") / F.col("tickets"), 6))
 
 
-def strategy_weights(settled: DataFrame, floor: float = 0.05, least: int = 10) -> DataFrame:
-    """Weights by mean score, at least ``floor`` of all before the last normalisation; a strategy with few tickets weighs 1/n."""
+def strategy_weights(settled: DataFrame, floor: float = 0.05, least: int = 10, gate: list[str] | None = None, mass: float = 0.5) -> DataFrame:
+    """Weights that add up to 1, each at least ``floor`` (half of an equal share with more than ten strategies).
+
+    A strategy counts by its mean score, one with under ``least`` tickets as an
+    equal share, a negative mean by half and at least 1e-6.  With a ``gate`` (the
+    strategies that have passed one) its strategies divide ``mass`` by their
+    scores and the others the rest evenly; where none passed, all are equal.
+    """
     g = _evaluated(settled).groupBy("strategy").agg(F.count(F.lit(1)).alias("tickets"), F.avg(_score()).alias("score"))
     everything = Window.partitionBy()  # one row a strategy
-    g = g.withColumn("raw", F.when(F.col("tickets") < least, 1 / F.count(F.lit(1)).over(everything)).otherwise(F.col("score")))
-    g = g.withColumn("share", F.greatest(F.lit(floor), F.col("raw") / F.sum("raw").over(everything)))
-    return g.select("strategy", "tickets", F.round(F.col("share") / F.sum("share").over(everything), 6).alias("weight"))
+    n = F.count(F.lit(1)).over(everything)
+    raw = F.when(F.col("tickets") < least, 1 / n).otherwise(F.greatest(F.when(F.col("score") < 0, F.col("score") * 0.5).otherwise(F.col("score")), F.lit(1e-6)))
+    g = g.withColumn("raw", raw)
+    if gate is not None:
+        passed = F.col("strategy").isin(*gate) if gate else F.lit(False)
+        winners = F.sum(passed.cast("int")).over(everything)
+        won = mass * F.col("raw") / F.sum(F.when(passed, F.col("raw"))).over(everything)
+        lost = F.try_divide(F.lit(1 - mass), n - winners)
+        g = g.withColumn("raw", F.when(winners == 0, 1 / n).when(passed, won).otherwise(lost))
+    lowest = F.when(n <= 10, F.lit(floor)).otherwise(0.5 / n)
+    weight = lowest + (1 - n * lowest) * F.col("raw") / (F.sum("raw").over(everything) + 1e-8)
+    return g.select("strategy", "tickets", F.round(weight, 6).alias("weight"))
 
 
 def hit_trend(settled: DataFrame, n: int = 10, band: float = 0.15) -> DataFrame:

@@ -91,6 +91,14 @@ _add(
     lambda s, d: bt.ev_edge(br.series(s, d), 0.7, 1.4, P1, 0.7),
 )
 
+_add(
+    "b6_positions",
+    f"WITH {SERIES}, o AS (SELECT lottery, digits, row_number() OVER (PARTITION BY lottery ORDER BY issue_year, issue_seq) AS ord FROM series), c AS (SELECT lottery, ord, p AS pos, digits[p + 1] AS x, lag(digits[p + 1]) OVER (PARTITION BY lottery, p ORDER BY ord) AS prev FROM o, (SELECT unnest(range(0, 5)) AS p)), g AS (SELECT lottery, pos, x, ord - lag(ord) OVER (PARTITION BY lottery, pos, x ORDER BY ord) AS gap FROM c), ag AS (SELECT lottery, pos, x, avg(gap) AS gap FROM g GROUP BY ALL), fr AS (SELECT lottery, pos, x, count(*) AS freq, max(ord) AS last FROM c GROUP BY ALL), nn AS (SELECT lottery, max(ord) AS n FROM o GROUP BY 1), nw AS (SELECT lottery, pos, arg_max(x, ord) AS now FROM c GROUP BY ALL), "
+    "mv AS (SELECT c.lottery, c.pos, c.x, count(*) AS m FROM c JOIN nw ON nw.lottery = c.lottery AND nw.pos = c.pos AND nw.now = c.prev GROUP BY ALL), e AS (SELECT nw.lottery, nw.pos, v AS digit FROM nw, (SELECT unnest(range(0, 10)) AS v)), t AS (SELECT e.*, coalesce(freq, 0) AS freq, coalesce(m, 0) AS m, gap, nn.n - coalesce(last, 0) AS om FROM e JOIN nn USING (lottery) LEFT JOIN fr ON fr.lottery = e.lottery AND fr.pos = e.pos AND fr.x = e.digit LEFT JOIN mv ON mv.lottery = e.lottery AND mv.pos = e.pos AND mv.x = e.digit LEFT JOIN ag ON ag.lottery = e.lottery AND ag.pos = e.pos AND ag.x = e.digit), "
+    "sc AS (SELECT lottery, pos, digit, round(0.6 * CASE WHEN sum(m) OVER p > 0 THEN (m + 0.5) / (sum(m) OVER p + 5) ELSE 0.1 END + 0.25 * CASE WHEN gap > 0 THEN least(1, om / gap) ELSE 0.5 END + 0.15 * (freq + lag(freq, 1, 0) OVER (PARTITION BY lottery, pos ORDER BY digit) + lead(freq, 1, 0) OVER (PARTITION BY lottery, pos ORDER BY digit)) / sum(freq) OVER p, 6) AS score FROM t WINDOW p AS (PARTITION BY lottery, pos)) SELECT *, row_number() OVER (PARTITION BY lottery, pos ORDER BY score DESC, digit) AS place FROM sc",
+    lambda s, d: bt.rank_positions(br.series(s, d)),
+)
+
 # models: no SQL
 _add("e3_popularity", "", lambda s, d: md.fit_popularity(md.popularity_frame(br.draws(s, d)).where("lottery = 'g1'")))
 _add("e6_heat", "", lambda s, d: md.position_heat(br.series(s, d)))
