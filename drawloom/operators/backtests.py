@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..functions.scalar import number_mask
 from .draw_stats import past_counts
-from .order import by, stretched, with_order
+from .order import by, quantiles, stretched, with_order
 
 
 
@@ -386,3 +386,40 @@ def rank_positions(series: DataFrame, values: int = 10) -> DataFrame:
     around = F.sum("freq").over(place.orderBy("digit").rangeBetween(-1, 1)) / total
     t = t.withColumn("score", F.round(PARTS[0] * markov + PARTS[1] * late + PARTS[2] * around, 6))
     return t.select("lottery", "pos", "digit", "score", F.row_number().over(place.orderBy(F.col("score").desc(), "digit")).cast("bigint").alias("place"))
+
+
+def counterfactual_uplift(series: DataFrame, cold: float, hot: float, p1: float, price: float = 2.0) -> DataFrame:
+    """Per game: the first prize of a combination with ``cold`` times the mean sharers over that of one with ``hot`` times, draw by draw: quartiles, and the median of the first and last half."""
+    lam = F.col("sales") / price * p1
+    part = lambda f: (1 - F.exp(-lam * f)) / (lam * f)
+    d = with_order(series.where("sales > 0")).select("lottery", "ord", F.round(part(cold) / part(hot), 9).alias("x"))
+    n = F.broadcast(d.groupBy("lottery").agg(F.count(F.lit(1)).alias("n")))  # one row a game
+    d = d.join(n, "lottery").withColumn("late", F.col("ord") * 2 > F.col("n"))
+    halves = quantiles(d, ["lottery", "late"], "x", {"m": 0.5}).groupBy("lottery").agg(F.max(F.when(~F.col("late"), F.col("m"))).alias("first_half"), F.max(F.when(F.col("late"), F.col("m"))).alias("last_half"))
+    q = quantiles(d, ["lottery"], "x", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return q.join(halves, "lottery").join(n, "lottery").select("lottery", "n", *(F.round(c, 6).alias(c) for c in ("p25", "median", "p75", "first_half", "last_half")))
+
+
+def score_candidates(combos: DataFrame, pools: DataFrame, beta: float, p1: float, share: float, cap: float, top: int, price: float = 2.0) -> DataFrame:
+    """(lottery, place, numbers, ev): each game's ``top`` combinations by expected net value under shared prizes.
+
+    ``combos`` has main; ``pools`` one row a game with pool and sales.  A
+    combination's mean sharers are the game's times exp(beta times its share of
+    numbers up to 12, less 0.35).
+    """
+    popular = F.size(F.filter("main", lambda x: x <= 12)) / F.size("main") - 0.35
+    c = combos.select(F.array_sort("main").alias("main"), F.exp(beta * popular).alias("f")).distinct()
+    d = c.crossJoin(F.broadcast(pools.select("lottery", "pool", (F.col("sales") / price * p1).alias("lam"))))  # a row a game
+    mu = F.col("lam") * F.col("f")
+    ev = p1 * F.least(F.lit(cap), F.col("pool") * share * (1 - F.exp(-mu)) / mu) - price
+    d = d.select("lottery", F.array_join("main", "-").alias("numbers"), "main", F.round(ev, 9).alias("ev"))
+    w = Window.partitionBy("lottery").orderBy(F.col("ev").desc(), "numbers")
+    return d.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= top)  # a top-n of each task first
+
+
+def select_topk(scored: DataFrame, cap: int, k: int) -> DataFrame:
+    """Of each game's scored candidates, best first, ``k`` with at most ``cap`` numbers in common."""
+    games = scored.select("lottery").distinct().select("lottery", F.row_number().over(Window.orderBy("lottery")).cast("bigint").alias("batch"))  # one row a game
+    t = scored.join(F.broadcast(games), "lottery").select("batch", F.col("place").alias("ticket_id"), F.lit("").alias("strategy"), F.col("ev").alias("score"), "main")
+    kept = prune_overlap(t, cap, F.lit(k), 0).where("kept").join(F.broadcast(games), "batch").select("lottery", F.col("ticket_id").alias("place"))
+    return scored.join(kept, ["lottery", "place"]).select("lottery", "place", "numbers", "ev")

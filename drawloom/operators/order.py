@@ -60,23 +60,31 @@ def summed(ordered: DataFrame, values: list[str]) -> DataFrame:
     return per.select("lottery", "stretch", *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(v) for v in values))
 
 
-def medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(*group, middle): exact medians by ranks over value ranges, not by a hash of all values of a group.
+def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(*group, *wanted): exact interpolated quantiles by ranks over value ranges, not by a hash of all values of a group.
 
-    Values are counted per distinct value; the one or two in the middle follow
-    from running counts over ranges of values and within them.
+    Values are counted per distinct value; those at the ranks asked for follow
+    from running counts over ranges of values and within the ranges that hold them.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     bounds = counts.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    cut = F.floor((F.col("_v") - F.col("_lo")) * 512.0 / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)))
+    cut = F.floor((F.col("_v") - F.col("_lo")) * 512.0 / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)))
     d = counts.join(bounds, group).withColumn("_range", cut)
     per = d.groupBy(*group, "_range").agg(F.sum("_c").alias("_in"))
-    per = per.select(*group, "_range", F.sum("_in").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), "_in")
+    upto = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)  # one row a range
+    per = per.select(*group, "_range", F.sum("_in").over(upto).alias("_upto"), "_in")
+    at = {name: (F.col("_n") - 1) * q for name, q in wanted.items()}
+    holds = F.lit(False)
+    for x in at.values():
+        holds = holds | ((F.col("_upto") > F.floor(x)) & (F.col("_upto") - F.col("_in") <= F.ceil(x)))
     inside = Window.partitionBy(*group, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(per, [*group, "_range"]).where((F.col("_upto") * 2 >= F.col("_n")) & ((F.col("_upto") - F.col("_in")) * 2 <= F.col("_n")))
-    d = d.withColumn("_run", F.sum("_c").over(inside) + F.col("_upto") - F.col("_in"))
-    low = F.min(F.when(F.col("_run") * 2 >= F.col("_n"), F.col("_v")))
-    high = F.min(F.when(F.col("_run") * 2 >= F.col("_n") + 1, F.col("_v")))
-    # for even n the upper middle is the first value whose run goes beyond the half
-    upper = F.min(F.when(F.col("_run") * 2 > F.col("_n"), F.col("_v")))
-    return d.groupBy(*group).agg(F.when(F.max("_n") % 2 == 0, (low + upper) / 2).otherwise(high.cast("double")).alias("middle"))
+    d = d.join(per, [*group, "_range"]).where(holds).withColumn("_run", F.sum("_c").over(inside) + F.col("_upto") - F.col("_in"))
+    value_at = lambda rank: F.min(F.when(F.col("_run") > rank, F.col("_v")))
+    ends = [c for name, x in at.items() for c in (value_at(F.floor(x)).alias(f"_a_{name}"), value_at(F.ceil(x)).alias(f"_b_{name}"), F.max(x - F.floor(x)).alias(f"_f_{name}"))]
+    g = d.groupBy(*group).agg(*ends)
+    return g.select(*group, *((F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).cast("double").alias(n) for n in wanted))
+
+
+def medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(*group, middle): exact medians by ``quantiles``."""
+    return quantiles(df, group, value, {"middle": 0.5})

@@ -12,7 +12,7 @@ from ..operators import prizes as pz
 from ..operators.settle import settle
 from ..streaming import jobs
 from . import bridge as br
-from .bridge import DRAWS, SERIES
+from .bridge import DRAWS, SERIES, TICKETS
 from .sql_parts import CELLS, SETTLED, SIZE
 
 QUERIES, ORACLES = {}, {}
@@ -99,6 +99,25 @@ _add(
     lambda s, d: bt.rank_positions(br.series(s, d)),
 )
 
+_add(
+    "e9_uplift",
+    f"WITH {SERIES}, l AS (SELECT lottery, sales / 2.0 * {P1!r} AS l, row_number() OVER (PARTITION BY lottery ORDER BY issue_year, issue_seq) AS ord, count(*) OVER (PARTITION BY lottery) AS n FROM series WHERE sales > 0), x AS (SELECT *, round((1 - exp(-l * 0.7)) / (l * 0.7) / ((1 - exp(-l * 1.4)) / (l * 1.4)), 9) AS x FROM l) SELECT lottery, count(*) AS n, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75, round(quantile_cont(x, 0.5) FILTER (ord * 2 <= n), 6) AS first_half, round(quantile_cont(x, 0.5) FILTER (ord * 2 > n), 6) AS last_half FROM x GROUP BY 1",
+    lambda s, d: bt.counterfactual_uplift(br.series(s, d), 0.7, 1.4, P1),
+)
+
+
+def _candidates(s, d):
+    pools = br.series(s, d).groupBy("lottery").agg(F.max("pool").alias("pool"), F.max("sales").alias("sales"))
+    return bt.score_candidates(br.tickets(s, d), pools, 1.5, P1, 0.7, 10_000_000.0, 50)
+
+
+_add(
+    "e14_candidates",
+    f"WITH {SERIES}, {TICKETS}, p AS (SELECT lottery, max(pool) AS pool, max(sales) / 2.0 * {P1!r} AS lam FROM series GROUP BY 1), c AS (SELECT DISTINCT main, exp(1.5 * (len([x FOR x IN main IF x <= 12]) / 6 - 0.35)) AS f FROM tickets), e AS (SELECT lottery, array_to_string(main, '-') AS numbers, round({P1!r} * least(10000000.0, pool * 0.7 * (1 - exp(-lam * f)) / (lam * f)) - 2.0, 9) AS ev FROM c, p) SELECT lottery, row_number() OVER (PARTITION BY lottery ORDER BY ev DESC, numbers) AS place, numbers, ev FROM e QUALIFY place <= 50",
+    lambda s, d: _candidates(s, d).drop("main"),
+)
+_add("e14_selected", "", lambda s, d: bt.select_topk(_candidates(s, d), 2, 10))
+
 # models: no SQL
 _add("e3_popularity", "", lambda s, d: md.fit_popularity(md.popularity_frame(br.draws(s, d)).where("lottery = 'g1'")))
 _add("e6_heat", "", lambda s, d: md.position_heat(br.series(s, d)))
