@@ -224,3 +224,33 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
         m = counts[r]
         out[begin[r]] = mix(np.atleast_1d((words[first[r] : first[r + 1]] * salt[:m]).sum(dtype=np.uint64) + np.uint64(m)))[0]
     return out, begin
+
+
+# ---------------------------------------------------------------------------
+# Vectors of integers.
+# ---------------------------------------------------------------------------
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers; an empty one is usable."""
+    return vector.isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+
+
+def integers(vector: Column, scale: int, offset: int = 0) -> Column:
+    """floor(scale * v) + offset of every component as long; raises an error where that may not fit."""
+
+    def whole(v: Column) -> Column:
+        large = v.cast("double") * scale
+        return F.when(F.abs(large) < float(2**62), F.floor(large) + offset).otherwise(F.raise_error(F.lit("a component is too large for an integer of 64 bits")).cast("long"))
+
+    return F.transform(vector, whole)
+
+
+def dense(lists: pa.Array, width: int, fill: int = 0) -> np.ndarray:
+    """Lists of integers as a matrix; missing trailing entries are ``fill``."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), width), fill, np.int64)
+    out[np.arange(width) < n[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out

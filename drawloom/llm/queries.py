@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, license_scan, mixing, near_dedup, packing, quality, token_counts, topk, toxicity, url_filter
+from . import html_text, license_scan, mixing, near_dedup, packing, quality, token_counts, topk, toxicity, url_filter, whitening
 from .common import table
 from .sql import ORACLES
 
@@ -61,8 +61,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_of(docs, license_scan.train(spark, docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"), components=32, scale=64, offset=1_000_000)
+    each = rows.select("vec_id", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_best_fit_packing, op4_exact_topk, op5_quality_rules, op6_source_mixing, op7_toxicity, op8_url_filter, op9_html_text, op10_license_scan)
+    f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_best_fit_packing, op4_exact_topk, op5_quality_rules, op6_source_mixing, op7_toxicity, op8_url_filter, op9_html_text, op10_license_scan, op11_whitening)
 }
 
 
