@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import html_text, license_scan, mixing, near_dedup, packing, quality, token_counts, topk, toxicity, url_filter, whitening
+from . import centroids, html_text, license_scan, mixing, near_dedup, packing, quality, token_counts, topk, toxicity, url_filter, whitening
 from .common import table
 from .sql import ORACLES
 
@@ -67,8 +67,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = centroids.clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dimensions=64, scale=1024, seed=3)
+    digest = F.sha2(F.concat_ws(",", F.transform("components", lambda c: c.cast("string"))), 256)
+    whole = F.sum("inertia").over(Window.partitionBy(F.lit(0)))  # eight rows
+    each = found.select("cluster", F.expr("try_cast(inertia AS BIGINT)").alias("cluster_inertia"), whole.cast("decimal(38,0)").alias("whole"), digest.alias("centroid_sha256"))
+    each = each.select("cluster", "cluster_inertia", F.expr("try_cast(whole AS BIGINT)").alias("inertia"), "centroid_sha256")
+    return rows.join(F.broadcast(each), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_best_fit_packing, op4_exact_topk, op5_quality_rules, op6_source_mixing, op7_toxicity, op8_url_filter, op9_html_text, op10_license_scan, op11_whitening)
+    f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_best_fit_packing, op4_exact_topk, op5_quality_rules, op6_source_mixing, op7_toxicity, op8_url_filter, op9_html_text, op10_license_scan, op11_whitening, op12_centroids)
 }
 
 

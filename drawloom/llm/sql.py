@@ -63,4 +63,24 @@ GROUP BY b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
-ORACLES = {"op1_near_dedup": OP1, "op4_exact_topk": OP4, "op5_quality_rules": _op5()}
+def _op12(k: int = 8, rounds: int = 10) -> str:
+    """Every round is a pair of materialised tables: who is nearest, and where the centroids go."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, d % {k} AS cluster, d // {k} AS distance FROM (
+  SELECT any_value(k.vec_id) AS vec_id, any_value(k.v) AS v, min({k} * CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) + c.c) AS d FROM kept k CROSS JOIN c{r} c GROUP BY k.row))""")
+        if r < rounds:
+            steps.append(f"""m{r} AS MATERIALIZED (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+  SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.c)""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k})),
+{", ".join(steps)}
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.cluster
+"""
+
+
+ORACLES = {"op1_near_dedup": OP1, "op4_exact_topk": OP4, "op5_quality_rules": _op5(), "op12_centroids": _op12()}
