@@ -18,6 +18,8 @@ of its own, written every round and joined to the blocks where they are.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -233,5 +235,5 @@ def clustered(
     home.unpersist()
     clear_stages(spark, begun, 1)
     inertia = {r.cluster: r for r in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("distance").cast("decimal(38,0)")).alias("inertia")).collect()}
-    table = [(i, c.tolist(), inertia[i].size if i in inertia else 0, inertia[i].inertia if i in inertia else 0) for i, c in enumerate(centroids)]
+    table = [(i, c.tolist(), inertia[i].size if i in inertia else 0, inertia[i].inertia if i in inertia else Decimal(0)) for i, c in enumerate(centroids)]
     return rows, spark.createDataFrame(table, "cluster int, components array<long>, size long, inertia decimal(38,0)")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import centroids, html_text, license_scan, mixing, near_dedup, packing, quality, token_counts, topk, toxicity, url_filter, whitening
+from . import centroids, html_text, license_scan, mixing, near_dedup, packing, quality, secrets, token_counts, topk, toxicity, url_filter, whitening
 from .common import table
 from .sql import ORACLES
 
@@ -76,8 +76,17 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(each), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.secret_spans(table(spark, sf_dir, "documents")).select("doc_id", F.col("secret_spans").alias("found"))
+    base = [r.kind for r in secrets.BASE_RULES]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    only = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(only(k)).cast("long").alias(f"n_{k}") for k in base]
+    return rows.select("doc_id", *counts, F.sha2(listed(only(*base)), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_best_fit_packing, op4_exact_topk, op5_quality_rules, op6_source_mixing, op7_toxicity, op8_url_filter, op9_html_text, op10_license_scan, op11_whitening, op12_centroids)
+    f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_best_fit_packing, op4_exact_topk, op5_quality_rules, op6_source_mixing, op7_toxicity, op8_url_filter, op9_html_text, op10_license_scan, op11_whitening, op12_centroids, op13_secrets)
 }
 
 

@@ -35,9 +35,9 @@ BREAK = 0xFF
 class Rule:
     """Matches of ``pattern``, leftmost and non-overlapping, count if ``group`` has at least ``least`` characters.
 
-    ``whole`` may name an expression for the matches that count, where the
+    ``whole`` may name an expression for matches that can count, where the
     match is always a whole run of its bytes: the automaton then reports only
-    those.
+    those, so that short runs, which are many, cost nothing.
     """
 
     kind: str
@@ -51,7 +51,7 @@ class Rule:
 BASE_RULES = (
     Rule("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{8,}"),
 )
 #: Published shapes of keys and tokens.
 MORE_RULES = (
@@ -306,6 +306,7 @@ class RuleAutomaton:
         self.width = len(bytes_)
         #: The same transitions in one array; states are multiplied by the number of classes.
         self.flat = (self.table * self.width).astype(np.int32).ravel()
+        self.listed: list[int] = []
         #: After these bytes every state goes on like the first one.
         same = (self.table[self.table] == self.table[0]).all(2).all(0)
         self.closing = same[self.classes]
@@ -331,7 +332,8 @@ class RuleAutomaton:
             yield from self._abreast(coded, starts[side], sizes[side])
 
     def _alone(self, coded: list[int], start: int) -> Iterator[tuple[int, int]]:
-        flat, state, loud = self.flat.tolist(), 0, self.quiet * self.width
+        self.listed = self.listed or self.flat.tolist()
+        flat, state, loud = self.listed, 0, self.quiet * self.width
         for i, c in enumerate(coded):
             state = flat[state + c]
             if state >= loud:
@@ -401,7 +403,7 @@ class _Backwards:
 
 @lru_cache(4)
 def automaton(rules: tuple[Rule, ...]) -> RuleAutomaton:
-    """Compiled once in each process."""
+    """Compiled once, on the driver."""
     return RuleAutomaton(rules)
 
 
@@ -441,11 +443,12 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     rows give no rows.
     """
     kinds = [r.kind for r in rules]
+    shared = docs.sparkSession.sparkContext.broadcast(automaton(rules))  # a few MB, whatever the input
 
     @F.arrow_udf(SPANS)
     def found(texts: pa.Array) -> pa.Array:
         sizes, kind, start, end = [0], [], [], []
-        for spans in batch_spans(texts, automaton(rules)):
+        for spans in batch_spans(texts, shared.value):
             for s, e, r in spans:
                 kind.append(kinds[r])
                 start.append(s)

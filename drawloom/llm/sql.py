@@ -83,4 +83,37 @@ SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGIN
 """
 
 
-ORACLES = {"op1_near_dedup": OP1, "op4_exact_topk": OP4, "op5_quality_rules": _op5(), "op12_centroids": _op12()}
+def _op13() -> str:
+    """Each kind's matches are marked off by two private characters; the pieces' lengths give their places."""
+    kinds = [
+        ("assign", "(password|passwd|secret|token|api_?key)", r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+        ("access", "", "AKIA[A-Z0-9]+", 16),
+        ("hex", "", "[0-9a-f]+", 32),
+        ("github", "", "gh[opsur]_[A-Za-z0-9]+", 40),
+        ("google", "", "AIza[A-Za-z0-9_-]+", 39),
+        ("slack", "", "xox[abprs]-[A-Za-z0-9-]+", 24),
+        ("jwt", "", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+        ("private_key", "", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+    ]
+    parts, base = [], []
+    for rank, (kind, word, rest, least) in enumerate(kinds):
+        pattern = f"((?i:{word[1:-1]})){rest}" if word else rest
+        quoted = pattern.replace("'", "''")
+        value = f"length(regexp_extract(piece[:cut - 1], '{quoted}', 2))" if word else "cut - 1"
+        parts.append(f"""SELECT doc_row, {rank} AS rank, '{kind}' AS kind, before AS start, before + cut - 1 AS stop FROM (
+  SELECT doc_row, piece, cut, {value} AS counted, coalesce(sum(length(piece) - (cut > 0)::INT) OVER (PARTITION BY doc_row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT doc_row, i, ps[i] AS piece, instr(ps[i], chr(57345)) AS cut FROM (SELECT doc_row, ps, unnest(range(1, len(ps) + 1)) AS i FROM (
+      SELECT doc_row, string_split(regexp_replace(t, '{quoted}', chr(57344) || '\\0' || chr(57345), 'g'), chr(57344)) AS ps FROM d)))) WHERE cut > 0 AND counted >= {least}""")
+        if rank < 3:
+            base.append(kind)
+    union = " UNION ALL ".join(parts)
+    listed = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS doc_row, doc_id, coalesce(text, '') AS t FROM documents), s AS ({union})
+SELECT d.doc_id, {counts}, sha256(coalesce({listed} FILTER (rank < 3), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM d LEFT JOIN s ON s.doc_row = d.doc_row GROUP BY d.doc_row, d.doc_id
+"""
+
+
+ORACLES = {"op1_near_dedup": OP1, "op4_exact_topk": OP4, "op5_quality_rules": _op5(), "op12_centroids": _op12(), "op13_secrets": _op13()}
