@@ -204,15 +204,17 @@ def clustered(
         if number == rounds:
             break
         # k * dimensions sums, k counts and k radii reach the driver
-        listed = state.select(F.lit("sum").alias("what"), F.posexplode("moved").alias("at", "x")).unionByName(state.select(F.lit("count").alias("what"), F.posexplode("count").alias("at", "x")))
-        for r in listed.groupBy("what", "at").agg(F.sum("x").alias("x")).collect():
-            if r.what == "sum":
+        none, nil = F.lit(None).cast("long"), F.lit(None).cast("double")
+        exact = [state.select(F.lit(c).alias("what"), F.posexplode(c).alias("at", "x"), nil.alias("far")) for c in ("moved", "count")]
+        far = state.select(F.lit("radius").alias("what"), F.posexplode("radius").alias("at", "far")).select("what", "at", none.alias("x"), "far")
+        radius = np.zeros(k)
+        for r in exact[0].unionByName(exact[1]).unionByName(far).groupBy("what", "at").agg(F.sum("x").alias("x"), F.max("far").alias("far")).collect():
+            if r.what == "moved":
                 sums[r.at] += r.x
-            else:
+            elif r.what == "count":
                 counts[r.at] += r.x
-        radius = np.zeros(k)
-        for r in state.select(F.posexplode("radius").alias("at", "x")).groupBy("at").agg(F.max("x").alias("x")).collect():
-            radius[r.at] = r.x
+            else:
+                radius[r.at] = r.far
         after = centroids.copy()
         for i in range(k):
             if counts[i]:
