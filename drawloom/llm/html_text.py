@@ -1,8 +1,8 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks (runs of text between
-block-level tags).  A block is described by hashed tag-path features (tags,
-classes and ids of all open elements), a hashed bag of its words and a few
+block-level tags).  A block is described by hashed tag-path features (which tags,
+classes and ids are open, however often), a hashed bag of its words and a few
 counts.  A bidirectional LSTM in numpy reads the whole sequence and labels every
 block as main text or not.  It is trained here, on page layouts put together
 from common markup around texts of a bounded sample of the real pages.
@@ -14,6 +14,7 @@ import html as html_lib
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from .common import hash_sample
 PATH_DIM, WORD_DIM, COUNT_DIM, HIDDEN = 512, 32, 7, 24
 SAMPLE_PAGES = 100
 SAMPLE_BLOCKS = 200
+SAMPLE_CHARS = 4000
 TRAIN_PAGES = 2000
 EPOCHS = 12
 SEED = 17
 
-#: Path elements nearest to a block that describe it; parts of a page's sequence that are worked on at once.
-PATH_ELEMENTS = 48
+#: Parts of a page's sequence that are worked on at once.
 SEQUENCE_PART = 2048
 
 #: Fixed values of HTML: contents that are no markup and are not shown; that are no markup but text; that are not shown.
@@ -60,16 +61,26 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
-def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+@lru_cache(100_000)
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "replace")) % PATH_DIM
+
+
+def leaf_blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
     """(tag path, text, characters inside links) of every block with text, in page order.
 
-    The path holds the PATH_ELEMENTS innermost open elements.  A raw element
+    The path is the hash buckets of the names of all open elements, each once,
+    and that of the innermost name as a leaf: how deep a block lies, and how
+    many elements of one name are around it, changes nothing.  A raw element
     ends at its own end tag only, or with the page.  Drawings and formulas are
     part of the line they stand in; their notes (title, desc, annotation) are
     not shown.  A tag that the page breaks off is markup.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[int, ...], int]] = []
     depth: Counter = Counter()
+    around: Counter = Counter()  # how many open elements have each bucket; never more than PATH_DIM entries
+    leaves: list[int] = []
+    here: tuple[int, ...] | None = ()
     blocks, parts, linked, path = [], [], 0, ()
     hidden = foreign = 0
 
@@ -82,8 +93,31 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.clear()
         linked = 0
 
-    def names() -> tuple[str, ...]:
-        return tuple(x for tag, own in stack[-PATH_ELEMENTS:] if tag not in INLINE for x in own)
+    def place() -> tuple[int, ...]:
+        nonlocal here
+        if here is None:
+            here = (*sorted(around), *leaves[-1:])
+        return here
+
+    def enter(tag: str, names: list[str]):
+        nonlocal here
+        own, leaf = (), -1
+        if tag not in INLINE:
+            own, leaf = tuple(map(_bucket, names)), _bucket("leaf " + names[-1])
+            leaves.append(leaf)
+            around.update(own)
+            here = None
+        stack.append((tag, own, leaf))
+
+    def leave(own: tuple[int, ...], leaf: int):
+        nonlocal here
+        if leaf >= 0:
+            leaves.pop()
+            here = None
+            for b in own:
+                around[b] -= 1
+                if not around[b]:
+                    del around[b]
 
     def add(text: str):
         nonlocal path, linked
@@ -92,14 +126,15 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if "&" in text:
             text = html_lib.unescape(text)
         if not parts:
-            path = names()
+            path = place()
         parts.append(text)
         if depth["a"]:
             linked += len(text)
 
     def close(i: int):
         nonlocal hidden, foreign
-        for tag, _ in stack[i:]:
+        for tag, own, leaf in reversed(stack[i:]):
+            leave(own, leaf)
             depth[tag] -= 1
             hidden -= tag in UNSEEN or tag.startswith("note ")
             foreign -= tag in FOREIGN
@@ -125,10 +160,10 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 continue
             if end:  # text without markup: a block of its own
                 flush()
-                stack.append((tag, (tag,)))
+                enter(tag, [tag])
                 add(page[at : end.start()])
                 flush()
-                stack.pop()
+                leave(*stack.pop()[1:])
                 at = end.end()
                 continue
         if not inline:
@@ -166,7 +201,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     own += ["." + x for x in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
             if tag in FOREIGN and m["attrs"].endswith("/"):
                 continue
-            stack.append((tag, tuple(own[:PATH_ELEMENTS])))
+            enter(tag, own)
             depth[tag] += 1
             hidden += tag in UNSEEN or tag.startswith("note ")
             foreign += tag in FOREIGN
@@ -174,13 +209,10 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return blocks
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _path_vector(path: tuple[int, ...]) -> np.ndarray:
     out = np.zeros(PATH_DIM, np.float32)
-    for x in path:
-        out[zlib.crc32(x.encode()) % PATH_DIM] += 1
-    for x in path[-1:]:
-        out[zlib.crc32(b"leaf " + x.encode()) % PATH_DIM] += 1
-    return np.minimum(out, 2)
+    out[list(path)] = 1
+    return out
 
 
 def _other_vector(text: str, linked: int, place: float) -> np.ndarray:
@@ -290,8 +322,8 @@ class BlockLabeller:
     def text(self, blocks, logits: np.ndarray) -> str:
         return "\n".join(b[1] for b, y in zip(blocks, logits, strict=True) if y > 0)
 
-    def train(self, pages, labels, epochs: int = EPOCHS, batch: int = 40, rate: float = 4e-3, seed: int = SEED) -> None:
-        """Adam on the mean cross-entropy of all blocks."""
+    def train(self, pages, labels, epochs: int = EPOCHS, batch: int = 32, rate: float = 1.2e-2, seed: int = SEED) -> None:
+        """Adam on the mean cross-entropy of all blocks, with steps that shrink to none."""
         rng = np.random.default_rng(seed)
         data = []
         for blocks, y in zip(pages, labels, strict=True):
@@ -300,7 +332,7 @@ class BlockLabeller:
         data.sort(key=lambda d: len(d[0]))
         groups = [data[i : i + batch] for i in range(0, len(data), batch)]
         m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
-        step = 0
+        step, last = 0, epochs * len(groups)
         for _ in range(epochs):
             for g in rng.permutation(len(groups)):
                 grads, step = self._gradients(groups[g]), step + 1
@@ -309,7 +341,7 @@ class BlockLabeller:
                     a = a * min(1.0, 5.0 / (norm + 1e-9))
                     m[k] = 0.9 * m[k] + 0.1 * a
                     v[k] = 0.999 * v[k] + 0.001 * a * a
-                    self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.w[k] -= (rate * (1 - (step - 1) / last) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         self.paths.clear()
 
     def _gradients(self, group) -> dict[str, np.ndarray]:
@@ -366,6 +398,7 @@ AROUND = {
     "form": ("form", "form.search", "form.login", "form.signup", "div.search"),
     "comments": ("div.comments", "section.comments", "div#comments", "ul.comment-list", "div.comment", "div.reader-comments", "div.discussion", "div.replies", "section#disqus", "ol.commentlist"),
     "share": ("div.share", "div.social", "ul.share-buttons", "div.tags"),
+    "reply": ("div#respond", "div.respond", "div.comment-respond", "div.comment-form", "form.comment-form", "form#commentform", "div.leave-reply", "div#reply", "section.add-comment"),
 }
 
 
@@ -383,11 +416,30 @@ def layouts(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[
 
     def some(lo: int, hi: int) -> str:
         at = int(rng.integers(max(1, len(words) - hi)))
-        return html_lib.escape(" ".join(words[at : at + int(rng.integers(lo, hi + 1))])) or "text"
+        gap = " " if rng.random() < 0.95 else pick((" | ", " - ", ", "))
+        return html_lib.escape(gap.join(words[at : at + int(rng.integers(lo, hi + 1))])) or "text"
+
+    def wrapped(parts: list[tuple[str, int | None]]) -> list[tuple[str, int | None]]:
+        """The parts within some bare elements, often none."""
+        u = rng.random()
+        depth = 0 if u < 0.45 else int(rng.integers(1, 4)) if u < 0.8 else int(rng.integers(4, 10))
+        tags = [pick(("div", "div", "div", "section", "center")) for _ in range(depth)]
+        return [(f"<{t}>", None) for t in tags] + parts + [(f"</{t}>", None) for t in tags[::-1]]
+
+    def links(tag: str) -> list[tuple[str, int | None]]:
+        """Links side by side in one block."""
+        gap = pick(("", " ", " | ", " &middot; "))
+        return [(f"<{tag}>", None), (gap.join(f'<a href="/x">{some(1, 3)}</a>' for _ in range(int(rng.integers(1, 8)))), 0), (f"</{tag}>", None)]
 
     def around(kind: str) -> list[tuple[str, int | None]]:
+        if kind == "nav" and rng.random() < 0.25:
+            return wrapped(links(pick(("div", "p", "nav", "center"))))
         a, b = _open(pick(AROUND[kind]))
-        out: list[tuple[str, int | None]] = [(a, None)]
+        inside = surroundings(kind)
+        return wrapped([(a, None), *(wrapped(inside) if rng.random() < 0.4 else inside), (b, None)])
+
+    def surroundings(kind: str) -> list[tuple[str, int | None]]:
+        out: list[tuple[str, int | None]] = []
         if kind in ("nav", "share") or kind == "aside" and rng.random() < 0.5:
             if kind == "aside":
                 out += [("<h3>", None), (some(1, 4), 0), ("</h3>", None)]
@@ -399,6 +451,12 @@ def layouts(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[
             for _ in range(int(rng.integers(1, 4))):
                 out += [("<p>", None), (f"<label>{some(1, 3)}</label><input>", 0), ("</p>", None)]
             out += [("<button>", None), (some(1, 2), 0), ("</button>", None)]
+        elif kind == "reply":
+            out += [("<p>" if rng.random() < 0.6 else "<h3>", None), (some(1, 14), 0), ("</p>", None)]
+            for _ in range(int(rng.integers(0, 4))):
+                out += [("<p>", None), (f"<label>{some(1, 3)}</label><input>", 0), ("</p>", None)]
+            if rng.random() < 0.5:
+                out += [("<button>", None), (some(1, 3), 0), ("</button>", None)]
         elif kind in ("footer", "header") and rng.random() < 0.7:
             out.append((("&copy; " if kind == "footer" else "") + some(1, 12), 0))
         elif rng.random() < 0.4:
@@ -409,14 +467,23 @@ def layouts(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[
             for _ in range(int(rng.integers(1, 6 if kind == "comments" else 3))):
                 inner = pick((("<p>", "</p>"), ("<div>", "</div>"), ("<li>", "</li>"), ('<div class="comment">', "</div>"))) if kind == "comments" else ("<p>", "</p>")
                 out += [(inner[0], None), (some(3, 60), 0), (inner[1], None)]
-        return [*out, (b, None)]
-
-    def main() -> list[tuple[str, int | None]]:
-        a, b = _open(pick(MAIN))
-        out: list[tuple[str, int | None]] = [(a, None)]
-        if rng.random() < 0.8:
-            out += [("<h1>", None), (some(2, 14), 1), ("</h1>", None)]
-        for _ in range(int(rng.integers(1, 14))):
+        return out
+
+    def main(bare: str | None = None) -> list[tuple[str, int | None]]:
+        a, b = (f"<{bare}>", f"</{bare}>") if bare else _open(pick(MAIN))
+        title: list[tuple[str, int | None]] = []
+        if rng.random() < 0.6:
+            title = [("<h1>", None), (some(2, 14), 1), ("</h1>", None)]
+            if rng.random() < 0.2:
+                title = [("<header>", None), *title, ("</header>", None)]
+        inside = body()
+        if rng.random() < 0.5:
+            return wrapped([(a, None), *wrapped([*title, *inside]), (b, None)])
+        return wrapped([(a, None), *title, *wrapped(inside), (b, None)])
+
+    def body() -> list[tuple[str, int | None]]:
+        out: list[tuple[str, int | None]] = []
+        for _ in range(int(rng.integers(1, 14 if rng.random() < 0.7 else 3))):
             u = rng.random()
             if u < 0.62:
                 broken = rng.random() < 0.15
@@ -441,7 +508,17 @@ def layouts(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[
                 out += around(pick(("ad", "aside", "share", "notice", "form", "nav")))
         if rng.random() < 0.15:
             out += around("comments")
-        return [*out, (b, None)]
+        if rng.random() < 0.1:
+            out += around("reply")
+        return out
+
+    def columns() -> list[tuple[str, int | None]]:
+        """A table that lays out the page: links in a cell, the text in another, perhaps links again."""
+        side = [("<td>", None), *(links(pick(("div", "p", "li"))) if rng.random() < 0.5 else [links("td")[1]]), ("</td>", None)]
+        parts = [("<table><tr>", None), *side, *main("td" if rng.random() < 0.7 else None)]
+        if rng.random() < 0.3:
+            parts += [("<td>", None), links("td")[1], ("</td>", None)]
+        return [*parts, ("</tr></table>", None)]
 
     pages = []
     for _ in range(n):
@@ -451,9 +528,10 @@ def layouts(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[
         for kind in ("notice", "header", "nav", "ad", "form", "aside", "share"):
             if rng.random() < {"nav": 0.7, "header": 0.5, "ad": 0.5}.get(kind, 0.25):
                 parts += around(kind)
-        parts += main()
-        for kind in ("share", "comments", "aside", "ad", "nav", "form", "notice", "footer"):
-            if rng.random() < {"comments": 0.45, "footer": 0.75}.get(kind, 0.25):
+        u = rng.random()
+        parts += columns() if u < 0.1 else main("div") if u < 0.16 else main()
+        for kind in ("share", "comments", "reply", "aside", "ad", "nav", "form", "notice", "footer"):
+            if rng.random() < {"comments": 0.45, "footer": 0.75, "reply": 0.15}.get(kind, 0.25):
                 parts += around(kind)
         parts += [("</div>", None)] * wrap + [("</body></html>", None)]
         pages.append(("".join(p for p, _ in parts), [y for _, y in parts if y is not None]))
@@ -474,17 +552,24 @@ def labelled_layouts(texts: list[str], n: int, seed: int = SEED) -> tuple[list,
     return [b for b, _ in made], [y for _, y in made]
 
 
-def train_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, n: int = TRAIN_PAGES, blocks: int = SAMPLE_BLOCKS, html_col: str = "html", id_col: str = "page_id") -> BlockLabeller:
+def train_labeller(
+    pages: DataFrame, sample: int = SAMPLE_PAGES, n: int = TRAIN_PAGES, blocks: int = SAMPLE_BLOCKS, chars: int = SAMPLE_CHARS, html_col: str = "html", id_col: str = "page_id"
+) -> BlockLabeller:
     """Fit on ``n`` layouts filled with texts of at most ``sample`` pages, taken in hash order of their ids.
 
-    ``blocks`` bounds how many blocks of a page lend their texts, and so what the
-    driver holds.  Null and empty pages lend none; without any text (no rows),
-    the layouts repeat a single word.
+    ``blocks`` bounds how many blocks of a page lend their texts, ``chars`` how
+    much of each: the driver gets no more than that.  Null and empty pages lend
+    none; without any text (no rows), the layouts repeat a single word.
     """
-    rows = hash_sample(pages, id_col, sample, F.col(html_col)).collect()
-    texts = [t for r in rows for _, t, _ in leaf_blocks(r[0])[:blocks]]
+
+    def lent(batches):
+        for batch in batches:
+            texts = [t[:chars] for page in batch.column(0).to_pylist() for _, t, _ in leaf_blocks(page)[:blocks]]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+    rows = hash_sample(pages, id_col, sample, F.col(html_col)).mapInArrow(lent, "text string").collect()
     model = BlockLabeller()
-    model.train(*labelled_layouts(texts, n))
+    model.train(*labelled_layouts([r.text for r in rows], n))
     return model
 
 
