@@ -2,8 +2,10 @@
 
 Each measure's distribution is summarised by a mergeable quantile sketch: counts
 in logarithmic buckets (relative error under 5 %), added up per (lang, source),
-per lang and over all.  The fences come from the sketch quartiles; a small group
-takes those of its language, a small language those of all.
+per lang and over all.  The fences come from the sketch quartiles.  A group's
+quartiles are drawn towards those of its language, and a language's towards those
+of all, by weights that follow from the numbers of documents: every group has
+fences of its own, and no size at which they change at once.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, WORD_CLASS, join_hot, stage, words_of
 
-#: Documents with words that a group needs for fences of its own; smaller groups are held to those of their language, small languages to those of all.
-MIN_GROUP = 200
+#: Documents that the wider level counts for: a group of as many is drawn half-way.
+DRAWN = 50
 #: A fence stands this many quartile distances beyond the quartile.
 SPREADS = 4
 #: Bucket b of a sketch holds the values v (thousandths) with floor(ln(1 + v) * FINENESS) = b.
@@ -78,7 +80,7 @@ def sketches(measured_docs: DataFrame) -> DataFrame:
     return df.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def fences(sketch: DataFrame, drawn: int = DRAWN) -> DataFrame:
     """(lang, source, fences): for every group the struct of limits it is held to."""
     levels = {"of_group": ["lang", "source"], "of_lang": ["lang"], "of_all": []}
     groups = sketch.select("lang", "source").distinct()
@@ -88,23 +90,24 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         summed = merged.select(*keys, "measure", "bucket", F.sum("n").over(over).alias("total"), F.sum("n").over(over.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
         low = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("bucket")))
         quart = summed.groupBy(*keys, "measure").agg(F.max("total").alias("total"), low(1).alias("q1"), low(3).alias("q3"))
-        value = lambda c: F.floor(F.exp(F.col(c) / FINENESS) - 1)
-        least = F.create_map(*(F.lit(x) for m, v in MEASURES.items() for x in (m, v)))[F.col("measure")]
-        spread = F.greatest(value("q3") - value("q1"), least)
-        both = F.col("measure").isin(*BOTH_SIDES)
-        made = quart.select(*keys, "measure", "total", (value("q3") + spread * SPREADS).alias("hi"), F.when(both, value("q1") - spread * SPREADS).otherwise(F.lit(-1)).alias("lo"))
-        pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).cast("long").alias(f"{m}_{c}")
-        made = made.groupBy(*keys).agg(F.max("total").alias("total"), *(pick(m, c) for m in MEASURES for c in ("hi", "lo")))
-        made = made.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.when(F.lit(not keys) | (F.col("total") >= min_group), F.struct(*(f"{m}_{c}" for m in MEASURES for c in ("hi", "lo")))).alias(level))
+        value = lambda m, c: F.max(F.when(F.col("measure") == m, F.floor(F.exp(F.col(c) / FINENESS) - 1))).cast("double").alias(f"{m}_{c}")
+        made = quart.groupBy(*keys).agg(F.max("total").cast("double").alias("n"), *(value(m, c) for m in MEASURES for c in ("q1", "q3")))
+        made = made.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.struct("n", *(f"{m}_{c}" for m in MEASURES for c in ("q1", "q3"))).alias(level))
         if keys:
             on = [groups[k].eqNullSafe(made[f"k_{k}"]) for k in keys]
             groups = groups.join(made, on[0] if len(on) == 1 else on[0] & on[1], "left").drop(*(f"k_{k}" for k in keys))
         else:
             groups = groups.withColumn("k", F.lit(0)).join(F.broadcast(made.withColumn("k", F.lit(0))), "k").drop("k")  # one row
-    return groups.select("lang", "source", F.coalesce("of_group", "of_lang", "of_all").alias("fences"))
+    limits = []
+    for m, least in MEASURES.items():
+        drawn_to = lambda level, c, wider, m=m: (F.col(f"{level}.n") * F.col(f"{level}.{m}_{c}") + drawn * wider) / (F.col(f"{level}.n") + drawn)
+        q1, q3 = (drawn_to("of_group", c, drawn_to("of_lang", c, F.col(f"of_all.{m}_{c}"))) for c in ("q1", "q3"))
+        spread = F.greatest(q3 - q1, F.lit(float(least))) * SPREADS
+        limits += [(q3 + spread).alias(f"{m}_hi"), (q1 - spread if m in BOTH_SIDES else F.lit(-1.0)).alias(f"{m}_lo")]
+    return groups.select("lang", "source", F.struct(*limits).alias("fences"))
 
 
-def judged(docs: DataFrame, text_col: str = "text", min_group: int = MIN_GROUP) -> DataFrame:
+def judged(docs: DataFrame, text_col: str = "text", drawn: int = DRAWN) -> DataFrame:
     """``docs`` with ``_q_`` columns: the base measures, ``_q_base_failed`` and ``_q_kept``.
 
     A null, empty or blank text has no words and fails the base rule.  Null
@@ -114,7 +117,7 @@ def judged(docs: DataFrame, text_col: str = "text", min_group: int = MIN_GROUP)
     group = F.to_json(F.struct("lang", "source"))
     df = stage(measured(docs, text_col).withColumn("_q_group", group))
     sketch = stage(sketches(df))
-    limits = fences(sketch, min_group).select(group.alias("_q_group"), F.col("fences").alias("_q_fences"))
+    limits = fences(sketch, drawn).select(group.alias("_q_group"), F.col("fences").alias("_q_fences"))
     rows = df.groupBy("_q_group").agg(F.count(F.lit(1)).alias("_q_rows"))
     limits = stage(rows.join(limits, "_q_group", "left"))
     df = join_hot(df, limits, ["_q_group"], "_q_rows", df.count(), 0)
@@ -125,10 +128,10 @@ def judged(docs: DataFrame, text_col: str = "text", min_group: int = MIN_GROUP)
     return df.withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce(inside, F.lit(False))).drop("_q_group", "_q_rows", "_q_fences")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", min_group: int = MIN_GROUP) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", drawn: int = DRAWN) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns as they are.
 
     Null, empty and blank texts do not pass; repeated rows pass or fail each; no
     rows give no rows.
     """
-    return judged(docs, text_col, min_group).where("_q_kept").select(*docs.columns)
+    return judged(docs, text_col, drawn).where("_q_kept").select(*docs.columns)

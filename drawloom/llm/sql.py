@@ -38,9 +38,9 @@ def _op5() -> str:
         return f"""
 {name}_c AS (SELECT {keys}measure, bucket, sum(n) AS n FROM sk GROUP BY {keys}measure, bucket),
 {name}_u AS (SELECT {keys}measure, bucket, sum(n) OVER ({part}) AS total, sum(n) OVER ({part} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM {name}_c),
-{name}_q AS (SELECT {keys}measure, max(total) AS total, floor(exp(min(bucket) FILTER (upto * 4 >= total) / 20.0) - 1) AS v1, floor(exp(min(bucket) FILTER (upto * 4 >= total * 3) / 20.0) - 1) AS v3 FROM {name}_u GROUP BY {keys}measure),
-{name} AS (SELECT {keys}measure, total, v3 + 4 * greatest(v3 - v1, {spread}) AS hi, CASE WHEN measure = 'word_length' THEN v1 - 4 * greatest(v3 - v1, {spread}) ELSE -1 END AS lo FROM {name}_q)"""
+{name} AS (SELECT {keys}measure, CAST(max(total) AS DOUBLE) AS n, floor(exp(min(bucket) FILTER (upto * 4 >= total) / 20.0) - 1) AS q1, floor(exp(min(bucket) FILTER (upto * 4 >= total * 3) / 20.0) - 1) AS q3 FROM {name}_u GROUP BY {keys}measure)"""
 
+    drawn = lambda c: f"(o.n * o.{c} + 50 * ((l.n * l.{c} + 50 * a.{c}) / (l.n + 50))) / (o.n + 50)"
     inside = " AND ".join(f"coalesce(bool_and({m} <= hi AND {m} >= lo) FILTER (measure = '{m}'), false)" for m in measures)
     return rf"""
 WITH w AS (SELECT *, {WORDS} AS ws, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -53,9 +53,9 @@ m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_s
 r AS (SELECT *, {rates} FROM m),
 sk AS (SELECT lang, source, measure, bucket, count(*) AS n FROM ({long}) GROUP BY ALL),
 {level("own", "lang, source, ")},{level("bylang", "lang, ")},{level("overall", "")},
-pairs AS (SELECT DISTINCT lang, source FROM sk),
-f AS (SELECT p.lang, p.source, a.measure, CASE WHEN o.total >= 200 THEN o.hi WHEN l.total >= 200 THEN l.hi ELSE a.hi END AS hi, CASE WHEN o.total >= 200 THEN o.lo WHEN l.total >= 200 THEN l.lo ELSE a.lo END AS lo
-      FROM pairs p CROSS JOIN overall a LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM p.lang AND o.source IS NOT DISTINCT FROM p.source AND o.measure = a.measure LEFT JOIN bylang l ON l.lang IS NOT DISTINCT FROM p.lang AND l.measure = a.measure),
+d AS (SELECT o.lang, o.source, measure, {drawn("q1")} AS q1, {drawn("q3")} AS q3, {spread} AS least
+      FROM own o JOIN bylang l USING (measure) JOIN overall a USING (measure) WHERE l.lang IS NOT DISTINCT FROM o.lang),
+f AS (SELECT lang, source, measure, q3 + greatest(q3 - q1, least) * 4 AS hi, CASE WHEN measure = 'word_length' THEN q1 - greatest(q3 - q1, least) * 4 ELSE -1 END AS lo FROM d),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
 FROM b LEFT JOIN f ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source
