@@ -89,6 +89,23 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total
     return big.join(F.broadcast(hot), keys).select(*rest.columns).unionByName(rest)
 
 
+def join_spread(big: DataFrame, small: DataFrame, key: str, by: str, total: int, least: int = 500) -> DataFrame:
+    """Inner join of ``big`` with ``small`` (one row per key, of any size) on ``key``.
+
+    Rows of ``big`` whose key has more than ``total / MAX_HOT`` of its ``total``
+    rows, and at least ``least``, are dealt by ``by`` into parts of about so
+    many; the row of ``small`` is repeated for each part.  Only the hot keys and
+    their numbers of parts, fewer than MAX_HOT, are broadcast.  ``big`` is read
+    twice.
+    """
+    bound = max(least, total // MAX_HOT)
+    parts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select(key, F.ceil(F.col("n") / bound).cast("int").alias("_parts"))
+    parts = F.broadcast(stage(parts))
+    salted = big.join(parts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    each = small.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(each.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def hash_sample(df: DataFrame, id_col: str, n: int, keep: Column) -> DataFrame:
     """``keep`` (as column ``kept``) where it is not null, of the ``n`` rows that come first in hash order of their ids.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hash_spans, join_hot, mix, shingle_hashes, stage, text_chunks, word_bounds
+from .common import LOWER, hash_spans, join_hot, join_spread, mix, shingle_hashes, stage, text_chunks, word_bounds
 from .components import connected_components
 
 BUCKET_BITS = 7
@@ -236,6 +236,18 @@ def _block_links(up: int, down: int):
     return run
 
 
+def _named(src: DataFrame) -> tuple[DataFrame, int | None]:
+    """``src`` with numbers of their own, beyond all ids, for rows without an id, and the first such number."""
+    facts = src.agg(F.count_if(F.col("id").isNull()).alias("nulls"), F.max("id").alias("top")).first()
+    if not facts.nulls:
+        return src, None
+    first = max(-1, facts.top if facts.top is not None else -1) + 1
+    if first >= 2**62:
+        raise ValueError("ids from 2^62 on leave no numbers for rows without an id")
+    rows = stage(src.where("id is null").select((F.lit(first) + F.monotonically_increasing_id()).alias("id"), "text"))
+    return src.where("id is not null").unionByName(rows), first
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
@@ -246,13 +258,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     Null, empty and blank texts have empty sets (n_shingles 0), link to nothing
     and are kept.  Rows with the same id count as one document, so what either
-    links to is one component; they come back once each.  Rows with a null id are left out.  No rows give no
-    rows.  Other columns are ignored.
+    links to is one component; they come back once each.  Every row with a null id
+    is a document of its own: it is linked like any other, stands behind all ids,
+    and where a component has no id at all its component_id is null and one of
+    its rows is kept.  No rows give no rows.  Other columns are ignored.
     """
     up, down = threshold
     ratio = up / down
     least = next(n for n in range(1, 10**6) if down * n >= up * (n + 1))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src, unnamed = _named(src)
     sketch = stage(src.mapInArrow(_sketch(words, least), "id long, n long, fp1 long, fp2 long, regs binary"))
 
     key = ["fp1", "fp2", "n"]
@@ -266,13 +281,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     # Stars: the least member of a bucket with every other.
     pairs = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     own = lambda i: firsts.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("regs").alias(f"r{i}"))
-    sized = pairs.join(own("a"), "a").join(own("b"), "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
+    pairs = stage(pairs)
+    sized = join_spread(pairs, own("a"), "a", "b", pairs.count()).join(own("b"), "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
     likely = stage(sized.mapInArrow(_rule_out(ratio), "a long, b long"))
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     sets = lambda ids: stage(src.join(ids, "id", "left_semi").mapInArrow(_full(words), "id long, n long, regs binary, bands array<long>, shingles array<long>"))
     full = sets(wanted.hint("merge"))
     side = lambda i: full.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("shingles").alias(f"s{i}"))
-    both = likely.join(side("a"), "a").join(side("b"), "b")
+    both = join_spread(likely, side("a"), "a", "b", likely.count()).join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     links = stage(both.where(common * down >= (F.col("na") + F.col("nb") - common) * up).select("a", "b"))
     labels = connected_components(links)
@@ -304,4 +320,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
         joined = connected_components(ties).select(F.col("id").alias("component"), F.col("component").alias("least"))
         found = found.join(joined, "component", "left").select("id", "n", F.coalesce("least", "component").alias("component"))
     out = found.unionByName(sketch.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    shown = lambda c: F.col(c) if unnamed is None else F.when(F.col(c) < unnamed, F.col(c))
+    return out.select(shown("id").alias(id_col), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
