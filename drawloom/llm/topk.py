@@ -79,14 +79,18 @@ def exact_topk(vectors: DataFrame, query_every: int = 100, k: int = 10, scale: i
     are all rows with another id.  Equal scores go to the smaller id.  Rows
     with a null id, a null vector or any null or non-finite component take no
     part; missing trailing components count as 0.  Repeated rows are candidates
-    each.  No rows, or no queries, give no rows.
+    each.  No rows, or no queries, give no rows.  Components so large that a score
+    might not fit in 64 bits raise an error.
     """
     x = F.col(vector_col)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(fine)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"))
     is_query = F.col("id") % query_every == 0
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("long")).alias("q")).first()
+    size = F.aggregate("v", F.lit(0.0), lambda acc, v: F.greatest(acc, F.abs(v.cast("double"))))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("long")).alias("q"), F.max(size).alias("top"), F.max(F.size("v")).alias("width")).first()
+    if (totals.width or 0) * (totals.top or 0.0) ** 2 >= 2.0**62:
+        raise ValueError("components too large for exact scores in 64 bits")
     blocks, query_blocks = max(1, -(-totals.n // VECTOR_BLOCK)), max(1, -(-(totals.q or 0) // QUERY_BLOCK))
 
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from drawloom.llm import centroids, queries, whitening
+from drawloom.llm import centroids, queries, topk, whitening
 
 VECTORS = "vec_id long, embedding array<float>, x int, copies long, block long, cluster int"
 
@@ -164,3 +164,9 @@ def test_queries_give_the_contract_columns(spark):
     assert made.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"] and made.schema["deviation"].dataType.simpleString() == "bigint"
     n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert made.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).count() == 32
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    with pytest.raises(ValueError, match="too large"):
+        topk.exact_topk(_frame(spark, [(100, [1e18, 1.0]), (1, [1e18, 2.0])]))
+    assert topk.exact_topk(_frame(spark, [(100, [1e5, 1.0]), (1, [1e5, 2.0])])).first().score == (1024 * 10**5) ** 2 + 1024 * 2048
