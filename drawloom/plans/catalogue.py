@@ -170,7 +170,7 @@ _add("x4_daily_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(
 QUERIES |= more.QUERIES
 ORACLES |= more.ORACLES
 
-from . import deeper, tested, wider  # noqa: E402
+from . import deeper, fitted, tested, wider  # noqa: E402
 
-QUERIES |= tested.QUERIES | wider.QUERIES | deeper.QUERIES
-ORACLES |= tested.ORACLES | wider.ORACLES | deeper.ORACLES
+QUERIES |= tested.QUERIES | wider.QUERIES | deeper.QUERIES | fitted.QUERIES
+ORACLES |= tested.ORACLES | wider.ORACLES | deeper.ORACLES | fitted.ORACLES

@@ -262,9 +262,6 @@ _add(
 _add("b31_values", f"WITH {TICKETS}, g AS (SELECT batch, list(DISTINCT bonus[1]) AS h FROM tickets GROUP BY 1) SELECT batch, array_to_string([x FOR x IN range(1, 17) IF NOT list_contains(h, x)], '-') AS missing FROM g", lambda s, d: bt.value_coverage(br.tickets(s, d), "bonus", 16))
 _add("l14_prune", "", lambda s, d: bt.prune_overlap(br.tickets(s, d), 2, F.lit(3)))
 _add("l15_latest", SETTLED + ", l AS (SELECT *, draw_date = max(draw_date) OVER (PARTITION BY strategy) AS new FROM ev) SELECT strategy, count(*) FILTER (new) AS latest, round(avg(h) FILTER (new), 6) AS latest_mean, max(h) FILTER (new) AS latest_best, round(avg(h) FILTER (NOT new), 6) AS earlier_mean FROM l GROUP BY 1", lambda s, d: bt.compare_latest(_settled(s, d)))
-_add("e1_universe", "WITH u AS (SELECT [a, b, c] AS numbers FROM (SELECT unnest(range(1, 34)) AS a), (SELECT unnest(range(1, 34)) AS b), (SELECT unnest(range(1, 34)) AS c) WHERE a < b AND b < c) SELECT o_orderkey % 5456 AS i, count(*) AS n FROM orders JOIN u ON list_contains(numbers, o_custkey % 33 + 1) AND list_contains(numbers, o_orderkey % 33 + 1) GROUP BY 1", lambda s, d: bt.combination_universe(s, 33, 3).select(F.explode(F.flatten(F.transform("numbers", lambda a: F.transform("numbers", lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("c")).join(_table(s, d, "orders").select(F.expr("o_orderkey % 5456").alias("i"), F.expr("o_custkey % 33 + 1").alias("a"), F.expr("o_orderkey % 33 + 1").alias("b")), ["a", "b"]).groupBy("i").agg(F.sum("c").alias("n")))
-SUMS = "us AS (SELECT a + b + c AS score FROM (SELECT unnest(range(1, 34)) AS a), (SELECT unnest(range(1, 34)) AS b), (SELECT unnest(range(1, 34)) AS c) WHERE a < b AND b < c), uc AS (SELECT score, count(*) AS c FROM us GROUP BY 1), uq AS (SELECT score, round((2 * sum(c) OVER (ORDER BY score) - c) / (2 * sum(c) OVER ()), 9) AS quantile FROM uc)"
-_add("e4_midrank", f"WITH {DRAWS}, {SUMS} SELECT k, front[1] + front[3] + front[5] AS score, quantile FROM draws JOIN uq ON uq.score = front[1] + front[3] + front[5]", lambda s, d: bt.midrank_quantile(bt.combination_universe(s, 33, 3).select(F.aggregate("numbers", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("score")), br.draws(s, d).select("k", F.expr("front[0] + front[2] + front[4]").alias("score"))).select("k", "score", "quantile"))
 _add("e16_subsets", f"WITH {TICKETS}, m AS (SELECT DISTINCT main FROM tickets), t AS (SELECT DISTINCT main[i] AS a, main[j] AS b, main[l] AS c FROM m, (SELECT unnest(range(1, 7)) AS i), (SELECT unnest(range(1, 7)) AS j), (SELECT unnest(range(1, 7)) AS l) WHERE i < j AND j < l) SELECT count(*) AS covered, 5456 AS total, round(count(*) / 5456, 9) AS share FROM t", lambda s, d: bt.subset_coverage(br.tickets(s, d), 3, 33))
 
 
@@ -276,4 +273,3 @@ def _frozen(s, d):
 FROZEN = f"WITH {DRAWS}, {TICKETS}, fz AS (SELECT main, row_number() OVER (ORDER BY min(ticket_id), main) AS seq FROM tickets GROUP BY 1), fk AS (SELECT DISTINCT front FROM draws), fh AS (SELECT front, min(seq) AS first FROM fk JOIN fz ON len(list_intersect(main, front)) >= 4 GROUP BY 1), ff AS (SELECT lottery, issue_year, issue_seq, first FROM draws LEFT JOIN fh USING (front)) "
 _add("e17_first_hits", FROZEN + "SELECT * FROM ff", lambda s, d: bt.first_hits(_frozen(s, d), br.draws(s, d), 4))
 _add("e17_conformal", FROZEN + "SELECT k, count(*) AS n, count(*) FILTER (first <= k) AS passed, round(count(*) FILTER (first <= k) / (count(*) + 1), 6) AS level FROM ff, (SELECT unnest([1, 5, 20, 100, 300]) AS k) GROUP BY 1", lambda s, d: bt.conformal_table(bt.first_hits(_frozen(s, d), br.draws(s, d), 4), [1, 5, 20, 100, 300]).drop("bound"))
-_add("e15_union", f"WITH {TICKETS}, {DRAWS}, t AS (SELECT main, count(*) AS n FROM tickets GROUP BY 1), u AS (SELECT DISTINCT front AS numbers FROM draws), w AS (SELECT numbers, sum(n) AS w FROM u JOIN t ON len(list_intersect(main, numbers)) >= 4 GROUP BY 1) SELECT (SELECT count(*) FROM u) AS outcomes, count(*) AS reached, sum(w)::BIGINT AS wins FROM w", lambda s, d: bt.exact_union(br.tickets(s, d), br.draws(s, d).select(F.array_sort("front").alias("numbers")).distinct(), 4))
