@@ -348,6 +348,16 @@ def trial_report(settled: DataFrame, a: str, b: str, margin: float = 0.1, c: flo
     return out.withColumn("p", special.binom_test(F.col("wins").cast("double"), (F.col("wins") + F.col("losses")).cast("double"), F.lit(0.5)))
 
 
+def trial_interval(settled: DataFrame, a: str, b: str, block: int = 20, replicates: int = 1000, seed: int = 1) -> DataFrame:
+    """(lottery, n, mean, se, lo, hi): the mean difference of ``trial_report`` with a block bootstrap over the draws that both took part in."""
+    from .order import rank_by_parts
+    from .resampling import block_means
+
+    per = settled.where((F.col("status") == "evaluated") & F.col("strategy").isin(a, b)).groupBy("lottery", "draw_k").agg(F.avg(F.when(F.col("strategy") == a, F.col("amount"))).alias("x"), F.avg(F.when(F.col("strategy") == b, F.col("amount"))).alias("y"))
+    each = per.where("x is not null and y is not null").select("lottery", "draw_k", (F.col("x") - F.col("y")).alias("x"))
+    return block_means(rank_by_parts(each, ["lottery"], F.expr("draw_k div 8192"), ["draw_k"], "ord"), block, replicates, seed)
+
+
 def ev_edge(series: DataFrame, cold: float, hot: float, p1: float, share: float, price: float = 2.0) -> DataFrame:
     """Per game the gain of a combination with ``cold`` times the mean sharers over one with ``hot`` times: mean, Cohen's d, share of draws with a gain, and the largest draw's part of all.
 

@@ -288,7 +288,9 @@ def e_process(draws: DataFrame, size: int, choose: int, warm: int = 200, c: floa
     earlier = summed(logs, names).select("lottery", "stretch", *(F.col(n).alias(f"b{n}") for n in names))
     upto = by().rowsBetween(Window.unboundedPreceding, 0)
     w = stretched(logs).select("lottery", "stretch", "ord", *(F.sum(n).over(upto).alias(n) for n in names)).join(earlier, ["lottery", "stretch"])
-    wealth = F.ln(sum((F.exp(F.col(n) + F.col(f"b{n}")) for n in names), F.lit(0.0)) / size)
+    w = w.select("lottery", "ord", F.array(*(F.col(n) + F.col(f"b{n}") for n in names)).alias("logs")).withColumn("top", F.array_max("logs"))
+    # the largest is taken out before the powers, which no double would hold in a long history
+    wealth = F.col("top") + F.ln(F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top"))) / size)
     w = w.select("lottery", "ord", wealth.alias("w"))
     g = w.groupBy("lottery").agg(F.max_by("w", "ord").alias("last"), F.max("w").alias("most"), F.min(F.when(F.col("w") >= math.log(1 / alpha), F.col("ord"))).alias("crossed"))
     return g.select("lottery", F.round("last", 5).alias("last"), F.round("most", 5).alias("most"), "crossed")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import backtests as bt
 from ..operators import likelihood as lk
+from ..operators import resampling as rs
 from ..operators import universe as un
 from ..operators import walkforward as wf
+from ..operators.order import medians, with_order
+from ..operators.settle import settle
 from . import bridge as br
 from .bridge import DRAWS, SERIES, TICKETS
+from .sql_parts import ORD
 
 QUERIES, ORACLES = {}, {}
 
@@ -105,3 +110,27 @@ _add(
     lambda s, d: lk.censored_sums(lk.paid_shares(br.series(s, d), CAP)).withColumns({"s1": F.round("s1", 6), "s2": F.round("s2", 6)}),
 )
 _add("e19_fit", "", lambda s, d: lk.pool_shares(br.series(s, d), CAP, BLOCK))
+
+
+# permutations and bootstraps; SQL holds the observed values, tests the replicates
+_BONUS = lambda s, d: with_order(br.draws(s, d)).select("lottery", "ord", F.element_at("back", 1).alias("x"))
+_add("t3_runs_null", "", lambda s, d: rs.run_test(_BONUS(s, d)))
+_add(
+    "t3_observed",
+    f"WITH {DRAWS}{ORD}, a AS (SELECT lottery, ord, CASE WHEN back[1] = lag(back[1]) OVER (PARTITION BY lottery ORDER BY ord) THEN 0 ELSE 1 END AS new FROM n), b AS (SELECT lottery, sum(new) OVER (PARTITION BY lottery ORDER BY ord) AS run FROM a) SELECT lottery, max(c)::DOUBLE AS value FROM (SELECT lottery, run, count(*) AS c FROM b GROUP BY 1, 2) GROUP BY 1",
+    lambda s, d: rs.observed_run(_BONUS(s, d)),
+)
+
+
+def _signs(s, d):
+    draws = br.draws(s, d)
+    return with_order(draws).join(F.broadcast(medians(draws, ["lottery"], "sales")), "lottery").select("lottery", "ord", F.when(F.col("sales") > F.col("middle"), 1).otherwise(-1).alias("x"))  # one row a game
+
+
+_add("t5_cusum_null", "", lambda s, d: rs.cusum_test(_signs(s, d)))
+_add(
+    "t5_observed",
+    f"WITH {DRAWS}{ORD}, x AS (SELECT lottery, ord, CASE WHEN sales > median(sales) OVER (PARTITION BY lottery) THEN 1 ELSE -1 END AS x FROM n) SELECT lottery, max(abs(c))::DOUBLE AS value FROM (SELECT lottery, sum(x) OVER (PARTITION BY lottery ORDER BY ord) AS c FROM x) GROUP BY 1",
+    lambda s, d: rs.observed_reach(_signs(s, d)),
+)
+_add("b24_interval", "", lambda s, d: bt.trial_interval(settle(br.tickets(s, d), br.draws(s, d)), "A", "N", BLOCK))

@@ -46,36 +46,81 @@ def settle_stream(predictions: DataFrame, results: DataFrame, wait: str = "14 da
     return both.select("prediction_id", "key", "made", "drawn", "outcome", F.when(F.col("_key").isNull(), "missed").otherwise("evaluated").alias("status"))
 
 
+def _files(spark, path: str):
+    """The file system of ``path``, and a maker of its paths."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    make = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    return make(path).getFileSystem(hadoop), make
+
+
+def _recovered(fs, make, path: str) -> bool:
+    """Whether there is a table at ``path``, after a swap that was broken off has been finished or taken back."""
+    target, fresh, old = (make(path + end) for end in ("", "_new", "_old"))
+    if not fs.exists(target):
+        if fs.exists(make(path + "_new/_SUCCESS")):
+            fs.rename(fresh, target)
+        elif fs.exists(old):
+            fs.rename(old, target)
+    return fs.exists(target)
+
+
 def upsert_best(batch: DataFrame, path: str, key: list[str], rank: str) -> None:
     """For ``foreachBatch``: the Parquet table at ``path`` with the batch's rows, of each key the one with the least ``rank``, the older of equals.
 
-    The new table is written beside the old one and takes its place at the end.
+    The new table is written beside the old one, which is moved aside before the
+    new one is moved in.  A job that ends between any two of these steps leaves
+    one whole table under one of the three names; the next call puts it right
+    first.  A batch that comes again changes nothing.
     """
     spark = batch.sparkSession
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, fresh = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, path + "_new"))
-    fs = target.getFileSystem(hadoop)
+    fs, make = _files(spark, path)
     new = batch.withColumn("_new", F.lit(1))
-    both = spark.read.parquet(path).withColumn("_new", F.lit(0)).unionByName(new) if fs.exists(target) else new
+    both = spark.read.parquet(path).withColumn("_new", F.lit(0)).unionByName(new) if _recovered(fs, make, path) else new
     best = both.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), F.struct(rank, "_new")).alias("r")).select("r.*")
+    target, fresh, old = (make(path + end) for end in ("", "_new", "_old"))
+    fs.delete(old, True)
     best.write.mode("overwrite").parquet(path + "_new")
-    fs.delete(target, True)
+    if fs.exists(target):
+        fs.rename(target, old)
     fs.rename(fresh, target)
+    fs.delete(old, True)
+
+
+def _committed(fs, make, path: str) -> list[int]:
+    log = make(f"{path}/_commits")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(log)) if fs.exists(log) else []
 
 
-def first_wins(batch: DataFrame, path: str, late_path: str, key: list[str], order: str) -> None:
-    """For ``foreachBatch``: append the rows of new keys (of several the first by ``order``); rows of keys already there, or later ones, go to ``late_path``."""
+def committed(spark, path: str) -> DataFrame:
+    """What ``first_wins`` has written to ``path`` in batches that were ended; batches still being written are not seen."""
+    fs, make = _files(spark, path)
+    done = _committed(fs, make, path)
+    return spark.read.option("basePath", path).parquet(*(f"{path}/batch={i}" for i in done)).drop("batch")
+
+
+def first_wins(batch: DataFrame, path: str, late_path: str, key: list[str], order: str, batch_id: int | None = None) -> None:
+    """For ``foreachBatch``: append the rows of new keys (of several the first by ``order``); rows of keys already there, or later ones, go to ``late_path``.
+
+    Every batch has a folder of its number in both tables (without a number, the
+    next one) and a mark in ``_commits`` once both are written.  A batch that
+    comes again after its mark is left out; one that was broken off writes its
+    folders anew, and only what was committed before it counts as known.  So
+    nothing is lost or doubled wherever the job ends.
+    """
     spark = batch.sparkSession
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs, make = _files(spark, path)
+    done = _committed(fs, make, path)
+    batch_id = (done[-1] + 1 if done else 0) if batch_id is None else batch_id
+    if batch_id in done:
+        return
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(order))
     marked = batch.withColumn("_first", rank == 1)
-    if target.getFileSystem(hadoop).exists(target):
-        known = spark.read.parquet(path).select(*key).distinct().withColumn("_known", F.lit(True))
+    if done:
+        known = committed(spark, path).select(*key).distinct().withColumn("_known", F.lit(True))
         marked = marked.join(known, key, "left").withColumn("_first", F.col("_first") & F.col("_known").isNull()).drop("_known")
-    # the late rows are written before the table grows
-    marked.where(~F.col("_first")).drop("_first").write.mode("append").parquet(late_path)
-    marked.where("_first").drop("_first").write.mode("append").parquet(path)
+    marked.where(~F.col("_first")).drop("_first").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+    marked.where("_first").drop("_first").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    fs.create(make(f"{path}/_commits/{batch_id}"), True).close()
 
 
 MONITOR = "key string, n long, log_wealth double, crossed long"
@@ -91,6 +136,12 @@ def bet(counts: np.ndarray, n: int, logs: np.ndarray, value: int, warm: int, c:
     return logs + np.log1p(lam * ((np.arange(len(counts)) == value) - p0))
 
 
+def log_mean(logs: np.ndarray) -> float:
+    """The logarithm of the mean of exp(logs), however large they are."""
+    top = float(np.max(logs))
+    return top + math.log(float(np.mean(np.exp(logs - top))))
+
+
 def monitor(rows: DataFrame, values: int, warm: int = 50, alpha: float = 0.05) -> DataFrame:
     """A running e-process per key over (key, ts, value in 0..values-1): observations, log of the mean wealth, and at which one it first reached 1 / alpha.
 
@@ -108,9 +159,9 @@ def monitor(rows: DataFrame, values: int, warm: int = 50, alpha: float = 0.05) -
             logs = bet(counts, n, logs, int(value), warm)
             counts[int(value)] += 1
             n += 1
-            if crossed is None and np.log(np.mean(np.exp(logs))) >= math.log(1 / alpha):
+            if crossed is None and log_mean(logs) >= math.log(1 / alpha):
                 crossed = n
         state.update(([int(x) for x in counts], n, [float(x) for x in logs], crossed))
-        yield pd.DataFrame({"key": [key[0]], "n": [n], "log_wealth": [float(np.log(np.mean(np.exp(logs))))], "crossed": pd.array([crossed], dtype="Int64")})
+        yield pd.DataFrame({"key": [key[0]], "n": [n], "log_wealth": [log_mean(logs)], "crossed": pd.array([crossed], dtype="Int64")})
 
     return rows.groupBy("key").applyInPandasWithState(run, MONITOR, STATE, "update", "NoTimeout")

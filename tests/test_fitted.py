@@ -197,3 +197,47 @@ def test_random_numbers_depend_on_the_row_alone():
     assert 0.49 < u.mean() < 0.51 and (u[[5, 9]] == resampling.uniforms(np.array([5, 9]), 50, 3)).all()
     w = resampling.poisson_weights(np.arange(20_000), 0.05, 20, 1)
     assert abs(w.mean() - 0.05) < 0.002 and abs(w.var() - 0.05) < 0.003
+
+
+def test_arrangements_are_uniform_and_come_in_chunks(monkeypatch):
+    rng = np.random.default_rng(1)
+    seen = {}
+    for _ in range(6000):
+        seen[tuple(np.concatenate(list(resampling.arrangement(np.array([2, 1, 1]), rng))))] = seen.get(tuple(np.concatenate(list(resampling.arrangement(np.array([2, 1, 1]), rng)))), 0) + 1
+    assert len(seen) == 12
+    monkeypatch.setattr(resampling, "CHUNK", 3)
+    parts = list(resampling.arrangement(np.array([4, 3, 1]), rng))
+    assert [len(p) for p in parts] == [3, 3, 2] and sorted(np.concatenate(parts)) == [0] * 4 + [1] * 3 + [2]
+    counts = np.zeros((8, 3))
+    for _ in range(4000):
+        whole = np.concatenate(list(resampling.arrangement(np.array([4, 3, 1]), rng)))
+        counts[np.arange(8), whole] += 1
+    assert np.abs(counts / 4000 - np.array([4, 3, 1]) / 8).max() < 0.04
+
+
+def test_statistics_of_parts_equal_those_of_the_whole():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x = rng.integers(0, 3, 200)
+        parts = [p for p in np.split(x, np.sort(rng.integers(0, 200, 5))) if len(p)]
+        best = run = 1
+        for a, b in zip(x, x[1:], strict=False):
+            run = run + 1 if a == b else 1
+            best = max(best, run)
+        steps = np.array([-1.0, 0.5, 1.0])
+        assert resampling.longest_of(iter(parts)) == best and resampling.furthest_of(iter(parts), steps) == pytest.approx(np.abs(np.cumsum(steps[x])).max())
+
+
+def test_permutation_tests_over_stretches(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, 5000)
+    x[2040:2060] = 1  # a run over the edge of a stretch
+    rows = spark.createDataFrame([("a", i + 1, int(v)) for i, v in enumerate(x)] + [("b", i + 1, int(v)) for i, v in enumerate(rng.integers(0, 4, 900))], "lottery string, ord long, x int")
+    got = {r.lottery: r for r in resampling.run_test(rows, 199).collect()}
+    assert got["a"].observed >= 20 and got["a"].p == 1 / 200 and got["b"].p > 0.01 and got["a"].q99 < 12
+    signs = rows.withColumn("x", F.when(F.col("x") < 2, -1).otherwise(1))
+    plain = {"a": np.abs(np.cumsum(np.where(x < 2, -1, 1))).max()}
+    far = {r.lottery: r for r in resampling.cusum_test(signs, 99).collect()}
+    assert far["a"].observed == plain["a"] and 0.01 <= far["b"].p <= 1
+    again = {r.lottery: r for r in resampling.cusum_test(signs.repartition(5), 99).collect()}
+    assert again == far

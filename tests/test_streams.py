@@ -84,3 +84,77 @@ def test_upsert_keeps_the_best_source(spark, tmp_path):
     jobs.upsert_best(make([(1, "csv", 3), (2, "agg", 2)]), path, ["issue"], "rank")
     jobs.upsert_best(make([(1, "official", 1), (2, "csv", 3), (3, "csv", 3)]), path, ["issue"], "rank")
     assert sorted((r.issue, r.source) for r in spark.read.parquet(path).collect()) == [(1, "official"), (2, "agg"), (3, "csv")]
+
+
+class Ended(Exception):
+    pass
+
+
+def _broken_off(monkeypatch, spark, step, run):
+    """Runs ``run``, which ends before the ``step``-th change of a file or table; says whether it ended early."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    left, files, write = [step], jobs._files, DataFrameWriter.parquet
+
+    def tick():
+        left[0] -= 1
+        if left[0] < 0:
+            raise Ended
+
+    class Fs:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name in ("rename", "delete", "create"):
+                tick()
+            return getattr(self.fs, name)
+
+    def parquet(self, path, *a, **k):
+        tick()
+        return write(self, path, *a, **k)
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "_files", lambda s, p: (Fs(files(s, p)[0]), files(s, p)[1]))
+        m.setattr(DataFrameWriter, "parquet", parquet)
+        try:
+            run()
+        except Ended:
+            return True
+    return False
+
+
+def test_upsert_survives_an_end_between_any_two_steps(spark, tmp_path, monkeypatch):
+    make = lambda rows: spark.createDataFrame(rows, "issue long, source string, rank int")
+    for step in range(8):
+        path = str(tmp_path / f"best{step}")
+        jobs.upsert_best(make([(i, "csv", 3) for i in range(10)]), path, ["issue"], "rank")
+        again = lambda path=path: jobs.upsert_best(make([(3, "official", 1), (11, "agg", 2)]), path, ["issue"], "rank")
+        ended = _broken_off(monkeypatch, spark, step, again)
+        again()
+        got = {r.issue: r.source for r in spark.read.parquet(path).collect()}
+        assert got == {**dict.fromkeys(range(10), "csv"), 3: "official", 11: "agg"}
+    assert not ended
+
+
+def test_first_settlements_survive_an_end_between_any_two_steps(spark, tmp_path, monkeypatch):
+    make = lambda rows: spark.createDataFrame(rows, "issue long, amount long, at long")
+    for step in range(5):
+        out, late = str(tmp_path / f"o{step}"), str(tmp_path / f"l{step}")
+        jobs.first_wins(make([(1, 10, 1), (2, 20, 1)]), out, late, ["issue"], "at", 0)
+        again = lambda out=out, late=late: jobs.first_wins(make([(1, 99, 3), (3, 30, 4), (3, 31, 5)]), out, late, ["issue"], "at", 1)
+        ended = _broken_off(monkeypatch, spark, step, again)
+        if ended:
+            assert sorted((r.issue, r.amount) for r in jobs.committed(spark, out).collect()) == [(1, 10), (2, 20)]
+        again()
+        again()
+        for read in (jobs.committed, lambda s, p: s.read.parquet(p)):
+            assert sorted((r.issue, r.amount) for r in read(spark, out).collect()) == [(1, 10), (2, 20), (3, 30)]
+        assert sorted((r.issue, r.amount) for r in spark.read.parquet(late).collect()) == [(1, 99), (3, 31)]
+    assert not ended
+
+
+def test_wealth_beyond_any_number():
+    import numpy as np
+
+    assert jobs.log_mean(np.array([2000.0, 0.0])) == 2000 - np.log(2) and jobs.log_mean(np.zeros(3)) == 0.0
