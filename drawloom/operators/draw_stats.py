@@ -177,3 +177,10 @@ def companion(draws: DataFrame, size: int, window: int, top: int = 5) -> DataFra
     every = _domain(last, size).join(seen, ["lottery", "num"], "left").join(F.broadcast(n), "lottery").join(F.broadcast(hot), "lottery")
     others = top - F.array_contains("hot", F.col("num")).cast("int")
     return every.select("lottery", "num", F.round(F.coalesce("c", F.lit(0)) / others / F.col("n"), 6).alias("rate"))
+
+
+def adjusted(df: DataFrame, p: str, family: list[str], key: list[str]) -> DataFrame:
+    """``bh_adjust`` with the Bonferroni and Sidak bounds of the family beside it."""
+    m = F.count(F.col(p)).over(Window.partitionBy(*family))
+    out = bh_adjust(df, p, family, key).withColumn("_m", m)
+    return out.withColumn("bonferroni", F.round(F.least(F.lit(1.0), F.col(p) * F.col("_m")), 9)).withColumn("sidak", F.round(1 - F.pow(1 - F.col(p), F.col("_m")), 9)).drop("_m")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,3 +148,22 @@ def strategy_score(picks: DataFrame, size: int, choose: int, min_train: int) ->
     variance = mean * (size - choose) / size * (size - choose) / (size - 1)
     g = picks.where(F.col("ord") > min_train).groupBy("lottery").agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"))
     return g.select("lottery", "n", "hits", F.round((F.col("hits") / F.col("n") - mean) / F.sqrt(F.lit(variance) / F.col("n")), 6).alias("z"))
+
+
+def oos_backtest(picks: DataFrame, size: int, choose: int, min_train: int, block: int) -> DataFrame:
+    """(lottery, strategy, fold, n, hits, chi2, p): every strategy on every whole block of ``block`` draws after ``min_train``.
+
+    ``picks`` has lottery, strategy, ord and hits of tickets made from strictly
+    earlier draws.  The hits of each half of a block are compared with random
+    tickets; the squares of both z add up to ``chi2``, whose tail with two
+    degrees of freedom is ``p``.
+    """
+    mean = choose * choose / size
+    variance = mean * (size - choose) / size * (size - choose) / (size - 1)
+    at = F.col("ord") - min_train - 1
+    d = picks.where(at >= 0).select("lottery", "strategy", F.expr(f"(ord - {min_train + 1}) div {block}").alias("fold"), (at % block < block // 2).alias("early"), "hits")
+    half = lambda early: F.sum(F.when(F.col("early") == early, F.col("hits")))
+    g = d.groupBy("lottery", "strategy", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"), half(True).alias("a"), half(False).alias("b")).where(F.col("n") == block)
+    z = lambda c, m: (F.col(c) - m * mean) / math.sqrt(m * variance)
+    chi2 = z("a", block // 2) * z("a", block // 2) + z("b", block - block // 2) * z("b", block - block // 2)
+    return g.select("lottery", "strategy", "fold", "n", "hits", F.round(chi2, 9).alias("chi2"), F.round(F.exp(-F.round(chi2, 9) / 2), 9).alias("p"))

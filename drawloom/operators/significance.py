@@ -6,8 +6,11 @@ and, as column ``p``, its tail probability.
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +141,33 @@ def run_clusters(draws: DataFrame, run: Column, width: int = 15) -> DataFrame:
     return d.select("lottery", "ord", "n", (F.col("n") > F.col("q")[1]).alias("severe"))
 
 
+def best_clusters(clusters: DataFrame, width: int = 15, top: int = 10) -> DataFrame:
+    """The ``top`` windows of each game among ``run_clusters`` that do not overlap: fullest first, of equals the earliest, each that touches none taken before.
+
+    Windows that touch each other, over others or not, form an island, and what
+    is taken in one says nothing of another; islands are settled in parallel.
+    Only windows over the gate are in them, a twentieth of a game's at most.
+    """
+    d = stretched(clusters, width - 1).withColumn("new", F.coalesce((F.col("ord") - F.lag("ord").over(by()) >= width).cast("int"), F.lit(1))).where("not lead").drop("lead", "stretch")
+    before = summed(d, ["new"]).withColumnRenamed("new", "before")
+    within = F.sum("new").over(by().rowsBetween(Window.unboundedPreceding, 0))
+    placed = stretched(d).join(before, ["lottery", "stretch"]).withColumn("island", within + F.col("before"))
+
+    def settle(part: pa.Table) -> pa.Table:
+        at, n = part.column("ord").to_numpy(), part.column("n").to_numpy()
+        taken: list[int] = []
+        for i in np.lexsort((at, -n)):
+            place = bisect.bisect(taken, at[i])
+            if (place == 0 or at[i] - taken[place - 1] >= width) and (place == len(taken) or taken[place] - at[i] >= width):
+                taken.insert(place, int(at[i]))
+        return part.filter(pa.array(np.isin(at, taken))).select(["lottery", "ord", "n", "severe"])
+
+    kept = placed.select("lottery", "island", "ord", "n", "severe").groupBy("lottery", "island").applyInArrow(settle, "lottery string, ord bigint, n bigint, severe boolean")
+    w = Window.partitionBy("lottery").orderBy(F.col("n").desc(), "ord")
+    return kept.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= top)
+
+
+
 def shape_anomaly(draws: DataFrame, z: float = 2.5) -> DataFrame:
     """Draws whose span is ``z`` deviations off the mean: clustered or spread, with least and largest gap."""
     s = F.array_sort("front")

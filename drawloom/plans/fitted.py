@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar, table_functions
 from ..operators import backtests as bt
+from ..operators import draw_stats as st
+from ..operators import hits as ht
 from ..operators import likelihood as lk
 from ..operators import resampling as rs
+from ..operators import series as se
+from ..operators import significance as sg
 from ..operators import universe as un
 from ..operators import walkforward as wf
 from ..operators.order import medians, with_order
 from ..operators.settle import settle
 from . import bridge as br
 from .bridge import DRAWS, SERIES, TICKETS
-from .sql_parts import ORD
+from .sql_parts import CELLS, ORD, SETTLED, SIZE
 
 QUERIES, ORACLES = {}, {}
 
@@ -134,3 +139,51 @@ _add(
     lambda s, d: rs.observed_reach(_signs(s, d)),
 )
 _add("b24_interval", "", lambda s, d: bt.trial_interval(settle(br.tickets(s, d), br.draws(s, d)), "A", "N", BLOCK))
+
+_add(
+    "t16_apart",
+    f"WITH {DRAWS}{ORD}, r AS (SELECT lottery, ord, {_RUN} >= 2 AS x FROM n), w AS (SELECT lottery, ord, sum(x::INT) OVER (PARTITION BY lottery ORDER BY ord ROWS 14 PRECEDING)::BIGINT AS n FROM r QUALIFY ord >= 15), q AS (SELECT lottery, quantile_cont(n, 0.95) AS a, quantile_cont(n, 0.99) AS b FROM w GROUP BY 1), c AS (SELECT lottery, ord, n, n > b AS severe FROM w JOIN q USING (lottery) WHERE n > greatest(a, 4)), "
+    "l AS (SELECT lottery, list_reduce(list([ord] ORDER BY n DESC, ord), lambda a, b: CASE WHEN len(a) < 10 AND len(list_filter(a, lambda o: abs(o - b[1]) < 15)) = 0 THEN list_concat(a, b) ELSE a END) AS taken FROM c GROUP BY 1) SELECT c.lottery, ord, n, severe, list_position(taken, ord)::BIGINT AS place FROM c JOIN l USING (lottery) WHERE list_contains(taken, ord)",
+    lambda s, d: sg.best_clusters(sg.run_clusters(br.draws(s, d), scalar.shape_features(F.col("front"))["longest_run"])),
+)
+
+GAME = {f"g{i}": ht.Game({"front": "h", "back": "j"}, choose={"front": 6, "back": 1}) for i in range(1, 5)}
+_FOUND = lambda s, d, text, lottery=None: settle(br.tickets(s, d), br.draws(s, d)).where(F.col("grade").isNotNull()).where(ht.condition_of_games(GAME, text, lottery)).groupBy("lottery", "grade").agg(F.count(F.lit(1)).alias("tickets"), F.sum("amount").cast("bigint").alias("money"))
+_add("l6_zones", SETTLED + "SELECT lottery, grade, count(*) AS tickets, sum(amount)::BIGINT AS money FROM settled WHERE grade IS NOT NULL AND lottery = 'g2' AND h >= 2 AND j >= 1 GROUP BY 1, 2", lambda s, d: _FOUND(s, d, "front:2, back:1", "g2"))
+_add("l6_total", SETTLED + "SELECT lottery, grade, count(*) AS tickets, sum(amount)::BIGINT AS money FROM settled WHERE grade IS NOT NULL AND h + j >= 3 GROUP BY 1, 2", lambda s, d: _FOUND(s, d, "total:3"))
+
+
+def _picks(s, d):
+    draws = br.draws(s, d)
+    made = {"hot30": se.strategy_hot(draws, SIZE, 30, 6), "hot100": se.strategy_hot(draws, SIZE, 100, 6), "overdue": se.strategy_overdue(draws, SIZE, 6)}
+    out = None
+    for name, picks in made.items():
+        one = picks.select("lottery", F.lit(name).alias("strategy"), "ord", "hits")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_HOTS = lambda w: f"SELECT lottery, 'hot{w}' AS strategy, ord, num, hit, coalesce(sum(hit) OVER (PARTITION BY lottery, num ORDER BY ord ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 0) AS score FROM cells"
+_OOS = f"""WITH {DRAWS}{CELLS}, s AS ({_HOTS(30)} UNION ALL {_HOTS(100)} UNION ALL SELECT lottery, 'overdue', ord, num, hit, ord - coalesce(max(CASE WHEN hit = 1 THEN ord END) OVER (PARTITION BY lottery, num ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) FROM cells),
+r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lottery, strategy, ord ORDER BY score DESC, num) <= 6), p AS (SELECT lottery, strategy, ord, sum(hit) AS hits FROM r GROUP BY ALL),
+f AS (SELECT lottery, strategy, (ord - 101) // 60 AS fold, count(*) AS n, sum(hits)::BIGINT AS hits, sum(hits) FILTER ((ord - 101) % 60 < 30) AS a, sum(hits) FILTER ((ord - 101) % 60 >= 30) AS b FROM p WHERE ord > 100 GROUP BY ALL HAVING count(*) = 60),
+x AS (SELECT lottery, strategy, fold, n, hits, round((a - 30 * 36 / 33) * (a - 30 * 36 / 33) / (30 * (36 / 33 * 27 / 33 * 27 / 32)) + (b - 30 * 36 / 33) * (b - 30 * 36 / 33) / (30 * (36 / 33 * 27 / 33 * 27 / 32)), 9) AS chi2 FROM f), y AS (SELECT *, round(exp(-chi2 / 2), 9) AS p FROM x) """
+_add("b17_oos", _OOS + "SELECT * FROM y", lambda s, d: se.oos_backtest(_picks(s, d), SIZE, 6, 100, 60))
+_add(
+    "t30_adjusted",
+    _OOS + ", z AS (SELECT *, count(*) OVER (PARTITION BY lottery) AS m, p * count(*) OVER (PARTITION BY lottery) / row_number() OVER (PARTITION BY lottery ORDER BY p, strategy, fold) AS raw FROM y) SELECT lottery, strategy, fold, n, hits, chi2, p, round(least(1.0, min(raw) OVER (PARTITION BY lottery ORDER BY p DESC, strategy DESC, fold DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_adjusted, round(least(1.0, p * m), 9) AS bonferroni, round(1 - pow(1 - p, m), 9) AS sidak FROM z",
+    lambda s, d: st.adjusted(se.oos_backtest(_picks(s, d), SIZE, 6, 100, 60), "p", ["lottery"], ["strategy", "fold"]),
+)
+
+
+def _lateral(s, d):
+    table_functions.register(s)
+    br.tickets(s, d).select("main").distinct().createOrReplaceTempView("_frozen_tickets")
+    return s.sql("SELECT element_at(subset, 1) AS first, count(DISTINCT subset) AS subsets, count(*) AS held FROM _frozen_tickets, LATERAL t_subsets(main, 3) GROUP BY 1")
+
+
+_add(
+    "r5_subsets",
+    f"WITH {TICKETS}, m AS (SELECT DISTINCT main FROM tickets), t AS (SELECT main[i] AS a, main[j] AS b, main[l] AS c FROM m, (SELECT unnest(range(1, 7)) AS i), (SELECT unnest(range(1, 7)) AS j), (SELECT unnest(range(1, 7)) AS l) WHERE i < j AND j < l) SELECT a AS first, count(DISTINCT [a, b, c]) AS subsets, count(*) AS held FROM t GROUP BY 1",
+    _lateral,
+)
