@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -126,6 +128,22 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
 
 
+def lean(run):
+    """``run`` (batches to batches), after which the Python worker gives what it has freed back to the system.
+
+    Workers are used again by later tasks of other kinds; what one kind freed
+    and another cannot use would otherwise add up in an executor.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 # ---------------------------------------------------------------------------
 # Word hashing over whole Arrow batches: a batch's distinct words are found by
 # Arrow on their bytes, and each is hashed once.

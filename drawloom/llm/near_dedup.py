@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hash_spans, join_hot, join_spread, mix, shingle_hashes, stage, text_chunks, word_bounds
+from .common import LOWER, hash_spans, join_hot, join_spread, lean, mix, shingle_hashes, stage, text_chunks, word_bounds
 from .components import connected_components
 
 BUCKET_BITS = 7
@@ -268,12 +268,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     least = next(n for n in range(1, 10**6) if down * n >= up * (n + 1))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     src, unnamed = _named(src)
-    sketch = stage(src.mapInArrow(_sketch(words, least), "id long, n long, fp1 long, fp2 long, regs binary"))
+    sketch = stage(src.mapInArrow(lean(_sketch(words, least)), "id long, n long, fp1 long, fp2 long, regs binary"))
 
     key = ["fp1", "fp2", "n"]
     classes = stage(sketch.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     firsts = stage(sketch.where("regs is not null").join(classes.withColumn("id", F.col("rep")), [*key, "id"], "left_semi").select("id", "n", "regs").distinct())
-    members = firsts.mapInArrow(_bands, "id long, n long, band long")
+    members = firsts.mapInArrow(lean(_bands), "id long, n long, band long")
     buckets = stage(members.groupBy("band").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     in_buckets = (1 << BUCKET_BITS) // BAND_ROWS * firsts.count()
     members = stage(join_hot(members, buckets, ["band"], "m", in_buckets))
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     sized = join_spread(pairs, own("a"), "a", "b", pairs.count()).join(own("b"), "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
     likely = stage(sized.mapInArrow(_rule_out(ratio), "a long, b long"))
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    sets = lambda ids: stage(src.join(ids, "id", "left_semi").mapInArrow(_full(words), "id long, n long, regs binary, bands array<long>, shingles array<long>"))
+    sets = lambda ids: stage(src.join(ids, "id", "left_semi").mapInArrow(lean(_full(words)), "id long, n long, regs binary, bands array<long>, shingles array<long>"))
     full = sets(wanted.hint("merge"))
     side = lambda i: full.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("shingles").alias(f"s{i}"))
     both = join_spread(likely, side("a"), "a", "b", likely.count()).join(side("b"), "b")

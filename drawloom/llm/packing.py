@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lean, stage
 
 CAPACITY = 2048
 GROUPS = 256
@@ -32,7 +32,7 @@ LARGE = 8
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 1 << 18
 #: Cached chunks and parts, each, in a Python worker.
-CACHE = 200_000
+CACHE = 100_000
 
 
 # --------------------------------------------------------------------------
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
                 n = 6 if with_ids else 5
                 yield pa.RecordBatch.from_arrays(arrays[:n], names[:n])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lean(run), schema)
 
 
 # --------------------------------------------------------------------------

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, distinct_spans, stage, text_chunks, word_bounds
+from .common import LOWER, NOT_ALNUM, distinct_spans, lean, stage, text_chunks, word_bounds
 
 #: Identity terms in groups within which one may stand for another.
 IDENTITY_TERMS = (
@@ -257,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             sets = [s for _, s in word_sets(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.binary()))], ["doc_id", "label", "features"])
 
-    rows = rows.mapInArrow(features, "doc_id long, label int, features array<binary>").withColumn("features", F.array_sort("features"))
+    rows = rows.mapInArrow(lean(features), "doc_id long, label int, features array<binary>").withColumn("features", F.array_sort("features"))
     # texts with equal features and label count once
     rows = rows.withColumn("mark", F.xxhash64("features"))
     first = rows.groupBy("label", "mark").agg(F.min("doc_id").alias("doc_id"))
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             s = local.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(lean(run), f"{id_col} long, score double, predicted int")
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -306,4 +306,4 @@ def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
         for batch in batches:
             yield batch.filter(pa.array(local.scores(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
