@@ -39,7 +39,7 @@ def test_matches_sql(spark, duck, name):
 
 
 #: Spark ML fits are tested on their own fixtures and take long.
-FITS = {"b22_numbers", "e3_popularity", "e10_drift", "e18_forecast", "e6_heat"}
+FITS = {"b22_numbers", "e3_popularity", "e18_forecast", "e6_heat"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - FITS))
