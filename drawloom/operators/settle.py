@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import number_mask, tax, zone_hits
-from .order import by, carried, rank_by_parts, stretched, summed
+from .order import by, rank_by_parts, stretched
 
 #: Grades of the 6-of-33 and 1-of-16 game by (main hits, bonus hits), with the prize per bet.
 GRADES = ((6, 1, 1, 5_000_000), (6, 0, 2, 200_000), (5, 1, 3, 3_000), (5, 0, 4, 200), (4, 1, 4, 200), (4, 0, 5, 10), (3, 1, 5, 10), (2, 1, 6, 5), (1, 1, 6, 5), (0, 1, 6, 5))
@@ -45,17 +45,31 @@ def ledger(settled: DataFrame) -> DataFrame:
 
 
 def drawdown(series: DataFrame) -> DataFrame:
-    """Running total of ``net`` by ``ord`` within a game, with peak (0 at least), drawdown, its worst, the draws ``under`` the last peak and the most of them."""
+    """Running total of ``net`` by ``ord`` within a game, with peak (0 at least), drawdown, its worst, the draws ``under`` the last peak and the most of them.
+
+    A stretch of draws is summed up by itself into one row (total, highest and
+    lowest point, deepest fall, its record points); windows over these rows tell
+    what each stretch takes along, which is joined back once.
+    """
     upto = by().rowsBetween(Window.unboundedPreceding, 0)
-    far = lambda d, *values: carried(d, [*values]).select("lottery", "stretch", *(F.col(v).alias(f"_{v}") for v in values))
-    d = stretched(series).drop("lead").join(summed(series, ["net"]).withColumnRenamed("net", "_net"), ["lottery", "stretch"])
-    d = d.withColumn("running", F.round(F.col("_net") + F.sum("net").over(upto), 4)).drop("_net")
-    d = d.join(far(d, "running"), ["lottery", "stretch"]).withColumn("peak", F.greatest(F.lit(0.0), F.col("_running"), F.max("running").over(upto))).drop("_running")
-    d = d.withColumn("drawdown", F.round(F.col("peak") - F.col("running"), 4)).withColumn("at_peak", F.when(F.col("drawdown") == 0, F.col("ord")))
-    d = d.join(far(d, "drawdown", "at_peak"), ["lottery", "stretch"]).withColumn("worst", F.greatest(F.max("drawdown").over(upto), "_drawdown"))
-    d = d.withColumn("under", F.col("ord") - F.coalesce(F.greatest(F.max("at_peak").over(upto), "_at_peak"), F.lit(0))).drop("_drawdown", "_at_peak", "at_peak")
-    d = d.join(far(d, "under"), ["lottery", "stretch"]).withColumn("longest_under", F.greatest(F.max("under").over(upto), "_under"))
-    return d.drop("_under", "stretch", "ord")
+    d = stretched(series).drop("lead").withColumn("_at", F.round(F.sum("net").over(upto), 4)).withColumn("_top", F.max("_at").over(upto))
+    record = F.when(F.col("_at") == F.col("_top"), F.struct("ord", "_at"))
+    own = [F.max_by("_at", "ord").alias("total"), F.max("_at").alias("high"), F.min("_at").alias("low"), F.max(F.col("_top") - F.col("_at")).alias("fall"), F.max("ord").alias("end"), F.array_sort(F.collect_list(record)).alias("records")]
+    earlier = Window.partitionBy("lottery").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    s = d.groupBy("lottery", "stretch").agg(*own).withColumn("_net", F.coalesce(F.round(F.sum("total").over(earlier), 4), F.lit(0.0)))
+    s = s.withColumn("_peak", F.greatest(F.lit(0.0), F.max(F.round(F.col("_net") + F.col("high"), 4)).over(earlier)))
+    # the records that reach the peak so far, by draw
+    s = s.withColumn("peaks", F.transform(F.filter("records", lambda r: F.round(F.col("_net") + r["_at"], 4) >= F.col("_peak")), lambda r: r["ord"]))
+    s = s.withColumn("_last", F.coalesce(F.max(F.array_max("peaks")).over(earlier), F.lit(0)))
+    ends = F.concat(F.array("_last"), F.col("peaks"))
+    gaps = F.zip_with(ends, F.concat(F.col("peaks"), F.array(F.col("end") + 1)), lambda x, y: y - x - 1)
+    s = s.withColumn("_worst", F.max(F.greatest(F.col("_peak") - F.col("_net") - F.col("low"), F.col("fall"))).over(earlier)).withColumn("_under", F.max(F.array_max(gaps)).over(earlier))
+    d = d.join(s.select("lottery", "stretch", "_net", "_peak", "_last", "_worst", "_under"), ["lottery", "stretch"])
+    d = d.withColumn("running", F.round(F.col("_net") + F.col("_at"), 4)).withColumn("peak", F.greatest("_peak", F.round(F.col("_net") + F.col("_top"), 4)))
+    d = d.withColumn("drawdown", F.round(F.col("peak") - F.col("running"), 4)).withColumn("worst", F.greatest(F.max("drawdown").over(upto), F.round("_worst", 4)))
+    d = d.withColumn("under", F.col("ord") - F.greatest(F.max(F.when(F.col("drawdown") == 0, F.col("ord"))).over(upto), "_last"))
+    d = d.withColumn("longest_under", F.greatest(F.max("under").over(upto), "_under"))
+    return d.drop("_at", "_top", "_net", "_peak", "_last", "_worst", "_under", "stretch", "ord")
 
 
 def leaderboard(settled: DataFrame) -> DataFrame:
