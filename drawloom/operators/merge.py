@@ -28,6 +28,30 @@ def merge_sources(draws: DataFrame) -> DataFrame:
     )
 
 
+def merge_full(draws: DataFrame, prize_region: DataFrame) -> DataFrame:
+    """One row per draw with the fields of all its sources.
+
+    The row of the best source wins, of several the one with the longest issue
+    text (then the greatest).  Draw order, sales, pool and first winners that it
+    lacks (empty texts are missing) are the greatest that any source has; the
+    region text is the greatest of all.  ``n_src`` counts the rows, ``srcs``
+    lists their sources, ``region_n`` counts the rows of ``prize_region``
+    (lottery, issue) under the winner's issue text.  Rows without a year are
+    left out.
+    """
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    own = ["issue", "draw_date", "front", "back", "sales", "pool", "first_winners", "source"]
+    place = F.struct(-_priority(), F.length("issue"), F.col("issue"))
+    g = draws.where("issue_year is not null").groupBy(*KEY).agg(
+        F.max_by(F.struct(*own, filled("seq").alias("seq")), place).alias("w"), F.max(filled("seq")).alias("seq"), F.max("sales").alias("sales"), F.max("pool").alias("pool"),
+        F.max("first_winners").alias("first_winners"), F.max(filled("region_text")).alias("region_text"), F.count(F.lit(1)).alias("n_src"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("srcs"),
+    )
+    either = [F.coalesce(F.col(f"w.{c}"), F.col(c)).alias(c) for c in ("seq", "sales", "pool", "first_winners")]
+    merged = g.select(*KEY, *(f"w.{c}" for c in ("issue", "draw_date", "front", "back", "source")), *either, "region_text", "n_src", "srcs")
+    counts = prize_region.groupBy("lottery", "issue").agg(F.count(F.lit(1)).alias("region_n"))
+    return merged.join(counts, ["lottery", "issue"], "left").withColumn("region_n", F.coalesce("region_n", F.lit(0)))
+
+
 def latest_upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
     """Union in which the row with the highest ``order`` of each key wins, new rows before old."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -59,6 +59,26 @@ sources AS (SELECT *, 'official' AS source, CAST(issue_year AS VARCHAR) || lpad(
 )
 
 
+def full_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sources`` with pool, draw order and region text as far as each has them; some official draws twice, under two issue texts."""
+    d = sources(spark, sf_dir)
+    short = d.where("source = 'official' and k % 9 = 0").withColumn("issue", F.expr("concat('P', issue_seq)")).withColumn("sales", F.col("sales") + 1)
+    pool = F.expr("case when source = 'official' and k % 4 = 0 or k % 8 = 0 then null else k * 1000 + length(source) end")
+    seq = F.expr("case when source = 'official' then null when source = 'agg' and k % 5 = 1 then '' else array_join(if(source = 'csv', front, reverse(front)), ',') end")
+    text = F.expr("case when source = 'official' then null when k % 7 = 0 then '' else concat(source, k % 25) end")
+    return d.unionByName(short).withColumns({"pool": pool, "seq": seq, "region_text": text})
+
+
+FULL = (
+    SOURCES
+    + """,
+twice AS (SELECT * FROM sources UNION ALL SELECT * REPLACE ('P' || issue_seq AS issue, sales + 1 AS sales) FROM sources WHERE source = 'official' AND k % 9 = 0),
+full_sources AS (SELECT *, CASE WHEN (source = 'official' AND k % 4 = 0) OR k % 8 = 0 THEN NULL ELSE k * 1000 + length(source) END AS pool,
+  CASE WHEN source = 'official' THEN NULL WHEN source = 'agg' AND k % 5 = 1 THEN '' ELSE array_to_string(CASE WHEN source = 'csv' THEN front ELSE list_reverse(front) END, ',') END AS seq,
+  CASE WHEN source = 'official' THEN NULL WHEN k % 7 = 0 THEN '' ELSE source || (k % 25) END AS region_text FROM twice)"""
+)
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticket_id, batch, draw_k, main (6 of 33), bonus, strategy, tier, score, generated."""
     li = _table(spark, sf_dir, "lineitem")
