@@ -151,7 +151,12 @@ def window_stability(tickets: DataFrame, top: int) -> DataFrame:
     return g.select("tier", F.round("across", 6).alias("across"), F.round("noise", 6).alias("noise"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("across"), F.col("noise")))), 6).alias("stability"))
 
 
-def score_tickets(tickets: DataFrame, freq: DataFrame, omitted: DataFrame, draws_seen: Column, size: int, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+#: Weights of frequency, omission and spread in a ticket's score, their share of the whole, and the thirds of the numbers.
+SCORE_WEIGHTS, SCORE_SHARE = (0.4, 0.3, 0.3), 0.85
+THIRDS = ((1, 11), (11, 22), (22, 34))
+
+
+def score_tickets(tickets: DataFrame, freq: DataFrame, omitted: DataFrame, draws_seen: Column, size: int, weights: tuple[float, float, float] = SCORE_WEIGHTS) -> DataFrame:
     """(ticket_id, lottery, score): 0.85 times closeness of the numbers' frequencies to the mean, of their omissions to even spread, and balance over the thirds, by ``weights``.
 
     The remaining 0.15 is for a historical hit rate, which is added where known.
@@ -165,9 +170,9 @@ def score_tickets(tickets: DataFrame, freq: DataFrame, omitted: DataFrame, draws
     d = tickets.select("ticket_id", "lottery", "main", F.explode("main").alias("num")).join(per, ["lottery", "num"])
     g = d.groupBy("ticket_id", "lottery", "main").agg(F.avg("_hot").alias("h"), F.avg("_late").alias("l"))
     n = F.size("main")
-    parts = [F.size(F.filter("main", lambda x: (x >= lo) & (x < hi))) for lo, hi in ((1, 11), (11, 22), (22, 34))]
+    parts = [F.size(F.filter("main", lambda x: (x >= lo) & (x < hi))) for lo, hi in THIRDS]
     spread = 1 - F.least(F.lit(1.0), sum((F.abs(p - n / 3) for p in parts), F.lit(0.0)) / 3 / n)
-    w = [x * 0.85 / sum(weights) for x in weights]
+    w = [x * SCORE_SHARE / sum(weights) for x in weights]
     return g.select("ticket_id", "lottery", F.round(w[0] * F.col("h") + w[1] * F.col("l") + w[2] * spread, 6).alias("score"))
 
 

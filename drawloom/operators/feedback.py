@@ -10,13 +10,18 @@ from .order import rank_by_parts
 from .settle import PRICE
 
 
+#: What a main and a bonus hit count; the least weight of a strategy, and of how many tickets it is judged.
+MAIN_HIT, BONUS_HIT = 0.6, 0.4
+FLOOR, LEAST_TICKETS = 0.05, 10
+
+
 def _evaluated(settled: DataFrame) -> DataFrame:
     return settled.where("status = 'evaluated'")
 
 
 def _score():
     """0.6 a main hit and 0.4 a bonus hit."""
-    return F.col("h") * 0.6 + F.col("j") * 0.4
+    return F.col("h") * MAIN_HIT + F.col("j") * BONUS_HIT
 
 
 def tier_comparison(settled: DataFrame) -> DataFrame:
@@ -25,7 +30,7 @@ def tier_comparison(settled: DataFrame) -> DataFrame:
     return g.withColumn("rate", F.round(F.col("wins") / F.col("tickets"), 6))
 
 
-def strategy_weights(settled: DataFrame, floor: float = 0.05, least: int = 10, gate: list[str] | None = None, mass: float = 0.5) -> DataFrame:
+def strategy_weights(settled: DataFrame, floor: float = FLOOR, least: int = LEAST_TICKETS, gate: list[str] | None = None, mass: float = 0.5) -> DataFrame:
     """Weights that add up to 1, each at least ``floor`` (half of an equal share with more than ten strategies).
 
     A strategy counts by its mean score, one with under ``least`` tickets as an
