@@ -65,13 +65,26 @@ def hits(size: int, numbers: str = "front") -> list[Column]:
     return [F.array_contains(numbers, F.lit(i).cast("bigint")).cast("int") for i in range(1, size + 1)]
 
 
-def past_counts(draws: DataFrame, size: int, width: int) -> DataFrame:
-    """(lottery, ord, front, counts): times each number came in the ``width`` draws before, by running sums within stretches."""
-    d = stretched(with_order(draws).select("lottery", "ord", "front"), width)
+def past_windows(draws: DataFrame, size: int, widths: dict[str, int]) -> DataFrame:
+    """(lottery, ord, front, *widths, gaps): times each number came in the so many draws before, for every width, by one pass of running sums within stretches.
+
+    gaps are the draws since each number came, at most the greatest width: a
+    stretch takes along as many draws of the one before.
+    """
+    most = max(widths.values())
+    d = stretched(with_order(draws).select("lottery", "ord", "front"), most)
     upto = by().rowsBetween(Window.unboundedPreceding, -1)
-    runs = d.select("lottery", "stretch", "ord", "front", "lead", *(F.coalesce(F.sum(h).over(upto), F.lit(0)).alias(f"_r{i}") for i, h in enumerate(hits(size))))
-    back = [(F.col(f"_r{i}") - F.coalesce(F.lag(f"_r{i}", width).over(by()), F.lit(0))).cast("bigint") for i in range(size)]
-    return runs.select("lottery", "ord", "front", "lead", F.array(*back).alias("counts")).where(~F.col("lead")).drop("lead")
+    sums = [F.coalesce(F.sum(h).over(upto), F.lit(0)).alias(f"_r{i}") for i, h in enumerate(hits(size))]
+    last = [F.max(F.when(h == 1, F.col("ord"))).over(upto).alias(f"_s{i}") for i, h in enumerate(hits(size))]
+    runs = d.select("lottery", "stretch", "ord", "front", "lead", *sums, *last)
+    back = lambda w: F.array(*((F.col(f"_r{i}") - F.coalesce(F.lag(f"_r{i}", w).over(by()), F.lit(0))).cast("bigint") for i in range(size)))
+    gaps = F.array(*(F.least(F.col("ord") - 1 - F.coalesce(f"_s{i}", F.lit(0)), F.lit(most)).cast("bigint") for i in range(size)))
+    return runs.select("lottery", "ord", "front", "lead", *(back(w).alias(n) for n, w in widths.items()), gaps.alias("gaps")).where(~F.col("lead")).drop("lead")
+
+
+def past_counts(draws: DataFrame, size: int, width: int) -> DataFrame:
+    """(lottery, ord, front, counts): times each number came in the ``width`` draws before."""
+    return past_windows(draws, size, {"counts": width}).drop("gaps")
 
 
 def omissions(draws: DataFrame, size: int) -> DataFrame:

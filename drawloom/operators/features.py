@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .draw_stats import omissions, past_counts
+from .draw_stats import past_counts, past_windows
 from .order import by, stretched, with_order
 
 
@@ -14,6 +14,22 @@ def _total(counts: str, keep) -> Column:
     return F.aggregate(F.filter(F.transform(counts, lambda c, i: F.when(keep(i + 1), c)), lambda c: c.isNotNull()), F.lit(0).cast("bigint"), lambda a, c: a + c)
 
 
+def _first_features(size: int, width: int) -> list[Column]:
+    """freq, gap, shares and label from counts and gaps over ``width`` draws."""
+    third = lambda k: lambda i: (i > k * size // 3) & (i <= (k + 1) * size // 3)
+    shares = [_total("counts", lambda i: i % 2 == 1), _total("counts", lambda i: i <= size // 2), *(_total("counts", third(k)) for k in range(3))]
+    return [
+        F.transform("counts", lambda c: F.round(c / width, 6)).alias("freq"), F.transform("gaps", lambda g: F.round(g / width, 6)).alias("gap"),
+        F.array(*(F.round(s / F.col("n"), 6) for s in shares)).alias("shares"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.array_contains("front", i.cast("bigint")).cast("int")).alias("label"),
+    ]
+
+
+def _past(draws: DataFrame, size: int, widths: dict[str, int]) -> DataFrame:
+    """Past windows of the draws with the greatest width before them, and the sum ``n`` of their counts."""
+    d = past_windows(draws, size, widths).where(F.col("ord") > max(widths.values()))
+    return d.withColumn("n", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c))
+
+
 def feature_matrix_v1(draws: DataFrame, size: int, width: int) -> DataFrame:
     """(lottery, ord, freq, gap, shares, label) of every draw with ``width`` draws before it.
 
@@ -21,25 +37,21 @@ def feature_matrix_v1(draws: DataFrame, size: int, width: int) -> DataFrame:
     over ``width``; shares are those of odd and low numbers and of the thirds;
     label says which numbers the draw itself has.
     """
-    counts = past_counts(draws, size, width).where(F.col("ord") > width)
-    gaps = omissions(draws, size).where(F.col("ord") > width).select("lottery", "ord", "omitted")
-    d = counts.join(gaps, ["lottery", "ord"]).withColumn("n", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c))
-    third = lambda k: lambda i: (i > k * size // 3) & (i <= (k + 1) * size // 3)
-    shares = [_total("counts", lambda i: i % 2 == 1), _total("counts", lambda i: i <= size // 2), *(_total("counts", third(k)) for k in range(3))]
-    return d.select(
-        "lottery", "ord", F.transform("counts", lambda c: F.round(c / width, 6)).alias("freq"), F.transform("omitted", lambda g: F.round(F.least(g, F.lit(width)) / width, 6)).alias("gap"),
-        F.array(*(F.round(s / F.col("n"), 6) for s in shares)).alias("shares"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.array_contains("front", i.cast("bigint")).cast("int")).alias("label"),
-    )
+    d = _past(draws, size, {"counts": width})
+    return d.select("lottery", "ord", *_first_features(size, width))
 
 
 def feature_matrix_v2(draws: DataFrame, size: int, width: int) -> DataFrame:
-    """v1 with each number's counts in the last 10 and 30 draws over those, and the slope: its count in the later half of the window less that in the earlier, over ``width``."""
-    base = feature_matrix_v1(draws, size, width)
-    for w, name in ((10, "_c10"), (30, "_c30"), (width // 2, "_half"), (width, "_all")):
-        base = base.join(past_counts(draws, size, w).select("lottery", "ord", F.col("counts").alias(name)), ["lottery", "ord"])
+    """v1 with each number's counts in the last 10 and 30 draws over those, and the slope: its count in the later half of the window less that in the earlier, over ``width``.
+
+    All windows come from one pass; ``width`` is at least 30.
+    """
+    if width < 30:
+        raise ValueError("the window must hold at least 30 draws")
+    d = _past(draws, size, {"counts": width, "c10": 10, "c30": 30, "half": width // 2})
     over = lambda c, w: F.transform(c, lambda x: F.round(x / w, 6))
-    slope = F.zip_with("_half", "_all", lambda h, a: F.round((2 * h - a) / width, 6))
-    return base.select("lottery", "ord", "freq", "gap", "shares", "label", over("_c10", 10).alias("freq10"), over("_c30", 30).alias("freq30"), slope.alias("slope"))
+    slope = F.zip_with("half", "counts", lambda h, a: F.round((2 * h - a) / width, 6))
+    return d.select("lottery", "ord", *_first_features(size, width), over("c10", 10).alias("freq10"), over("c30", 30).alias("freq30"), slope.alias("slope"))
 
 
 def quantile_of(values: Column, q: float) -> Column:
