@@ -11,6 +11,7 @@ from ..operators import backtests as bt
 from ..operators import draw_stats as st
 from ..operators import merge as mg
 from ..operators import prizes as pz
+from ..operators import pruning as pr
 from ..operators import regions as rg
 from ..operators import series as se
 from ..operators.settle import rules, settle
@@ -261,6 +262,14 @@ _add(
 )
 _add("b31_values", f"WITH {TICKETS}, g AS (SELECT batch, list(DISTINCT bonus[1]) AS h FROM tickets GROUP BY 1) SELECT batch, array_to_string([x FOR x IN range(1, 17) IF NOT list_contains(h, x)], '-') AS missing FROM g", lambda s, d: bt.value_coverage(br.tickets(s, d), "bonus", 16))
 _add("l14_prune", "", lambda s, d: bt.prune_overlap(br.tickets(s, d), 2, F.lit(3)))
+_add(
+    "l14_compress",
+    f"WITH RECURSIVE {TICKETS}, b AS (SELECT DISTINCT batch // 64 AS batch, ticket_id, main, score::DOUBLE AS score FROM tickets), s AS (SELECT batch, count(*) AS n, round(quantile_cont(score, 0.5) * 0.8, 9) AS line FROM b GROUP BY 1), t AS (SELECT b.*, line, row_number() OVER (PARTITION BY batch ORDER BY score DESC, ticket_id, main) AS i FROM b JOIN s USING (batch) WHERE n > 24), "
+    "r AS (SELECT batch, 0::BIGINT AS i, []::BIGINT[][] AS kept, '' AS reason FROM (SELECT DISTINCT batch FROM t) UNION ALL SELECT batch, i, CASE WHEN why = 'fits' THEN list_append(kept, main) ELSE kept END, why FROM (SELECT t.batch, t.i, r.kept, t.main, CASE WHEN t.score < line THEN 'quality' WHEN len(r.kept) >= 24 THEN 'target' WHEN list_contains(r.kept, t.main) THEN 'duplicate' WHEN len([x FOR x IN r.kept IF len(list_intersect(x, t.main)) > 2]) > 0 THEN 'overlap' ELSE 'fits' END AS why FROM r JOIN t ON t.batch = r.batch AND t.i = r.i + 1)), "
+    "z AS (SELECT batch, arg_max(kept, i) AS kept FROM r GROUP BY 1), o AS (SELECT t.*, r.reason, z.kept AS taken, row_number() OVER (PARTITION BY t.batch, main ORDER BY t.i) AS same FROM t JOIN r ON r.batch = t.batch AND r.i = t.i JOIN z ON z.batch = t.batch), f AS (SELECT batch, i FROM o WHERE same = 1 AND NOT list_contains(taken, main) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY i) <= 24 - len(taken)), "
+    "e AS (SELECT o.batch, ticket_id, CASE WHEN f.i IS NOT NULL THEN 'filled' ELSE reason END AS reason FROM o LEFT JOIN f ON f.batch = o.batch AND f.i = o.i UNION ALL SELECT b.batch, ticket_id, 'whole' FROM b JOIN s USING (batch) WHERE n <= 24) SELECT batch, ticket_id, reason IN ('whole', 'fits', 'filled') AS kept, reason FROM e",
+    lambda s, d: pr.compress(br.tickets(s, d).withColumn("batch", F.expr("batch div 64")), 2, F.lit(24)),
+)
 _add("l15_latest", SETTLED + ", l AS (SELECT *, draw_date = max(draw_date) OVER (PARTITION BY strategy) AS new FROM ev) SELECT strategy, count(*) FILTER (new) AS latest, round(avg(h) FILTER (new), 6) AS latest_mean, max(h) FILTER (new) AS latest_best, round(avg(h) FILTER (NOT new), 6) AS earlier_mean FROM l GROUP BY 1", lambda s, d: bt.compare_latest(_settled(s, d)))
 _add("e16_subsets", f"WITH {TICKETS}, m AS (SELECT DISTINCT main FROM tickets), t AS (SELECT DISTINCT main[i] AS a, main[j] AS b, main[l] AS c FROM m, (SELECT unnest(range(1, 7)) AS i), (SELECT unnest(range(1, 7)) AS j), (SELECT unnest(range(1, 7)) AS l) WHERE i < j AND j < l) SELECT count(*) AS covered, 5456 AS total, round(count(*) / 5456, 9) AS share FROM t", lambda s, d: bt.subset_coverage(br.tickets(s, d), 3, 33))
 
