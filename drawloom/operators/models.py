@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -19,6 +23,24 @@ from .order import by, stretched, with_order
 POPULARITY = ("total", "span", "odd", "pairs", "low", "longest_run", "share12", "share31", "complexity", "overlap")
 
 
+def per_game(frame: DataFrame, fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fit`` of every game's rows, with the game in front; ``frame`` is kept while the fits pass over it.
+
+    Games are few (a fit each), so their names are all that reaches the driver.
+    A game for which ``fit`` gives no rows has none.
+    """
+    kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        games = sorted(r.lottery for r in kept.select("lottery").distinct().collect() if r.lottery is not None)
+        parts = [fit(kept.where(F.col("lottery") == g)) for g in games]
+        parts = [p.select(F.lit(g).alias("lottery"), *p.columns) for g, p in zip(games, parts, strict=True)]
+    finally:
+        kept.unpersist()
+    if not parts:
+        raise ValueError("no game to fit")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def popularity_frame(draws: DataFrame) -> DataFrame:
     """Draws in order with the POPULARITY features, winners and the log of tickets sold."""
     shapes = shape_features(F.col("front"))
@@ -59,9 +81,13 @@ def position_heat(series: DataFrame, positions: int = 5, values: int = 10) -> Da
     return series.sparkSession.createDataFrame(rows, "position int, digit int, heat double")
 
 
-def forecast_sales(draws: DataFrame, lottery: str, holdout: float = 0.2, trees: int = 20) -> DataFrame:
-    """(model, r2, mae) on the last ``holdout`` of a game's draws: boosted trees on lags of log sales, against the mean and the draw before."""
-    lags = lag_frame(draws.where(F.col("lottery") == lottery)).where("ma8 is not null and lag2 is not null")
+def sales_lags(draws: DataFrame) -> DataFrame:
+    """The lag frame of the draws that have enough draws before them."""
+    return lag_frame(draws).where("ma8 is not null and lag2 is not null")
+
+
+def forecast_sales(lags: DataFrame, holdout: float = 0.2, trees: int = 20) -> DataFrame:
+    """(model, r2, mae) on the last ``holdout`` of one game's draws (``sales_lags``): boosted trees on lags of log sales, against the mean and the draw before."""
     columns = ["lag1", "lag2", "ma4", "ma8", "dry", "wins8", "weekday", "month"]
     d = lags.select("ord", F.col("log_sales").alias("label"), *(F.when(F.lit(c in ("lag1", "lag2", "ma4", "ma8")), F.log1p(F.col(c))).otherwise(F.col(c)).cast("double").alias(c) for c in columns))
     ends = d.agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).first()
@@ -72,7 +98,7 @@ def forecast_sales(draws: DataFrame, lottery: str, holdout: float = 0.2, trees:
     tested = GBTRegressor(maxIter=trees, maxDepth=4, seed=1).fit(train).transform(test).withColumn("mean", F.lit(mean)).withColumn("before", F.col("lag1"))
     score = lambda column, metric: RegressionEvaluator(predictionCol=column, labelCol="label", metricName=metric).evaluate(tested)
     rows = [(n, float(score(c, "r2")), float(score(c, "mae"))) for n, c in (("trees", "prediction"), ("mean", "mean"), ("before", "before"))]
-    return draws.sparkSession.createDataFrame(rows, "model string, r2 double, mae double")
+    return lags.sparkSession.createDataFrame(rows, "model string, r2 double, mae double")
 
 
 def number_model(matrix: DataFrame, splits: int = 3) -> DataFrame:

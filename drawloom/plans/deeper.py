@@ -119,10 +119,10 @@ _add(
 _add("e14_selected", "", lambda s, d: bt.select_topk(_candidates(s, d), 2, 10))
 
 # models: no SQL
-_add("e3_popularity", "", lambda s, d: md.fit_popularity(md.popularity_frame(br.draws(s, d)).where("lottery = 'g1'")))
-_add("e6_heat", "", lambda s, d: md.position_heat(br.series(s, d)))
-_add("e18_forecast", "", lambda s, d: md.forecast_sales(br.draws(s, d), "g1"))
-_add("b22_numbers", "", lambda s, d: md.number_model(ft.feature_matrix_v1(br.draws(s, d).where("lottery = 'g1'"), SIZE, W)))
+_add("e3_popularity", "", lambda s, d: md.per_game(md.popularity_frame(br.draws(s, d)), md.fit_popularity))
+_add("e6_heat", "", lambda s, d: md.per_game(br.series(s, d), md.position_heat))
+_add("e18_forecast", "", lambda s, d: md.per_game(md.sales_lags(br.draws(s, d)), md.forecast_sales))
+_add("b22_numbers", "", lambda s, d: md.per_game(ft.feature_matrix_v1(br.draws(s, d), SIZE, W), md.number_model))
 
 # streams, run as batches
 _add(
