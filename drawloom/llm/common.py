@@ -108,19 +108,20 @@ def join_spread(big: DataFrame, small: DataFrame, key: str, by: str, total: int,
     return salted.join(each.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
-def hash_sample(df: DataFrame, id_col: str, n: int, keep: Column) -> DataFrame:
+def hash_sample(df: DataFrame, id_col: str, n: int, keep: Column, shape=lambda rows: rows) -> DataFrame:
     """``keep`` (as column ``kept``) where it is not null, of the ``n`` rows that come first in hash order of their ids.
 
     A bound on the hash, from the number of rows, lets about four times ``n``
     rows through before they are ordered, so what reaches the driver does not
-    grow with the number of partitions.  Where over three quarters of ``keep``
+    grow with the number of partitions; ``shape`` may make ``kept`` of those
+    rows (hash, id, kept) smaller first.  Where over three quarters of ``keep``
     are null the sample may be smaller; no rows give no rows.
     """
     share = min(1.0, 4 * n / max(df.count(), 1))
     bound = min(int(share * 2**64) - 2**63, 2**63 - 1)
     hashed = F.xxhash64(id_col)
     few = df.where((hashed <= F.lit(bound)) & keep.isNotNull()).select(hashed.alias("hash"), F.col(id_col).alias("id"), keep.alias("kept"))
-    return few.orderBy("hash", "id").limit(n).select("kept")
+    return shape(few).orderBy("hash", "id").limit(n).select("kept")
 
 
 def words_of(text: Column) -> Column:

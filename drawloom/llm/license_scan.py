@@ -133,12 +133,14 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, text_col:
     for _, text in TEMPLATES:  # scraps of notices name no licence
         words = text.split()
         rows += [(UNKNOWN, " ".join(words[:2])), (UNKNOWN, " ".join(words[-1:]))]
-    picked = hash_sample(docs, id_col, sample, F.substring_index(text_col, "\n", 1))
+    # of a line only the bigrams that templates have, which are few, are ordered and collected
+    fewer = lambda d: _known(F.col("kept"), known, d, "hash", "id").withColumnRenamed("grams", "kept")
+    picked = [set(r.kept) for r in hash_sample(docs, id_col, sample, F.substring_index(text_col, "\n", 1), fewer).collect()]
     # a sampled paragraph that covers a template may be a notice itself
     inner = [set(_inner(t)) for _, t in TEMPLATES]
     plain = lambda grams: all(len(grams & x) < CONFIRM * len(x) for x in inner)
-    rows += [(UNKNOWN, r.kept) for r in picked.collect() if plain(set(_grams(r.kept)))]
-    frame = spark.createDataFrame([(float(classes.index(f)), sorted(set(_grams(t)) & set(known))) for f, t in rows], "label double, grams array<string>").coalesce(1)
+    examples = [(f, set(_grams(t)) & set(known)) for f, t in rows] + [(UNKNOWN, grams) for grams in picked if plain(grams)]
+    frame = spark.createDataFrame([(float(classes.index(f)), sorted(grams)) for f, grams in examples], "label double, grams array<string>").coalesce(1)
     vectors = CountVectorizerModel.from_vocabulary(known, inputCol="grams", outputCol="features")
     vectors = vectors.setBinary(True)
     fitted = LogisticRegression(family="multinomial", regParam=2e-3, maxIter=60, standardization=False).fit(vectors.transform(frame))
