@@ -12,6 +12,7 @@ from ..operators import draw_stats as st
 from ..operators import merge as mg
 from ..operators import regions as rg
 from ..operators import settle as se
+from ..operators import standings as sd
 from ..streaming import jobs
 from . import bridge as br
 from . import more
@@ -147,6 +148,19 @@ _add(
 )
 _add("l2_attribution", SETTLED + "SELECT strategy, tier, count(*) AS tickets, count(grade) AS wins, sum(amount) AS prizes, count(*) FILTER (grade <= 5) AS ten_or_more FROM ev GROUP BY CUBE (strategy, tier)", lambda s, d: se.attribution(_settled(s, d)))
 _add("l3_leaderboard", SETTLED + "SELECT strategy, count(*) AS tickets, round(avg(h), 6) AS mean_main, round(avg(j), 6) AS mean_bonus, count(grade) AS wins, round(count(grade) / count(*), 6) AS rate FROM ev GROUP BY strategy", lambda s, d: se.leaderboard(_settled(s, d)))
+_COUNTED = "coalesce(string_agg(grade || ':' || c, ',' ORDER BY grade) FILTER (grade IS NOT NULL), '')"
+_add(
+    "l3_standings",
+    SETTLED + f", k AS (SELECT *, row_number() OVER (PARTITION BY lottery, tier ORDER BY draw_date DESC, ticket_id, strategy, h, j) AS a FROM ev QUALIFY a <= 500), r AS (SELECT *, row_number() OVER (PARTITION BY lottery, tier, strategy ORDER BY a) AS s FROM k), w AS (SELECT lottery, tier, strategy, grade, count(*) AS c FROM k GROUP BY ALL), gr AS (SELECT lottery, tier, strategy, {_COUNTED} AS grades FROM w GROUP BY ALL), "
+    "g AS (SELECT lottery, tier, strategy, count(*) AS tickets, round(avg(h), 6) AS mean_main, round(avg(j), 6) AS mean_bonus, round(avg(h + j), 6) AS mean_total, count(grade) AS wins, max(draw_date) AS last, round(avg(h + j) FILTER (s <= 10) - avg(h + j) FILTER (s BETWEEN 11 AND 20), 9) AS step FROM r GROUP BY ALL) "
+    "SELECT lottery, tier AS domain, strategy, tickets, mean_main, mean_bonus, mean_total, wins, round(wins / tickets, 6) AS rate, grades, round(mean_main - 36.0::DOUBLE / 33, 6) AS edge, CASE WHEN step IS NULL THEN 'none' WHEN step > 0.15 THEN 'up' WHEN step < -0.15 THEN 'down' ELSE 'flat' END AS trend, last FROM g JOIN gr USING (lottery, tier, strategy)",
+    lambda s, d: sd.standings(_settled(s, d)),
+)
+_add(
+    "l2_sources",
+    SETTLED + f", b AS (SELECT lottery, tier, strategy, grade, CASE WHEN grade > 2 THEN amount END AS amount FROM ev), c AS (SELECT lottery, tier, strategy, grade, count(*) AS c, coalesce(sum(amount), 0) AS money, count(*) FILTER (grade IS NOT NULL AND amount IS NULL) AS u FROM b GROUP BY CUBE (lottery, tier, strategy), grade) SELECT lottery, tier AS domain, strategy, sum(c)::BIGINT AS tickets, coalesce(sum(c) FILTER (grade IS NOT NULL), 0)::BIGINT AS wins, round(coalesce(sum(c) FILTER (grade IS NOT NULL), 0) / sum(c), 6) AS rate, {_COUNTED} AS grades, coalesce(sum(money) FILTER (grade IS NOT NULL), 0)::BIGINT AS prizes, sum(u)::BIGINT AS unknown FROM c GROUP BY ALL",
+    lambda s, d: sd.prize_sources(_settled(s, d).withColumn("amount", F.expr("if(grade > 2, amount, null)"))),
+)
 _add("l6_search_hits", SETTLED + "SELECT ticket_id, h, j, grade, amount FROM settled WHERE h >= 2 AND amount >= 5 AND grade IS NOT NULL ORDER BY amount DESC, h DESC, ticket_id LIMIT 100", lambda s, d: se.search_hits(_settled(s, d), se.hit_filter({"main": 2}, least_amount=5), 100))
 FOUND = "grade IS NOT NULL AND j >= 1 AND h >= 1 AND lottery IN ('g1', 'g2', 'g4') AND strategy IN ('A', 'R') AND draw_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND grade <= 6 AND amount >= 5"
 _filter = lambda: se.hit_filter({"main": 1, "bonus": 1}, ["g1", "g2", "g4"], ["A", "R"], ("1996-01-01", "2000-12-31"), 6, 5)
