@@ -164,6 +164,33 @@ def batches(settled: DataFrame, gap_seconds: int, time: str) -> DataFrame:
     return d.groupBy("key", "batch").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
 
 
+def numbered_batches(rows: DataFrame, gap_seconds: int = 5) -> DataFrame:
+    """(lottery, issue, batch_id, kind, n, first, last, place, of): the batches in which tickets were made, numbered within their issue.
+
+    ``rows`` has lottery, issue, batch_id and time.  Rows with an id form its
+    batch ("explicit"), under the issue of its earliest row, of equals the
+    least; the others of an issue follow each other until more than
+    ``gap_seconds`` pass ("derived", named D:lottery:issue:number), rows
+    without a time joining the last.  ``place`` (of ``of``) counts both kinds of
+    an issue by first time, then id; batches without a time come first.  Rows
+    of one time are counted before an issue's times meet in a task.
+    """
+    t = rows.select("lottery", "issue", "batch_id", F.col("time").cast("timestamp").alias("time"))
+    many = F.count(F.lit(1)).alias("n")
+    named = t.where("batch_id is not null and batch_id <> ''").groupBy("lottery", "batch_id", "issue", "time").agg(many).groupBy("lottery", "batch_id")
+    named = named.agg(F.min(F.struct(F.col("time").isNull().alias("late"), "time", "issue"))["issue"].alias("issue"), F.sum("n").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+    w = Window.partitionBy("lottery", "issue").orderBy(F.col("time").asc_nulls_last())
+    apart = F.unix_micros("time") - F.unix_micros(F.lag("time").over(w)) > gap_seconds * 1_000_000
+    times = t.where("batch_id is null or batch_id = ''").groupBy("lottery", "issue", "time").agg(many)
+    times = times.withColumn("new", F.when(F.row_number().over(w) == 1, 1).otherwise(F.coalesce(apart, F.lit(False)).cast("int"))).withColumn("seq", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    derived = times.groupBy("lottery", "issue", "seq").agg(F.sum("n").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+    label = F.concat_ws(":", F.lit("D"), "lottery", F.col("issue").cast("string"), F.col("seq").cast("string"))
+    columns = ["lottery", "issue", "batch_id", "kind", "n", "first", "last"]
+    both = named.withColumn("kind", F.lit("explicit")).select(*columns).unionByName(derived.withColumn("batch_id", label).withColumn("kind", F.lit("derived")).select(*columns))
+    issue = Window.partitionBy("lottery", "issue")  # one row a batch
+    return both.withColumn("place", F.row_number().over(issue.orderBy(F.col("first").asc_nulls_first(), "batch_id")).cast("bigint")).withColumn("of", F.count(F.lit(1)).over(issue))
+
+
 def overlap(tickets: DataFrame, size: int = 33, choose: int = 6, cap: int = 2) -> DataFrame:
     """Common numbers of the pairs within a batch (batches are small): mean, most, the mean of random tickets, share of pairs over ``cap``, and how many independent tickets the batch is worth (n / (1 + (n - 1) mean / choose))."""
     t = tickets.select("batch", "ticket_id", number_mask(F.col("main")).alias("m"))

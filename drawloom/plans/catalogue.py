@@ -179,6 +179,13 @@ def _events(s, d):
 
 
 _add("l1_batches", "WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600000000 THEN 0 ELSE 1 END AS st FROM events), y AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS batch FROM x) SELECT user_id AS key, batch, count(*) AS n, min(ts) AS first, max(ts) AS last FROM y GROUP BY 1, 2", lambda s, d: se.batches(_events(s, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 3600, "ts"))
+_add(
+    "l1_numbered",
+    "WITH e AS (SELECT 'g' || (1 + user_id % 4) AS lottery, user_id // 4 AS issue, CASE WHEN event_id % 3 = 0 THEN 'B' || (user_id // 4) || '-' || event_type END AS batch_id, ts AS time FROM events), x AS (SELECT lottery, batch_id, arg_min(issue, (time, issue)) AS issue, 'explicit' AS kind, count(*) AS n, min(time) AS first, max(time) AS last FROM e WHERE batch_id IS NOT NULL GROUP BY 1, 2), "
+    "t AS (SELECT *, CASE WHEN epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY lottery, issue ORDER BY time) <= 86400000000 THEN 0 ELSE 1 END AS st FROM e WHERE batch_id IS NULL), y AS (SELECT *, sum(st) OVER (PARTITION BY lottery, issue ORDER BY time ROWS UNBOUNDED PRECEDING) AS seq FROM t), z AS (SELECT lottery, 'D:' || lottery || ':' || issue || ':' || seq::BIGINT AS batch_id, issue, 'derived' AS kind, count(*) AS n, min(time) AS first, max(time) AS last FROM y GROUP BY lottery, issue, seq), "
+    "u AS (SELECT * FROM x UNION ALL SELECT * FROM z) SELECT *, row_number() OVER (PARTITION BY lottery, issue ORDER BY first, batch_id) AS place, count(*) OVER (PARTITION BY lottery, issue) AS of FROM u",
+    lambda s, d: se.numbered_batches(_events(s, d).select(F.expr("concat('g', 1 + user_id % 4)").alias("lottery"), F.expr("user_id div 4").alias("issue"), F.expr("if(event_id % 3 = 0, concat('B', user_id div 4, '-', event_type), null)").alias("batch_id"), F.col("ts").alias("time")), 86_400),
+)
 _add("x4_daily_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2", lambda s, d: jobs.daily_counts(_events(s, d)))
 
 QUERIES |= more.QUERIES
