@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drawloom.functions import scalar
 from drawloom.operators import likelihood, resampling, universe, walkforward
+from drawloom.plans import fitted
 
 DRAWS = "lottery string, k long, issue_year long, issue_seq long, sales long, first_winners long, front array<long>"
 
@@ -140,6 +141,18 @@ def test_heat_recovers_planted_shares(spark):
     assert len(got) == 30 and np.allclose(share.sum(1), 1) and np.abs(share - pi).max() < 0.003
 
 
+def test_heat_of_many_winners_has_no_slopes_left(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", rng.integers(0, 10, 3).tolist(), 2 * 10**13 if i % 4 else None, int(rng.integers(0, 10**9)), int(rng.integers(10**9, 3 * 10**9))) for i in range(400)]
+    got = likelihood.position_heat_poisson(spark.createDataFrame(rows, HEAT), ["winners1", "winners2"], positions=3).collect()
+    assert max(abs(r.score) for r in got) < 5e-4
+
+
+def test_no_filter_on_digits_is_pushed_into_a_join_without_their_columns(spark):
+    cells = likelihood.heat_cells(fitted._gaps(spark, "/root/testdata/sf0.001"), ["winners1", "winners2"], 5, 10)
+    assert not [x for x in cells._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.lstrip(" :+-|").startswith("!")]
+
+
 def test_heat_likelihood_slopes_equal_differences():
     rng = np.random.default_rng(5)
     model = likelihood.Heat(3, 4, 2)
