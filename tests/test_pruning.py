@@ -62,6 +62,26 @@ def test_one_large_batch_keeps_no_two_that_overlap(spark):
     assert sum(r.kept for r in out) == 1000
 
 
+def test_small_batches_write_no_subsets(spark, monkeypatch):
+    monkeypatch.setattr(pruning, "independent", None)
+    rows = _made(3, [(2, 33), (50, 12), (300, 33)])
+    df = spark.createDataFrame(rows, "batch long, ticket_id long, score double, main array<long>").repartition(3)
+    got = {(r.batch, r.ticket_id): r.reason for r in pruning.compress(df, 2, F.lit(24)).collect()}
+    for b in range(3):
+        own = [(i, s, tuple(m)) for x, i, s, m in rows if x == b]
+        assert {i: got[b, i] for i, _, _ in own} == _plain(own, 2, 24)
+
+
+def test_small_batches_equal_those_in_rounds(spark, monkeypatch):
+    rows = _made(4, [(1, 33), (3, 33), (24, 33), (90, 9), (300, 20), (300, 33)])
+    df = spark.createDataFrame([*rows, (7, 1, None, None), (7, 2, 0.5, [1, 2]), (7, 3, 0.0, [3]), (7, 4, -0.0, [3])], "batch long, ticket_id long, score double, main array<long>")
+    for target in (None, F.lit(24)):
+        few = sorted(map(tuple, pruning.compress(df, 2, target).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(pruning, "SMALL", 0)
+            assert few == sorted(map(tuple, pruning.compress(df, 2, target).collect()))
+
+
 def test_edges(spark):
     schema = "batch long, ticket_id long, score double, main array<long>"
     assert pruning.compress(spark.createDataFrame([], schema), 2).count() == 0
