@@ -2,7 +2,14 @@
 
 import random
 
+import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
 from drawloom.operators import backtests as bt
+from drawloom.operators import features, models, series
 
 
 def _plan(df) -> str:
@@ -24,3 +31,45 @@ def test_commonest_digit_by_running_counts(spark):
             want[game, p] = (len(digits) - 30, hits)
     assert {(r.lottery, r.pos): (r.n, r.hits) for r in got.collect()} == want
     assert "RowFrame, -30" not in _plan(got)
+
+
+def _draws(spark, n, seed=5):
+    rng = random.Random(seed)
+    rows = [(g, 2000 + i // 1000, i % 1000 + 1, sorted(rng.sample(range(1, 13), 3))) for g, n in (("a", n), ("b", n // 2)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "lottery string, issue_year int, issue_seq int, front array<bigint>")
+
+
+def test_strategies_by_one_pass(spark):
+    rows, draws = _draws(spark, 2600)
+    got = {(r.lottery, r.strategy, r.ord): r.hits for r in series.strategy_hits(draws, 12, 3, {"hot5": 5, "hot9": 9}, "late").collect()}
+    want = {}
+    for game in "ab":
+        fronts = [r[3] for r in rows if r[0] == game]
+        last = dict.fromkeys(range(1, 13), 0)
+        for i, front in enumerate(fronts):
+            for name, width in (("hot5", 5), ("hot9", 9)):
+                before = [x for f in fronts[max(i - width, 0) : i] for x in f]
+                picks = sorted(range(1, 13), key=lambda x: (-before.count(x), x))[:3]
+                want[game, name, i + 1] = len(set(picks) & set(front))
+            picks = sorted(range(1, 13), key=lambda x: (last[x], x))[:3]
+            want[game, "late", i + 1] = len(set(picks) & set(front))
+            last |= dict.fromkeys(front, i + 1)
+    assert got == want
+
+
+def test_windows_of_all_draws_come_without_a_window_per_number(spark):
+    _, draws = _draws(spark, 60)
+    assert _plan(features.feature_matrix_v2(draws, 12, 30)).count("lag(") == 0
+
+
+def test_chances_of_numbers_from_cells(spark):
+    _, draws = _draws(spark, 400)
+    made = features.number_cells(draws, 12, 10)
+    assert made.count() < 2 * 4 * 11 * 11 * 2
+    got = {r.fold: (r.n, r.auc) for r in models.number_model(made.where("lottery = 'a'")).collect()}
+    matrix = features.feature_matrix_v1(draws.where("lottery = 'a'"), 12, 10)
+    d = matrix.select("ord", F.explode(F.arrays_zip("freq", "gap", "label")).alias("x")).select("ord", array_to_vector(F.array("x.freq", "x.gap")).alias("features"), F.col("x.label").cast("double").alias("label")).cache()
+    for k in (1, 2, 3):
+        cut, upto = 11 + 390 / 4 * k, 11 + 390 / 4 * (k + 1)
+        test = LogisticRegression(regParam=1e-4, maxIter=30).fit(d.where(F.col("ord") < cut)).transform(d.where((F.col("ord") >= cut) & (F.col("ord") < upto)))
+        assert got[k] == (test.count(), pytest.approx(BinaryClassificationEvaluator(numBins=0).evaluate(test), abs=1e-4))
