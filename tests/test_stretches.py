@@ -1,6 +1,7 @@
 """Work done over the stretches of a game's draws: the same as plain loops, and no frame that is summed up again for every draw."""
 
 import random
+import re
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -9,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from drawloom.operators import backtests as bt
-from drawloom.operators import features, models, series
+from drawloom.operators import audit, features, models, series
 
 
 def _plan(df) -> str:
@@ -73,3 +74,32 @@ def test_chances_of_numbers_from_cells(spark):
         cut, upto = 11 + 390 / 4 * k, 11 + 390 / 4 * (k + 1)
         test = LogisticRegression(regParam=1e-4, maxIter=30).fit(d.where(F.col("ord") < cut)).transform(d.where((F.col("ord") >= cut) & (F.col("ord") < upto)))
         assert got[k] == (test.count(), pytest.approx(BinaryClassificationEvaluator(numBins=0).evaluate(test), abs=1e-4))
+
+
+def test_better_half_without_a_sort_of_all_tickets(spark):
+    rng = random.Random(8)
+    rows = [(g, w, i, rng.choice([0.1, 0.2, 0.2000001, 5.0, None])) for g, n in (("a", 41), ("b", 1), ("c", 8)) for w in (1, 2, 3) for i in range(n)]
+    scored = spark.createDataFrame(rows, "lottery string, window int, ticket_id long, score double")
+    place = lambda div: {(g, w, i) for g in "abc" for w in (1, 2, 3) for k, (_, i) in enumerate(sorted(((-99 if r[3] is None else r[3]) * -1, r[2]) for r in rows if r[:2] == (g, w))) if (k + 1) * div <= sum(r[:2] == (g, w) for r in rows)}
+    half, quarter = place(2), place(4)
+    made = bt.consensus_tier(scored, 0.3, 100)
+    got = {(r.lottery, r.ticket_id): (r.half, r.quarter) for r in made.collect()}
+    share = lambda kept, g, i: round(sum((g, w, i) in kept for w in (1, 2, 3)) / 3, 6)
+    assert got == {(g, i): (share(half, g, i), share(quarter, g, i)) for g in "abc" for i in range(41) if share(half, g, i) >= 0.3}
+    assert not re.search(r"score#\d+ DESC NULLS LAST, ticket_id", _plan(made))
+
+
+def test_batches_of_prefixes_are_not_copied(spark):
+    settled = spark.createDataFrame([("evaluated", b, t, t % 3, 0, 5 * (t % 2)) for b in range(4) for t in range(b + 1)], "status string, batch long, ticket_id long, h int, j int, amount long")
+    made = bt.prefix_curve(settled, [1, 2])
+    assert {r.k: (r.batches, r.cost, r.gross, r.mean_hits, r.rate, r.without_largest) for r in made.collect()} == {1: (4, 8, 0, 0.0, 0.0, 0), 2: (4, 14, 15, round(3 / 7, 6), 0.75, 10)}
+    assert "Aggregate [batch#" in _plan(made)  # not by k and batch
+
+
+def test_feedback_meets_its_draw_without_arrays(spark):
+    feedback = spark.sql("SELECT 1L AS ticket_id, 7L AS draw_k, array(1L, 2L) AS main, array(3L) AS bonus, array(2L, 1L) AS front, array(3L) AS back, 2 AS h, 1 AS j, 3 AS total, 6 AS grade, true AS valid, timestamp'2020-01-01' AS generated, CAST(NULL AS DATE) AS predicted, CAST(NULL AS STRING) AS source")
+    draws = spark.sql("SELECT 7L AS k, array(1L, 2L) AS front, array(3L) AS back, DATE'2020-01-02' AS draw_date")
+    made = audit.audit_feedback(feedback.union(feedback.withColumn("front", F.expr("array(2L, 9L)")).withColumn("ticket_id", F.lit(2).cast("bigint"))), draws)
+    assert [tuple(r) for r in made.collect()] == [(2, "numbers")]
+    joined = [n for n in _plan(made).splitlines() if "Join LeftOuter" in n and "draw_k" in n]
+    assert joined and "_front" in _plan(made) and "array_sort(_front" not in _plan(made)
