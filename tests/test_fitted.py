@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawloom.functions import scalar
-from drawloom.operators import likelihood, resampling, universe, walkforward
+from drawloom.operators import likelihood, models, resampling, universe, walkforward
 from drawloom.plans import fitted
 
 DRAWS = "lottery string, k long, issue_year long, issue_seq long, sales long, first_winners long, front array<long>"
@@ -254,3 +254,18 @@ def test_permutation_tests_over_stretches(spark):
     assert far["a"].observed == plain["a"] and 0.01 <= far["b"].p <= 1
     again = {r.lottery: r for r in resampling.cusum_test(signs.repartition(5), 99).collect()}
     assert again == far
+
+
+def test_forecast_holds_its_draws_in_few_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, *(float(x) for x in rng.uniform(12, 18, 5)), int(rng.integers(9)), int(rng.integers(9)), 1 + i % 7, 1 + i % 12) for i in range(400)]
+    lags = spark.createDataFrame(rows, "ord long, log_sales double, lag1 double, lag2 double, ma4 double, ma8 double, dry long, wins8 long, weekday long, month long")
+    fit, seen = models.GBTRegressor.fit, []
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, train: seen.append((train.rdd.getNumPartitions(), train.storageLevel.useMemory)) or fit(self, train))
+    got = {r.model: (r.r2, r.mae) for r in models.forecast_sales(lags.repartition(40), trees=2).collect()}
+    label, lag1, cut = np.array([r[1] for r in rows]), np.log1p([r[2] for r in rows]), 399 - 399 * 0.2
+    old = np.arange(400) <= cut
+    test, mean = label[~old], label[old].mean()
+    score = lambda p: pytest.approx((1 - ((test - p) ** 2).sum() / ((test - test.mean()) ** 2).sum(), np.abs(test - p).mean()))
+    assert got["mean"] == score(mean) and got["before"] == score(lag1[~old]) and set(got) == {"trees", "mean", "before"}
+    assert seen == [(spark.sparkContext.defaultParallelism, True)]
