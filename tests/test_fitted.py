@@ -1,6 +1,7 @@
 """Universes, walk-forward fits, likelihoods and resampling against plain versions."""
 
 import math
+import re
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +43,15 @@ def test_union_equals_enumeration(spark):
     assert (none.reached, none.wins) == (0, 0)
 
 
+def test_union_works_equal_tickets_out_once(spark):
+    tickets = spark.range(3000).selectExpr("if(id % 10 = 0, null, if(id % 2 = 0, array(5L, 1L, 2L), array(2L, 1L, 5L))) AS main")
+    made = universe.exact_union(tickets, 7, 3, 2)
+    row = made.first()
+    assert (row.reached, row.wins) == (13, 13 * 2700)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[[^\]]*\], \[", plan[plan.index("MapInArrow") :])  # by ticket, below the work in Python
+
+
 def test_midranks_with_ties_and_outliers(spark):
     values = [1] * 5 + [2] * 3 + list(range(10, 400)) + [10**12]
     counts = spark.createDataFrame([(v,) for v in values], "score long").groupBy("score").agg(F.count("score").alias("c"))
