@@ -1,8 +1,11 @@
 """Settling: tickets without a draw, and what it takes to bring tickets and draws together."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from drawloom.operators import settle
+from drawloom.operators import audit, settle
+from drawloom.plans import catalogue
 
 
 def _tables(spark, n):
@@ -32,3 +35,13 @@ def test_tickets_without_a_draw_are_spread(spark):
         k = None if i % 3 == 0 else -i if i % 7 == 0 else i // 2
         there = k is not None and k > 0
         assert (r.draw_k, r.status, r.h, r.j, r.grade, r.amount, r.lottery) == ((k, "evaluated", 3, 1, 5, 10, "g1") if there else (k, "pending", None, None, None, None, None))
+
+
+def test_health_meets_draws_once(spark):
+    tickets, draws = _tables(spark, 40)
+    made = audit.feedback_health(settle.settle(tickets, draws.withColumn("issue_year", F.lit(1999)), keep=("generated", "issue_year")).where("status = 'evaluated'").withColumn("version", F.col("issue_year")), None, 0.05)
+    n = sum(i % 3 != 0 and i % 7 != 0 and i > 1 for i in range(40))
+    assert [tuple(r) for r in made.collect()] == [("g1", n, 0, 0.0, 1, False)]
+    assert [tuple(r) for r in audit.feedback_health(settle.settle(tickets, draws, keep=("generated",)).drop("lottery", "draw_date").withColumn("version", F.lit(1)), draws, 0.05).collect()] == [("g1", n, 0, 0.0, 1, False)]
+    plan = catalogue.QUERIES["v6_health"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join \w+, .*draw_k", plan)) == 1
