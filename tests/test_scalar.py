@@ -32,3 +32,9 @@ def test_shapes(spark):
     df = spark.createDataFrame([([1, 2, 3, 13, 23, 33],)], "f array<int>")
     r = df.select(*(c.alias(n) for n, c in scalar.shape_features(F.col("f")).items())).first()
     assert (r.total, r.span, r.pairs, r.longest_run, r.tail_repeats) == (75, 32, 2, 3, 6)
+
+
+def test_region_text_is_read_once(spark):
+    d = spark.createDataFrame([("广东3注，广东1注，北京2注，共6注。",)], "t string").select(scalar.parse_region_text(F.col("t")).alias("r"))
+    assert [tuple(r) for r in d.first().r] == [("广东", 4), ("北京", 2)]
+    assert d._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2
