@@ -46,6 +46,14 @@ def test_several_parts_equal_whole_orders(spark):
     assert (got.observed, got.reached, got.q95) == (sums[0], sum(s >= sums[0] for s in sums[1:]), np.round(np.quantile(sums[1:], 0.95), 6))
 
 
+def test_replicates_shuffle_few_bytes_a_row(spark):
+    draws = spark.range(1, 30_001).select(F.lit("a").alias("lottery"), F.lit(2001).alias("issue_year"), F.col("id").alias("issue_seq"), F.array((F.col("id") % 16).cast("int")).alias("back"))
+    plan = sg.longest_run(draws, 39)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan  # no row a draw and replicate
+    cells = pm.packed_parts(draws.select("lottery", F.col("issue_seq").alias("ord"), F.col("back")[0].alias("x")), 39, 7)
+    assert cells.agg(F.sum(F.length("at") + F.length("x"))).first()[0] == 3 * 40 * 30_000
+
+
 def test_no_draws_give_no_rows(spark):
     none = spark.createDataFrame([], "lottery string, issue_year int, issue_seq long, back array<int>, sales long")
     assert sg.longest_run(none, 3).count() == 0
